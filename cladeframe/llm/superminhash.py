@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     sizes = family.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.min("rep").alias("centre"))
     large = (F.col("n") > FAMILY_CLASSES) | (F.col("s") > FAMILY_SHINGLES)
     member = family.join(sizes.withColumn("large", large & (F.col("n") > 2)), "family").select("family", "rep", "set_key", "centre", "large")
-    member = cut(member.join(texts.withColumnRenamed("doc_id", "rep"), "rep"), "members")
+    member = cut(member.join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep"), "members")
     whole = (
         member.where("NOT large").select("family", "rep", "set_key", "text").repartition("family").sortWithinPartitions("family")
         .mapInArrow(partial(_whole_families, width=width, share=share), "src long, dst long")
