@@ -27,14 +27,17 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Units that a worker remembers at most; then it starts anew.
+#: Units of a generation: a worker remembers the units met in this one and in the last.
 REMEMBER = 250_000
+#: Up to so many symbols the agenda is a plain list.
+_SHORT, _NONE = 40, float("inf")
 
 
 class Codec:
@@ -55,9 +58,41 @@ class Codec:
         self.unknown = self.lib.unk_id()
         self.apart = not any(MARK in p[1:].lstrip(MARK) if p.startswith(MARK) else MARK in p for p in self.id_of)
         self.known: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     def merge(self, unit: str) -> list[int]:
         """Ids of one unit by the agenda."""
+        out: list[int] = []
+        for s in self._merged(unit) if len(unit) > _SHORT else self._merged_short(unit):
+            i = self.id_of.get(s)
+            if i is not None:
+                out.append(i)
+            elif self.byte_id:
+                out += [self.byte_id[b] for b in s.encode("utf-8", "surrogatepass")]
+            else:
+                out.append(self.unknown)
+        return out
+
+    def _merged_short(self, unit: str) -> list[str]:
+        """Few symbols: the agenda is a list that keeps the pairs' places."""
+        get, none = self.score.get, _NONE
+        sym = list(unit)
+        agenda = [get(a + b, none) for a, b in zip(sym, sym[1:], strict=False)]
+        while agenda:
+            best = min(agenda)
+            if best == none:
+                break
+            i = agenda.index(best)
+            sym[i : i + 2] = [sym[i] + sym[i + 1]]
+            del agenda[i]
+            if i:
+                agenda[i - 1] = get(sym[i - 1] + sym[i], none)
+            if i < len(agenda):
+                agenda[i] = get(sym[i] + sym[i + 1], none)
+        return sym
+
+    def _merged(self, unit: str) -> list[str]:
+        """Many symbols: the agenda is a heap over a linked list."""
         sym: list[str] = list(unit)
         n = len(sym)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -77,17 +112,7 @@ class Codec:
             z = left[a]
             if z >= 0 and (p := sym[z] + piece) in score:
                 heapq.heappush(agenda, (score[p], z, a, p))
-        out: list[int] = []
-        for s in sym:
-            if s:
-                i = self.id_of.get(s)
-                if i is not None:
-                    out.append(i)
-                elif self.byte_id:
-                    out += [self.byte_id[b] for b in s.encode("utf-8", "surrogatepass")]
-                else:
-                    out.append(self.unknown)
-        return out
+        return [s for s in sym if s]
 
     def units(self, text: str) -> list[str]:
         """Units of a text in order; joined they are the normalised text."""
@@ -109,14 +134,20 @@ class Codec:
 
     def learn(self, units: set[str]) -> None:
         """Encode units not yet known and check each against the library."""
-        new = list(units)
+        if len(self.known) > REMEMBER:
+            self.known, self.older = {}, self.known
+        units = {u for u in units if u not in self.known}
+        met = {u: self.older[u] for u in units if u in self.older}
+        self.known |= met
+        new = [u for u in units if u not in met]
         # The library puts a mark in front itself: take the unit's first one off.
         theirs = self.lib.encode([u[1:].replace(MARK, " ") for u in new], num_threads=1) if new else []
         for u, ids in zip(new, theirs, strict=True):
             mine = self.merge(u)
             if mine != ids and u != MARK:  # the library makes nothing of an empty text
                 raise ValueError(f"unit {u!r}: {mine} here, {ids} in sentencepiece")
-            self.known[u] = ",".join(map(str, mine)), len(mine), self.decode(mine, inside=True)
+            whole = self.byte_of.keys().isdisjoint(mine)
+            self.known[u] = ",".join(map(str, mine)), len(mine), "".join([self.pieces[i] for i in mine]).replace(MARK, " ") if whole else self.decode(mine, inside=True)
 
     def encode(self, text: str) -> list[int]:
         return [i for u in self.units(text) for i in self.merge(u)]
@@ -181,11 +212,7 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             batch = whole.slice(k, 256)
             texts = [t or "" for t in batch.column("text").to_pylist()]
             units = [c.units(t) for t in texts]
-            new = {u for us in units for u in us if u not in c.known}
-            if len(c.known) + len(new) > REMEMBER:
-                c.known.clear()
-                new = {u for us in units for u in us}
-            c.learn(new)
+            c.learn(set(chain.from_iterable(units)))
             counts, ids_sha, text_sha = [], [], []
             for n, us in enumerate(units):
                 got = [c.known[u] for u in us]
