@@ -29,7 +29,7 @@ lang, source nor doc_id enter a score.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -62,16 +62,21 @@ def _spell_code(words: list[bytes]) -> bytes:
     return b"".join(map(xxhash.xxh64_digest, words))
 
 
-def contexts(texts: list[list[bytes]]) -> dict[bytes, int]:
+def contexts(texts: Iterable[str]) -> dict[bytes, int]:
     """Distinct left neighbours of each word: copies of a passage add none."""
-    seen: dict[bytes, set[bytes]] = {}
-    for words in texts:
+    seen: set[bytes] = set()
+    count: dict[bytes, int] = {}
+    for text in texts:
+        words = plain_words(text)
         for a, b in zip([b"", *words], words, strict=False):
-            seen.setdefault(b, set()).add(a)
-    return {w: len(s) for w, s in seen.items()}
+            pair = xxhash.xxh3_64_intdigest(a + b" " + b)
+            if pair not in seen:
+                seen.add(pair)
+                count[b] = count.get(b, 0) + 1
+    return count
 
 
-def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[list[bytes], list[bytes], list[bytes]]:
+def train_dictionaries(toxic: Iterable[str], ordinary: Iterable[str]) -> tuple[list[bytes], list[bytes], list[bytes]]:
     """(toxic words, ordinary words, common words), the most telling last."""
     t, o = contexts(toxic), contexts(ordinary)
     nt, no = max(1, sum(t.values())), max(1, sum(o.values()))
@@ -138,14 +143,14 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 6
 
 def fit(texts: list[str], toxic: list[int]) -> tuple[Distances, np.ndarray] | None:
     """Dictionaries from two thirds of a sample, thresholds from the rest."""
-    words = [plain_words(t) for t in texts]
     y = np.array(toxic, float)
     if not (0 < y.sum() < len(y)):
         return None
     learn = np.arange(len(y)) % 3 != 2
-    model = Distances(*train_dictionaries([w for w, k, t in zip(words, learn, y, strict=True) if k and t], [w for w, k, t in zip(words, learn, y, strict=True) if k and not t]))
+    of = lambda kind: (t for t, k, v in zip(texts, learn, y, strict=True) if k and v == kind)
+    model = Distances(*train_dictionaries(of(1), of(0)))
     rest = np.flatnonzero(~learn) if 0 < y[~learn].sum() < (~learn).sum() else np.arange(len(y))
-    x = np.array([model.features(words[i]) for i in rest])
+    x = np.array([model.features(plain_words(texts[i])) for i in rest])
     return model, calibrate(x, y[rest])
 
 
@@ -165,10 +170,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Distances, np.ndarray] |
     """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0, within the sample bounds."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(crc_mod("doc_id", 5) != 0)
-    text = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_LENGTH)).dropDuplicates(["doc_id"])
-    pick = lambda k, n: known.where(F.col("toxic") == k).join(docs.select("doc_id").where(F.length("text") <= SAMPLE_LENGTH).distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    text = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_LENGTH)
+    fair = known.join(text.select("doc_id"), "doc_id", "left_semi")
+    pick = lambda k, n: fair.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     picked = pick(1, TOXIC_SAMPLE).unionByName(pick(0, ORDINARY_SAMPLE))
-    rows = text.join(F.broadcast(picked), "doc_id").collect()
+    # Repeated rows of an id count once: the text that comes first.
+    rows = text.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["doc_id"]))
     return fit([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
 
