@@ -238,7 +238,8 @@ def with_edits(state: DataFrame, edits: DataFrame) -> DataFrame:
     Edits of one document are one list in order of seq; a document without any has
     null.  Edits of unknown documents fall away.
     """
-    lists = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "start", "length", "insert"))).alias("edits"))
+    ordered = F.sort_array(F.collect_list(F.struct("seq", "start", "length", "insert")))
+    lists = edits.groupBy("doc_id").agg(F.transform(ordered, lambda e: F.struct(e["start"].alias("start"), e["length"].alias("length"), e["insert"].alias("insert"))).alias("edits"))
     return state.join(lists, "doc_id", "left")
 
 
