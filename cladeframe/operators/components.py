@@ -21,6 +21,10 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that one partition of a shrinking edge table holds.
+PARTITION_ROWS = 100_000
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component): the smallest id that each vertex of ``edges`` can reach.
 
@@ -36,14 +40,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     )
     live = _checkpoint(live)
     steps: list[DataFrame] = []
-    while not live.isEmpty():
+    while n := live.count():
+        # as the table shrinks, so does the number of tasks and files
+        fewer = lambda df: df.coalesce(-(-2 * n // PARTITION_ROWS))  # noqa: B023, E731
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("p"))
-        hook = _checkpoint(hook)
+        hook = _checkpoint(fewer(hook))
         for _ in range(2):
             up = hook.select(F.col("x").alias("p"), F.col("p").alias("pp"))
             hook = hook.join(up, "p").select("x", F.col("pp").alias("p"))
-        hook = _checkpoint(hook)
+        hook = _checkpoint(fewer(hook))
         steps.append(hook)
         a = hook.select(F.col("x").alias("a"), F.col("p").alias("pa"))
         b = hook.select(F.col("x").alias("b"), F.col("p").alias("pb"))
@@ -51,7 +57,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             live.join(a, "a").join(b, "b").where(F.col("pa") != F.col("pb"))
             .select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct()
         )
-        live = _checkpoint(live)
+        live = _checkpoint(fewer(live))
     if not steps:
         kind = edges.schema[src].dataType
         return edges.sparkSession.createDataFrame([], "id long").select(F.lit(None).cast(kind).alias("id"), F.lit(None).cast(kind).alias("component"))
