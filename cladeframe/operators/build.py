@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.operators.components import _checkpoint
-from cladeframe.schema import RAW, RAW_COLUMNS
+from cladeframe.schema import RAW, RAW_COLUMNS, per_tree
 
 
 def invalid_matrices(dist: DataFrame) -> DataFrame:
@@ -189,12 +189,13 @@ def _stepwise(taxa: list[str], states: list[np.ndarray]) -> tuple[list[list], in
 
 
 def stepwise_addition(characters: DataFrame, replicates: int = 1, seed: int = 0) -> DataFrame:
-    """Raw trees by stepwise parsimony: one per (matrix_id, replicate); tree_id numbers them.
+    """Raw trees by stepwise parsimony: one per (matrix_id, replicate), whose tree_id is the matrix_id or a hash of both.
 
     ``characters``: matrix_id, label, states.  Replicate 0 takes the taxa in order,
     the others in a random one.
     """
     reps = characters.select("matrix_id").distinct().select("matrix_id", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    reps = reps.withColumn("tree_id", F.when(F.col("rep") == 0, F.col("matrix_id")).otherwise(F.xxhash64("matrix_id", "rep")))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("label").reset_index(drop=True)
@@ -203,7 +204,7 @@ def stepwise_addition(characters: DataFrame, replicates: int = 1, seed: int = 0)
             rows = rows.sample(frac=1, random_state=np.random.PCG64([seed, abs(m), rep])).reset_index(drop=True)
         made, _ = _stepwise(rows["label"].tolist(), [np.where(np.array(s) == 0, -1, np.array(s)) for s in rows["states"]])
         out = pd.DataFrame(made, columns=RAW_COLUMNS[1:])
-        out.insert(0, "tree_id", m * replicates + rep)
+        out.insert(0, "tree_id", rows["tree_id"].iloc[0])
         return out.astype({"node_id": "int32", "parent_id": "Int32", "child_ord": "int32", "branch_length": "float64"})
 
     return characters.select("matrix_id", "label", "states").join(reps, "matrix_id").groupBy("matrix_id", "rep").applyInPandas(run, RAW)
@@ -323,7 +324,7 @@ def log_likelihood(nodes: DataFrame, characters: DataFrame, model: Model, positi
         part, scale, _ = _partials(rows, model)
         return pd.DataFrame({"tree_id": [rows["tree_id"].iloc[0]], "log_likelihood": [float((np.log(model.root(part[0], weighted_root)) + scale).sum())]})
 
-    return _with_states(nodes, characters, positions).groupBy("tree_id").applyInPandas(run, "tree_id long, log_likelihood double")
+    return per_tree(_with_states(nodes, characters, positions), run, "tree_id long, log_likelihood double")
 
 
 def _with_states(nodes: DataFrame, characters: DataFrame, positions: int | None) -> DataFrame:
@@ -339,10 +340,12 @@ def ancestral_states(nodes: DataFrame, characters: DataFrame, model: Model) -> D
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         part, _, ids = _partials(rows, model)
-        inner = [i for i, k in enumerate(ids) if k in set(rows["parent_id"].dropna())]
-        return pd.DataFrame({"tree_id": rows["tree_id"].iloc[0], "node_id": [int(ids[i]) for i in inner], "likelihoods": [(part[i, 0] / part[i, 0].sum()).tolist() for i in inner]})
+        above = set(rows["parent_id"].dropna())
+        inner = [i for i, k in enumerate(ids) if k in above]
+        found = pd.Series([(part[i, 0] / part[i, 0].sum()).tolist() for i in inner], dtype=object)
+        return pd.DataFrame({"tree_id": [rows["tree_id"].iloc[0]] * len(inner), "node_id": [int(ids[i]) for i in inner], "likelihoods": found})
 
-    return _with_states(nodes, characters, 1).groupBy("tree_id").applyInPandas(run, "tree_id long, node_id int, likelihoods array<double>")
+    return per_tree(_with_states(nodes, characters, 1), run, "tree_id long, node_id int, likelihoods array<double>")
 
 
 def minimise(f, start: np.ndarray, low: float = 1e-6, high: float = 100.0, tolerance: float = 1e-8, most: int = 500) -> tuple[np.ndarray, float]:
@@ -407,7 +410,7 @@ def optimise(nodes: DataFrame, characters: DataFrame, states: int, fixed: list[i
             rates[i] = float(r)
         return pd.DataFrame({"tree_id": [rows["tree_id"].iloc[0]], "log_likelihood": [-v], "rates": [rates]})
 
-    return _with_states(nodes, characters, positions).groupBy("tree_id").applyInPandas(run, "tree_id long, log_likelihood double, rates array<double>")
+    return per_tree(_with_states(nodes, characters, positions), run, "tree_id long, log_likelihood double, rates array<double>")
 
 
 def simulate_characters(nodes: DataFrame, model: Model, n: int, seed: int = 0) -> DataFrame:
@@ -427,5 +430,5 @@ def simulate_characters(nodes: DataFrame, model: Model, n: int, seed: int = 0) -
         tip = rows["is_tip"].to_numpy()
         return pd.DataFrame({"tree_id": tree, "label": rows["label"][tip], "states": [(1 << s).tolist() for s in state[tip]]})
 
-    return nodes.select("tree_id", "node_id", "parent_id", "pre", "branch_length", "is_tip", "label").groupBy("tree_id").applyInPandas(run, "tree_id long, label string, states array<int>")
+    return per_tree(nodes.select("tree_id", "node_id", "parent_id", "pre", "branch_length", "is_tip", "label"), run, "tree_id long, label string, states array<int>")
 

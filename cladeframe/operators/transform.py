@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from cladeframe.operators.components import _checkpoint
 from cladeframe.operators.forest import extreme_branch, inside, mrca, relaxed_outgroup, tips, unrooted_branches
-from cladeframe.schema import RAW_COLUMNS, index_forest
+from cladeframe.schema import RAW_COLUMNS, index_forest, per_tree
 
 LENGTH = "branch_length"
 
@@ -236,6 +236,7 @@ def keep_tips(nodes: DataFrame, kept: DataFrame) -> DataFrame:
 
 def drop_tips(nodes: DataFrame, taxa: DataFrame) -> DataFrame:
     """Trees without the named tips; a tree of nothing else disappears."""
+    nodes = _checkpoint(nodes)
     keys = [k for k in ("tree_id", "label") if k in taxa.columns]
     return keep_tips(nodes, tips(nodes).join(taxa, keys, "left_anti"))
 
@@ -268,17 +269,19 @@ def _drop_short(rows: pd.DataFrame, below: float) -> list[int]:
 def drop_tips_on_short_branches(nodes: DataFrame, below: float) -> DataFrame:
     """Trees after dropping, from left to right, each tip whose branch is then shorter than a value."""
 
+    nodes = _checkpoint(nodes)
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pre")
         gone = _drop_short(rows, below)
         return pd.DataFrame({"tree_id": [rows["tree_id"].iloc[0]] * len(gone), "node_id": gone})
 
-    gone = nodes.select("tree_id", "node_id", "parent_id", "branch_length", "is_tip", "pre").groupBy("tree_id").applyInPandas(run, "tree_id long, node_id int")
+    gone = _checkpoint(per_tree(nodes.select("tree_id", "node_id", "parent_id", "branch_length", "is_tip", "pre"), run, "tree_id long, node_id int"))
     return keep_tips(nodes, tips(nodes).join(gone, ["tree_id", "node_id"], "left_anti"))
 
 
 def prune_clade(nodes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(what is left, the clades): each tree cut above a node (tree_id, node_id)."""
+    nodes = _checkpoint(nodes)
     t = targets.select("tree_id", "node_id")
     top = nodes.join(t, ["tree_id", "node_id"], "left_semi").alias("a")
     below = nodes.alias("x").join(top.alias("a"), inside()).select("x.*", F.col("a.node_id").alias("cut"))

@@ -83,11 +83,8 @@ def relaxed_outgroup_root(nodes, spark, sf_dir):
     return s.splits(r).groupBy("tree_id").agg(F.count("*").alias("n_splits"))
 
 
-@query(""", t AS (SELECT n.tree_id, n.k, d FROM nodes n JOIN dist USING (tree_id, k) WHERE n.tip),
-pr AS (SELECT a.tree_id, a.k AS ka, b.k AS kb, a.d AS da, b.d AS db FROM t a JOIN t b ON a.tree_id = b.tree_id AND a.k < b.k),
-dd AS (SELECT p.tree_id, p.ka, p.kb, any_value(p.da) + any_value(p.db) - 2 * arg_max(c.d, u.a) AS x FROM pr p
-  JOIN up u ON u.tree_id = p.tree_id AND u.k = p.ka JOIN up v ON v.tree_id = p.tree_id AND v.k = p.kb AND v.a = u.a JOIN dist c ON c.tree_id = p.tree_id AND c.k = u.a GROUP BY p.tree_id, p.ka, p.kb)
-SELECT tree_id, max(x) / 2 AS depth FROM dd GROUP BY tree_id HAVING max(x) > 0""")
+@query(""", far AS (SELECT u.tree_id, u.a AS k, max(d) AS f FROM up u JOIN nodes n USING (tree_id, k) JOIN dist USING (tree_id, k) WHERE n.tip GROUP BY u.tree_id, u.a)
+SELECT x.tree_id, max(l.f + r.f - 2 * d) / 2 AS depth FROM dist x JOIN far l ON l.tree_id = x.tree_id AND l.k = 2 * x.k JOIN far r ON r.tree_id = x.tree_id AND r.k = 2 * x.k + 1 GROUP BY x.tree_id HAVING max(l.f + r.f - 2 * d) > 0""")
 def midpoint_root(nodes, spark, sf_dir):
     """Below a midpoint root the deepest tip is half the longest path away."""
     r = index_forest(t.midpoint_root(nodes))
@@ -96,12 +93,10 @@ def midpoint_root(nodes, spark, sf_dir):
 
 
 @query(""", kept AS (SELECT n.tree_id, n.k, n.label FROM nodes n WHERE tip AND NOT EXISTS (SELECT 1 FROM named x WHERE x.tree_id = n.tree_id AND x.label = n.label)),
-t AS (SELECT kept.*, d FROM kept JOIN dist USING (tree_id, k)),
-pr AS (SELECT a.tree_id, a.label, a.k AS ka, b.k AS kb, a.d AS da, b.d AS db FROM t a JOIN t b ON a.tree_id = b.tree_id AND a.k <> b.k),
-meet AS (SELECT p.tree_id, p.label, p.ka, p.kb, any_value(p.da) + any_value(p.db) - 2 * arg_max(c.d, u.a) AS dd
-  FROM pr p JOIN up u ON u.tree_id = p.tree_id AND u.k = p.ka JOIN up v ON v.tree_id = p.tree_id AND v.k = p.kb AND v.a = u.a
-  JOIN dist c ON c.tree_id = p.tree_id AND c.k = u.a GROUP BY p.tree_id, p.label, p.ka, p.kb)
-SELECT t.tree_id, t.label, coalesce(sum(dd), 0.0) AS distance_sum FROM t LEFT JOIN meet m ON m.tree_id = t.tree_id AND m.ka = t.k GROUP BY t.tree_id, t.label""")
+t AS (SELECT kept.*, d, count(*) OVER w AS n, sum(d) OVER w AS s FROM kept JOIN dist USING (tree_id, k) WINDOW w AS (PARTITION BY kept.tree_id)),
+held AS (SELECT u.tree_id, u.a AS k, count(*) AS n FROM kept JOIN up u USING (tree_id, k) GROUP BY u.tree_id, u.a),
+shared AS (SELECT t.tree_id, t.k, sum(e.len * b.n) AS x FROM t JOIN up u USING (tree_id, k) JOIN nodes e ON e.tree_id = u.tree_id AND e.k = u.a JOIN held b ON b.tree_id = u.tree_id AND b.k = u.a GROUP BY t.tree_id, t.k)
+SELECT t.tree_id, t.label, t.n * t.d + t.s - 2 * x AS distance_sum FROM t JOIN shared USING (tree_id, k)""")
 def drop_tips(nodes, spark, sf_dir):
     """Distances between the tips that stay don't change."""
     return f.patristic_sum(index_forest(t.drop_tips(nodes, named_tips(spark, sf_dir))))
@@ -139,15 +134,14 @@ def split_tree(nodes, spark, sf_dir):
     return parts.where("is_tip").groupBy("source", "part").agg(F.count("*").alias("n_tips"))
 
 
-@query(""", tipd AS (SELECT u.tree_id, u.a AS k, avg(x.d) AS dd FROM up u JOIN nodes n ON n.tree_id = u.tree_id AND n.k = u.k AND n.tip JOIN dist x ON x.tree_id = u.tree_id AND x.k = u.k GROUP BY u.tree_id, u.a),
-mp AS (SELECT t.tree_id, t.k, dd - d AS mean_path FROM tipd t JOIN dist USING (tree_id, k)),
-rr AS (SELECT tree_id, mean_path / 100 AS r FROM mp WHERE k = 1 AND mean_path > 0)
-SELECT mp.tree_id, mp.k AS node_id, round(mean_path, 6) AS mean_path, round(mean_path / r, 6) AS age FROM mp JOIN rr USING (tree_id)""")
+@query(""", mp AS (SELECT u.tree_id, u.a AS k, avg(x.d - y.d) AS mean_path FROM up u JOIN nodes n ON n.tree_id = u.tree_id AND n.k = u.k AND n.tip JOIN dist x ON x.tree_id = u.tree_id AND x.k = u.k JOIN dist y ON y.tree_id = u.tree_id AND y.k = u.a GROUP BY u.tree_id, u.a),
+rr AS (SELECT tree_id, mean_path / 100.0 AS r FROM mp WHERE k = 1 AND mean_path > 0)
+SELECT mp.tree_id, mp.k AS node_id, mean_path, mean_path / r AS age FROM mp JOIN rr USING (tree_id)""")
 def mean_path_ages(nodes, spark, sf_dir):
     """Ages with every root put at 100."""
     root = nodes.where("parent_id IS NULL").select("tree_id", "node_id", F.lit(100.0).alias("age"))
     r = t.mean_path_ages(nodes, root)
-    return whole(r.select("tree_id", "node_id", F.round("mean_path", 6).alias("mean_path"), F.round("age", 6).alias("age")), "node_id")
+    return whole(r.select("tree_id", "node_id", "mean_path", "age"), "node_id")
 
 
 @query("""SELECT tree_id, count(*) FILTER (tip) AS n_tips, count(*) AS n_nodes, sum(len) AS tree_length FROM nodes GROUP BY tree_id""")

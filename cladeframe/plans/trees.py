@@ -74,12 +74,9 @@ def tip_root_distance(nodes, spark, sf_dir):
     return whole(f.tip_root_distance(nodes), "nodes_between")
 
 
-@query(""", t AS (SELECT n.tree_id, n.k, n.label, d FROM nodes n JOIN dist USING (tree_id, k) WHERE n.tip),
-pr AS (SELECT a.tree_id, a.label, a.k AS ka, b.k AS kb, a.d AS da, b.d AS db FROM t a JOIN t b ON a.tree_id = b.tree_id AND a.k <> b.k),
-meet AS (SELECT p.tree_id, p.label, p.ka, p.kb, any_value(p.da) + any_value(p.db) - 2 * arg_max(c.d, u.a) AS dd
-  FROM pr p JOIN up u ON u.tree_id = p.tree_id AND u.k = p.ka JOIN up v ON v.tree_id = p.tree_id AND v.k = p.kb AND v.a = u.a
-  JOIN dist c ON c.tree_id = p.tree_id AND c.k = u.a GROUP BY p.tree_id, p.label, p.ka, p.kb)
-SELECT t.tree_id, t.label, coalesce(sum(dd), 0.0) AS distance_sum FROM t LEFT JOIN meet m ON m.tree_id = t.tree_id AND m.ka = t.k GROUP BY t.tree_id, t.label""")
+@query(""", t AS (SELECT n.tree_id, n.k, n.label, d, count(*) OVER w AS n, sum(d) OVER w AS s FROM nodes n JOIN dist USING (tree_id, k) WHERE n.tip WINDOW w AS (PARTITION BY n.tree_id)),
+shared AS (SELECT t.tree_id, t.k, sum(e.len * b.n) AS x FROM t JOIN up u USING (tree_id, k) JOIN nodes e ON e.tree_id = u.tree_id AND e.k = u.a JOIN below b ON b.tree_id = u.tree_id AND b.k = u.a GROUP BY t.tree_id, t.k)
+SELECT t.tree_id, t.label, t.n * t.d + t.s - 2 * x AS distance_sum FROM t JOIN shared USING (tree_id, k)""")
 def patristic_sum(nodes, spark, sf_dir):
     return f.patristic_sum(nodes)
 

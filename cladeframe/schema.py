@@ -8,7 +8,7 @@ branch_length) and ``index_forest`` derives the other columns again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -83,6 +83,33 @@ def index_forest(raw: DataFrame) -> DataFrame:
     return rows.repartition("tree_id").sortWithinPartitions("tree_id").mapInPandas(_index, NODES)
 
 
+def per_tree(nodes: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "tree_id", order: str | None = "pre") -> DataFrame:
+    """``function`` on the rows of each tree: like a grouped map, but a task's trees share its Arrow batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def done(rows: pd.DataFrame) -> pd.DataFrame | None:
+            keys = rows[key].to_numpy()
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            made = [function(rows.iloc[a:b].reset_index(drop=True)) for a, b in zip(edges, edges[1:], strict=False)]
+            made = [m for m in made if len(m)]
+            return pd.concat(made, ignore_index=True) if made else None
+
+        for rows in batches:
+            if not len(rows):
+                continue
+            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            last = rows[key].to_numpy() == rows[key].iloc[-1]
+            held = rows[last].reset_index(drop=True)
+            if not last.all() and (out := done(rows[~last].reset_index(drop=True))) is not None:
+                yield out
+        if held is not None and (out := done(held)) is not None:
+            yield out
+
+    return nodes.repartition(key).sortWithinPartitions(key, *([order] if order else [])).mapInPandas(run, schema)
+
+
 def heap_forest(rows: DataFrame) -> DataFrame:
     """Raw nodes of a complete binary tree for each ``tree_id`` of a plain table.
 

@@ -50,7 +50,7 @@ def characters_as_text(characters: DataFrame, alphabet: str | dict[str, int] = "
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select("value")
+    return spark.read.text(path, wholetext=True).select("value")
 
 
 def _lines(function, schema: str, columns: list[str], files: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def read_distances(spark: SparkSession, path: str, labels: bool = True) -> DataF
             names += [str(len(lines) + 1)] if values and len(values[-1]) == 1 else []
         return [[names[k], names[k + 1 + m], float(v)] for k, row in enumerate(values) for m, v in enumerate(row) if k + 1 + m < len(names)]
 
-    files = spark.read.option("wholetext", True).text(path).select(F.xxhash64(F.input_file_name()).alias("matrix_id"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.xxhash64(F.input_file_name()).alias("matrix_id"), "value")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

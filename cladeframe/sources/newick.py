@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.schema import RAW, RAW_COLUMNS
+from cladeframe.schema import RAW, RAW_COLUMNS, per_tree
 
 #: One token: quoted name, comment, punctuation, or a bare name.
 _TOKEN = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|\[(?:[^\[\]]|\[[^\[\]]*\])*\]|[(),:;]|[^\s()\[\],:;'\"]+")
@@ -165,14 +165,14 @@ def _nexus(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_nexus(spark: SparkSession, path: str) -> DataFrame:
     """Raw nodes (and ann, title) of the trees blocks; a file is read whole, files in parallel."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     rows = files.mapInPandas(_nexus, f"path string, ordinal long, title string, {RAW.split(', ', 1)[1]}, ann map<string,string>")
     return rows.withColumn("tree_id", F.xxhash64("path", "ordinal")).select(*RAW_COLUMNS, "ann", "title", "path", "ordinal")
 
 
 def read_node_ages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(sets, ages) of private blocks: mrca commands name sets of taxa, fixage gives a set's age."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -227,9 +227,9 @@ def to_newick(nodes: DataFrame, lengths: bool = True, inner_labels: bool = True)
     """(tree_id, newick): one line of text per tree."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"tree_id": [rows["tree_id"].iloc[0]], "newick": [write_tree(rows.sort_values("pre"), lengths, inner_labels)]})
+        return pd.DataFrame({"tree_id": [rows["tree_id"].iloc[0]], "newick": [write_tree(rows, lengths, inner_labels)]})
 
-    return nodes.select("tree_id", "pre", "depth", "label", "branch_length", "is_tip").groupBy("tree_id").applyInPandas(run, "tree_id long, newick string")
+    return per_tree(nodes.select("tree_id", "pre", "depth", "label", "branch_length", "is_tip"), run, "tree_id long, newick string")
 
 
 def write_newick(nodes: DataFrame, path: str, **options) -> None:
