@@ -170,17 +170,16 @@ def read_nexus(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("tree_id", F.xxhash64("path", "ordinal")).select(*RAW_COLUMNS, "ann", "title", "path", "ordinal")
 
 
-def read_node_ages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(sets, ages) of private blocks: mrca commands name sets of taxa, fixage gives a set's age."""
+def read_node_ages(spark: SparkSession, path: str, block: str = "calibration") -> tuple[DataFrame, DataFrame]:
+    """(sets, ages) of a private block: mrca commands name sets of taxa, fixage gives a set's age."""
     files = spark.read.text(path, wholetext=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for text in batch["value"]:
-                block = re.search(r"begin\s+phylommand\s*;", text, re.I)
                 sets: dict[str, list[str]] = {}
-                for command, rest in nexus_commands(text, "phylommand") if block else []:
+                for command, rest in nexus_commands(text, block):
                     if command in ("mrca", "taxset") and "=" in rest:
                         name, members = rest.split("=", 1)
                         sets[name.strip()] = [t for m in members.split() for t in sets.get(m, [m])]

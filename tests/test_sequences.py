@@ -158,7 +158,7 @@ def test_tree_files(spark, tmp_path):
     (tmp_path / "t.tree").write_text("((a:1,b:1):1,c:2);\n(a,\n(b,c));\n")
     t = index_forest(newick.read_newick(spark, str(tmp_path / "t.tree"))).cache()
     assert [r["newick"] for r in newick.to_newick(t, lengths=False).orderBy("tree_id").collect()] == ["((a,b),c);", "(a,(b,c));"]
-    (tmp_path / "t.nex").write_text("#NEXUS\nbegin trees;\ntranslate 1 alpha, 2 'be ta', 3 c;\ntree x = [&R] ((1:1,2:1)[&p=0.9]:1,3:2);\nend;\nbegin phylommand;\nmrca root = alpha c;\nfixage taxon=root age=12.5;\nend;\n")
+    (tmp_path / "t.nex").write_text("#NEXUS\nbegin trees;\ntranslate 1 alpha, 2 'be ta', 3 c;\ntree x = [&R] ((1:1,2:1)[&p=0.9]:1,3:2);\nend;\nbegin calibration;\nmrca root = alpha c;\nfixage taxon=root age=12.5;\nend;\n")
     n = newick.read_nexus(spark, str(tmp_path / "t.nex"))
     assert {r["label"] for r in n.where("label IS NOT NULL").collect()} == {"alpha", "be ta", "c"}
     assert [r["ann"] for r in n.where("ann IS NOT NULL AND ann['p'] IS NOT NULL").collect()] == [{"p": "0.9"}]
