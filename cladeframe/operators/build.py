@@ -71,6 +71,7 @@ def fitch(nodes: DataFrame, characters: DataFrame) -> DataFrame:
     without a row, and empty sets, can be anything.  Every level is one join of the
     level below with itself by parent, so all trees and all characters go at once.
     """
+    nodes = _checkpoint(nodes)
     keys = [k for k in ("tree_id", "label") if k in characters.columns]
     width = characters.select(F.max(F.size("states"))).first()[0] or 0
     free = F.array_repeat(F.lit(-1), width)
@@ -237,6 +238,36 @@ def hill_climb(start: DataFrame, characters: DataFrame, rounds: int = 20, keep:
     return now.withColumn("score", F.lit(best))
 
 
+def improve(start: DataFrame, characters: DataFrame, rounds: int = 10) -> DataFrame:
+    """(tree_id, round, score): many searches side by side, each moving to its best neighbour while that is better.
+
+    ``characters`` has a tree_id: each tree is scored on its own matrix.
+    """
+    from cladeframe.operators.transform import nearest_neighbours
+    from cladeframe.schema import index_forest
+
+    now = _checkpoint(start)
+    chars = _checkpoint(characters.select("tree_id", "label", "states"))
+    best = _checkpoint(fitch_score(now, chars).withColumn("round", F.lit(0)))
+    log = best
+    for step in range(1, rounds + 1):
+        near = nearest_neighbours(now).withColumn("source", F.col("tree_id")).withColumn("tree_id", F.xxhash64("source", "alt"))
+        owner = _checkpoint(near.select("tree_id", "source").distinct())
+        near = _checkpoint(index_forest(near))
+        own = owner.join(chars.withColumnRenamed("tree_id", "source"), "source").select("tree_id", "label", "states")
+        score = fitch_score(near, own).join(owner, "tree_id")
+        top = score.groupBy("source").agg(F.min_by(F.struct("tree_id", "score"), F.struct("score", "tree_id")).alias("b")).select("source", "b.*")
+        last = best.select(F.col("tree_id").alias("source"), F.col("score").alias("had"))
+        better = _checkpoint(top.join(last, "source").where("score < had"))
+        if better.isEmpty():
+            break
+        moved = near.join(better.select("tree_id", "source"), "tree_id").drop("tree_id").withColumnRenamed("source", "tree_id")
+        now = _checkpoint(moved.select(start.columns))
+        best = _checkpoint(better.select(F.col("source").alias("tree_id"), "score", F.lit(step).alias("round")))
+        log = log.unionByName(best)
+    return log.select("tree_id", "round", "score")
+
+
 # Likelihood.
 
 

@@ -331,11 +331,20 @@ def nearest_neighbours(nodes: DataFrame, branch: int | None = None) -> DataFrame
     return n.select("tree_id", "alt", "node_id", parent.alias("parent_id"), order.alias("child_ord"), "label", LENGTH)
 
 
-def split_trees(nodes: DataFrame, pieces: int, by: str = "longest", choose: str = "tips") -> DataFrame:
+def random_neighbour(nodes: DataFrame, seed: int = 0) -> DataFrame:
+    """Raw trees one interchange away, for each tree one of its alternatives by a hash of (seed, tree)."""
+    near = _checkpoint(nearest_neighbours(nodes))
+    alts = near.select("tree_id", "alt").distinct()
+    pick = alts.groupBy("tree_id").agg(F.min_by("alt", F.xxhash64(F.lit(seed), "tree_id", "alt")).alias("alt"))
+    return near.join(pick, ["tree_id", "alt"], "left_semi").select(RAW_COLUMNS)
+
+
+def split_trees(nodes: DataFrame, pieces: int, by: str = "longest", choose: str = "tips", stop_tips: int = 1) -> DataFrame:
     """Each tree cut again and again into ``pieces`` parts; (source, tree_id, raw columns ...).
 
     A cut is at the longest branch or at the midpoint (``by``) of the part with most
-    tips or with the longest branch (``choose``).  Parts that can't be cut stay.
+    tips or with the longest branch (``choose``).  Parts of ``stop_tips`` tips or
+    fewer, and those that can't be cut, stay.
     """
     part = _checkpoint(nodes.select(F.col("tree_id").alias("source"), F.lit(0).alias("part"), *[c for c in nodes.columns if c != "tree_id"]))
     key = F.xxhash64("source", "part").alias("tree_id")
@@ -343,6 +352,8 @@ def split_trees(nodes: DataFrame, pieces: int, by: str = "longest", choose: str
         now = part.select("source", "part", key, *[c for c in nodes.columns if c != "tree_id"])
         names = now.select("tree_id", "source", "part").distinct()
         flat = now.drop("source", "part")
+        many = flat.groupBy("tree_id").agg(F.max("n_tips").alias("n")).where(F.col("n") > stop_tips).select("tree_id")
+        flat = flat.join(many, "tree_id", "left_semi")
         cut = (midpoints(flat) if by == "midpoint" else extreme_branch(flat)).select("tree_id", "node_id")
         rank = flat.groupBy("tree_id").agg((F.max("n_tips").cast("double") if choose == "tips" else F.max(F.when(F.col("parent_id").isNotNull(), F.col(LENGTH)))).alias("rank"))
         best = _checkpoint(names.join(rank, "tree_id").join(cut, "tree_id").groupBy("source").agg(F.max_by(F.struct("tree_id", "node_id"), F.struct("rank", -F.col("part"))).alias("b")).select("b.*"))

@@ -180,9 +180,9 @@ def nation_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stepwise(spark, sf_dir):
-    small = nation_characters(spark, sf_dir)
-    few = small.groupBy("matrix_id").agg(F.count("*").alias("n")).where("n BETWEEN 3 AND 12").select("matrix_id")
-    return index_forest(build.stepwise_addition(small.join(few, "matrix_id", "left_semi"), replicates=2))
+    chars = nation_characters(spark, sf_dir)
+    few = chars.groupBy("matrix_id").agg(F.count("*").alias("n")).where("n >= 3").select("matrix_id")
+    return index_forest(build.stepwise_addition(chars.join(few, "matrix_id", "left_semi"), replicates=2))
 
 
 @query()
@@ -288,3 +288,33 @@ def newick_roundtrip(spark, sf_dir):
 
     text = newick.to_newick(order_forest(spark, sf_dir))
     return f.tip_count(index_forest(newick.parse(text)))
+
+
+@query()
+def parsimony_search(spark, sf_dir):
+    """Hill climbing by interchanges from a stepwise tree of each nation's suppliers, all nations at once."""
+    chars = nation_characters(spark, sf_dir)
+    few = chars.groupBy("matrix_id").agg(F.count("*").alias("n")).where("n >= 4").select("matrix_id")
+    chars = _checkpoint(chars.join(few, "matrix_id", "left_semi"))
+    start = index_forest(build.stepwise_addition(chars))
+    by_tree = chars.select(F.col("matrix_id").alias("tree_id"), "label", "states")
+    return build.improve(start, by_tree, rounds=3)
+
+
+@query()
+def alignable_groups(spark, sf_dir):
+    """Each nation's suppliers halved until their distances are alike."""
+    s = supplier_sequences(spark, sf_dir).withColumn("states", fn.encode(F.col("sequence"))).select("seq_id", F.col("nation").alias("grp"), "states")
+    s = _checkpoint(s)
+    d = q.distances(q.sequence_pairs(s, ["grp"]))
+    d = d.withColumn("jc", F.least("jc", F.lit(3.0))).withColumn("jc_minus_p", F.least("jc_minus_p", F.lit(2.0)))
+    return q.alignable_groups(s, d, limit=0.2, rounds=2)
+
+
+@query("SELECT tree_id, count(*) FILTER (tip) AS n_names FROM nodes GROUP BY tree_id", NODES_SQL)
+def svg_trees(spark, sf_dir):
+    """Drawn trees have a name for each tip."""
+    from cladeframe.sources import newick
+
+    svg = newick.to_svg(_checkpoint(order_forest(spark, sf_dir)))
+    return svg.select("tree_id", (F.size(F.split("svg", "<text")) - 1).cast("long").alias("n_names"))

@@ -113,6 +113,18 @@ def nni(nodes, spark, sf_dir):
     return t.nearest_neighbours(nodes).groupBy("tree_id").agg(F.countDistinct("alt").alias("n_alternatives"))
 
 
+@query("SELECT a AS tree_id, CAST(2 AS BIGINT) AS rf FROM (SELECT tree_id AS a FROM m WHERE m > 3)")
+def random_nni(nodes, spark, sf_dir):
+    """A tree and its random neighbour differ in one split on either side."""
+    from cladeframe.operators.components import _checkpoint
+
+    base = _checkpoint(nodes)
+    near = index_forest(t.random_neighbour(base, seed=7)).withColumn("tree_id", -F.col("tree_id") - 1)
+    pairs = base.select("tree_id").distinct().select(F.col("tree_id").alias("a"), (-F.col("tree_id") - 1).alias("b"))
+    r = s.robinson_foulds(base.unionByName(near), pairs, same_tips=True).where("n_shared > 3")
+    return r.select(F.col("a").alias("tree_id"), F.col("rf").cast("long").alias("rf"))
+
+
 @query(""", x AS (SELECT n.tree_id, arg_max(n.k, (n.len, -depth, -rank)) AS k FROM (SELECT n.*, depth, row_number() OVER (PARTITION BY n.tree_id ORDER BY substr(bin(k), 2)) AS rank FROM nodes n JOIN dist USING (tree_id, k)) n WHERE n.k > 1 GROUP BY n.tree_id)
 SELECT x.tree_id, b.n AS clade_tips, m - b.n AS rest_tips FROM x JOIN below b USING (tree_id, k) JOIN m USING (tree_id)""")
 def prune_longest(nodes, spark, sf_dir):

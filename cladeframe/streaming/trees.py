@@ -54,9 +54,3 @@ def running_support(trees: DataFrame) -> DataFrame:
 def stream_nodes(trees: DataFrame) -> DataFrame:
     """Raw node rows of arriving trees, in append mode."""
     return parse(trees)
-
-
-def windowed_counts(events: DataFrame, time: str = "ts", by: str = "event_type", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """(window_start, key, n, total) of an event stream in tumbling windows; later rows than ``late`` are dropped."""
-    w = events.withWatermark(time, late).groupBy(F.window(time, width), F.col(by).alias("key"))
-    return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "key", "n", "total")

@@ -181,9 +181,3 @@ def test_stream_of_trees(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted((r["size"], r["n"]) for r in spark.table("support").collect()) == [(2, 1), (2, 1), (2, 2), (2, 4)]
-
-
-def test_windowed_counts(spark):
-    events = spark.createDataFrame([("2024-01-01 00:10:00", "x", 1.0), ("2024-01-01 00:50:00", "x", 2.0), ("2024-01-01 01:10:00", "y", 3.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
-    got = {(r["key"], r["n"], r["total"]) for r in streams.windowed_counts(events).collect()}
-    assert got == {("x", 2, 3.0), ("y", 1, 3.0)}

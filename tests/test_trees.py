@@ -313,6 +313,18 @@ def test_parsimony(spark):
     start = {r["tree_id"]: r["score"] for r in build.fitch_score(step, chars).collect()}
     climbed = build.hill_climb(step, chars, rounds=3)
     assert climbed.first()["score"] <= min(start.values())
+    own = step.select("tree_id").distinct().join(chars).select("tree_id", "label", "states")
+    log = build.improve(step, own, rounds=3).collect()
+    best = {t: min(r["score"] for r in log if r["tree_id"] == t) for t in start}
+    assert {r["tree_id"]: r["score"] for r in log if r["round"] == 0} == start
+    # an exhaustive look at the neighbours of the first tree agrees
+    one = step.where(f"tree_id = {min(start)}")
+    near = transform.nearest_neighbours(one)
+    near = index_forest(near.withColumn("tree_id", near["alt"].cast("long")))
+    least = min(r["score"] for r in build.fitch_score(near, chars).collect())
+    first = [r["score"] for r in log if r["tree_id"] == min(start) and r["round"] == 1]
+    assert first == ([least] if least < start[min(start)] else [])
+    assert all(best[t] <= start[t] for t in start)
 
 
 def test_likelihood(spark):
