@@ -14,7 +14,8 @@ are aggregated before their shuffle, and the joins that return a group's row to
 its members are ordinary joins whose hot side Spark may split.
 
 Defined cases: null text counts as empty; empty texts and texts of white space
-only are one group.  Rows that repeat a doc_id count as rows.  Ties in length
+only are one group.  Rows that repeat a doc_id count as rows; all rows with the kept id are
+marked as kept, unless a row key tells them apart.  Ties in length
 go to the smaller doc_id (a null doc_id last).  Extra columns are not read.
 """
 
@@ -130,26 +131,32 @@ def repeated_fingerprints(fps: DataFrame) -> DataFrame:
     return built.repartition("part").sortWithinPartitions("part").mapInArrow(_repeated, "fp long, n long")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of texts with equal bytes after normalisation, the row with the most code
     points stays, of those the one with the smallest doc_id.
+
+    ``key_col``: a column of longs from 0 that no two rows share.  It comes back as
+    row_key, and exactly one row of each group is kept, whatever the doc_ids:
+    further ties go to the smaller key.
     """
+    key = ["row_key"] if key_col else []
     text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), normalised(text).alias("norm"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(key_col).cast("long").alias(k) for k in key], text.alias("text"), normalised(text).alias("norm"))
     print_of = F.xxhash64("norm")
     facts = cut(
-        base.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("points"), print_of.alias("fp"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.octet_length("norm").alias("bytes")),
+        base.select("doc_id", *key, F.coalesce(F.length("text"), F.lit(0)).alias("points"), print_of.alias("fp"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.octet_length("norm").alias("bytes")),
         "prints",
     )
     again = cut(repeated_fingerprints(facts.select("fp")), "repeated")
     routed = facts.join(again.select("fp"), "fp", "left_semi")
     # Verification on the bytes: their number and a 256-bit digest over all of them must agree.
-    order = F.struct("points", F.coalesce(-F.col("doc_id"), F.lit(-(2**63) + 1)).alias("low"))
+    order = F.struct("points", F.coalesce(-F.col("doc_id"), F.lit(-(2**63) + 1)).alias("low"), *[(-F.col(k)).alias("key") for k in key])
     groups = cut(routed.groupBy("fp", "text_sha256", "bytes").agg(F.max(order).alias("best"), F.count("*").alias("group_size")), "groups")
-    groups = groups.select("fp", "text_sha256", "bytes", F.when(F.col("best.low") > -(2**63) + 1, -F.col("best.low")).alias("keep_id"), "group_size")
+    groups = groups.select("fp", "text_sha256", "bytes", F.when(F.col("best.low") > -(2**63) + 1, -F.col("best.low")).alias("keep_id"), "group_size", *[(-F.col("best.key")).alias("keep_key") for _ in key])
     out = facts.join(groups, ["fp", "text_sha256", "bytes"], "left")
     size = F.coalesce("group_size", F.lit(1)).cast("long")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    kept = F.coalesce(F.col("row_key") == F.col("keep_key"), F.lit(True)) if key else F.col("doc_id").eqNullSafe(keep)
+    return out.select("doc_id", *key, keep.alias("keep_id"), size.alias("group_size"), kept.alias("kept"), "text_sha256")

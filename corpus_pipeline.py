@@ -3,11 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept;
 between stages the rows are written as Parquet to the shared folder and read again.
 All stages but the last return the columns of ``documents``.
+
+A doc_id may be null or repeated.  The stages that drop copies write their input
+with a key of its own for each row and decide by that key: exactly one row of each
+group stays, the one with the smallest doc_id among equals (a null one last).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cladeframe.llm.common import cut, table
 from cladeframe.llm.exact_dedup import exact_duplicates
@@ -24,16 +29,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_column(docs, model).where("score < 0.5").select(*columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a row_key that no two share; written, so that it stays the same wherever it is read."""
+    return cut(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The longest row of each group of equal texts."""
-    kept = exact_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows = keyed(docs)
+    kept = exact_duplicates(rows, key_col="row_key").where("kept").select("row_key")
+    return rows.join(kept, "row_key", "left_semi").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: five-word shingles, similarity of 0.8 or more."""
-    kept = near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows = keyed(docs)
+    group = near_duplicates(rows, width=5, percent=80, id_col="row_key").select(F.col("doc_id").alias("row_key"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key"))
+    kept = rows.select("row_key", "doc_id").join(group, "row_key").groupBy("component_id").agg(first.alias("first")).select("first.row_key")
+    return rows.join(kept, "row_key", "left_semi").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,6 +37,38 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in pieces} == seen[2]
 
 
+def test_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(12)
+    prose = [" ".join("w" + str(rng.randint(0, 4000)) for _ in range(60)) for _ in range(12)]
+    near = lambda k: prose[k].rsplit(" ", 1)[0] + " changed"
+    stay = [
+        (None, prose[0]), (None, prose[1]), (2, prose[2]), (3, prose[3]), (3, prose[4]), (5, prose[5]),
+        (None, prose[6]), (7, prose[7]), (8, prose[8]), (None, None),
+    ]
+    copies = [(None, prose[1]), (2, prose[2]), (2, prose[2]), (5, prose[4]), (None, prose[7]), (None, "")]
+    alike = [(None, near(6)), (8, near(8)), (9, near(8) + " again"), (None, near(3))]
+    rows = [*stay, *copies, *alike]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    def shown(df):
+        return sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in df.collect())
+
+    want = lambda rs: sorted((i is None, i or 0, t or "") for i, t in rs)
+    unique = corpus_pipeline.drop_copies(spark, docs, str(tmp_path))
+    # prose[4] goes to the smaller id, 3; the empty texts are one group
+    assert unique.columns == docs.columns and shown(unique) == want([*stay, *alike])
+    different = shown(corpus_pipeline.drop_near_copies(spark, unique, str(tmp_path)))
+    # of (8, ...) twice, either text may stay
+    texts = {8: {prose[8], near(8), near(8) + " again"}, None: {prose[6], near(6)}}
+    assert len(different) == len(stay)
+    assert sum(t in texts[8] for _, _, t in different) == sum(t in texts[None] for _, _, t in different) == 1
+    others = lambda rs: [r for r in rs if r[2] not in texts[8] | texts[None]]
+    assert others(different) == others(want(stay))
+
+
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
