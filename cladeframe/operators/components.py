@@ -8,6 +8,8 @@ round to round; no component, link list or label ever comes to the driver.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,22 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the checkpoint folder, read back, for loops of any number of rounds.
+
+    A checkpoint keeps its plan's estimated size, a product over all joins before it: carried
+    from round to round that number grows until planning hangs. Files have a size of their own.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        import tempfile
+
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cladeframe-"))
+    path = f"{sc.getCheckpointDir()}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Rows that one partition of a shrinking edge table holds.
 PARTITION_ROWS = 100_000
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -183,20 +184,21 @@ def distance_matrix(pairs: DataFrame, value: str = "jc") -> DataFrame:
     return pairs.select(F.col("seq_id_a").alias("i"), F.col("seq_id_b").alias("j"), F.col(value).alias("d"))
 
 
-def alignable_groups(seqs: DataFrame, pairs: DataFrame, value: str = "jc_minus_p", limit: float = 0.01, rounds: int = 10) -> DataFrame:
+def alignable_groups(seqs: DataFrame, pairs: DataFrame, value: str = "jc_minus_p", limit: float = 0.01, rounds: int | None = None) -> DataFrame:
     """(seq_id, grp): sequences halved by a midpoint-rooted neighbour-joining tree until the MAD is low.
 
     ``seqs`` and ``pairs`` carry a column grp, the groups to begin with.  Each round
-    halves all groups that are too diverse, at once.
+    halves all groups that are too diverse, at once, until none of them has more than
+    two sequences or can be split; ``rounds``: stop after so many.
     """
     from cladeframe.operators.build import neighbour_joining
-    from cladeframe.operators.components import _checkpoint
+    from cladeframe.operators.components import _checkpoint, _written
     from cladeframe.operators.transform import midpoint_root
     from cladeframe.schema import index_forest
 
     now = _checkpoint(seqs.select("seq_id", F.col("grp").cast("string").alias("grp")))
     link = pairs.select("seq_id_a", "seq_id_b", F.col(value).alias("v"), F.col("jc").alias("d"))
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         a = now.select(F.col("seq_id").alias("seq_id_a"), "grp")
         b = now.select(F.col("seq_id").alias("seq_id_b"), F.col("grp").alias("grp_b"))
         inner = _checkpoint(link.join(a, "seq_id_a").join(b, "seq_id_b").where("grp = grp_b").drop("grp_b"))
@@ -208,8 +210,12 @@ def alignable_groups(seqs: DataFrame, pairs: DataFrame, value: str = "jc_minus_p
             break
         dist = inner.join(big, "grp", "left_semi").select(F.xxhash64("grp").alias("matrix_id"), F.col("seq_id_a").cast("string").alias("i"), F.col("seq_id_b").cast("string").alias("j"), "d")
         names = big.select("grp", F.xxhash64("grp").alias("tree_id"))
-        tree = index_forest(midpoint_root(index_forest(neighbour_joining(dist))))
+        joined = _checkpoint(index_forest(neighbour_joining(dist)))
+        tree = _checkpoint(index_forest(midpoint_root(joined)))
         top = tree.where("depth = 1").select("tree_id", F.col("pre").alias("lo"), F.col("last").alias("hi"), F.row_number().over(Window.partitionBy("tree_id").orderBy("pre")).alias("half"))
         side = tree.where("is_tip").join(top, "tree_id").where("pre BETWEEN lo AND hi").join(names, "tree_id").select(F.col("label").alias("seq"), "grp", "half")
-        now = _checkpoint(now.join(side, [now["seq_id"].cast("string") == side["seq"], now["grp"] == side["grp"]], "left").select("seq_id", F.when(F.col("half").isNull(), now["grp"]).otherwise(F.concat_ws(".", now["grp"], F.col("half").cast("string"))).alias("grp")))
+        before = now.select("grp").distinct().count()
+        now = _written(now.join(side, [now["seq_id"].cast("string") == side["seq"], now["grp"] == side["grp"]], "left").select("seq_id", F.when(F.col("half").isNull(), now["grp"]).otherwise(F.concat_ws(".", now["grp"], F.col("half").cast("string"))).alias("grp")))
+        if now.select("grp").distinct().count() == before:
+            break
     return now

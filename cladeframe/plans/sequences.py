@@ -308,7 +308,7 @@ def alignable_groups(spark, sf_dir):
     s = _checkpoint(s)
     d = q.distances(q.sequence_pairs(s, ["grp"]))
     d = d.withColumn("jc", F.least("jc", F.lit(3.0))).withColumn("jc_minus_p", F.least("jc_minus_p", F.lit(2.0)))
-    return q.alignable_groups(s, d, limit=0.2, rounds=2)
+    return q.alignable_groups(s, d, limit=0.2)
 
 
 @query("SELECT tree_id, count(*) FILTER (tip) AS n_names FROM nodes GROUP BY tree_id", NODES_SQL)

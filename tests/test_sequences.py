@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cladeframe.functions import sequences as fn
 from cladeframe.operators import sequences as q
 from cladeframe.operators.components import connected_components
+from cladeframe.plans import sequences as plans
 from cladeframe.schema import index_forest
 from cladeframe.sources import matrices, newick
 from cladeframe.streaming import trees as streams
@@ -127,6 +128,36 @@ def test_alignable_groups(spark):
     assert set(dict(q.alignable_groups(seqs, d, limit=9.0).collect()).values()) == {"1"}
 
 
+def test_alignable_groups_until_none_can_be_split(spark, monkeypatch):
+    """Sequence i agrees with each later one in a share of its sites: every halving takes off one or a few."""
+    rng = random.Random(4)
+    base = [rng.choice("ACGT") for _ in range(600)]
+    rows = []
+    for i, share in enumerate(0.03 * 1.5**k for k in range(8)):
+        s = [b if k < share * 600 else rng.choice("ACGT") for k, b in enumerate(base)]
+        rows.append((i, "R;N", "R", "N", "".join(s)))
+    monkeypatch.setattr(plans, "supplier_sequences", lambda spark, sf_dir: spark.createDataFrame(rows, "seq_id long, taxonomy string, region string, nation string, sequence string"))
+    got = dict(plans.alignable_groups(spark, "").select("seq_id", "grp").collect())
+    assert sorted(got) == list(range(8))
+    text = {r[0]: r[4] for r in rows}
+
+    def mad(ids):
+        bins = []
+        for a in ids:
+            for b in ids:
+                if a < b:
+                    p = sum(x != y for x, y in zip(text[a], text[b], strict=True)) / 600
+                    bins.append(min(1999, int(1000 * min(2, -0.75 * np.log(1 - p * 4 / 3) - p if p < 0.75 else 2))))
+        middle = lambda v: sorted(v)[(len(v) + 1) // 2 - 1]
+        return 1.4826 / 1000 * middle([abs(x - middle(bins)) for x in bins])
+
+    groups = {}
+    for i, g in got.items():
+        groups.setdefault(g, []).append(i)
+    assert all(len(ids) <= 2 or mad(ids) < 0.2 for ids in groups.values())
+    assert max(g.count(".") for g in groups) > 2
+
+
 def test_files(spark, tmp_path):
     p = lambda name, text: ((tmp_path / name).write_text(text), str(tmp_path / name))[1]
     fasta = p("x.fst", ">one | F; G\nACGT\nNN\n>two\nac-t\n>\nA\n>last|F\n")
