@@ -7,12 +7,14 @@ in joins, level by level.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.operators.components import _checkpoint
+from cladeframe.operators.components import _checkpoint, _written
 from cladeframe.schema import RAW, RAW_COLUMNS, per_tree
 
 
@@ -211,11 +213,12 @@ def stepwise_addition(characters: DataFrame, replicates: int = 1, seed: int = 0)
     return characters.select("matrix_id", "label", "states").join(reps, "matrix_id").groupBy("matrix_id", "rep").applyInPandas(run, RAW)
 
 
-def hill_climb(start: DataFrame, characters: DataFrame, rounds: int = 20, keep: int = 100) -> DataFrame:
+def hill_climb(start: DataFrame, characters: DataFrame, rounds: int | None = None, keep: int = 100) -> DataFrame:
     """Node tables of the equally best trees that interchanges lead to from ``start``: tree_id and score.
 
     Each round makes all neighbours of the kept trees, scores them at once, and keeps
-    those of least score (``keep`` at most, one of each topology) until none is better.
+    those of least score (``keep`` at most, one of each topology) until none is better; ``rounds``: stop after
+    so many.
     """
     from cladeframe.operators.splits import splits
     from cladeframe.operators.transform import nearest_neighbours
@@ -223,7 +226,7 @@ def hill_climb(start: DataFrame, characters: DataFrame, rounds: int = 20, keep:
 
     now = _checkpoint(start)
     best = fitch_score(now, characters).agg(F.min("score")).first()[0]
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         near = nearest_neighbours(now).withColumn("source", F.col("tree_id")).withColumn("tree_id", F.xxhash64("tree_id", "alt"))
         near = _checkpoint(index_forest(near))
         score = fitch_score(near, characters).where(F.col("score") < best)
@@ -234,14 +237,15 @@ def hill_climb(start: DataFrame, characters: DataFrame, rounds: int = 20, keep:
             break
         best = least
         chosen = found.where(F.col("score") == least).groupBy("shape").agg(F.min("tree_id").alias("tree_id")).orderBy("tree_id").limit(keep)
-        now = _checkpoint(near.join(F.broadcast(chosen.select("tree_id")), "tree_id", "left_semi"))
+        now = _written(near.join(F.broadcast(chosen.select("tree_id")), "tree_id", "left_semi"))
     return now.withColumn("score", F.lit(best))
 
 
-def improve(start: DataFrame, characters: DataFrame, rounds: int = 10) -> DataFrame:
+def improve(start: DataFrame, characters: DataFrame, rounds: int | None = None) -> DataFrame:
     """(tree_id, round, score): many searches side by side, each moving to its best neighbour while that is better.
 
-    ``characters`` has a tree_id: each tree is scored on its own matrix.
+    ``characters`` has a tree_id: each tree is scored on its own matrix.  Scores are
+    whole numbers that fall each round, so every search ends; ``rounds``: stop after so many.
     """
     from cladeframe.operators.transform import nearest_neighbours
     from cladeframe.schema import index_forest
@@ -250,7 +254,7 @@ def improve(start: DataFrame, characters: DataFrame, rounds: int = 10) -> DataFr
     chars = _checkpoint(characters.select("tree_id", "label", "states"))
     best = _checkpoint(fitch_score(now, chars).withColumn("round", F.lit(0)))
     log = best
-    for step in range(1, rounds + 1):
+    for step in count(1) if rounds is None else range(1, rounds + 1):
         near = nearest_neighbours(now).withColumn("source", F.col("tree_id")).withColumn("tree_id", F.xxhash64("source", "alt"))
         owner = _checkpoint(near.select("tree_id", "source").distinct())
         near = _checkpoint(index_forest(near))
@@ -262,8 +266,8 @@ def improve(start: DataFrame, characters: DataFrame, rounds: int = 10) -> DataFr
         if better.isEmpty():
             break
         moved = near.join(better.select("tree_id", "source"), "tree_id").drop("tree_id").withColumnRenamed("source", "tree_id")
-        now = _checkpoint(moved.select(start.columns))
-        best = _checkpoint(better.select(F.col("source").alias("tree_id"), "score", F.lit(step).alias("round")))
+        now = _written(moved.select(start.columns))
+        best = _written(better.select(F.col("source").alias("tree_id"), "score", F.lit(step).alias("round")))
         log = log.unionByName(best)
     return log.select("tree_id", "round", "score")
 

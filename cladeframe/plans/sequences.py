@@ -298,7 +298,7 @@ def parsimony_search(spark, sf_dir):
     chars = _checkpoint(chars.join(few, "matrix_id", "left_semi"))
     start = index_forest(build.stepwise_addition(chars))
     by_tree = chars.select(F.col("matrix_id").alias("tree_id"), "label", "states")
-    return build.improve(start, by_tree, rounds=3)
+    return build.improve(start, by_tree)
 
 
 @query()

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from cladeframe.operators import build, clusters, forest, generate, splits, transform
+from cladeframe.plans import sequences as plans
 from cladeframe.schema import RAW, index_forest
 from cladeframe.sources import newick
 
@@ -298,6 +299,22 @@ def brute_parsimony(tree, states):
     return total
 
 
+def test_parsimony_search_ends_by_itself(spark, monkeypatch):
+    """Each site parts the first k suppliers from the others; the start has the first one at the far end."""
+    n = 8
+    rows = [(i, "", "", "N", "".join("A" if i < k else "C" for k in range(1, n))) for i in range(n)]
+    start = "1"
+    for i in [*range(2, n), 0]:
+        start = f"({start},{i})"
+    tree = newick.parse(spark.createDataFrame([(1, start + ";")], "tree_id long, newick string"))
+    monkeypatch.setattr(plans, "supplier_sequences", lambda spark, sf_dir: spark.createDataFrame(rows, "seq_id long, taxonomy string, region string, nation string, sequence string"))
+    monkeypatch.setattr(plans.build, "stepwise_addition", lambda chars: tree.drop("tree_id").join(chars.select(chars["matrix_id"].alias("tree_id")).distinct()).select(tree.columns))
+    log = {r["round"]: r["score"] for r in plans.parsimony_search(spark, "").collect()}
+    scores = [log[k] for k in range(len(log))]
+    assert len(log) > 4 and all(a > b for a, b in itertools.pairwise(scores))
+    assert scores[-1] == n - 1
+
+
 def test_parsimony(spark):
     rng = random.Random(8)
     texts = [random_newick(rng, 6) for _ in range(4)]
