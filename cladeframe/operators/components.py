@@ -10,31 +10,41 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the session's checkpoint folder.
+
+    Where neither is set, a local session (as in tests) gets a folder of its own; on a
+    cluster that is an error, as a machine's own folder is lost with the machine.
+    """
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         import tempfile
 
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cladeframe-"))
+        path = "file://" + tempfile.mkdtemp(prefix="cladeframe-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def _checkpoint(df: DataFrame) -> DataFrame:
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in the checkpoint folder, read back, for loops of any number of rounds.
+    """``df`` as Parquet in the shared folder, read back, for loops of any number of rounds.
 
     A checkpoint keeps its plan's estimated size, a product over all joins before it: carried
     from round to round that number grows until planning hangs. Files have a size of their own.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cladeframe-"))
-    path = f"{sc.getCheckpointDir()}/rounds-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
