@@ -14,7 +14,8 @@ The model is a set of files in the folder that the cluster shares, per shard the
 sorted hashes and, in the same order, their figures.  Workers map them into memory
 and search only the shards that a batch needs; no worker, and never the driver,
 holds the model.  The driver keeps totals and one row for each frequent context (at
-most 8 for a shard).
+most 8 for a shard).  A shard without words has empty files, so a file that a worker
+does not find is an error and never counts as unknown words.
 
   P(w|v) = (c(vw) - D(c(vw))) / c(v) + g(v) P(w)
   P(w)   = (n(w) - D'(n(w))) / n + g / (V + 1)
@@ -44,12 +45,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import GOLDEN, WordHashes, crc_mod, mix64, runs_of, shared_dir, words_of
+from cladeframe.llm.common import GOLDEN, WordHashes, crc_mod, cut, mix64, runs_of, words_of
+from cladeframe.operators.components import shared_folder
 
 #: No word contains a blank, so these are no words.
 START, END = xxhash.xxh64_intdigest(b" start"), xxhash.xxh64_intdigest(b" end")
-#: Characters of text for each shard, and the bounds of their number.
-SHARD_CHARS, LEAST_SHARDS, MOST_SHARDS = 16_000_000, 16, 16_384
+#: Characters of text for each shard, and the least number of shards.
+SHARD_CHARS, LEAST_SHARDS = 16_000_000, 16
 #: Tokens that a task counts or looks up at once.
 CHUNK = 1_500_000
 
@@ -142,7 +144,7 @@ def _narrow(counts: np.ndarray) -> np.ndarray:
 def _blocks(shard: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
     """A packed block per shard of arrays that are sorted by it."""
     edges = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.empty(0, np.int64)
-    ends = np.append(edges[1:], len(shard))
+    ends = np.append(edges[1:], len(shard))[: len(edges)]
     out = [_packed(*[_narrow(a[i:j]) if k else a[i:j] for k, a in enumerate(arrays)]) for i, j in zip(edges, ends, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(shard[edges], pa.int64()), pa.array(out, pa.binary())], ["shard", "block"])
 
@@ -163,9 +165,15 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
 
 
 @lru_cache(maxsize=4096)
-def _map(folder: str, name: str) -> np.ndarray | None:
-    path = f"{folder}/{name}.npy"
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else None
+def _map(folder: str, name: str) -> np.ndarray:
+    """Every shard has its files, be they empty: one that is not there is an error, not a shard without words."""
+    return np.load(f"{folder}/{name}.npy", mmap_mode="r")
+
+
+def _of_blocks(blocks: list[bytes | None], columns: int) -> list[list[np.ndarray]]:
+    """The blocks' arrays, column by column; a null block has none."""
+    parts = [_unpacked(b) for b in blocks if b is not None]
+    return [[np.empty(0, np.uint64), *(p[k] for p in parts)] for k in range(columns)]
 
 
 def _count_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
@@ -176,8 +184,8 @@ def _count_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.
 
 def _merge_words(batches: Iterator[pa.RecordBatch], folder: str, shards: int) -> Iterator[pa.RecordBatch]:
     for run in runs_of(batches, "shard"):
-        parts = [_unpacked(b) for b in run["block"]]
-        word, n = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1].astype(np.uint64) for p in parts]))
+        words, counts = _of_blocks(run["block"], 2)
+        word, n = _summed(np.concatenate(words), np.concatenate(counts))
         s = run["shard"][0]
         _save(folder, f"word-{s}", word)
         _save(folder, f"word-count-{s}", n)
@@ -207,38 +215,37 @@ def _merge_pairs(batches: Iterator[pa.RecordBatch], folder: str, shards: int) ->
     """Files of a pair shard; rows: blocks of (word, contexts) by word shard, and one row of figures."""
     kind = pa.schema([("shard", pa.int64()), ("block", pa.binary()), ("of", pa.list_(pa.int64())), ("pair_shard", pa.int64()), ("context", pa.int64())])
     for run in runs_of(batches, "shard"):
-        parts = [_unpacked(b) for b in run["block"]]
+        context, length, words, counts = _of_blocks(run["block"], 4)
         s = run["shard"][0]
-        v = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        w = np.concatenate([p[2] for p in parts])
-        n = np.concatenate([p[3].astype(np.uint64) for p in parts])
+        v = np.concatenate([np.repeat(c, k.astype(np.int64)) for c, k in zip(context, length, strict=True)])
+        w, n = np.concatenate(words), np.concatenate(counts).astype(np.uint64)
         key = pair_key(v, w)
         order = np.argsort(key, kind="stable")
         key, v, w, n = key[order], v[order], w[order], n[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        key, v, w, n = key[first], v[first], w[first], np.add.reduceat(n, first)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+        key, v, w, n = key[first], v[first], w[first], np.add.reduceat(n, first) if len(n) else n
         _save(folder, f"pair-{s}", key)
         _save(folder, f"pair-count-{s}", _narrow(n))
         order = np.argsort(v, kind="stable")
         context, at = np.unique(v[order], return_index=True)
-        few = [np.add.reduceat((n[order] == k).astype(np.uint32), at) for k in (1, 2)]
-        more = np.add.reduceat((n[order] > 2).astype(np.uint32), at)
+        each = lambda rows: np.add.reduceat(rows.astype(np.uint32), at) if len(at) else np.empty(0, np.uint32)  # noqa: B023, E731
+        few, more = [each(n[order] == k) for k in (1, 2)], each(n[order] > 2)
         _save(folder, f"context-{s}", context)
         _save(folder, f"context-few-{s}", np.stack([*few, more]))
         word, contexts = np.unique(w, return_counts=True)
         blocks = _blocks(shard_of(word, shards), word, contexts)
         counts = [int((n == k).sum()) for k in (1, 2, 3, 4)]
-        if s >= shards:  # a frequent context's part
+        if s >= shards and len(context):  # a frequent context's part
             counts += [int(few[0][0]), int(few[1][0]), int(more[0])]
         m = blocks.num_rows
         yield pa.RecordBatch.from_arrays([blocks.column(0), blocks.column(1), *[pa.nulls(m, t) for t in kind.types[2:]]], schema=kind)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([counts], pa.list_(pa.int64())), pa.array([s]), pa.array([int(context[:1].view(np.int64)[0])])], schema=kind)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([counts], pa.list_(pa.int64())), pa.array([s]), pa.array(context[:1].view(np.int64).tolist() or [None], pa.int64())], schema=kind)
 
 
 def _merge_contexts(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     for run in runs_of(batches, "shard"):
-        parts = [_unpacked(b) for b in run["block"]]
-        word, n = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1].astype(np.uint64) for p in parts]))
+        words, counts = _of_blocks(run["block"], 2)
+        word, n = _summed(np.concatenate(words), np.concatenate(counts))
         s = run["shard"][0]
         mine = _map(folder, f"word-{s}")
         contexts = np.zeros(len(mine), np.uint64)
@@ -258,7 +265,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 def local_folder(spark) -> str:
     """A new folder in the shared one, as the path under which every worker sees it."""
-    at = urlsplit(shared_dir(spark))
+    at = urlsplit(shared_folder(spark))
     if at.scheme not in ("", "file"):
         raise ValueError("the model is mapped into memory: spark.checkpoint.dir has to be a mounted folder (file:)")
     path = f"{at.path}/ngrams-{uuid.uuid4().hex}"
@@ -270,50 +277,50 @@ def train(texts: DataFrame, characters: int) -> Model:
     """Count the ``text`` column into files; ``characters`` decides the number of shards."""
     spark = texts.sparkSession
     folder = local_folder(spark)
-    shards = min(MOST_SHARDS, max(LEAST_SHARDS, -(-characters // SHARD_CHARS)))
-    by_shard = lambda df: df.repartition("shard").sortWithinPartitions("shard")
+    shards = max(LEAST_SHARDS, -(-characters // SHARD_CHARS))
     block = "shard long, block binary"
-    words = by_shard(texts.mapInArrow(partial(_count_words, shards=shards), block))
-    rows = words.mapInArrow(partial(_merge_words, folder=folder, shards=shards), "tokens long, words long, ends long, often array<long>, times array<long>").collect()
-    tokens = sum(r["tokens"] for r in rows)
+
+    def by_shard(blocks: DataFrame, n: int) -> DataFrame:
+        """All blocks of a shard in one run, one run for each of n shards: those without blocks get a null one."""
+        every = spark.range(n, numPartitions=1).selectExpr("id AS shard", "CAST(NULL AS BINARY) AS block")
+        return blocks.select("shard", "block").unionByName(every).repartition("shard").sortWithinPartitions("shard")
+
+    words = by_shard(texts.mapInArrow(partial(_count_words, shards=shards), block), shards)
+    words = cut(words.mapInArrow(partial(_merge_words, folder=folder, shards=shards), "tokens long, words long, ends long, often array<long>, times array<long>"), "words")
+    tokens, n_words, starts = (x or 0 for x in words.agg(F.sum("tokens"), F.sum("words"), F.sum("ends")).first())
     share = max(1.0, tokens / (4 * shards))
     hot, at = {}, shards
-    often = {w % 2**64: n for r in rows for w, n in zip(r["often"], r["times"], strict=True) if n > share}
+    frequent = words.select(F.inline(F.arrays_zip("often", "times"))).where(F.col("times") > share).collect()
+    often = {r["often"] % 2**64: r["times"] for r in frequent}
     often.pop(END, None)
-    starts = sum(r["ends"] for r in rows)
     if starts > share:
         often[START] = starts
     for w in sorted(often):
         hot[w] = at, -(-often[w] // int(share))
         at += hot[w][1]
-    pairs = by_shard(texts.mapInArrow(partial(_count_pairs, shards=shards, hot=hot), block))
+    pairs = by_shard(texts.mapInArrow(partial(_count_pairs, shards=shards, hot=hot), block), at)
     merged = pairs.mapInArrow(partial(_merge_pairs, folder=folder, shards=shards), f"{block}, of array<long>, pair_shard long, context long")
-    from cladeframe.llm.common import cut
-
     merged = cut(merged, "contexts")
-    figures = merged.where("of IS NOT NULL").select("of", "pair_shard", "context").collect()
-    n = [sum(r["of"][k] for r in figures) for k in range(4)]
+    figures = merged.where("of IS NOT NULL")
+    n = [x or 0 for x in figures.agg(*[F.sum(F.get("of", F.lit(k))) for k in range(4)]).first()]
     cut2 = discounts(*n)
-    freed: dict[int, list[int]] = {}
-    for r in figures:
-        if len(r["of"]) > 4:
-            have = freed.setdefault(r["context"] % 2**64, [0, 0, 0])
-            for k in range(3):
-                have[k] += r["of"][4 + k]
+    freed = {}
+    if hot:
+        parts = figures.where(F.size("of") > 4).groupBy("context").agg(*[F.sum(F.get("of", F.lit(4 + k))) for k in range(3)])
+        freed = {r[0] % 2**64: list(r[1:]) for r in parts.collect()}
     total = {w: (starts if w == START else often[w]) for w in hot}
     hot_left = {w: sum(d * k for d, k in zip(cut2, freed[w], strict=True)) / total[w] for w in freed}
-    low = by_shard(merged.where("block IS NOT NULL").select("shard", "block")).mapInArrow(partial(_merge_contexts, folder=folder), "pairs long, n1 long, n2 long, n3 long, n4 long, more long").collect()
-    m = [sum(r[k] for r in low) for k in ("n1", "n2", "n3", "n4")]
-    all_pairs = sum(r["pairs"] for r in low)
+    low = by_shard(merged.where("block IS NOT NULL"), shards).mapInArrow(partial(_merge_contexts, folder=folder), "pairs long, n1 long, n2 long, n3 long, n4 long, more long")
+    all_pairs, *m, more = (x or 0 for x in low.agg(*[F.sum(c) for c in ("pairs", "n1", "n2", "n3", "n4", "more")]).first())
     cut1 = discounts(*m)
-    left1 = (cut1[0] * m[0] + cut1[1] * m[1] + cut1[2] * sum(r["more"] for r in low)) / all_pairs if all_pairs else 1.0
-    return Model(folder, shards, tokens, sum(r["words"] for r in rows), all_pairs, cut2, cut1, left1, starts, hot, hot_left)
+    left1 = (cut1[0] * m[0] + cut1[1] * m[1] + cut1[2] * more) / all_pairs if all_pairs else 1.0
+    return Model(folder, shards, tokens, n_words, all_pairs, cut2, cut1, left1, starts, hot, hot_left)
 
 
 def _find(folder: str, name: str, s: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, found) of ascending keys in a shard's sorted file."""
     have = _map(folder, f"{name}-{s}")
-    if have is None or not len(have):
+    if not len(have):
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
     at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
     return at, have[at] == keys
