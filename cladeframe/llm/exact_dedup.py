@@ -3,7 +3,9 @@
 A 64-bit fingerprint of the normalised text is split into a quotient (its high
 bits) and a remainder.  Each partition of the input builds one counting
 quotient filter per range of quotients: the run length of every quotient that
-occurs, the remainders of a run in ascending order, and a counter for each.
+occurs, the remainders of a run in ascending order (in as many bytes as they
+need), and a counter for each.  The number of ranges follows from the number of
+rows, so a merging task's share stays the same however many there are.
 Since runs are sorted, filters of the same range merge without loss by merging
 remainders and adding counters.  Fingerprints whose merged count is above one
 are only candidates: their rows go on to verification on the bytes, the others
@@ -16,12 +18,14 @@ its members are ordinary joins whose hot side Spark may split.
 Defined cases: null text counts as empty; empty texts and texts of white space
 only are one group.  Rows that repeat a doc_id count as rows; all rows with the kept id are
 marked as kept, unless a row key tells them apart.  Ties in length
-go to the smaller doc_id (a null doc_id last).  Extra columns are not read.
+go to the smaller doc_id (a null doc_id last); any long may be a doc_id.  Extra
+columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +34,18 @@ from pyspark.sql import functions as F
 
 from cladeframe.llm.common import cut, runs_of
 
-#: High bits of a fingerprint that choose the filter's range: 2**12 ranges.
-RANGE_BITS = 12
-#: High bits after those that make up the quotient inside a range.
-QUOTIENT_BITS = 12
+#: Rows that a range's merging task gets on average.
+RANGE_ROWS = 500_000
+
+
+def range_bits(rows: int) -> int:
+    """High bits of a fingerprint that choose its range."""
+    return max(3, (-(-rows // RANGE_ROWS) - 1).bit_length())
+
+
+def remainder_bits(ranges: int) -> int:
+    """Low bits that are a remainder, in whole bytes; those between are the quotient inside a range."""
+    return 40 if ranges <= 16 else 32
 
 
 def normalised(text: Column) -> Column:
@@ -45,26 +57,22 @@ def normalised(text: Column) -> Column:
 
 
 class CountingQuotientFilter:
-    """Sorted remainders with counters, in runs by quotient, of one range."""
+    """Sorted remainders of ``bits`` bits with counters, in runs by quotient, of one range."""
 
-    def __init__(self, runs: np.ndarray, remainders: np.ndarray, counts: np.ndarray):
+    def __init__(self, bits: int, runs: np.ndarray, remainders: np.ndarray, counts: np.ndarray):
         #: (quotient, run length) pairs, remainders and counters in run order.
-        self.runs, self.remainders, self.counts = runs, remainders, counts
-
-    @staticmethod
-    def _shift() -> np.uint64:
-        return np.uint64(64 - RANGE_BITS - QUOTIENT_BITS)
+        self.bits, self.runs, self.remainders, self.counts = bits, runs, remainders, counts
 
     @classmethod
-    def build(cls, low: np.ndarray, counts: np.ndarray) -> CountingQuotientFilter:
+    def build(cls, low: np.ndarray, counts: np.ndarray, bits: int) -> CountingQuotientFilter:
         """From ascending distinct fingerprints (without their range bits)."""
-        quotient, length = np.unique(low >> cls._shift(), return_counts=True)
-        rest = low & np.uint64((1 << int(cls._shift())) - 1)
-        return cls(np.stack([quotient.astype(np.uint32), length.astype(np.uint32)]), rest, counts.astype(np.uint64))
+        quotient, length = np.unique(low >> np.uint64(bits), return_counts=True)
+        rest = low & np.uint64((1 << bits) - 1)
+        return cls(bits, np.stack([quotient.astype(np.uint32), length.astype(np.uint32)]), rest, counts.astype(np.uint64))
 
     def fingerprints(self) -> np.ndarray:
         """Ascending, without the range bits: nothing was lost."""
-        return (np.repeat(self.runs[0].astype(np.uint64), self.runs[1]) << self._shift()) | self.remainders
+        return (np.repeat(self.runs[0].astype(np.uint64), self.runs[1]) << np.uint64(self.bits)) | self.remainders
 
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
@@ -73,36 +81,38 @@ class CountingQuotientFilter:
         order = np.argsort(low, kind="stable")
         low, counts = low[order], counts[order]
         first = np.flatnonzero(np.append(True, low[1:] != low[:-1])) if len(low) else np.empty(0, np.int64)
-        return cls.build(low[first], np.add.reduceat(counts, first) if len(low) else counts)
+        return cls.build(low[first], np.add.reduceat(counts, first) if len(low) else counts, filters[0].bits)
 
     def to_bytes(self) -> bytes:
         head = np.array([self.runs.shape[1], len(self.remainders)], np.uint32)
         narrow = np.uint8 if not len(self.counts) or self.counts.max() < 256 else np.uint64
-        return b"".join([head.tobytes(), bytes([np.dtype(narrow).itemsize]), self.runs.tobytes(), self.remainders.tobytes(), self.counts.astype(narrow).tobytes()])
+        rest = np.ascontiguousarray(self.remainders.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.bits // 8])
+        return b"".join([head.tobytes(), bytes([np.dtype(narrow).itemsize, self.bits]), self.runs.tobytes(), rest.tobytes(), self.counts.astype(narrow).tobytes()])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> CountingQuotientFilter:
         q, n = np.frombuffer(data, np.uint32, 2)
-        kind, at = (np.uint8 if data[8] == 1 else np.uint64), 9
+        kind, bits, at = (np.uint8 if data[8] == 1 else np.uint64), data[9], 10
         runs = np.frombuffer(data, np.uint32, 2 * q, at).reshape(2, q)
-        rest = np.frombuffer(data, np.uint64, n, at + 8 * q)
-        return cls(runs, rest, np.frombuffer(data, kind, n, at + 8 * q + 8 * n).astype(np.uint64))
+        wide, at = np.zeros((n, 8), np.uint8), at + 8 * int(q)
+        wide[:, : bits // 8] = np.frombuffer(data, np.uint8, int(n) * (bits // 8), at).reshape(n, -1)
+        return cls(bits, runs, wide.view("<u8").reshape(-1), np.frombuffer(data, kind, n, at + int(n) * (bits // 8)).astype(np.uint64))
 
 
-def _filters(fps: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _filters(fps: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
     value, count = np.unique(fps.astype(np.uint64), return_counts=True)
-    part = (value >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
-    low = value & np.uint64((1 << (64 - RANGE_BITS)) - 1)
+    part = (value >> np.uint64(64 - ranges)).astype(np.int64)
+    low = value & np.uint64((1 << (64 - ranges)) - 1)
     edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
     for a, b in zip(edges, [*edges[1:], len(part)], strict=True):
-        yield int(part[a]), CountingQuotientFilter.build(low[a:b], count[a:b]).to_bytes()
+        yield int(part[a]), CountingQuotientFilter.build(low[a:b], count[a:b], remainder_bits(ranges)).to_bytes()
 
 
-def _build(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def _build(batches: Iterator[pa.RecordBatch], ranges: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
 
     def out() -> pa.RecordBatch:
-        got = list(_filters(np.concatenate(held)))
+        got = list(_filters(np.concatenate(held), ranges))
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int32()), pa.array([f for _, f in got], pa.binary())], ["part", "filter"])
 
@@ -116,19 +126,20 @@ def _build(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator
         yield out()
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     for run in runs_of(batches, "part"):
         merged = CountingQuotientFilter.merge([CountingQuotientFilter.from_bytes(b) for b in run["filter"]])
         many = merged.counts > 1
         if many.any():
-            fp = merged.fingerprints()[many] | (np.uint64(run["part"][0]) << np.uint64(64 - RANGE_BITS))
+            fp = merged.fingerprints()[many] | (np.uint64(run["part"][0]) << np.uint64(64 - ranges))
             yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(merged.counts[many].astype(np.int64))], ["fp", "n"])
 
 
 def repeated_fingerprints(fps: DataFrame) -> DataFrame:
     """(fp, n): the fingerprints of a one-column table that occur more than once."""
-    built = fps.mapInArrow(_build, "part int, filter binary")
-    return built.repartition("part").sortWithinPartitions("part").mapInArrow(_repeated, "fp long, n long")
+    ranges = range_bits(fps.count())
+    built = fps.mapInArrow(partial(_build, ranges=ranges), "part int, filter binary")
+    return built.repartition("part").sortWithinPartitions("part").mapInArrow(partial(_repeated, ranges=ranges), "fp long, n long")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
@@ -137,7 +148,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of texts with equal bytes after normalisation, the row with the most code
     points stays, of those the one with the smallest doc_id.
 
-    ``key_col``: a column of longs from 0 that no two rows share.  It comes back as
+    ``key_col``: a column of longs that no two rows share.  It comes back as
     row_key, and exactly one row of each group is kept, whatever the doc_ids:
     further ties go to the smaller key.
     """
@@ -152,9 +163,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     again = cut(repeated_fingerprints(facts.select("fp")), "repeated")
     routed = facts.join(again.select("fp"), "fp", "left_semi")
     # Verification on the bytes: their number and a 256-bit digest over all of them must agree.
-    order = F.struct("points", F.coalesce(-F.col("doc_id"), F.lit(-(2**63) + 1)).alias("low"), *[(-F.col(k)).alias("key") for k in key])
-    groups = cut(routed.groupBy("fp", "text_sha256", "bytes").agg(F.max(order).alias("best"), F.count("*").alias("group_size")), "groups")
-    groups = groups.select("fp", "text_sha256", "bytes", F.when(F.col("best.low") > -(2**63) + 1, -F.col("best.low")).alias("keep_id"), "group_size", *[(-F.col("best.key")).alias("keep_key") for _ in key])
+    order = F.struct((-F.col("points")).alias("short"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", *key)
+    groups = cut(routed.groupBy("fp", "text_sha256", "bytes").agg(F.min(order).alias("best"), F.count("*").alias("group_size")), "groups")
+    groups = groups.select("fp", "text_sha256", "bytes", F.col("best.doc_id").alias("keep_id"), "group_size", *[F.col("best.row_key").alias("keep_key") for _ in key])
     out = facts.join(groups, ["fp", "text_sha256", "bytes"], "left")
     size = F.coalesce("group_size", F.lit(1)).cast("long")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
