@@ -65,12 +65,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-#: Shards of the sharding query, and the table's size (for the SQL, which fills it by recursion).
-SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(32)], 2053
+#: Shards of the sharding query; its table has the default size.
+SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return place(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", SHARDS, SLOTS)
+    return place(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", SHARDS)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,21 +138,5 @@ degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(l.m, e.vec_id)) AS component_id,
        e.vec_id = least(e.vec_id, coalesce(l.m, e.vec_id)) AS kept
 FROM embeddings e LEFT JOIN degree d ON d.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id
-""",
-    "op8_sharding": f"""
-WITH RECURSIVE shards AS (
-  SELECT i, printf('shard-%02d', i) AS shard FROM range({len(SHARDS)}) t(i)),
-prefs AS (
-  SELECT i, shard, CAST('0x' || substr(md5(shard || '/offset'), 1, 15) AS BIGINT) % {SLOTS} AS o,
-         CAST('0x' || substr(md5(shard || '/skip'), 1, 15) AS BIGINT) % {SLOTS - 1} + 1 AS k FROM shards),
-turn(n, taken, slot, shard) AS (
-  SELECT 0, [o], o, shard FROM prefs WHERE i = 0
-  UNION ALL
-  SELECT n + 1, list_append(taken, s), s, shard FROM (
-    SELECT t.n, t.taken, p.shard,
-           list_filter(list_transform(range({SLOTS}), lambda j: (p.o + j * p.k) % {SLOTS}), lambda x: NOT list_contains(t.taken, x))[1] AS s
-    FROM turn t JOIN prefs p ON p.i = (t.n + 1) % {len(SHARDS)} WHERE t.n + 1 < {SLOTS}))
-SELECT d.doc_id, d.source, t.shard
-FROM documents d JOIN turn t ON t.slot = CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 15) AS BIGINT) % {SLOTS}
 """,
 }

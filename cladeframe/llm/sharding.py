@@ -14,7 +14,8 @@ DataFrame; rows meet nothing but DataFrame functions.
 
 Defined cases: a null key counts as the empty text and rows with equal keys share
 a shard, so give a key that varies (an id) where one value has many rows.  Columns
-of the input stay as they are; an input column named like the new one is replaced.
+of the input stay as they are, whatever their names; only an input column named like
+the new one (in any case of letters) is replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladeframe.llm.common import fresh
+
 #: Prime; a hundred times as many slots as shards keep shares within a percent.
 TABLE_SIZE = 65537
 
@@ -66,13 +69,14 @@ def table_frame(spark: SparkSession, shards: list[str], size: int = TABLE_SIZE)
 
 def place(rows: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE, into: str = "shard") -> DataFrame:
     """``rows`` with the shard of each, by a broadcast of the table's ``size`` rows."""
-    table = table_frame(rows.sparkSession, shards, size).select(F.col("slot").alias("_slot"), F.col("shard").alias("_shard"))
-    slotted = rows.withColumn("_slot", key_hash(F.col(f"`{key}`")) % size)
-    return slotted.join(F.broadcast(table), "_slot", "left").drop("_slot").withColumn(into, F.col("_shard")).drop("_shard")
+    slot, shard = fresh("_slot", rows), fresh("_shard", rows)
+    table = table_frame(rows.sparkSession, shards, size).select(F.col("slot").alias(slot), F.col("shard").alias(shard))
+    placed = rows.withColumn(slot, key_hash(F.col(f"`{key}`")) % size).join(F.broadcast(table), slot, "left")
+    return placed.select(*[F.col(f"`{c}`") for c in rows.columns if c.lower() != into.lower()], F.col(shard).alias(into))
 
 
 def write_shards(rows: DataFrame, key: str, shards: list[str], path: str, size: int = TABLE_SIZE, files: int = 1) -> None:
     """Write each shard's rows as one partition folder of ``files`` files at most."""
-    placed = place(rows, key, shards, size)
-    salt = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(files))
-    placed.repartition("shard", salt).write.partitionBy("shard").parquet(path)
+    salt = fresh("_salt", rows)
+    placed = place(rows.withColumn(salt, F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(files))), key, shards, size)
+    placed.repartition("shard", salt).drop(salt).write.partitionBy("shard").parquet(path)
