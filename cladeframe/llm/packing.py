@@ -9,8 +9,8 @@ piece of length s goes where the sum over g of N(g)**2 becomes smallest: taking
 a bin with gap g changes it by 2 * (N(g - s) - N(g)) + 2 (terms of gap 0, full
 bins, don't count), and opening a bin by 2 * N(B - s) + 1.  Gaps so stay
 evenly spread and each later piece finds one that suits it.  The emptiest bins
-of a shard are then opened again and their pieces placed by the same rule among
-gaps that exist, as long as that saves a bin.
+of a shard are then opened again and their pieces placed by the same rule, in open
+bins as long as one has room, while that saves a bin.
 
 Defined cases: null or empty text is the end id alone; each row is a document
 of its own even if doc_ids repeat or are null; extra columns are not read.
@@ -122,7 +122,15 @@ class Bins:
             return 0
         return -1 if none else s + at
 
+    def hold(self, pieces: list[int], gap: int) -> None:
+        """Take over a bin that is already packed."""
+        if gap:
+            self.open[gap].append(len(self.inside))
+            self.count[gap] += 1
+        self.inside.append(pieces)
+
     def put(self, piece: int, s: int, new: bool = True) -> bool:
+        """Place a piece by the rule; without ``new`` only in an open bin, False if none has room."""
         gap = self._best(s, new)
         if gap < 0:
             return False
@@ -150,43 +158,25 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> list[list[int]]:
 
 
 def _fewer(packed: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
-    """Open the emptiest bins again while their pieces fit elsewhere in fewer bins."""
+    """Open the emptiest bins again and deal their pieces by the rule, while that takes fewer bins."""
     while True:
         fill = np.array([lengths[b].sum() for b in packed], np.int64)
         spare = int((size - fill).sum()) // size
         if not spare:
             return packed
         order = np.argsort(fill, kind="stable")
-        done = False
-        for n in sorted({min(len(packed), 2 * spare + k) for k in (1, 4, 16)} | {min(len(packed), 6 * spare + 8)}):
-            loose, rest = order[:n], order[n:]
+        most = len(packed)
+        for n in sorted({min(most, k) for k in (2 * spare + 1, 2 * spare + 4, 6 * spare + 8, 20 * spare + 32, most // 8, most // 2)}):
             bins = Bins(size)
-            bins.inside = [list(packed[i]) for i in rest]
-            for b, i in enumerate(rest):
-                if fill[i] < size:
-                    bins.open[size - fill[i]].append(b)
-                    bins.count[size - fill[i]] += 1
-            pieces = sorted((p for i in loose for p in packed[i]), key=lambda p: (-lengths[p], p))
-            for p in pieces:
-                s = int(lengths[p])
-                tight = np.flatnonzero(bins.count[s:])
-                if len(tight):  # the smallest gap: here bins are to be closed, not spread
-                    gap = s + int(tight[0])
-                    b = bins.open[gap].pop()
-                    bins.count[gap] -= 1
-                    bins.inside[b].append(p)
-                    if gap > s:
-                        bins.open[gap - s].append(b)
-                        bins.count[gap - s] += 1
-                else:
-                    b = len(bins.inside)
-                    bins.inside.append([p])
-                    bins.open[size - s].append(b)
-                    bins.count[size - s] += 1
-            if len(bins.inside) < len(packed):
-                packed, done = bins.inside, True
+            for i in order[n:]:
+                bins.hold(list(packed[i]), int(size - fill[i]))
+            for p in sorted((p for i in order[:n] for p in packed[i]), key=lambda p: (-lengths[p], p)):
+                if not bins.put(p, int(lengths[p]), new=False):
+                    bins.put(p, int(lengths[p]))
+            if len(bins.inside) < most:
+                packed = bins.inside
                 break
-        if not done:
+        else:
             return packed
 
 
