@@ -12,8 +12,9 @@
 4. Verification inside families on the full sets.  A family of moderate size
    is one group: an inverted index counts intersections, and only classes that
    the largest component has not taken yet are compared with all others.  A
-   large family is dealt in blocks: first each member against one centre, then
-   the blocks of those left over against all blocks.  Nothing is capped.
+   large family is dealt in blocks of bounded classes and shingles: first each
+   member against one centre, then the blocks of those left over against all
+   blocks.  Nothing is capped.
 5. Union-find: components of the confirmed links; smallest doc_id names them.
 
 Defined cases: null or empty text, or one without words, has no shingles, is
@@ -40,8 +41,9 @@ from cladeframe.operators.components import connected_components
 
 #: A family goes to one task up to this many classes and shingles in all.
 FAMILY_CLASSES, FAMILY_SHINGLES = 1024, 2_000_000
-#: Block sizes for larger families: left-over classes by all classes.
+#: Block sizes for larger families, left-over by all: classes, and shingles, whichever are reached first.
 LEFT_BLOCK, RIGHT_BLOCK = 512, 2048
+LEFT_SHINGLES, RIGHT_SHINGLES = 500_000, 1_000_000
 _SLICE = 32_768
 _ONE = np.uint64(1)
 
@@ -242,7 +244,7 @@ def _against_centre(batches: Iterator[pa.RecordBatch], width: int, share: Fracti
                 last = rows["centre_text"][i], _Index([shingle_set(hashes.of(words_of(rows["centre_text"][i])), width)])
             keep.append(i)
             near.append(len(last[1].linked(sets[0], share)) > 0)
-        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("family", "rep", "centre", "set_key")] + [pa.array(near, pa.bool_())], ["family", "rep", "centre", "set_key", "near"])
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("family", "rep", "centre", "set_key", "n_shingles")] + [pa.array(near, pa.bool_())], ["family", "rep", "centre", "set_key", "n_shingles", "near"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], width: int, share: Fraction) -> Iterator[pa.RecordBatch]:
@@ -290,7 +292,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     family = cut(family.join(named, "rep").join(size, ["rep", "set_key"]), "families")
     sizes = family.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.min("rep").alias("centre"))
     large = (F.col("n") > FAMILY_CLASSES) | (F.col("s") > FAMILY_SHINGLES)
-    member = family.join(sizes.withColumn("large", large & (F.col("n") > 2)), "family").select("family", "rep", "set_key", "centre", "large")
+    member = family.join(sizes.withColumn("large", large & (F.col("n") > 2)), "family").select("family", "rep", "set_key", "n_shingles", "centre", "large")
     member = cut(member.join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep"), "members")
     whole = (
         member.where("NOT large").select("family", "rep", "set_key", "text").repartition("family").sortWithinPartitions("family")
@@ -309,11 +311,13 @@ def _large_family_links(member: DataFrame, width: int, share: Fraction) -> DataF
     if member.isEmpty():
         return member.select(F.col("rep").alias("src"), F.col("rep").alias("dst"))
     centre = member.where("rep = centre").dropDuplicates(["family"]).select("family", F.col("text").alias("centre_text"))
-    near = member.where("rep <> centre").join(centre, "family").select("family", "rep", "centre", "set_key", "text", "centre_text")
-    near = cut(near.mapInArrow(partial(_against_centre, width=width, share=share), "family long, rep long, centre long, set_key binary, near boolean"), "near")
+    near = member.where("rep <> centre").join(centre, "family").select("family", "rep", "centre", "set_key", "n_shingles", "text", "centre_text")
+    near = cut(near.mapInArrow(partial(_against_centre, width=width, share=share), "family long, rep long, centre long, set_key binary, n_shingles long, near boolean"), "near")
     star = near.where("near").select(F.col("rep").alias("src"), F.col("centre").alias("dst"))
-    count = near.groupBy("family").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("left"))
-    blocks = count.where("left > 0").select("family", F.ceil(F.col("left") / LEFT_BLOCK).cast("int").alias("nl"), F.ceil((F.col("n") + 1) / RIGHT_BLOCK).cast("int").alias("nr"))
+    far = ~F.col("near")
+    count = near.groupBy("family").agg(F.count("*").alias("n"), F.count_if(far).alias("left"), F.sum("n_shingles").alias("all_s"), F.sum(F.when(far, F.col("n_shingles"))).alias("left_s"))
+    parts = lambda n, of_n, s, of_s: F.greatest(F.ceil(n / of_n), F.ceil(F.col(s) / of_s)).cast("int")
+    blocks = count.where("left > 0").select("family", parts(F.col("left"), LEFT_BLOCK, "left_s", LEFT_SHINGLES).alias("nl"), parts(F.col("n") + 1, RIGHT_BLOCK, "all_s", RIGHT_SHINGLES).alias("nr"))
     slot = lambda n: F.pmod(F.xxhash64("rep", F.lit(7)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     text = member.select("family", "rep", "set_key", "text").dropDuplicates(["rep", "set_key"])
