@@ -24,7 +24,8 @@ that is the price of exact links.
 Defined cases: rows whose label is null, or whose vector is null, empty, zero, or
 has null or non-finite components, link with nothing; vectors of different lengths
 aren't compared.  Rows that repeat a vec_id count each and share a component.
-Extra columns are not read.
+Labels are whole numbers; a label column of another type raises an error.  Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from cladeframe.llm.common import cut, runs_of
@@ -222,6 +224,8 @@ def _pivots(classes: DataFrame, block: int, most: int) -> dict:
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept."""
+    if not isinstance(vectors.schema[label_col].dataType, T.IntegralType):
+        raise ValueError(f"labels have to be whole numbers, {label_col} is {vectors.schema[label_col].dataType.simpleString()}")
     v = F.col("embedding")
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast("array<double>").alias("embedding"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)

@@ -19,7 +19,8 @@ row's edits in order and returns the new state: a table that is kept between run
 Defined cases: null text counts as empty, without tokens.  Places beyond the text's
 end mean its end, negative ones its start; null lists mean no edits, null members
 of an edit 0 or the empty text.  Special tokens in a text are ordinary text.  Rows
-that repeat a doc_id are documents of their own.  Extra columns are not read.
+that repeat a doc_id are documents of their own.  A pre-token that tiktoken's pattern
+engine refuses is merged without the pattern.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -53,7 +54,13 @@ class Counter(dict):
     def __missing__(self, piece: str) -> int:
         if len(self) >= REMEMBER:
             self.clear()
-        n = self[piece] = len(self.core.encode_ordinary(piece))
+        try:
+            n = len(self.core.encode_ordinary(piece))
+        except BaseException as error:  # tiktoken panics on texts that its pattern engine can't match
+            if isinstance(error, KeyboardInterrupt | SystemExit | MemoryError):
+                raise
+            n = len(self.core._encode_single_piece(piece))  # merges alone, as a pre-token needs no pattern
+        self[piece] = n
         return n
 
 

@@ -24,7 +24,8 @@ Defined cases: null counts as empty; an empty text has no distance and gets the
 score of that.  Without labels of both classes every score is 0.  A doc_id that
 is labelled more than once counts as toxic if any label says so; rows with null
 ids or labels teach nothing.  Repeated rows are scored each.  Neither labels,
-lang, source nor doc_id enter a score.
+lang, source nor doc_id enter a score.  Extra columns stay as they are; one named
+like the score's (in any case of letters) is replaced.
 """
 
 from __future__ import annotations
@@ -154,23 +155,23 @@ def fit(texts: list[str], toxic: list[int]) -> tuple[Distances, np.ndarray] | No
     return model, calibrate(x, y[rest])
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: tuple[Distances, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: tuple[Distances, np.ndarray] | None, text: int, into: str) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for k in range(0, whole.num_rows, 256):
             batch = whole.slice(k, 256)
             if model is None:
                 score = np.zeros(batch.num_rows)
             else:
-                x = np.array([model[0].features(plain_words(t)) for t in batch.column("text").to_pylist()])
+                x = np.array([model[0].features(plain_words(t)) for t in batch.column(text).to_pylist()])
                 score = 1 / (1 + np.exp(-np.clip(x @ model[1][:-1] + model[1][-1], -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, into])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[Distances, np.ndarray] | None:
-    """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0, within the sample bounds."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Distances, np.ndarray] | None:
+    """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0, within the sample bounds; ``labels`` has doc_id and toxic."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(crc_mod("doc_id", 5) != 0)
-    text = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_LENGTH)
+    text = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where(F.length("text") <= SAMPLE_LENGTH)
     fair = known.join(text.select("doc_id"), "doc_id", "left_semi")
     pick = lambda k, n: fair.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     picked = pick(1, TOXIC_SAMPLE).unionByName(pick(0, ORDINARY_SAMPLE))
@@ -180,17 +181,18 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Distances, np.ndarray] |
     return fit([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
 
 
-def score_column(docs: DataFrame, model: tuple[Distances, np.ndarray] | None, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """``columns`` (all by default) of ``docs`` and the score of each row's text."""
-    names = columns or docs.columns
-    rows = docs.select(*[F.col(f"`{c}`") for c in names if c != "score"])
-    if "text" not in rows.columns:
-        rows = rows.withColumn("text", docs[text_col].cast("string"))
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(partial(_score, model=model), schema)
+def score_column(docs: DataFrame, model: tuple[Distances, np.ndarray] | None, text_col: str = "text", into: str = "score") -> DataFrame:
+    """``docs`` and the score of each row's ``text_col`` as a further column ``into``."""
+    if not isinstance(docs.schema[text_col].dataType, T.StringType):
+        docs = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+    names = [c for c in docs.columns if c.lower() != into.lower()]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names])
+    schema = T.StructType([*rows.schema.fields, T.StructField(into, T.DoubleType())])
+    return rows.mapInArrow(partial(_score, model=model, text=names.index(text_col), into=into), schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    scored = score_column(docs.select("doc_id", "text"), train(docs, labels))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    scored = score_column(rows, train(docs, labels, id_col, text_col))
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
