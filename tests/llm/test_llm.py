@@ -13,7 +13,7 @@ from pyspark.sql import Row
 
 from cladeframe.llm import cover_tree, exact_dedup, kneser_ney, packing, sharding, sp_codec, superminhash, token_counts, toxicity, url_filter
 from cladeframe.llm.common import WordHashes, shingle_set, words_of
-from cladeframe.llm.queries import URL_RULES, vocabulary
+from cladeframe.llm.queries import SHARDS, URL_RULES, vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp string, cell int"
 PROSE = ["alpha", "beta", "gamma", "delta", "one", "two", "three", "Straße", "été", "日本", "red", "green"]
@@ -63,7 +63,9 @@ def components(ids, links):
 def test_near_duplicates(spark, monkeypatch, width, percent, limit):
     monkeypatch.setattr(superminhash, "FAMILY_CLASSES", limit)
     monkeypatch.setattr(superminhash, "LEFT_BLOCK", 3)
-    monkeypatch.setattr(superminhash, "RIGHT_BLOCK", 5)
+    monkeypatch.setattr(superminhash, "RIGHT_BLOCK", 5 if percent == 85 else 2048)
+    monkeypatch.setattr(superminhash, "RIGHT_SHINGLES", 400)
+    monkeypatch.setattr(superminhash, "LEFT_SHINGLES", 200)
     rows = corpus()
     got = superminhash.near_duplicates(frame(spark, rows), width, percent).collect()
     assert len(got) == len(rows)
@@ -136,13 +138,26 @@ def test_exact_duplicates(spark):
 
 def test_quotient_filters_merge_without_loss():
     rng = np.random.default_rng(2)
-    low = rng.integers(0, 2 ** (64 - exact_dedup.RANGE_BITS), 3000).astype(np.uint64)
-    low[:100] = low[100:200]
-    parts = [np.unique(p, return_counts=True) for p in np.array_split(low, 7)]
-    filters = [exact_dedup.CountingQuotientFilter.from_bytes(exact_dedup.CountingQuotientFilter.build(v, n).to_bytes()) for v, n in parts]
-    merged = exact_dedup.CountingQuotientFilter.merge(filters)
-    value, count = np.unique(low, return_counts=True)
-    assert (merged.fingerprints() == value).all() and (merged.counts == count).all()
+    cqf = exact_dedup.CountingQuotientFilter
+    for ranges in (3, 12, 20):
+        bits = exact_dedup.remainder_bits(ranges)
+        low = rng.integers(0, 2 ** (64 - ranges), 3000).astype(np.uint64)
+        low[:100] = low[100:200]
+        low[200:500] = low[500]
+        parts = [np.unique(p, return_counts=True) for p in np.array_split(low, 7)]
+        filters = [cqf.from_bytes(cqf.build(v, n, bits).to_bytes()) for v, n in parts]
+        merged = cqf.merge(filters)
+        value, count = np.unique(low, return_counts=True)
+        assert (merged.fingerprints() == value).all() and (merged.counts == count).all()
+        assert len(cqf.build(value, count, bits).to_bytes()) < len(value) * (8 + bits // 8 + 8) + 100
+    assert [exact_dedup.range_bits(n) for n in (0, 1, 500_000 * 8, 500_000 * 8 + 1, 500_000 << 20)] == [3, 3, 3, 4, 20]
+
+
+def test_exact_duplicates_at_the_ends_of_the_ids(spark):
+    high, low = 2**63 - 1, -(2**63)
+    rows = [(high, "a b"), (high, "ab"), (low, "c"), (0, "c "), (5, "c "), (None, "d"), (None, "d"), (low, "e"), (high, "e"), (None, "e")]
+    got = Counter(tuple(r)[:4] for r in exact_dedup.exact_duplicates(frame(spark, rows)).collect())
+    assert got == Counter([(high, high, 2, True)] * 2 + [(low, 0, 3, False), (0, 0, 3, True), (5, 0, 3, False)] + [(None, None, 2, True)] * 2 + [(low, low, 3, True), (high, low, 3, False), (None, low, 3, False)])
 
 
 def test_repeated_fingerprints(spark):
@@ -179,6 +194,71 @@ def test_toxicity(spark):
     assert toxicity.toxicity(frame(spark, []), lab).collect() == []
 
 
+def test_toxicity_scores_by_hand():
+    """Dictionaries, window distances and weights against their definitions."""
+    import zstandard
+
+    rng = random.Random(5)
+    texts, kinds = [], []
+    for i in range(400):
+        words = prose(rng, 40) + ([rng.choice(["vile", "crude", "nasty"]) for _ in range(3)] if i % 2 else [rng.choice(["nice", "kind", "calm"])])
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        kinds.append(i % 2)
+    model, weights = toxicity.fit(texts, kinds)
+    # which words tell the classes apart
+    seen = {0: defaultdict(set), 1: defaultdict(set)}
+    for k, (t, y) in enumerate(zip(texts, kinds, strict=True)):
+        if k % 3 != 2:
+            words = [w.encode() for w in "".join(c if c.isalnum() or ord(c) > 127 else " " for c in t).split()]
+            words = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
+            for a, b in zip([b"", *words], words, strict=False):
+                seen[y][b].add(a)
+    nt, no = (sum(len(x) for x in seen[y].values()) for y in (1, 0))
+    toxic, plain = set(), set()
+    for w in {*seen[0], *seen[1]}:
+        a, b = len(seen[1].get(w, ())), len(seen[0].get(w, ()))
+        if a + b < toxicity.CONTEXTS:
+            continue
+        p = (a + b) / (nt + no)
+        z = (a / nt - b / no) / math.sqrt(p * (1 - p) * (1 / nt + 1 / no))
+        if z >= toxicity.DEVIATION and a >= toxicity.CONTEXTS and a / nt >= toxicity.RATIO * (b + 1) / no:
+            toxic.add(w)
+        if z <= -toxicity.DEVIATION and b >= toxicity.CONTEXTS and b / no >= toxicity.RATIO * (a + 1) / nt:
+            plain.add(w)
+    assert set(model.parts[0]) == toxic >= {b"vile", b"crude", b"nasty"}
+    assert set(model.parts[1]) == plain >= {b"nice", b"kind", b"calm"}
+
+    def length(window, content):
+        d = zstandard.ZstdCompressionDict(content.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(window))
+
+    def by_hand(text):
+        words, out = toxicity.plain_words(text), []
+        for spell in (lambda ws: b"".join(toxicity.xxhash.xxh64_digest(w) for w in ws), lambda ws: b" " + b" ".join(ws) + b" "):
+            t, o, c = map(spell, model.parts)
+            far = [length(spell(words[i : i + 8]), o + c) - length(spell(words[i : i + 8]), t + c) for i in range(0, len(words), 8)] or [0]
+            out += [max(0, *far, 0), math.log1p(sum(v for v in far if v > 0) / len(far))]
+        return out
+
+    for t in [*texts[:12], "", "vile", " ".join(texts[:4])]:
+        assert model.features(toxicity.plain_words(t)) == pytest.approx(by_hand(t), abs=1e-9)
+    # the weights are where the penalised likelihood is flat
+    x = np.array([[*model.features(toxicity.plain_words(t)), 1.0] for t in texts[2::3]])
+    p = 1 / (1 + np.exp(-x @ weights))
+    slope = x.T @ (np.array(kinds[2::3]) - p) - 1e-2 * np.array([1, 1, 1, 1, 1e-3]) * weights
+    assert np.abs(slope).max() < 1e-5
+
+
+def test_toxicity_leaves_other_columns_alone(spark):
+    docs = spark.createDataFrame([(1, "vile words", 0.9, "t1", 7)], "doc_id long, body string, Score double, text string, id int")
+    model = toxicity.fit(["vile crude words here"] * 3 + ["calm kind words here"] * 3, [1, 1, 1, 0, 0, 0])
+    one = toxicity.score_column(docs, model, text_col="body", into="p").first()
+    assert tuple(one)[:5] == tuple(docs.first())
+    assert one["p"] == toxicity.score_column(docs.select(docs.body.alias("text")), model).first()["score"]
+    assert toxicity.score_column(docs, model, text_col="body").columns == ["doc_id", "body", "text", "id", "score"]
+
+
 def url_row(url):
     if url is None or "://" not in url:
         return "", ""
@@ -257,11 +337,42 @@ def test_sentencepiece_agenda_and_decoder():
     for _ in range(300):
         ids = [rng.choice([*c.byte_of, *range(3, 300), 29871, 29871]) for _ in range(rng.randint(0, 9))]
         assert c.decode(ids) == c.lib.decode(ids), ids
-    c.apart = False
+    borders, c.borders = c.borders, None
     try:
         assert c.encode("one  two ▁x") == c.lib.encode("one  two ▁x")
     finally:
-        c.apart = True
+        c.borders = borders
+
+
+def test_sentencepiece_units_never_part_neighbours_of_a_piece(monkeypatch):
+    c = sp_codec.codec(vocabulary(MODEL))
+    pairs = {p[i : i + 2] for p in c.id_of for i in range(len(p) - 1)}
+    rng = random.Random(10)
+    for _ in range(200):
+        t = "".join(rng.choice(["a", "E", "q", "ß", ".", ",", "7", "  ", "\n", "日", "😀", "▁"]) for _ in range(rng.randint(1, 40)))
+        whole, units = sp_codec.MARK + t.replace(" ", sp_codec.MARK), c.units(t)
+        assert "".join(units) == whole
+        borders, at = set(), 0
+        for u in units:
+            at += len(u)
+            borders.add(at)
+        assert borders - {len(whole)} == {i for i in range(1, len(whole)) if whole[i - 1 : i + 1] not in pairs}
+    monkeypatch.setattr(c.borders, "table", None)  # the way for vocabularies of very many characters
+    assert c.encode("Straße, 日本 7.x") == c.lib.encode("Straße, 日本 7.x")
+
+
+def test_sentencepiece_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    path = vocabulary(MODEL)
+    texts = [None, "", "x y", "z" * 40, "", "a. b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["doc_id", "text"])
+    want = [b.to_pydict() for b in sp_codec._digest(iter([batch]), path)]
+    assert len(want) == 1
+    monkeypatch.setattr(sp_codec, "CHUNK_BYTES", 8)
+    monkeypatch.setattr(sp_codec, "CHUNK_ROWS", 2)
+    got = [b.to_pydict() for b in sp_codec._digest(iter([batch.slice(0, 3), batch.slice(3)]), path)]
+    assert len(got) > 3 and {c: [x for g in got for x in g[c]] for c in want[0]} == want[0]
 
 
 def vectors(seed=2):
@@ -300,6 +411,8 @@ def test_near_vectors(spark, block, pivots):
 def test_near_vectors_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert cover_tree.near_vectors(df).collect() == []
+    with pytest.raises(ValueError):
+        cover_tree.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label string"))
 
 
 def test_cover_tree_covers_and_nests():
@@ -361,6 +474,30 @@ def test_sum_of_squares_is_near_the_bound():
         assert len(bins) <= bound * 1.03 + 1
 
 
+def test_sum_of_squares_places_by_the_rule():
+    """Against the sum counted anew for every bin a piece could take."""
+    rng = random.Random(13)
+    for size in (12, 40):
+        lengths = sorted((rng.randint(1, size - 1) for _ in range(150)), reverse=True)
+        bins, gaps = packing.Bins(size), []
+        total = lambda g: sum(n * n for x, n in Counter(g).items() if x)
+        for i, s in enumerate(lengths):
+            bins.put(i, s)
+            change = [(total([*gaps[:k], gaps[k] - s, *gaps[k + 1 :]]), gaps[k], k) for k in range(len(gaps)) if gaps[k] >= s]
+            fresh = total([*gaps, size - s])
+            if not change or fresh < min(change)[0]:
+                gaps.append(size - s)
+            else:
+                gaps[min(change)[2]] -= s
+            assert Counter(g for g in gaps if g) == Counter({g: int(n) for g, n in enumerate(bins.count) if n and g})
+        for i, s in enumerate(lengths[:20]):  # no new bin: the rule among the open ones, or nothing
+            change = [(total([*gaps[:k], gaps[k] - s, *gaps[k + 1 :]]), gaps[k], k) for k in range(len(gaps)) if gaps[k] >= s]
+            assert bins.put(1000 + i, s, new=False) == bool(change)
+            if change:
+                gaps[min(change)[2]] -= s
+            assert Counter(g for g in gaps if g) == Counter({g: int(n) for g, n in enumerate(bins.count) if n and g})
+
+
 def test_sharding(spark):
     shards = [f"s{i}" for i in range(7)]
     table = sharding.lookup_table(shards, 211)
@@ -381,6 +518,18 @@ def test_sharding(spark):
     got = sharding.place(spark.createDataFrame(rows, "doc_id long, shard string"), "doc_id", shards, 211).collect()
     assert len(got) == 4 and {r["doc_id"]: r["shard"] for r in got} == {i: shards[table[sharding._hash("" if i is None else str(i)) % 211]] for i, _ in rows}
     assert sharding.place(spark.createDataFrame([], "doc_id long"), "doc_id", shards, 211).collect() == []
+    clash = spark.createDataFrame([(1, "s", "t", 5, 6)], "doc_id long, _slot string, _shard string, slot int, n int")
+    assert tuple(sharding.place(clash, "doc_id", shards, 211).first()) == (1, "s", "t", 5, 6, shards[table[sharding._hash("1") % 211]])
+    assert sharding.place(clash, "doc_id", shards, 211, into="_SLOT").columns == ["doc_id", "_shard", "slot", "n", "_SLOT"]
+    # the query's own table: turn by turn, each shard's preferences walked from their start
+    names, size = SHARDS, sharding.TABLE_SIZE
+    order = [iter([(sharding._hash(f"{s}/offset") % size + j * (sharding._hash(f"{s}/skip") % (size - 1) + 1)) % size for j in range(size)]) for s in names]
+    owner = [None] * size
+    for k in range(size):
+        owner[next(x for x in order[k % len(names)] if owner[x] is None)] = k % len(names)
+    assert owner == sharding.lookup_table(names, size)
+    many = sharding.place(spark.range(500).withColumnRenamed("id", "doc_id"), "doc_id", names).collect()
+    assert len(many) == 500 and all(r["shard"] == names[owner[sharding._hash(str(r["doc_id"])) % size]] for r in many)
     for bad in (([], 11), (["a", "a"], 11), (["a"], 12), (["a", "b", "c"], 2)):
         with pytest.raises(ValueError):
             sharding.lookup_table(*bad)
@@ -390,6 +539,8 @@ def test_write_shards(spark, tmp_path):
     shards = ["a", "b", "c"]
     sharding.write_shards(spark.range(100).withColumnRenamed("id", "doc_id"), "doc_id", shards, f"{tmp_path}/out", 31, files=2)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 100
+    sharding.write_shards(spark.range(9).selectExpr("id AS doc_id", "'x' AS _salt"), "doc_id", shards, f"{tmp_path}/named", 31)
+    assert set(spark.read.parquet(f"{tmp_path}/named").columns) == {"doc_id", "_salt", "shard"}
 
 
 def test_lm_scores(spark, monkeypatch):
@@ -444,6 +595,16 @@ def test_lm_scores_without_training_rows(spark):
     assert kneser_ney.lm_scores(frame(spark, [])).collect() == []
 
 
+def test_lm_file_that_is_lost_is_an_error(spark, tmp_path):
+    model = kneser_ney.train(spark.createDataFrame([("a b a",), ("b c",)], "text string"), 8)
+    words = np.sort(WordHashes().of([b"a", b"b", b"zzz"]))
+    count, _ = kneser_ney.word_figures(model, words)
+    assert sorted(count) == [0, 2, 2]
+    kneser_ney._map.cache_clear()
+    with pytest.raises(FileNotFoundError):
+        kneser_ney.word_figures(model._replace(folder=str(tmp_path)), words)
+
+
 BPE = "byte_bpe_50k.json"
 
 
@@ -463,6 +624,23 @@ def test_edits_match_a_new_count():
             assert (tree.characters, tree.tokens) == (len(t), len(count.core.encode_ordinary(t)))
 
 
+def test_pre_tokens_that_tiktoken_refuses(monkeypatch):
+    count = token_counts.Counter(vocabulary(BPE))
+    want = [len(count.core.encode_ordinary(p)) for p in (" hello", "日本語")]
+
+    class Refusing:
+        _encode_single_piece = count.core._encode_single_piece
+
+        def encode_ordinary(self, piece):
+            class Panic(BaseException):
+                pass
+
+            raise Panic
+
+    monkeypatch.setattr(count, "core", Refusing())
+    assert [count[p] for p in (" hello", "日本語")] == want
+
+
 def test_apply_edits(spark):
     path = vocabulary(BPE)
     rows = corpus()

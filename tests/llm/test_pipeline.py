@@ -69,6 +69,30 @@ def test_null_and_repeated_ids(spark, tmp_path):
     assert others(different) == others(want(stay))
 
 
+def test_other_columns_and_empty_tables(spark, tmp_path):
+    """Columns named like those that stages and operators use come through; an empty table stays empty."""
+    rng = random.Random(14)
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score double, row_key string, SCORE_ string, kept int, component_id int, fp long, toxic int, rep int, set_key string, family int, bytes int"
+    rows = []
+    for i in range(30):
+        t = " ".join("w" + str(rng.randint(0, 4000)) for _ in range(30))
+        rows.append((i, t, "en", "s", len(t), i / 9, f"k{i}", f"s{i}", i, i, i, i, i, f"x{i}", i, i))
+    rows.append((99, rows[3][1], *rows[3][2:]))
+    docs = spark.createDataFrame(rows, kind)
+    labels = spark.createDataFrame([(i, 1, int(i % 7 == 0)) for i in range(20)], "doc_id long, quality int, toxic int")
+    for name, table in (("full", docs), ("empty", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        kept = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, f"{tmp_path}/{name}")
+            assert kept.columns == docs.columns
+            assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}
+        assert kept.count() == (30 if name == "full" else 0)
+        packed = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert {r["doc_id"] for r in packed.collect()} == ({*range(30)} if name == "full" else set())
+
+
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
