@@ -1,8 +1,7 @@
 """Building and scoring trees: neighbour joining, parsimony, likelihood, simulation.
 
 A tree or a matrix is small, the number of them is not: each is one group, and Spark
-deals the groups.  Scoring needs no per-tree code at all: trees and characters meet
-in joins, level by level.
+deals the groups.  Scoring passes over the levels of all trees of a batch at once.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.operators.components import _checkpoint, _written
-from cladeframe.schema import RAW, RAW_COLUMNS, per_tree
+from cladeframe.schema import RAW, RAW_COLUMNS, Shape, per_tree, whole_trees
 
 
 def invalid_matrices(dist: DataFrame) -> DataFrame:
@@ -66,42 +65,74 @@ def neighbour_joining(dist: DataFrame) -> DataFrame:
     return rows.groupBy("matrix_id").applyInPandas(_join_neighbours, RAW)
 
 
+def _with_sets(nodes: DataFrame, characters: DataFrame, *columns: str) -> DataFrame:
+    """tree_id, pre, depth, ``columns``, and the tips' ``states`` where their taxon has some."""
+    keys = [k for k in ("tree_id", "label") if k in characters.columns]
+    rows = nodes.select(*dict.fromkeys(["tree_id", "pre", "depth", "is_tip", "label", *columns])).join(characters.select(*keys, "states"), keys, "left")
+    return rows.select(*dict.fromkeys(["tree_id", "pre", "depth", *columns]), F.when(F.col("is_tip"), F.col("states")).alias("states"))
+
+
+def _sets(rows: pd.DataFrame, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """State sets as (rows, positions), -1 for anything, and each tree's number of positions."""
+    n = np.array([0 if s is None else len(s) for s in rows["states"]], np.int64)
+    width = np.maximum.reduceat(n, shape.starts) if len(n) else n
+    sets = np.full((len(n), int(n.max(initial=0))), -1, np.int64)
+    for i in np.flatnonzero(n):
+        sets[i, : n[i]] = rows["states"].iat[i]
+    sets[sets == 0] = -1
+    return sets, width
+
+
+def _fitch_up(sets: np.ndarray, shape: Shape) -> np.ndarray:
+    """Fitch's first pass in place, level by level over all trees; the changes at each node."""
+    first, last = shape.ends()
+    changes = np.zeros(len(sets), np.int64)
+    for here in reversed(shape.levels):
+        inner = here[first[here] >= 0]
+        a, b = sets[first[inner]], sets[last[inner]]
+        both = a & b
+        sets[inner] = np.where(both != 0, both, a | b)
+        changes[inner] = (both == 0).sum(axis=1)
+    return changes
+
+
 def fitch(nodes: DataFrame, characters: DataFrame) -> DataFrame:
-    """(tree_id, node_id, states, changes): Fitch's first pass on binary trees, level by level.
+    """(tree_id, node_id, states, changes): Fitch's first pass on binary trees.
 
     ``characters``: label, states (array of state sets), optionally tree_id.  Taxa
-    without a row, and empty sets, can be anything.  Every level is one join of the
-    level below with itself by parent, so all trees and all characters go at once.
+    without a row, and empty sets, can be anything.  A task passes over the levels of
+    all its trees at once.
     """
-    nodes = _checkpoint(nodes)
-    keys = [k for k in ("tree_id", "label") if k in characters.columns]
-    width = characters.select(F.max(F.size("states"))).first()[0] or 0
-    free = F.array_repeat(F.lit(-1), width)
-    t = nodes.where("is_tip").join(characters.select(*keys, "states"), keys, "left")
-    sets = F.coalesce(F.transform("states", lambda m: F.when(m == 0, -1).otherwise(m)), free)
-    done = _checkpoint(t.select("tree_id", "node_id", "parent_id", "pre", "depth", sets.alias("states"), F.lit(0).alias("changes")))
-    inner = nodes.where(~F.col("is_tip")).select("tree_id", "node_id", "parent_id", "pre", "depth")
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    level, finished = done, [done]
-    for d in range(deepest - 1, -1, -1):
-        kids = level.where(F.col("depth") == d + 1)
-        two = kids.groupBy("tree_id", "parent_id").agg(F.min_by("states", "pre").alias("a"), F.max_by("states", "pre").alias("b"), F.count("*").alias("k"))
-        both = F.zip_with("a", "b", lambda x, y: x.bitwiseAND(y))
-        sets = F.when(F.col("k") == 1, F.col("a")).otherwise(F.zip_with("a", "b", lambda x, y: F.when(x.bitwiseAND(y) != 0, x.bitwiseAND(y)).otherwise(x.bitwiseOR(y))))
-        changes = F.when(F.col("k") == 1, 0).otherwise(F.aggregate(both, F.lit(0), lambda s, m: s + F.when(m == 0, 1).otherwise(0)))
-        up = inner.where(F.col("depth") == d).join(two.withColumnRenamed("parent_id", "node_id"), ["tree_id", "node_id"])
-        up = _checkpoint(up.select("tree_id", "node_id", "parent_id", "pre", "depth", sets.alias("states"), changes.cast("int").alias("changes")))
-        finished.append(up)
-        level = up.unionByName(done.where(F.col("depth") == d))
-    out = finished[0]
-    for part in finished[1:]:
-        out = out.unionByName(part)
-    return out.select("tree_id", "node_id", "states", "changes")
+
+    def run(rows: pd.DataFrame, shape: Shape) -> pd.DataFrame:
+        sets, width = _sets(rows, shape)
+        changes = _fitch_up(sets, shape)
+        own = [sets[i, :w] for i, w in enumerate(width[shape.tree])]
+        return rows[["tree_id", "node_id"]].assign(states=own, changes=changes)
+
+    return whole_trees(_with_sets(nodes, characters, "node_id"), run, "tree_id long, node_id int, states array<int>, changes int")
 
 
 def fitch_score(nodes: DataFrame, characters: DataFrame) -> DataFrame:
     """(tree_id, score): the changes that each tree needs for all characters."""
-    return fitch(nodes, characters).groupBy("tree_id").agg(F.sum("changes").alias("score"))
+
+    def run(rows: pd.DataFrame, shape: Shape) -> pd.DataFrame:
+        score = np.add.reduceat(_fitch_up(_sets(rows, shape)[0], shape), shape.starts)
+        return pd.DataFrame({"tree_id": rows["tree_id"].to_numpy()[shape.starts], "score": score})
+
+    return whole_trees(_with_sets(nodes, characters), run, "tree_id long, score long")
+
+
+def _pick(sets: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """One state of each set, as a set, by a hash of each row's key and the position."""
+    with np.errstate(over="ignore"):
+        h = key[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(sets.shape[1], dtype=np.uint64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    bits = (sets[:, :, None] >> np.arange(24)) & 1
+    nth = bits.cumsum(axis=2)
+    wanted = (h % np.maximum(nth[:, :, -1], 1).astype(np.uint64)).astype(np.int64) + 1
+    return 1 << ((nth == wanted[:, :, None]) & (bits == 1)).argmax(axis=2)
 
 
 def fitch_states(nodes: DataFrame, characters: DataFrame, seed: int = 0) -> DataFrame:
@@ -110,28 +141,33 @@ def fitch_states(nodes: DataFrame, characters: DataFrame, seed: int = 0) -> Data
     A node keeps the parent's state where it can; else, and at the root, one of its
     states is taken by a hash of (seed, tree, node, position).
     """
-    first = _checkpoint(fitch(nodes, characters).drop("changes").join(nodes.select("tree_id", "node_id", "parent_id", "depth"), ["tree_id", "node_id"]))
-    deepest = first.agg(F.max("depth")).first()[0] or 0
-
-    def pick(m, i):
-        bits = F.filter(F.sequence(F.lit(0), F.lit(23)), lambda b: F.shiftright(m, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1), b)) != 0)
-        h = F.pmod(F.xxhash64(F.lit(seed), "tree_id", "node_id", i), F.size(bits)).cast("int")
-        return F.call_function("shiftleft", F.lit(1), F.get(bits, h))
-
-    level = _checkpoint(first.where("depth = 0").select("tree_id", "node_id", F.transform("states", pick).alias("states"), F.lit(0).alias("changes")))
-    finished = [level]
-    for d in range(1, deepest + 1):
-        up = level.select("tree_id", F.col("node_id").alias("parent_id"), F.col("states").alias("above"))
-        here = first.where(F.col("depth") == d).join(up, ["tree_id", "parent_id"])
-        chosen = F.transform("states", lambda m, i: F.when(m.bitwiseAND(F.get("above", i)) != 0, F.get("above", i)).otherwise(pick(m, i)))
-        here = here.withColumn("chosen", chosen)
-        moved = F.aggregate(F.zip_with("chosen", "above", lambda x, y: F.when(x == y, 0).otherwise(1)), F.lit(0), lambda s, x: s + x)
-        level = _checkpoint(here.select("tree_id", "node_id", F.col("chosen").alias("states"), moved.alias("changes")))
-        finished.append(level)
-    out = finished[0]
-    for part in finished[1:]:
-        out = out.unionByName(part)
-    return out
+
+    def run(rows: pd.DataFrame, shape: Shape) -> pd.DataFrame:
+        sets, width = _sets(rows, shape)
+        _fitch_up(sets, shape)
+        with np.errstate(over="ignore"):
+            key = (rows["tree_id"].to_numpy().astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + rows["node_id"].to_numpy().astype(np.uint64)) ^ np.uint64(seed % 2**64)
+        chosen, changes = _pick(sets, key), np.zeros(len(rows), np.int64)
+        for here in shape.levels[1:]:
+            above = chosen[shape.up[here]]
+            chosen[here] = np.where((sets[here] & above) != 0, above, chosen[here])
+            changes[here] = (chosen[here] != above).sum(axis=1)
+        own = [chosen[i, :w] for i, w in enumerate(width[shape.tree])]
+        return rows[["tree_id", "node_id"]].assign(states=own, changes=changes)
+
+    return whole_trees(_with_sets(nodes, characters, "node_id"), run, "tree_id long, node_id int, states array<int>, changes int")
+
+
+def fitch_trees(nodes: DataFrame, characters: DataFrame, alphabet: dict[str, int] | None = None, seed: int = 0) -> DataFrame:
+    """Raw trees of the second pass: branch lengths are the changes, ann has trait_0, trait_1, ... with the states' characters."""
+    from cladeframe.functions.sequences import decode
+
+    s = fitch_states(nodes, characters, seed)
+    letters = F.filter(F.split(decode(F.col("states"), alphabet), ""), lambda c: c != "")
+    names = F.transform(F.sequence(F.lit(0), F.size("states") - 1), lambda i: F.concat(F.lit("trait_"), i.cast("string")))
+    ann = F.when(F.size("states") > 0, F.map_from_arrays(names, letters))
+    kept = [c for c in RAW_COLUMNS if c != "branch_length"]
+    return nodes.select(*kept).join(s, ["tree_id", "node_id"]).select(*kept, F.col("changes").cast("double").alias("branch_length"), ann.alias("ann"))
 
 
 # Stepwise addition: each replicate grows its own tree.
@@ -329,62 +365,76 @@ class Model:
         return partial @ (self.frequencies if weigh else np.ones(self.states))
 
 
-def _partials(rows: pd.DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(partials, log scale, order) of one tree's nodes in preorder; states are bit masks per position."""
-    rows = rows.sort_values("pre").reset_index(drop=True)
-    n = len(rows)
-    at = {k: i for i, k in enumerate(rows["node_id"])}
-    width = max((len(s) for s in rows["states"] if s is not None), default=1)
-    part = np.ones((n, width, model.states))
-    for i, s in enumerate(rows["states"]):
-        if s is not None:
-            mask = np.asarray(s, np.int64)
-            part[i] = np.where(mask[:, None] == 0, 1, (mask[:, None] >> np.arange(model.states)) & 1)
-    p = model.transition(rows["branch_length"].fillna(0).to_numpy())
-    scale = np.zeros(width)
-    for i in range(n - 1, 0, -1):
-        up = at[rows["parent_id"][i]]
-        part[up] *= part[i] @ p[i].T
-        top = part[up].max(axis=1, keepdims=True)
+def _partials(rows: pd.DataFrame, shape: Shape, model: Model, length: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(partials, log scale by tree and position) of whole trees; states are bit masks per position.
+
+    P(t) is made once for each distinct length; levels go one after the other, all trees at once.
+    """
+    masks, _ = _sets(rows, shape)
+    masks = masks if masks.shape[1] else np.full((len(rows), 1), -1)
+    part = ((masks[:, :, None] >> np.arange(model.states)) & 1).astype(float)
+    if length is None:
+        length = np.nan_to_num(rows["branch_length"].to_numpy(float))
+    distinct, of = np.unique(length, return_inverse=True)
+    p = model.transition(distinct).transpose(0, 2, 1)
+    scale = np.zeros((len(shape.starts), masks.shape[1]))
+    for here in reversed(shape.levels[1:]):
+        np.multiply.at(part, shape.up[here], part[here] @ p[of[here]])
+        above = np.unique(shape.up[here])
+        top = part[above].max(axis=2)
         top[top == 0] = 1
-        part[up] /= top
-        scale += np.log(top[:, 0])
-    return part, scale, rows["node_id"].to_numpy()
+        part[above] /= top[:, :, None]
+        np.add.at(scale, shape.tree[above], np.log(top))
+    return part, scale
 
 
-def log_likelihood(nodes: DataFrame, characters: DataFrame, model: Model, positions: int | None = 1, weighted_root: bool | None = None) -> DataFrame:
-    """(tree_id, log_likelihood) by pruning, over the first ``positions`` characters (None: all)."""
+def _log_likelihoods(rows: pd.DataFrame, shape: Shape, model: Model, weighted_root: bool | None, length: np.ndarray | None = None) -> np.ndarray:
+    part, scale = _partials(rows, shape, model, length)
+    with np.errstate(divide="ignore"):
+        return (np.log(model.root(part[shape.starts], weighted_root)) + scale).sum(axis=1)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        part, scale, _ = _partials(rows, model)
-        return pd.DataFrame({"tree_id": [rows["tree_id"].iloc[0]], "log_likelihood": [float((np.log(model.root(part[0], weighted_root)) + scale).sum())]})
 
-    return per_tree(_with_states(nodes, characters, positions), run, "tree_id long, log_likelihood double")
+def log_likelihood(nodes: DataFrame, characters: DataFrame, model: Model, positions: int | None = 1, weighted_root: bool | None = None, cuts: list[tuple[float, float]] | None = None, clades: DataFrame | None = None) -> DataFrame:
+    """(tree_id, log_likelihood) by pruning, over the first ``positions`` characters (None: all).
 
+    ``cuts``: rates by distance from the root (``transform.skyline_scale``); ``clades``:
+    label, set_id, rate (and tree_id): rates below common ancestors
+    (``transform.clade_scale``); where both are given their rates multiply.  Data that
+    the tree can't give (unlike states without a branch between them) have -infinity.
+    """
+    from cladeframe.operators.transform import clade_lengths, skyline_lengths
 
-def _with_states(nodes: DataFrame, characters: DataFrame, positions: int | None) -> DataFrame:
-    keys = [k for k in ("tree_id", "label") if k in characters.columns]
-    states = F.col("states") if positions is None else F.slice("states", 1, positions)
-    t = nodes.where("is_tip").join(characters.select(*keys, states.alias("states")), keys, "left")
-    columns = ["tree_id", "node_id", "parent_id", "pre", "branch_length", "states"]
-    return t.select(columns).unionByName(nodes.where(~F.col("is_tip")).withColumn("states", F.lit(None).cast("array<int>")).select(columns))
+    if cuts:
+        nodes = skyline_lengths(nodes, cuts)
+    if clades is not None:
+        nodes = clade_lengths(nodes, clades)
+
+    def run(rows: pd.DataFrame, shape: Shape) -> pd.DataFrame:
+        return pd.DataFrame({"tree_id": rows["tree_id"].to_numpy()[shape.starts], "log_likelihood": _log_likelihoods(rows, shape, model, weighted_root)})
+
+    return whole_trees(_with_states(nodes, characters, positions), run, "tree_id long, log_likelihood double")
+
+
+def _with_states(nodes: DataFrame, characters: DataFrame, positions: int | None, *columns: str) -> DataFrame:
+    some = characters if positions is None else characters.withColumn("states", F.slice("states", 1, positions))
+    return _with_sets(nodes, some, "node_id", "branch_length", *columns)
 
 
 def ancestral_states(nodes: DataFrame, characters: DataFrame, model: Model) -> DataFrame:
-    """(tree_id, node_id, likelihoods): normalised partials of the first character at inner nodes."""
+    """(tree_id, node_id, likelihoods): normalised partials of the first character at inner nodes; null for impossible data."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        part, _, ids = _partials(rows, model)
-        above = set(rows["parent_id"].dropna())
-        inner = [i for i, k in enumerate(ids) if k in above]
-        found = pd.Series([(part[i, 0] / part[i, 0].sum()).tolist() for i in inner], dtype=object)
-        return pd.DataFrame({"tree_id": [rows["tree_id"].iloc[0]] * len(inner), "node_id": [int(ids[i]) for i in inner], "likelihoods": found})
+    def run(rows: pd.DataFrame, shape: Shape) -> pd.DataFrame:
+        part, _ = _partials(rows, shape, model)
+        inner = np.flatnonzero(shape.ends()[0] >= 0)
+        total = part[inner, 0].sum(axis=1)
+        found = [x / t if t > 0 else None for x, t in zip(part[inner, 0], total, strict=True)]
+        return pd.DataFrame({"tree_id": rows["tree_id"].to_numpy()[inner], "node_id": rows["node_id"].to_numpy()[inner], "likelihoods": pd.Series(found, dtype=object)})
 
-    return per_tree(_with_states(nodes, characters, 1), run, "tree_id long, node_id int, likelihoods array<double>")
+    return whole_trees(_with_states(nodes, characters, 1), run, "tree_id long, node_id int, likelihoods array<double>")
 
 
-def minimise(f, start: np.ndarray, low: float = 1e-6, high: float = 100.0, tolerance: float = 1e-8, most: int = 500) -> tuple[np.ndarray, float]:
-    """Nelder and Mead's simplex within bounds, with a limit of evaluations."""
+def minimise(f, start: np.ndarray, low: float = 1e-6, high: float = 100.0, tolerance: float = 1e-8, most: int | None = None) -> tuple[np.ndarray, float]:
+    """Nelder and Mead's simplex within bounds, until its values agree (or ``most`` evaluations)."""
     n = len(start)
     fold = lambda x: np.clip(np.abs(x), low, high)
     pts = [fold(np.array(start, float))]
@@ -394,7 +444,7 @@ def minimise(f, start: np.ndarray, low: float = 1e-6, high: float = 100.0, toler
         pts.append(fold(x))
     val = [f(x) for x in pts]
     used = n + 1
-    while used < most:
+    while most is None or used < most:
         order = np.argsort(val)
         pts, val = [pts[i] for i in order], [val[i] for i in order]
         if abs(val[-1] - val[0]) <= tolerance * (abs(val[0]) + tolerance):
@@ -424,28 +474,70 @@ def minimise(f, start: np.ndarray, low: float = 1e-6, high: float = 100.0, toler
     return pts[k], val[k]
 
 
-def optimise(nodes: DataFrame, characters: DataFrame, states: int, fixed: list[int] | None = None, positions: int | None = 1, **model) -> DataFrame:
-    """(tree_id, log_likelihood, rates): per tree, the rates (but for ``fixed`` classes) of largest likelihood."""
+def optimise(
+    nodes: DataFrame, characters: DataFrame, states: int, fixed: list[int] | None = None, positions: int | None = 1, free_frequencies: bool = False,
+    cuts: list[tuple[float, float]] | None = None, free_cuts: bool = False, fixed_cut_rates: list[int] | None = None,
+    clades: DataFrame | None = None, fixed_clades: list[str] | None = None, **model,
+) -> DataFrame:
+    """(tree_id, log_likelihood, rates, frequencies, cuts, cut_rates, clade_rates): per tree, the parameters of largest likelihood.
+
+    Free are the rates (but for ``fixed`` classes), with ``free_frequencies`` the
+    frequencies, the rates of the skyline (but for ``fixed_cut_rates`` positions), with
+    ``free_cuts`` its places, and the rates of the ``clades`` (label, set_id, rate, and
+    optionally tree_id; but for ``fixed_clades``).  A tree is one unit of work.
+    """
+    from cladeframe.operators.transform import clade_sets
+
     begin = Model(states, **model)
-    free = [i for i in range(len(begin.rates)) if i not in (fixed or [])]
+    cuts = sorted(cuts or [])
+    names = [] if clades is None else [r["set_id"] for r in clades.select("set_id").distinct().orderBy("set_id").collect()]
+    first_rate = {} if clades is None else {r["set_id"]: r["rate"] for r in clades.groupBy("set_id").agg(F.min("rate").alias("rate")).collect()}
+    rows = nodes if clades is None else clade_sets(nodes, clades)
+    rows = rows if clades is not None else rows.withColumn("set_id", F.lit(None).cast("string"))
+    free_rates = [i for i in range(len(begin.rates)) if i not in (fixed or [])]
+    free_cut_rates = [i for i in range(len(cuts)) if i not in (fixed_cut_rates or [])]
+    free_sets = [n for n in names if n not in (fixed_clades or [])]
+    start = [begin.rates[i] for i in free_rates] + (list(begin.frequencies) if free_frequencies else [])
+    start += ([c for c, _ in cuts] if free_cuts else []) + [cuts[i][1] for i in free_cut_rates] + [first_rate[n] for n in free_sets]
+
+    def parameters(x: np.ndarray) -> tuple:
+        x = list(map(float, x))
+        take = lambda n: [x.pop(0) for _ in range(n)]
+        rates, cut_rates, sets = list(begin.rates), [r for _, r in cuts], dict(first_rate)
+        for i, v in zip(free_rates, take(len(free_rates)), strict=True):
+            rates[i] = v
+        share = np.array(take(states)) if free_frequencies else begin.frequencies
+        places = sorted(take(len(cuts))) if free_cuts else [c for c, _ in cuts]
+        for i, v in zip(free_cut_rates, take(len(free_cut_rates)), strict=True):
+            cut_rates[i] = v
+        for n, v in zip(free_sets, take(len(free_sets)), strict=True):
+            sets[n] = v
+        return rates, share / share.sum(), places, cut_rates, sets
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        shape = Shape(part["tree_id"].to_numpy(), part["depth"].to_numpy())
+        own = np.nan_to_num(part["branch_length"].to_numpy(float))
+        hi = part["root_dist"].to_numpy() - own[0]
+        lo = hi - own
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
         def value(x: np.ndarray) -> float:
-            rates = list(begin.rates)
-            for i, v in zip(free, x, strict=True):
-                rates[i] = float(v)
-            m = Model(states, rates, begin.classes, list(begin.frequencies), begin.reversible)
-            part, scale, _ = _partials(rows, m)
-            got = (np.log(np.maximum(m.root(part[0]), 1e-300)) + scale).sum()
-            return -float(got)
-
-        x, v = minimise(value, np.array([begin.rates[i] for i in free])) if free else (np.array([]), value(np.array([])))
-        rates = list(begin.rates)
-        for i, r in zip(free, x, strict=True):
-            rates[i] = float(r)
-        return pd.DataFrame({"tree_id": [rows["tree_id"].iloc[0]], "log_likelihood": [-v], "rates": [rates]})
-
-    return per_tree(_with_states(nodes, characters, positions), run, "tree_id long, log_likelihood double, rates array<double>")
+            rates, share, places, cut_rates, sets = parameters(x)
+            length, last = np.zeros(len(own)), 0.0
+            for c, r in zip(places, cut_rates, strict=True):
+                length += np.maximum(0, np.minimum(hi, c) - np.maximum(lo, last)) * r
+                last = c
+            length = length + np.maximum(0, hi - np.maximum(lo, last)) if places else own.copy()
+            length *= [sets.get(n, 1.0) for n in part["set_id"]]
+            m = Model(states, rates, begin.classes, list(share), begin.reversible)
+            got = float(_log_likelihoods(part, shape, m, None, length)[0])
+            return 1e300 if not np.isfinite(got) else -got
+
+        x, v = minimise(value, np.array(start)) if start else (np.array([]), value(np.array([])))
+        rates, share, places, cut_rates, sets = parameters(x)
+        return pd.DataFrame({"tree_id": [part["tree_id"].iloc[0]], "log_likelihood": [-v if v < 1e300 else -np.inf], "rates": [rates], "frequencies": [list(share)], "cuts": [places], "cut_rates": [cut_rates], "clade_rates": [sets]})
+
+    given = _with_states(rows, characters, positions, "root_dist", "set_id")
+    return per_tree(given, run, "tree_id long, log_likelihood double, rates array<double>, frequencies array<double>, cuts array<double>, cut_rates array<double>, clade_rates map<string,double>")
 
 
 def simulate_characters(nodes: DataFrame, model: Model, n: int, seed: int = 0) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cladeframe.schema import Shape, fold_clades, whole_trees
+
 
 def support() -> Column:
     """An inner node's label as a number, where it is one."""
@@ -41,8 +45,8 @@ def inside(a: str = "a", x: str = "x") -> Column:
 
 def shortest_to_tip(nodes: DataFrame) -> DataFrame:
     """Per node, the shortest way to a tip below it, its own branch included."""
-    below = nodes.alias("a").join(tips(nodes).alias("x"), inside())
-    return below.groupBy("a.tree_id", "a.node_id").agg(F.min(F.col("x.root_dist") - F.col("a.root_dist") + F.coalesce("a.branch_length", F.lit(0.0))).alias("shortest"))
+    below = fold_clades(nodes, ["tree_id", "node_id", "root_dist", "branch_length"], nearest=(F.when(F.col("is_tip"), F.col("root_dist")), "min"))
+    return below.select("tree_id", "node_id", (F.col("nearest") - F.col("root_dist") + F.coalesce("branch_length", F.lit(0.0))).alias("shortest"))
 
 
 def furthest_tip(nodes: DataFrame) -> DataFrame:
@@ -64,11 +68,16 @@ def patristic_sum(nodes: DataFrame) -> DataFrame:
     sum over x's ancestors e of len(e) * (n - 2 k(e)) plus the sum over all e of
     len(e) * k(e); the root's branch lies between no tips.
     """
-    edges = nodes.where("parent_id IS NOT NULL").select("tree_id", "pre", "last", "n_tips", F.coalesce("branch_length", F.lit(0.0)).alias("len"))
-    total = nodes.groupBy("tree_id").agg(F.max("n_tips").alias("n"), F.sum(F.when(F.col("parent_id").isNotNull(), F.coalesce("branch_length", F.lit(0.0)) * F.col("n_tips"))).alias("s"))
-    up = tips(nodes).alias("x").join(edges.alias("a"), inside(), "left").join(total.alias("t"), F.col("x.tree_id") == F.col("t.tree_id"))
-    own = F.sum(F.coalesce(F.col("a.len") * (F.col("t.n") - 2 * F.col("a.n_tips")), F.lit(0.0)))
-    return up.groupBy("x.tree_id", "x.label").agg((own + F.coalesce(F.max("t.s"), F.lit(0.0))).alias("distance_sum"))
+    length = F.when(F.col("parent_id").isNotNull(), F.coalesce("branch_length", F.lit(0.0))).otherwise(0.0)
+
+    def run(rows: pd.DataFrame, shape: Shape) -> pd.DataFrame:
+        below, own = rows["n_tips"].to_numpy(), rows["length"].to_numpy()
+        n = below[shape.starts][shape.tree]
+        sums = shape.path_sum(own * (n - 2 * below)) + shape.total(own * below)
+        return rows[["tree_id", "label"]].assign(distance_sum=sums)[rows["is_tip"].to_numpy()]
+
+    rows = nodes.select("tree_id", "pre", "depth", "n_tips", "is_tip", F.when(F.col("is_tip"), F.col("label")).alias("label"), length.alias("length"))
+    return whole_trees(rows, run, "tree_id long, label string, distance_sum double")
 
 
 def pair_distance(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -184,11 +193,16 @@ def extreme_branch(nodes: DataFrame, longest: bool = True, root: bool = False) -
 def clade_counts(nodes: DataFrame, taxa: DataFrame) -> DataFrame:
     """Nodes with the number of named tips below each, and per tree all tips and all named ones."""
     keys = [k for k in ("tree_id", "label") if k in taxa.columns]
-    named = tips(nodes).join(taxa, keys, "left_semi").select("tree_id", "pre")
-    below = nodes.alias("a").join(named.alias("x"), inside(), "left")
-    hit = below.groupBy("a.tree_id", "a.node_id").agg(F.count("x.pre").cast("int").alias("n_in"))
-    tree = nodes.groupBy("tree_id").agg(F.max("n_tips").alias("all_tips")).join(named.groupBy("tree_id").agg(F.count("*").cast("int").alias("all_in")), "tree_id")
-    return nodes.join(hit, ["tree_id", "node_id"]).join(tree, "tree_id")
+    named = taxa.select(*keys).distinct().withColumn("named", F.lit(1))
+    rows = nodes.join(named, keys, "left").select(*nodes.columns, F.when(F.col("is_tip") & F.col("named").isNotNull(), 1).otherwise(0).alias("named"))
+
+    def run(part: pd.DataFrame, shape: Shape) -> pd.DataFrame:
+        hit = part["named"].to_numpy()
+        out = part.drop(columns="named").assign(n_in=shape.fold(hit, np.add), all_tips=part["n_tips"].to_numpy()[shape.starts][shape.tree], all_in=shape.total(hit))
+        return out[out["all_in"] > 0]
+
+    kinds = ", ".join(f"`{c}` {nodes.schema[c].dataType.simpleString()}" for c in nodes.columns)
+    return whole_trees(rows, run, f"{kinds}, n_in int, all_tips int, all_in int")
 
 
 def relaxed_outgroup(nodes: DataFrame, taxa: DataFrame) -> DataFrame:
@@ -211,10 +225,8 @@ def clock_z(nodes: DataFrame, n_char: float = 1.0) -> DataFrame:
     A child's clade has a = n_char * sum of tip distances and c = n_char * sum over its
     edges of length * tips below squared, its own edge included.
     """
-    edges = nodes.where("parent_id IS NOT NULL")
-    below = edges.alias("a").join(edges.alias("x"), inside())
-    length = F.coalesce("x.branch_length", F.lit(0.0)) * n_char
-    sums = below.groupBy("a.tree_id", "a.parent_id", "a.child_ord", "a.pre", "a.n_tips").agg(F.sum(length * F.col("x.n_tips")).alias("a"), F.sum(length * F.col("x.n_tips") ** 2).alias("c"))
+    length = F.when(F.col("parent_id").isNotNull(), F.coalesce("branch_length", F.lit(0.0))).otherwise(0.0) * n_char
+    sums = fold_clades(nodes, ["tree_id", "parent_id", "pre", "n_tips"], a=(length * F.col("n_tips"), "sum"), c=(length * F.col("n_tips") ** 2, "sum")).where("parent_id IS NOT NULL")
     k = F.row_number().over(Window.partitionBy("tree_id", "parent_id").orderBy("pre"))
     s = sums.withColumn("k", k).where("k <= 2")
     side = lambda i, e: F.max(F.when(F.col("k") == i, e))

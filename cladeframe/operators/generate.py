@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.operators.forest import inside, tips, unrooted_branches
-from cladeframe.schema import RAW, RAW_COLUMNS
+from cladeframe.operators.forest import tips
+from cladeframe.schema import RAW, RAW_COLUMNS, Shape, whole_trees
+from cladeframe.sources.newick import numbered
 
 
 def _trees(sizes: DataFrame, make: Callable[[np.random.Generator, dict], list[list]], seed: int) -> DataFrame:
@@ -109,42 +110,72 @@ def add_branches(nodes: DataFrame, birth: float, seed: int = 0) -> DataFrame:
 
 
 def gene_masks(genes: DataFrame) -> DataFrame:
-    """(label, mask): the genes of each taxon as bits; (taxon, gene) with at most 62 distinct genes."""
-    names = [r[0] for r in genes.select("gene").distinct().orderBy("gene").limit(63).collect()]
-    if len(names) > 62:
-        raise ValueError("more genes than bits")
-    bit = F.create_map(*[F.lit(x) for i, g in enumerate(names) for x in (g, 1 << i)]) if names else F.lit(None)
-    return genes.groupBy(F.col("taxon").alias("label")).agg(F.bit_or(F.element_at(bit, F.col("gene")).cast("long")).alias("mask"))
+    """(label, mask): the genes of each taxon as bits of as many longs as it takes; from (taxon, gene)."""
+    names = genes.select("gene").where("gene IS NOT NULL").distinct()
+    number = numbered(names.orderBy("gene"), "k").select("gene", (F.col("k") - 1).alias("k"))
+    words = -(-max(1, names.count()) // 63)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("k") % 63).cast("int"))
+    word = genes.join(number, "gene").groupBy(F.col("taxon").alias("label"), F.floor(F.col("k") / 63).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits"))
+    of = word.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))
+    return of.select("label", F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long"))).alias("mask"))
+
+
+def _distinguished(rows: pd.DataFrame, shape: Shape) -> pd.DataFrame:
+    """Counts of the inner branches of whole trees, and of those that some gene distinguishes."""
+    width = max((len(m) for m in rows["mask"] if m is not None), default=1)
+    none = np.zeros(width, np.int64)
+    own = np.array([none if m is None else m for m in rows["mask"]], np.int64).reshape(len(rows), width)
+    tips = rows["is_tip"].to_numpy()
+    below = shape.fold(np.where(tips[:, None], own, 0), np.bitwise_or)
+    up, (first, last) = shape.up, shape.ends()
+    kids = np.bincount(up[up >= 0], minlength=len(rows))
+    # genes of the tips beside each node: its siblings', from the left and from the right
+    beside = np.zeros_like(below)
+    for order in (np.arange(len(rows)), np.arange(len(rows))[::-1]):
+        nodes = order[up[order] >= 0]
+        nodes = nodes[np.argsort(up[nodes], kind="stable")]
+        at = np.arange(len(nodes)) - np.searchsorted(up[nodes], up[nodes])
+        run = np.zeros_like(below)
+        for k in range(1, int(at.max(initial=0)) + 1):
+            here = np.flatnonzero(at == k)
+            run[nodes[here]] = run[nodes[here - 1]] | below[nodes[here - 1]]
+        beside |= run
+    outside = np.zeros_like(below)
+    for here in shape.levels[1:]:
+        outside[here] = outside[up[here]] | beside[here]
+    b = np.flatnonzero((up >= 0) & ~tips & (kids >= 2))
+    at_root = rows["depth"].to_numpy()[b] == 1
+    over = at_root & (kids[up[b]] == 2)
+    b, at_root, over = (x[~(over & (last[up[b]] == b))] for x in (b, at_root, over))  # the same branch from its other end
+    sibling = np.where(first[up[b]] == b, last[up[b]], first[up[b]])
+    whole = np.where(over, kids[sibling] >= 2, ~at_root | (kids[up[b]] > 2))  # all four sides are there
+    b, over, sibling = b[whole], over[whole], sibling[whole]
+    third = np.where(over[:, None], below[first[sibling]], np.where((kids[up[b]] == 2)[:, None], below[sibling], beside[b]))
+    fourth = np.where(over[:, None], below[last[sibling]], outside[up[b]])
+    wide = kids[up[b]] > 2
+    if wide.any():  # a node of many children: the first sibling against the other ones and what is outside
+        for i in np.flatnonzero(wide & ~over):
+            others = np.flatnonzero((up == up[b[i]]) & (np.arange(len(rows)) != b[i]))
+            third[i] = below[others[0]]
+            fourth[i] = outside[up[b[i]]] | (np.bitwise_or.reduce(below[others[1:]], axis=0) if len(others) > 1 else 0)
+    hit = ((below[first[b]] & below[last[b]] & third & fourth) != 0).any(axis=1)
+    n = len(shape.starts)
+    made = pd.DataFrame({"tree_id": rows["tree_id"].to_numpy()[shape.starts], "branches": np.bincount(shape.tree[b], minlength=n), "distinguished": np.bincount(shape.tree[b], weights=hit, minlength=n).astype(np.int64)})
+    return made[made["branches"] > 0]
 
 
 def decisiveness(nodes: DataFrame, masks: DataFrame) -> DataFrame:
     """(tree_id, branches, distinguished): inner branches that some gene distinguishes.
 
-    A branch is distinguished if one gene has taxa in all four subtrees around it: the
-    two below, the sibling's, and the rest above.  At a root of two children the
-    sibling's two subtrees are the other two.  Branches with an empty side don't count.
+    ``masks``: label, mask (array of longs), optionally tree_id.  A branch is
+    distinguished if one gene has taxa in all four subtrees around it: the two below,
+    the sibling's, and the rest above.  At a root of two children the sibling's two
+    subtrees are the other two.  Branches with an empty side don't count.
     """
     keys = [k for k in ("tree_id", "label") if k in masks.columns]
-    t = tips(nodes).join(masks, keys, "left").select("tree_id", "pre", F.coalesce("mask", F.lit(0)).cast("long").alias("mask"))
-    of = nodes.alias("a").join(t.alias("x"), inside()).groupBy("a.tree_id", "a.node_id", "a.parent_id", "a.pre", "a.last", "a.depth").agg(F.bit_or("x.mask").alias("m"))
-    kids = of.where("parent_id IS NOT NULL").groupBy("tree_id", "parent_id").agg(F.min_by("m", "pre").alias("m1"), F.max_by("m", "pre").alias("m2"), F.count("*").alias("k"))
-    b = unrooted_branches(nodes).where("NOT is_tip").select("tree_id", "node_id", "parent_id", "pre", "last", "depth")
-    b = b.join(kids.select("tree_id", F.col("parent_id").alias("node_id"), "m1", "m2"), ["tree_id", "node_id"])
-    sib = of.select("tree_id", "parent_id", F.col("node_id").alias("s"), F.col("m").alias("ms"), F.col("pre").alias("spre"))
-    b = b.join(sib, ["tree_id", "parent_id"]).where("s <> node_id")
-    two = kids.select("tree_id", F.col("parent_id").alias("s"), F.col("m1").alias("s1"), F.col("m2").alias("s2"))
-    roots = nodes.where("parent_id IS NULL").select("tree_id", "node_id").join(kids.select("tree_id", F.col("parent_id").alias("node_id"), F.col("k").alias("root_k")), ["tree_id", "node_id"]).select("tree_id", "root_k")
-    b = b.join(two, ["tree_id", "s"], "left").join(roots, "tree_id")
-    parent = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.col("pre").alias("ppre"), F.col("last").alias("plast"))
-    b = b.join(parent, ["tree_id", "parent_id"])
-    over_root = (F.col("depth") == 1) & (F.col("root_k") == 2)
-    rest = b.alias("b").join(t.alias("t"), (F.col("b.tree_id") == F.col("t.tree_id")) & ~F.col("t.pre").between(F.col("b.ppre"), F.col("b.plast")), "left")
-    rest = rest.groupBy(*[f"b.{c}" for c in b.columns]).agg(F.bit_or("t.mask").alias("above"))
-    third = F.when(over_root, F.col("s1")).otherwise(F.col("ms"))
-    fourth = F.when(over_root, F.col("s2")).otherwise(F.col("above"))
-    rest = rest.withColumn("c", third).withColumn("d", fourth).where("c IS NOT NULL AND d IS NOT NULL")
-    common = F.col("m1").bitwiseAND(F.col("m2")).bitwiseAND(F.col("c")).bitwiseAND(F.col("d"))
-    return rest.groupBy("tree_id").agg(F.countDistinct("node_id").alias("branches"), F.count_if(common != 0).alias("distinguished"))
+    rows = nodes.select("tree_id", "pre", "depth", "is_tip", "label").join(masks.select(*keys, "mask"), keys, "left")
+    rows = rows.select("tree_id", "pre", "depth", "is_tip", F.when(F.col("is_tip"), F.col("mask")).alias("mask"))
+    return whole_trees(rows, _distinguished, "tree_id long, branches long, distinguished long")
 
 
 def decisive_share(counts: DataFrame) -> DataFrame:

@@ -119,13 +119,18 @@ def completeness(sequence: Column) -> Column:
     return F.length(sequence) - 2 * n
 
 
-def cluster(seqs: DataFrame, pairs: DataFrame, cut_off: float = 0.999) -> DataFrame:
+def cluster(seqs: DataFrame, pairs: DataFrame, cut_off: float = 0.999, by: str | None = None, cut_offs: DataFrame | None = None) -> DataFrame:
     """(member, lead): components of the pairs whose similarity exceeds the cut-off.
 
     ``seqs``: seq_id, completeness. The most complete member leads, of equal ones the
-    smallest id.  Sequences without a link are their own lead.
+    smallest id.  Sequences without a link are their own lead.  ``cut_offs``: a table
+    (``by``, cut_off) with a value for some of the pairs' genes (or other column ``by``).
     """
-    links = pairs.where(F.col("similarity") > cut_off)
+    if by and cut_offs is not None:
+        pairs = pairs.join(cut_offs.select(by, "cut_off"), by, "left")
+        links = pairs.where(F.col("similarity") > F.coalesce("cut_off", F.lit(cut_off)))
+    else:
+        links = pairs.where(F.col("similarity") > cut_off)
     comp = connected_components(links, "seq_id_a", "seq_id_b").withColumnRenamed("id", "seq_id")
     named = seqs.select("seq_id", "completeness").join(comp, "seq_id", "left").withColumn("component", F.coalesce("component", "seq_id"))
     best = F.min_by("seq_id", F.struct(-F.col("completeness"), "seq_id")).alias("lead")
@@ -144,7 +149,7 @@ def common_taxon(a: Column, b: Column) -> Column:
 def taxon_distances(pairs: DataFrame, value: str = "jc_minus_p") -> DataFrame:
     """(taxon, bin): each pair counted in the common taxon of its two sequences and all taxa above it."""
     ranks = common_taxon(F.col("taxonomy_a"), F.col("taxonomy_b"))
-    v = F.least(F.floor(F.col(value) * PER_UNIT), F.lit(BINS - 1)).cast("int")
+    v = F.floor(F.least(F.col(value) * PER_UNIT, F.lit(float(BINS - 1)))).cast("int")  # infinite ones in the last bin
     p = pairs.select(ranks.alias("ranks"), v.alias("bin")).where(F.size("ranks") > 0)
     return p.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("ranks")), lambda k: F.array_join(F.slice("ranks", 1, k), ";"))).alias("taxon"), "bin")
 

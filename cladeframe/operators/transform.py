@@ -8,6 +8,7 @@ changed in one go; only the order-dependent dropping of short tips walks each tr
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 
 from cladeframe.operators.components import _checkpoint
 from cladeframe.operators.forest import extreme_branch, inside, mrca, relaxed_outgroup, tips, unrooted_branches
-from cladeframe.schema import RAW_COLUMNS, index_forest, per_tree
+from cladeframe.schema import RAW, RAW_COLUMNS, Shape, fold_clades, index_forest, per_tree, whole_trees
 
 LENGTH = "branch_length"
 
@@ -72,11 +73,20 @@ def rename_tips_by_table(nodes: DataFrame, names: DataFrame) -> DataFrame:
     return named.withColumn("label", F.when(F.col("is_tip"), F.coalesce("new_label", "label")).otherwise(F.col("label"))).select(nodes.columns)
 
 
+def skyline_lengths(nodes: DataFrame, cuts: list[tuple[float, float]]) -> DataFrame:
+    """``nodes`` with the lengths of ``skyline_scale``; other columns, root_dist too, stay as they were."""
+    return _skyline(nodes, cuts).select(nodes.columns)
+
+
 def skyline_scale(nodes: DataFrame, cuts: list[tuple[float, float]]) -> DataFrame:
     """Lengths times rates that hold by distance from the root: (cut, rate) up to each cut, 1 beyond the last.
 
     The root's own branch is left as it is; distances start below it.
     """
+    return _skyline(nodes, cuts).select(RAW_COLUMNS)
+
+
+def _skyline(nodes: DataFrame, cuts: list[tuple[float, float]]) -> DataFrame:
     root = nodes.where("parent_id IS NULL").select("tree_id", _length().alias("own"))
     n = nodes.join(root, "tree_id")
     hi = F.col("root_dist") - F.col("own")
@@ -89,7 +99,7 @@ def skyline_scale(nodes: DataFrame, cuts: list[tuple[float, float]]) -> DataFram
     new = parts[0]
     for p in parts[1:]:
         new = new + p
-    return n.withColumn(LENGTH, F.when(F.col("parent_id").isNull(), F.col(LENGTH)).otherwise(new)).select(RAW_COLUMNS)
+    return n.withColumn(LENGTH, F.when(F.col("parent_id").isNull(), F.col(LENGTH)).otherwise(new))
 
 
 def clade_scale(nodes: DataFrame, clades: DataFrame) -> DataFrame:
@@ -97,13 +107,24 @@ def clade_scale(nodes: DataFrame, clades: DataFrame) -> DataFrame:
 
     ``clades``: label, set_id, rate, and optionally tree_id.
     """
+    return clade_lengths(nodes, clades).select(RAW_COLUMNS)
+
+
+def clade_lengths(nodes: DataFrame, clades: DataFrame) -> DataFrame:
+    """``nodes`` with the lengths of ``clade_scale``; other columns, root_dist too, stay as they were."""
+    rated = clade_sets(nodes, clades)
+    return rated.withColumn(LENGTH, F.col(LENGTH) * F.coalesce("rate", F.lit(1.0))).select(nodes.columns)
+
+
+def clade_sets(nodes: DataFrame, clades: DataFrame) -> DataFrame:
+    """``nodes`` with set_id and rate of the innermost clade that each branch lies strictly below, null for none."""
     keys = [k for k in ("tree_id", "label") if k in clades.columns]
     top = mrca(nodes, clades.select(*keys, "set_id"))
     rates = clades.select("set_id", "rate", *[k for k in keys if k == "tree_id"]).distinct()
     top = top.join(rates, [c for c in ("tree_id", "set_id") if c in rates.columns])
     hit = top.alias("a").join(nodes.alias("x"), inside() & (F.col("x.pre") > F.col("a.pre")))
-    rate = hit.groupBy("x.tree_id", "x.node_id").agg(F.max_by("a.rate", F.struct("a.depth", "a.set_id")).alias("rate"))
-    return nodes.join(rate, ["tree_id", "node_id"], "left").withColumn(LENGTH, F.col(LENGTH) * F.coalesce("rate", F.lit(1.0))).select(RAW_COLUMNS)
+    rate = hit.groupBy("x.tree_id", "x.node_id").agg(F.max_by(F.struct("a.set_id", "a.rate"), F.struct("a.depth", "a.set_id")).alias("r"))
+    return nodes.join(rate, ["tree_id", "node_id"], "left").select(*nodes.columns, "r.set_id", "r.rate")
 
 
 def ladderize(nodes: DataFrame, larger_first: bool = True) -> DataFrame:
@@ -201,8 +222,20 @@ def relaxed_outgroup_root(nodes: DataFrame, taxa: DataFrame) -> DataFrame:
 
 def midpoints(nodes: DataFrame) -> DataFrame:
     """(tree_id, node_id, below, path): the branch with the middle of the longest path between two tips."""
-    t = tips(nodes)
-    far = nodes.alias("a").join(t.alias("x"), inside()).groupBy("a.tree_id", "a.node_id", "a.parent_id", "a.pre").agg(F.max_by(F.struct(F.col("x.root_dist").alias("d"), F.col("x.pre").alias("tip")), F.struct("x.root_dist", -F.col("x.pre"))).alias("f"))
+
+    def run(rows: pd.DataFrame, shape: Shape) -> pd.DataFrame:
+        """The furthest tip below each node, of equally far ones the leftmost: the highest rank."""
+        order = np.lexsort((-rows["pre"].to_numpy(), rows["root_dist"].to_numpy()))
+        rank = np.empty(len(rows), np.int64)
+        rank[order] = np.arange(len(rows))
+        best = shape.fold(np.where(rows["is_tip"].to_numpy(), rank, -1), np.maximum)
+        have = best >= 0
+        tip = order[best[have]]
+        return rows.loc[have, ["tree_id", "node_id", "parent_id", "pre"]].assign(d=rows["root_dist"].to_numpy()[tip], tip=rows["pre"].to_numpy()[tip])
+
+    rows = nodes.select("tree_id", "node_id", F.col("parent_id").cast("double").alias("parent_id"), "pre", "depth", "root_dist", "is_tip")
+    far = whole_trees(rows, run, "tree_id long, node_id int, parent_id double, pre int, d double, tip int")
+    far = far.select("tree_id", "node_id", F.col("parent_id").cast("int").alias("parent_id"), "pre", F.struct("d", "tip").alias("f"))
     k = F.row_number().over(Window.partitionBy("tree_id", "parent_id").orderBy(F.desc("f.d"), "pre"))
     two = far.where("parent_id IS NOT NULL").withColumn("k", k).where("k <= 2").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.max(F.when(F.col("k") == 1, F.col("f"))).alias("f1"), F.max(F.when(F.col("k") == 2, F.col("f"))).alias("f2")).where("f2 IS NOT NULL")
     path = two.join(nodes.select("tree_id", "node_id", "pre", "root_dist"), ["tree_id", "node_id"]).withColumn("path", F.col("f1.d") + F.col("f2.d") - 2 * F.col("root_dist"))
@@ -221,17 +254,26 @@ def midpoint_root(nodes: DataFrame) -> DataFrame:
 
 def keep_tips(nodes: DataFrame, kept: DataFrame) -> DataFrame:
     """Trees on the kept tips (tree_id, node_id): nodes left with one child fall away, lengths add up."""
-    k = nodes.join(kept.select("tree_id", "node_id"), ["tree_id", "node_id"], "left_semi").where("is_tip").select("tree_id", "pre")
-    held = nodes.alias("a").join(k.alias("x"), inside()).groupBy("a.tree_id", "a.node_id").agg(F.count("*").alias("c"))
-    n = nodes.join(held, ["tree_id", "node_id"])
-    kids = n.where("parent_id IS NOT NULL").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("b"))
-    n = n.join(kids, ["tree_id", "node_id"], "left").where(F.col("is_tip") | (F.col("b") >= 2))
-    cols = ["tree_id", "node_id", "pre", "last", "depth", "root_dist"]
-    above = n.select(cols).alias("a").join(n.select(cols).alias("x"), inside() & (F.col("a.pre") < F.col("x.pre")))
-    up = above.groupBy("x.tree_id", "x.node_id").agg(F.max_by(F.struct("a.node_id", "a.root_dist"), "a.depth").alias("u"))
-    n = n.join(up, ["tree_id", "node_id"], "left")
-    length = F.col("root_dist") - F.coalesce("u.root_dist", F.lit(0.0))
-    return n.select("tree_id", "node_id", F.col("u.node_id").alias("parent_id"), F.col("pre").alias("child_ord"), "label", length.alias(LENGTH))
+    flag = kept.select("tree_id", "node_id").distinct().withColumn("kept", F.lit(True))
+    rows = nodes.select("tree_id", "node_id", "pre", "depth", "label", "root_dist", "is_tip").join(flag, ["tree_id", "node_id"], "left")
+    rows = rows.withColumn("kept", F.col("is_tip") & F.col("kept").isNotNull())
+
+    def run(part: pd.DataFrame, shape: Shape) -> pd.DataFrame:
+        tip, dist, ids = part["kept"].to_numpy(), part["root_dist"].to_numpy(), part["node_id"].to_numpy()
+        held = shape.fold(tip.astype(np.int64), np.add) > 0
+        kids = np.bincount(shape.up[held & (shape.up >= 0)], minlength=len(part))
+        stays = tip | (kids >= 2)
+        above = np.full(len(part), -1)  # the nearest node above that stays
+        for here in shape.levels[1:]:
+            p = shape.up[here]
+            above[here] = np.where(stays[p], p, above[p])
+        length = dist - np.where(above >= 0, dist[above], 0.0)
+        parent = pd.array(np.where(above >= 0, ids[above], 0), dtype="Int32")
+        parent[above < 0] = pd.NA
+        made = part[["tree_id", "node_id"]].assign(parent_id=parent, child_ord=part["pre"], label=part["label"], branch_length=length)
+        return made[stays]
+
+    return whole_trees(rows, run, RAW)
 
 
 def drop_tips(nodes: DataFrame, taxa: DataFrame) -> DataFrame:
@@ -375,7 +417,9 @@ def mean_path_ages(nodes: DataFrame, ages: DataFrame, n_char: float = 1.0) -> Da
     take the median rate of their tree's calibrated nodes.  rate: expected changes per
     character and time on the branch above.
     """
-    below = nodes.alias("a").join(tips(nodes).alias("x"), inside()).groupBy("a.tree_id", "a.node_id", "a.parent_id", "a.pre", "a.last", "a.depth", "a.branch_length").agg(F.avg(F.col("x.root_dist") - F.col("a.root_dist")).alias("mean_path"))
+    far = (F.when(F.col("is_tip"), F.col("root_dist")), "sum")
+    below = fold_clades(nodes.where("n_tips > 0"), ["tree_id", "node_id", "parent_id", "pre", "last", "depth", LENGTH, "root_dist", "n_tips"], far=far)
+    below = below.withColumn("mean_path", (F.col("far") - F.col("n_tips") * F.col("root_dist")) / F.col("n_tips")).drop("far", "root_dist", "n_tips")
     cal = below.join(ages.select("tree_id", "node_id", "age"), ["tree_id", "node_id"]).where("age > 0 AND mean_path > 0").select("tree_id", "pre", "last", "depth", (F.col("mean_path") / F.col("age")).alias("r"))
     near = cal.alias("a").join(below.alias("x"), inside()).groupBy("x.tree_id", "x.node_id").agg(F.max_by("a.r", "a.depth").alias("r"))
     middle = cal.groupBy("tree_id").agg(F.median("r").alias("r_mid"))

@@ -55,12 +55,12 @@ r AS (
   UNION ALL SELECT o_custkey * 3 + 1, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1, o_orderkey, cents FROM o
   UNION ALL SELECT o_custkey * 3 + 2, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1, o_orderkey, cents FROM o),
 m AS (SELECT tree_id, count(*) AS m FROM r GROUP BY tree_id),
-nodes AS (
+nodes AS MATERIALIZED (
   SELECT tree_id, CAST(m + r AS BIGINT) AS k, CAST(o_orderkey AS VARCHAR) AS label, (cents % 80) / 8 AS len, TRUE AS tip FROM r JOIN m USING (tree_id)
   UNION ALL SELECT tree_id, CAST(r AS BIGINT), CAST(cents % 101 AS VARCHAR), (cents % 56) / 8, FALSE FROM r WHERE r >= 1),
-up AS (SELECT tree_id, k, k >> h AS a FROM nodes, (SELECT CAST(i AS INTEGER) AS h FROM range(40) t(i)) WHERE k >> h >= 1),
-dist AS (SELECT u.tree_id, u.k, sum(n.len) AS d, count(*) - 1 AS depth FROM up u JOIN nodes n ON n.tree_id = u.tree_id AND n.k = u.a GROUP BY u.tree_id, u.k),
-below AS (SELECT u.tree_id, u.a AS k, count(*) AS n FROM up u JOIN nodes n ON n.tree_id = u.tree_id AND n.k = u.k WHERE n.tip GROUP BY u.tree_id, u.a),
+up AS MATERIALIZED (SELECT tree_id, k, k >> CAST(h AS INTEGER) AS a FROM (SELECT tree_id, k, UNNEST(range(length(bin(k)))) AS h FROM nodes)),
+dist AS MATERIALIZED (SELECT u.tree_id, u.k, sum(n.len) AS d, count(*) - 1 AS depth FROM up u JOIN nodes n ON n.tree_id = u.tree_id AND n.k = u.a GROUP BY u.tree_id, u.k),
+below AS MATERIALIZED (SELECT u.tree_id, u.a AS k, count(*) AS n FROM up u JOIN nodes n ON n.tree_id = u.tree_id AND n.k = u.k WHERE n.tip GROUP BY u.tree_id, u.a),
 pairs AS (SELECT DISTINCT o_custkey * 3 + i AS a, o_custkey * 3 + i + 1 AS b FROM o, (SELECT * FROM range(2) t(i))),
 named AS (SELECT o_custkey * 3 + t AS tree_id, CAST(o_orderkey AS VARCHAR) AS label FROM o, (SELECT * FROM range(3) t(t)) WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))
 """

@@ -10,7 +10,8 @@ from cladeframe.operators import build, clusters, generate
 from cladeframe.operators import forest as f
 from cladeframe.operators import sequences as q
 from cladeframe.operators.components import _checkpoint
-from cladeframe.plans.derived import NODES_SQL, order_forest, table
+from cladeframe.plans import transforms
+from cladeframe.plans.derived import NODES_SQL, named_tips, order_forest, table
 from cladeframe.schema import index_forest
 
 QUERIES: dict = {}
@@ -18,9 +19,9 @@ ORACLES: dict[str, str] = {}
 
 #: One base per kind of line: its total quantity modulo 4; - where a supplier sold none.
 SEQS_SQL = """
-WITH line AS (SELECT l_suppkey, p_type || '/' || l_returnflag || '/' || l_linestatus AS cell, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
-cells AS (SELECT DISTINCT cell FROM line),
-seqs AS (
+WITH line AS MATERIALIZED (SELECT l_suppkey, p_type || '/' || l_returnflag || '/' || l_linestatus AS cell, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+cells AS MATERIALIZED (SELECT DISTINCT cell FROM line),
+seqs AS MATERIALIZED (
   SELECT s_suppkey AS seq_id, any_value(r_name || ';' || n_name) AS taxonomy, any_value(r_name) AS region, any_value(n_name) AS nation,
          string_agg(coalesce(substr('ACGT', CAST(n % 4 AS INTEGER) + 1, 1), '-'), '' ORDER BY c.cell) AS sequence
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey CROSS JOIN cells c LEFT JOIN line l ON l.l_suppkey = s_suppkey AND l.cell = c.cell
@@ -28,8 +29,8 @@ seqs AS (
 pairs AS (SELECT a.seq_id AS seq_id_a, b.seq_id AS seq_id_b, a.taxonomy AS taxonomy_a, b.taxonomy AS taxonomy_b, a.region, a.sequence AS sa, b.sequence AS sb FROM seqs a JOIN seqs b ON a.region = b.region AND a.seq_id < b.seq_id),
 site AS (SELECT seq_id_a, seq_id_b, taxonomy_a, taxonomy_b, region, UNNEST(string_split(sa, '')) AS x, UNNEST(string_split(sb, '')) AS y FROM pairs),
 cmp AS (SELECT seq_id_a, seq_id_b, taxonomy_a, taxonomy_b, region, count(*) FILTER (x <> '-' AND y <> '-') AS compared, count(*) FILTER (x <> '-' AND y <> '-' AND x <> y) AS differences FROM site GROUP BY ALL),
-d AS (SELECT *, CASE WHEN compared = 0 THEN 1.0 ELSE 1 - differences / compared END AS similarity FROM cmp),
-jc AS (SELECT *, -0.75 * ln(1 - (1 - similarity) * 4 / 3) AS jc FROM d WHERE 1 - similarity < 0.74)
+d AS MATERIALIZED (SELECT *, CASE WHEN compared = 0 THEN 1.0 ELSE 1 - differences / compared END AS similarity FROM cmp),
+jc AS (SELECT *, CASE WHEN 1 - similarity < 0.75 THEN -0.75 * ln(1 - (1 - similarity) * 4 / 3) ELSE CAST('inf' AS DOUBLE) END AS jc FROM d)
 """
 
 
@@ -37,9 +38,13 @@ def supplier_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, taxonomy, region, nation, sequence): an aligned sequence for each supplier that sold something."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     lines = lines.select(F.col("l_suppkey").alias("seq_id"), F.concat_ws("/", "p_type", "l_returnflag", "l_linestatus").alias("cell"), "l_quantity")
-    wide = lines.groupBy("seq_id").pivot("cell").agg(F.sum("l_quantity").cast("long"))
-    base = [F.coalesce(F.substring(F.lit("ACGT"), (F.col(f"`{c}`") % 4 + 1).cast("int"), 1), F.lit("-")) for c in sorted(wide.columns[1:])]
-    seqs = wide.select("seq_id", F.concat(*base).alias("sequence"))
+    total = lines.groupBy("seq_id", "cell").agg(F.sum("l_quantity").cast("long").alias("n"))
+    base = F.substring(F.lit("ACGT"), (F.col("n") % 4 + 1).cast("int"), 1)
+    held = total.groupBy("seq_id").agg(F.map_from_entries(F.collect_list(F.struct("cell", base.alias("base")))).alias("bases"))
+    # one row for the whole table: as many members as there are kinds of lines
+    kinds = total.agg(F.sort_array(F.collect_set("cell")).alias("cells"))
+    letters = F.transform("cells", lambda c: F.coalesce(F.element_at("bases", c), F.lit("-")))
+    seqs = held.withColumn("cells", kinds.scalar()).select("seq_id", F.array_join(letters, "").alias("sequence"))
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     place = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     place = place.select(F.col("s_suppkey").alias("seq_id"), F.concat_ws(";", "r_name", "n_name").alias("taxonomy"), F.col("r_name").alias("region"), F.col("n_name").alias("nation"))
@@ -81,17 +86,19 @@ def seq_similarity(spark, sf_dir):
 
 @query("SELECT seq_id_a, seq_id_b, round(jc, 6) AS jc FROM jc")
 def jc_distance(spark, sf_dir):
-    return compared(spark, sf_dir).where("p < 0.74").select("seq_id_a", "seq_id_b", F.round("jc", 6).alias("jc"))
+    """Infinite from p = 3/4 on."""
+    return compared(spark, sf_dir).select("seq_id_a", "seq_id_b", F.round("jc", 6).alias("jc"))
 
 
 @query("SELECT seq_id_a, seq_id_b, round(jc - (1 - similarity), 6) AS jc_minus_p FROM jc")
 def jc_minus_p(spark, sf_dir):
-    return compared(spark, sf_dir).where("p < 0.74").select("seq_id_a", "seq_id_b", F.round("jc_minus_p", 6).alias("jc_minus_p"))
+    return compared(spark, sf_dir).select("seq_id_a", "seq_id_b", F.round("jc_minus_p", 6).alias("jc_minus_p"))
 
 
-@query("SELECT seq_id, length(sequence) - 2 * length(regexp_replace(sequence, '[^N]', '', 'g')) AS completeness FROM seqs")
+@query("SELECT seq_id, length(sequence) - 2 * length(regexp_replace(sequence, '[^-]', '', 'g')) AS completeness FROM seqs")
 def completeness(spark, sf_dir):
-    return supplier_sequences(spark, sf_dir).select("seq_id", q.completeness(F.col("sequence")).cast("long").alias("completeness"))
+    """What a supplier never sold counts as unknown (N)."""
+    return supplier_sequences(spark, sf_dir).select("seq_id", q.completeness(F.translate("sequence", "-", "N")).cast("long").alias("completeness"))
 
 
 CLUSTER_SQL = """, links AS (SELECT seq_id_a AS a, seq_id_b AS b FROM d WHERE similarity > 0.45 UNION SELECT seq_id_b, seq_id_a FROM d WHERE similarity > 0.45),
@@ -106,13 +113,24 @@ def seq_clusters(spark, sf_dir):
     return q.cluster(seqs, compared(spark, sf_dir), 0.45)
 
 
+GENE_CUTS = {"AFRICA": 0.3, "ASIA": 0.4, "EUROPE": 0.5, "AMERICA": 0.6}
+
+
+@query(CLUSTER_SQL.replace("similarity > 0.45", "similarity > CASE region " + " ".join(f"WHEN '{r}' THEN {c}" for r, c in GENE_CUTS.items()) + " ELSE 0.45 END"), SEQS_SQL.replace("WITH line", "WITH RECURSIVE line", 1))
+def gene_clusters(spark, sf_dir):
+    """A cut-off for each region; those without one take the general one."""
+    seqs = supplier_sequences(spark, sf_dir).select("seq_id", q.completeness(F.col("sequence")).alias("completeness"))
+    cuts = spark.createDataFrame(list(GENE_CUTS.items()), "region string, cut_off double")
+    return q.cluster(seqs, compared(spark, sf_dir), 0.45, by="region", cut_offs=cuts)
+
+
 @query("SELECT seq_id_a, seq_id_b, CASE WHEN taxonomy_a = taxonomy_b THEN taxonomy_a ELSE region END AS taxon FROM pairs")
 def taxon_lca(spark, sf_dir):
     p = q.sequence_pairs(supplier_sequences(spark, sf_dir).select("seq_id", "taxonomy", "region"), ["region"])
     return p.select("seq_id_a", "seq_id_b", F.array_join(q.common_taxon(F.col("taxonomy_a"), F.col("taxonomy_b")), ";").alias("taxon"))
 
 
-MAD_SQL = """, v AS (SELECT region AS taxon, least(floor((jc - (1 - similarity)) * 1000), 1999) AS bin FROM jc UNION ALL SELECT taxonomy_a, least(floor((jc - (1 - similarity)) * 1000), 1999) FROM jc WHERE taxonomy_a = taxonomy_b),
+MAD_SQL = """, v AS (SELECT region AS taxon, floor(least((jc - (1 - similarity)) * 1000, 1999)) AS bin FROM jc UNION ALL SELECT taxonomy_a, floor(least((jc - (1 - similarity)) * 1000, 1999)) FROM jc WHERE taxonomy_a = taxonomy_b),
 med AS (SELECT taxon, quantile_disc(bin, 0.5) AS med, count(*) AS n FROM v GROUP BY taxon),
 mad AS (SELECT taxon, any_value(n) AS n, quantile_disc(abs(bin - med), 0.5) * 1.4826 / 1000 AS mad FROM v JOIN med USING (taxon) GROUP BY taxon)
 """
@@ -120,14 +138,14 @@ mad AS (SELECT taxon, any_value(n) AS n, quantile_disc(abs(bin - med), 0.5) * 1.
 
 @query(MAD_SQL + "SELECT taxon, n, round(mad, 6) AS mad FROM mad")
 def mad_by_taxon(spark, sf_dir):
-    return q.mad_by_taxon(compared(spark, sf_dir).where("p < 0.74")).select("taxon", "n", F.round("mad", 6).alias("mad"))
+    return q.mad_by_taxon(compared(spark, sf_dir)).select("taxon", "n", F.round("mad", 6).alias("mad"))
 
 
 @query(MAD_SQL + """SELECT taxon, CASE WHEN mad < 0.2 THEN 'A' ELSE 'T' END AS kind FROM mad m
 WHERE (mad < 0.2 OR NOT EXISTS (SELECT 1 FROM mad x WHERE starts_with(x.taxon, m.taxon || ';')))
 AND NOT EXISTS (SELECT 1 FROM mad u WHERE starts_with(m.taxon, u.taxon || ';') AND u.mad < 0.2)""")
 def alignment_groups(spark, sf_dir):
-    return q.alignment_groups(q.mad_by_taxon(compared(spark, sf_dir).where("p < 0.74")), 0.2)
+    return q.alignment_groups(q.mad_by_taxon(compared(spark, sf_dir)), 0.2)
 
 
 @query()
@@ -149,9 +167,14 @@ def nj_tree(spark, sf_dir):
     return index_forest(build.neighbour_joining(nation_matrices(spark, sf_dir)))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT 1 WHERE FALSE)")
+@query(""", dn AS (SELECT a.nation, d.seq_id_a, d.seq_id_b FROM d JOIN seqs a ON a.seq_id = d.seq_id_a JOIN seqs b ON b.seq_id = d.seq_id_b WHERE a.nation = b.nation AND 1 - similarity < 0.74),
+ends AS (SELECT nation, count(DISTINCT t) AS taxa FROM (SELECT nation, UNNEST([seq_id_a, seq_id_b]) AS t FROM dn) GROUP BY nation),
+held AS (SELECT nation, count(*) AS rows FROM dn GROUP BY nation)
+SELECT nation, rows, taxa FROM held JOIN ends USING (nation) WHERE rows <> taxa * (taxa - 1) / 2""")
 def invalid_matrices(spark, sf_dir):
-    return build.invalid_matrices(nation_matrices(spark, sf_dir)).agg(F.count("*").alias("n"))
+    """The nations' matrices without their far pairs: those that so don't hold each pair of their taxa."""
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("nation"), F.xxhash64("n_name").alias("matrix_id"))
+    return build.invalid_matrices(nation_matrices(spark, sf_dir).where("d < 0.74")).join(names, "matrix_id").drop("matrix_id")
 
 
 def order_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +186,30 @@ def order_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").cast("string").alias("label"), F.array(F.coalesce(bit(p), F.lit(0)), F.when(s > 0, bit(s)).otherwise(0)).alias("states"))
 
 
-@query()
+#: States of the tips as sets, and the levels' template: children of node k are 2k and 2k + 1.
+LEVELS = 16
+TIP_SQL = """, st AS MATERIALIZED (SELECT n.tree_id, n.k, length(bin(n.k)) - 1 AS depth, n.len, n.tip, 1 << (CAST(substr(o2.o_orderpriority, 1, 1) AS INTEGER) - 1) AS s1,
+  1 << (CASE o2.o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END) AS s2 FROM nodes n LEFT JOIN orders o2 ON n.tip AND n.label = CAST(o2.o_orderkey AS VARCHAR))"""
+
+
+def level_sql(tip: str, inner: str) -> str:
+    """One relation for each level from the deepest up: the tips' columns, and the inner nodes' from their children a and b."""
+    out = ""
+    for d in range(LEVELS, -1, -1):
+        out += f", lv{d} AS MATERIALIZED (SELECT n.tree_id, n.k, {tip} FROM st n WHERE n.tip AND n.depth = {d}"
+        if d < LEVELS:
+            out += f" UNION ALL SELECT n.tree_id, n.k, {inner} FROM st n JOIN lv{d + 1} a ON a.tree_id = n.tree_id AND a.k = 2 * n.k JOIN lv{d + 1} b ON b.tree_id = n.tree_id AND b.k = 2 * n.k + 1 WHERE NOT n.tip AND n.depth = {d}"
+        out += ")"
+    return out
+
+
+FITCH_SQL = TIP_SQL + level_sql(
+    "n.s1, n.s2, 0 AS c",
+    ", ".join(f"CASE WHEN a.s{i} & b.s{i} <> 0 THEN a.s{i} & b.s{i} ELSE a.s{i} | b.s{i} END AS s{i}" for i in (1, 2)) + ", a.c + b.c + CAST(a.s1 & b.s1 = 0 AS INTEGER) + CAST(a.s2 & b.s2 = 0 AS INTEGER) AS c",
+)
+
+
+@query(FITCH_SQL + " SELECT tree_id, CAST(c AS BIGINT) AS score FROM lv0", NODES_SQL)
 def fitch_score(spark, sf_dir):
     return build.fitch_score(order_forest(spark, sf_dir), order_characters(spark, sf_dir))
 
@@ -185,15 +231,47 @@ def stepwise(spark, sf_dir):
     return index_forest(build.stepwise_addition(chars.join(few, "matrix_id", "left_semi"), replicates=2))
 
 
-@query()
+def likelihood_sql(lengths: str = "") -> str:
+    """Partials of five states that change into each other at one rate, level by level.
+
+    ``lengths``: relations that end in one named t (tree_id, k, t), the lengths to use.
+    """
+    message = "list_transform(range(1, 6), lambda i: {c}.e * {c}.l[i] + (1 - {c}.e) * list_sum({c}.l) / 5)"
+    both = f"list_transform(range(1, 6), lambda j: ({message.format(c='a')})[j] * ({message.format(c='b')})[j])"
+    own = lengths or ", t AS (SELECT tree_id, k, len AS t FROM nodes)"
+    tips = TIP_SQL.replace("n.len, n.tip", "pow(1 - t.t / 1048576, 1048576) AS e, n.tip").replace("FROM nodes n LEFT JOIN orders", "FROM nodes n JOIN t USING (tree_id, k) LEFT JOIN orders")
+    return own + tips + level_sql("n.e, list_transform(range(1, 6), lambda i: CAST((n.s1 >> CAST(i - 1 AS INTEGER)) & 1 AS DOUBLE)) AS l", f"n.e, {both} AS l")
+
+
+TOTAL_SQL = " SELECT tree_id, CASE WHEN list_sum(l) > 0 THEN round(ln(list_sum(l) / 5), 4) ELSE CAST('-inf' AS DOUBLE) END AS log_likelihood FROM lv0"
+FIVE = build.Model(5, frequencies=[0.2] * 5)
+
+
+@query(likelihood_sql() + TOTAL_SQL, NODES_SQL)
 def likelihood(spark, sf_dir):
-    m = build.Model(5, frequencies=[0.2] * 5)
-    return build.log_likelihood(order_forest(spark, sf_dir), order_characters(spark, sf_dir), m).withColumn("log_likelihood", F.round("log_likelihood", 6))
+    return build.log_likelihood(order_forest(spark, sf_dir), order_characters(spark, sf_dir), FIVE).withColumn("log_likelihood", F.round("log_likelihood", 4))
 
 
-@query()
+@query(likelihood_sql(transforms.ORACLES["skyline_scale"].removeprefix(NODES_SQL).replace("SELECT tree_id, k AS node_id, greatest", ", t AS (SELECT tree_id, k, greatest").replace(" AS branch_length FROM e", " AS t FROM e UNION ALL SELECT tree_id, k, len FROM nodes WHERE k = 1)")) + TOTAL_SQL, NODES_SQL)
+def likelihood_skyline(spark, sf_dir):
+    """Rates of change that hold by distance from the root."""
+    r = build.log_likelihood(order_forest(spark, sf_dir), order_characters(spark, sf_dir), FIVE, cuts=[(5.0, 2.0), (12.5, 0.5)])
+    return r.withColumn("log_likelihood", F.round("log_likelihood", 4))
+
+
+@query(likelihood_sql(transforms.ORACLES["clade_scale"].removeprefix(NODES_SQL).replace("SELECT n.tree_id, n.k AS node_id, n.len", ", t AS (SELECT n.tree_id, n.k, n.len").replace(" AS branch_length\n", " AS t\n") + ")") + TOTAL_SQL, NODES_SQL)
+def likelihood_clades(spark, sf_dir):
+    """Three times the rate of change below the common ancestor of the urgent orders."""
+    sets = named_tips(spark, sf_dir).select("tree_id", "label", F.lit("urgent").alias("set_id"), F.lit(3.0).alias("rate"))
+    r = build.log_likelihood(order_forest(spark, sf_dir), order_characters(spark, sf_dir), FIVE, clades=sets)
+    return r.withColumn("log_likelihood", F.round("log_likelihood", 4))
+
+
+@query(likelihood_sql() + " SELECT tree_id, k AS node_id, UNNEST(range(0, 5)) AS state, round(UNNEST(list_transform(l, lambda x: x / list_sum(l))), 6) AS likelihood FROM (" + " UNION ALL ".join(f"SELECT lv{d}.* FROM lv{d} JOIN st USING (tree_id, k) WHERE NOT st.tip" for d in range(LEVELS)) + ") WHERE list_sum(l) > 0", NODES_SQL)
 def ancestral(spark, sf_dir):
-    return build.ancestral_states(order_forest(spark, sf_dir), order_characters(spark, sf_dir), build.Model(5, frequencies=[0.2] * 5))
+    r = build.ancestral_states(order_forest(spark, sf_dir), order_characters(spark, sf_dir), FIVE)
+    r = r.select("tree_id", F.col("node_id").cast("long").alias("node_id"), F.posexplode("likelihoods").alias("state", "likelihood"))
+    return r.select("tree_id", "node_id", F.col("state").cast("long").alias("state"), F.round("likelihood", 6).alias("likelihood"))
 
 
 @query()

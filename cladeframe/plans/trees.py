@@ -233,9 +233,9 @@ def tree_interval(nodes, spark, sf_dir):
 
 #: Splits as sorted lists of tips: both sides, the one without the smallest label counts.
 SPLIT_SQL = """, tipn AS (SELECT tree_id, count(*) AS n, min(label) AS first FROM nodes WHERE tip GROUP BY tree_id),
-clade AS (SELECT u.tree_id, u.a AS k, list_sort(list(n.label)) AS side FROM up u JOIN nodes n ON n.tree_id = u.tree_id AND n.k = u.k AND n.tip WHERE u.a > 1 GROUP BY u.tree_id, u.a),
+clade AS MATERIALIZED (SELECT u.tree_id, u.a AS k, list_sort(list(n.label)) AS side FROM up u JOIN nodes n ON n.tree_id = u.tree_id AND n.k = u.k AND n.tip WHERE u.a > 1 GROUP BY u.tree_id, u.a),
 every AS (SELECT tree_id, list_sort(list(label)) AS labels FROM nodes WHERE tip GROUP BY tree_id),
-split AS (SELECT c.tree_id, min(c.k) AS k, key FROM (
+split AS MATERIALIZED (SELECT c.tree_id, min(c.k) AS k, key FROM (
   SELECT c.tree_id, c.k, CASE WHEN list_contains(side, first) THEN list_sort(list_filter(labels, lambda x: NOT list_contains(side, x))) ELSE side END AS key
   FROM clade c JOIN tipn USING (tree_id) JOIN every USING (tree_id) WHERE len(side) BETWEEN 2 AND n - 2) c GROUP BY c.tree_id, key)
 """

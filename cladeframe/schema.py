@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Columns that describe a tree; the root has a null parent_id.
@@ -110,6 +110,95 @@ def per_tree(nodes: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame],
     return nodes.repartition(key).sortWithinPartitions(key, *([order] if order else [])).mapInPandas(run, schema)
 
 
+class Shape:
+    """Whole trees in preorder: each row's parent and the levels, for passes over all trees at once."""
+
+    def __init__(self, tree: np.ndarray, depth: np.ndarray):
+        self.starts = np.flatnonzero(np.append(True, tree[1:] != tree[:-1])) if len(tree) else np.empty(0, np.int64)
+        self.tree = np.repeat(np.arange(len(self.starts)), np.diff(np.append(self.starts, len(tree))))
+        order = np.argsort(depth, kind="stable")
+        edges = np.searchsorted(depth[order], np.arange(depth.max(initial=-1) + 2))
+        self.levels = [order[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        self.up = np.full(len(tree), -1)
+        for above, here in zip(self.levels, self.levels[1:], strict=False):
+            # in preorder a row's parent is the last row before it that is one level higher
+            self.up[here] = above[np.searchsorted(above, here) - 1]
+
+    def fold(self, values: np.ndarray, by: np.ufunc) -> np.ndarray:
+        """Each row's values and those of all rows below it, folded."""
+        out = values.copy()
+        for here in reversed(self.levels[1:]):
+            by.at(out, self.up[here], out[here])
+        return out
+
+    def path_sum(self, values: np.ndarray) -> np.ndarray:
+        """Sums from the root down to each row."""
+        out = values.copy()
+        for here in self.levels[1:]:
+            out[here] += out[self.up[here]]
+        return out
+
+    def total(self, values: np.ndarray) -> np.ndarray:
+        """The sum of each row's tree."""
+        return np.add.reduceat(values, self.starts)[self.tree] if len(values) else values
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's first and last child, -1 for none."""
+        first, last = np.full(len(self.up), -1), np.full(len(self.up), -1)
+        kids = np.flatnonzero(self.up >= 0)
+        last[self.up[kids]] = kids
+        first[self.up[kids[::-1]]] = kids[::-1]
+        return first, last
+
+
+def whole_trees(nodes: DataFrame, function: Callable[[pd.DataFrame, Shape], pd.DataFrame], schema: str) -> DataFrame:
+    """``function`` on batches of whole trees in preorder; ``nodes`` has tree_id, pre and depth.  One shuffle by tree."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def done(rows: pd.DataFrame) -> pd.DataFrame:
+            return function(rows, Shape(rows["tree_id"].to_numpy(), rows["depth"].to_numpy()))
+
+        for rows in batches:
+            if not len(rows):
+                continue
+            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            last = rows["tree_id"].to_numpy() == rows["tree_id"].iloc[-1]  # may go on in the next batch
+            held = rows[last].reset_index(drop=True)
+            if not last.all():
+                yield done(rows[~last].reset_index(drop=True))
+        if held is not None:
+            yield done(held)
+
+    return nodes.repartition("tree_id").sortWithinPartitions("tree_id", "pre").mapInPandas(run, schema)
+
+
+#: Folds of ``fold_clades``: the function, and what stands for a null.
+FOLDS = {
+    "sum": (np.add, 0), "xor": (np.bitwise_xor, 0), "or": (np.bitwise_or, 0),
+    "min": (np.minimum, np.inf), "max": (np.maximum, -np.inf),
+}
+
+
+def fold_clades(nodes: DataFrame, keep: list[str], **folds: tuple[Column, str]) -> DataFrame:
+    """``keep`` columns of each node and, per named (value, fold), the values of all nodes of its clade folded.
+
+    Folds: sum, xor, or (longs or doubles by the value's type), min and max (doubles).
+    Nulls add nothing; where nothing is, sums are 0, min and max infinite.
+    """
+    rows = nodes.select(*dict.fromkeys([*keep, "tree_id", "pre", "depth"]), *[v.alias(f"fold_{name}") for name, (v, _) in folds.items()])
+    kind = {name: "double" if how in ("min", "max") or rows.schema[f"fold_{name}"].dataType.simpleString() == "double" else "bigint" for name, (_, how) in folds.items()}
+    schema = ", ".join([f"`{c}` {nodes.schema[c].dataType.simpleString()}" for c in keep] + [f"`{n}` {k}" for n, k in kind.items()])
+    how = {name: h for name, (_, h) in folds.items()}
+    filled = rows.select(*keep, *[c for c in ("tree_id", "pre", "depth") if c not in keep], *[F.coalesce(F.col(f"fold_{n}").cast(kind[n]), F.lit(FOLDS[h][1]).cast(kind[n])).alias(f"fold_{n}") for n, h in how.items()])
+
+    def run(part: pd.DataFrame, shape: Shape) -> pd.DataFrame:
+        return part[keep].assign(**{n: shape.fold(part[f"fold_{n}"].to_numpy(), FOLDS[h][0]) for n, h in how.items()})
+
+    return whole_trees(filled, run, schema)
+
+
 def heap_forest(rows: DataFrame) -> DataFrame:
     """Raw nodes of a complete binary tree for each ``tree_id`` of a plain table.
 
