@@ -8,22 +8,33 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from cladeframe.operators.forest import tips
 from cladeframe.schema import RAW, RAW_COLUMNS, Shape, whole_trees
 from cladeframe.sources.newick import numbered
 
 
+#: Rows of drawn trees that a task holds at once.
+MOST_ROWS = 200_000
+
+
+def _frame(rows: list[list]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=RAW_COLUMNS).astype({"tree_id": "int64", "node_id": "int32", "parent_id": "Int32", "child_ord": "int32", "branch_length": "float64"})
+
+
 def _trees(sizes: DataFrame, make: Callable[[np.random.Generator, dict], list[list]], seed: int) -> DataFrame:
     columns = sizes.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
+            made: list[list] = []
             for r in rows[columns].to_dict("records"):
                 rng = np.random.Generator(np.random.PCG64([seed, abs(int(r["tree_id"]))]))
-                made = pd.DataFrame(make(rng, r), columns=RAW_COLUMNS[1:])
-                made.insert(0, "tree_id", r["tree_id"])
-                yield made.astype({"node_id": "int32", "parent_id": "Int32", "child_ord": "int32", "branch_length": "float64"})
+                made += [[r["tree_id"], *row] for row in make(rng, r)]
+                if len(made) > MOST_ROWS:
+                    yield _frame(made)
+                    made = []
+            yield _frame(made)
 
     return sizes.mapInPandas(run, RAW)
 
@@ -62,10 +73,10 @@ def random_trees(sizes: DataFrame, depths: str | None = None, rate: float = 1.0,
     return _trees(sizes.select("tree_id", "n"), make, seed)
 
 
-def _birth_death(rng: np.random.Generator, birth: float, death: float, age: float, most: int) -> list[list]:
+def _birth_death(rng: np.random.Generator, birth: float, death: float, age: float, most: int | None = None) -> list[list]:
     rows = [[1, None, 0, None, 0.0]]
     begun, live, now = {1: 0.0}, [1], 0.0
-    while live and len(rows) < most:
+    while live and birth + death > 0 and (most is None or len(rows) < most):
         now += rng.exponential(1 / (len(live) * (birth + death)))
         if now >= age:
             break
@@ -78,14 +89,15 @@ def _birth_death(rng: np.random.Generator, birth: float, death: float, age: floa
                 begun[k] = now
                 live.append(k)
     for x in live:
-        rows[x - 1][4] = min(now, age) - begun[x] if len(rows) >= most and now < age else age - begun[x]
+        rows[x - 1][4] = min(now, age) - begun[x] if most is not None and len(rows) >= most and now < age else age - begun[x]
     return rows
 
 
-def birth_death_trees(sizes: DataFrame, birth: float, death: float, age: float, most_nodes: int = 10_000, seed: int = 0) -> DataFrame:
+def birth_death_trees(sizes: DataFrame, birth: float, death: float, age: float, most_nodes: int | None = None, seed: int = 0) -> DataFrame:
     """Raw trees grown for a time at birth and death rates; extinct lineages stay; tips are Tip1, Tip2, ...
 
-    A tree stops growing at ``most_nodes`` nodes, which bounds one group.
+    A tree has about exp((birth - death) * age) lineages.  ``most_nodes``: stop growing a
+    tree at so many nodes.
     """
 
     def make(rng: np.random.Generator, r: dict) -> list[list]:
@@ -98,15 +110,58 @@ def birth_death_trees(sizes: DataFrame, birth: float, death: float, age: float,
     return _trees(sizes.select("tree_id"), make, seed)
 
 
-def add_branches(nodes: DataFrame, birth: float, seed: int = 0) -> DataFrame:
-    """Raw trees with new lineages grafted on branches: on each, with the chance of a birth along it."""
-    from cladeframe.operators.transform import add_node_on_branch
+def add_branches(nodes: DataFrame, birth: float, death: float = 0.0, seed: int = 0) -> DataFrame:
+    """Raw trees with new lineages on their branches: each branch, if a birth falls on it, gets a birth-death tree there.
 
-    u = (F.pmod(F.xxhash64(F.lit(seed), "tree_id", "node_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    hit = nodes.where(F.col("parent_id").isNotNull() & (u < 1 - F.exp(-birth * F.coalesce("branch_length", F.lit(0.0)))))
-    tall = tips(nodes).groupBy("tree_id").agg(F.max("root_dist").alias("h"))
-    grown = F.col("h") - F.col("root_dist") + F.coalesce("branch_length", F.lit(0.0)) / 2
-    return add_node_on_branch(nodes, hit.join(tall, "tree_id").select("tree_id", "node_id", F.concat(F.lit("new"), F.col("node_id").cast("string")).alias("label"), grown.alias("tip_length")))
+    The wait for a birth from a branch's upper end is exponential; what grows ends at the
+    height of the furthest tip below the branch.  New tips are Tip1, Tip2, ... of a tree.
+    """
+
+    def run(rows: pd.DataFrame, shape: Shape) -> pd.DataFrame:
+        dist, length = rows["root_dist"].to_numpy(), np.nan_to_num(rows["branch_length"].to_numpy(float))
+        far = shape.fold(np.where(rows["is_tip"].to_numpy(), dist, -np.inf), np.maximum)
+        out: list[list] = []
+        columns = [[None if v != v or v is pd.NA else v for v in rows[c].tolist()] for c in RAW_COLUMNS[1:]]
+        ids, stops = rows["tree_id"].tolist(), [*shape.starts[1:].tolist(), len(rows)]
+        for start, stop in zip(shape.starts.tolist(), stops, strict=True):
+            rng = np.random.Generator(np.random.PCG64([seed, abs(ids[start])]))
+            made = [list(r) for r in zip(*[c[start:stop] for c in columns], strict=True)]
+            new, tips = max(r[0] for r in made) + 1, 0
+            for i, row in zip(range(start, stop), list(made), strict=True):
+                wait = rng.exponential(1 / birth) if birth > 0 else np.inf
+                if row[1] is None or wait >= length[i]:
+                    continue
+                joint = new
+                grown = _birth_death(rng, birth, death, far[i] - (dist[i] - length[i] + wait))
+                inner = {x[1] for x in grown}
+                made.append([joint, row[1], row[2], None, wait])
+                row[1], row[2], row[4] = joint, 0, length[i] - wait
+                for k, parent, order, _, l in grown:
+                    tips += k not in inner
+                    made.append([joint + k, joint if parent is None else joint + parent, 1 if parent is None else order, None if k in inner else f"Tip{tips}", l])
+                new = joint + len(grown) + 1
+            out += [[ids[start], *r] for r in made]
+        return _frame(out)
+
+    return whole_trees(nodes.select(*RAW_COLUMNS, "pre", "depth", "is_tip", "root_dist"), run, RAW)
+
+
+def random_decisiveness(masks: DataFrame, topologies: int = 100, seed: int = 0) -> DataFrame:
+    """(set_id, topology, branches, distinguished) over random topologies of the taxa of each set.
+
+    ``masks``: set_id (long), label, mask (see ``gene_masks``).  Feed the result to
+    ``decisive_share`` for the shares.
+    """
+    from cladeframe.schema import index_forest
+
+    number = F.row_number().over(Window.partitionBy("set_id").orderBy("label"))
+    taxa = masks.select("set_id", number.cast("string").alias("label"), "mask")
+    sizes = taxa.groupBy("set_id").agg(F.count("*").cast("int").alias("n"))
+    draws = sizes.select("set_id", "n", F.explode(F.sequence(F.lit(0), F.lit(topologies - 1))).alias("topology")).withColumn("tree_id", F.xxhash64("set_id", "topology"))
+    trees = index_forest(random_trees(draws, seed=seed))
+    of = draws.select("tree_id", "set_id", "topology")
+    own = of.join(taxa, "set_id").select("tree_id", "label", "mask")
+    return decisiveness(trees, own).join(of, "tree_id").select("set_id", "topology", "branches", "distinguished")
 
 
 def gene_masks(genes: DataFrame) -> DataFrame:

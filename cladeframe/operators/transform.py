@@ -8,15 +8,17 @@ changed in one go; only the order-dependent dropping of short tips walks each tr
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cladeframe.operators.components import _checkpoint
+from cladeframe.operators.components import _checkpoint, _written
 from cladeframe.operators.forest import extreme_branch, inside, mrca, relaxed_outgroup, tips, unrooted_branches
-from cladeframe.schema import RAW, RAW_COLUMNS, Shape, fold_clades, index_forest, per_tree, whole_trees
+from cladeframe.schema import RAW, RAW_COLUMNS, Shape, index_forest, per_tree, whole_trees
 
 LENGTH = "branch_length"
 
@@ -381,51 +383,115 @@ def random_neighbour(nodes: DataFrame, seed: int = 0) -> DataFrame:
     return near.join(pick, ["tree_id", "alt"], "left_semi").select(RAW_COLUMNS)
 
 
-def split_trees(nodes: DataFrame, pieces: int, by: str = "longest", choose: str = "tips", stop_tips: int = 1) -> DataFrame:
-    """Each tree cut again and again into ``pieces`` parts; (source, tree_id, raw columns ...).
-
-    A cut is at the longest branch or at the midpoint (``by``) of the part with most
-    tips or with the longest branch (``choose``).  Parts of ``stop_tips`` tips or
-    fewer, and those that can't be cut, stay.
+def _cuts(nodes: DataFrame, by: str, rooted: bool) -> DataFrame:
+    """(tree_id, node_id): where each tree is cut in two."""
+    if by == "midpoint":
+        return midpoints(nodes).select("tree_id", "node_id")
+    if rooted:
+        return extreme_branch(nodes).select("tree_id", "node_id")
+    # the two branches at a root of two children are one, cut on the side of fewer tips
+    side = Window.partitionBy("tree_id")
+    top = nodes.where("depth = 1").withColumn("m", F.count("*").over(side)).where("m = 2")
+    top = top.withColumn("whole", F.sum(_length()).over(side)).withColumn("small", F.row_number().over(side.orderBy("n_tips", "pre")) == 1)
+    marks = top.select("tree_id", "node_id", "whole", "small")
+    n = nodes.join(marks, ["tree_id", "node_id"], "left").where(F.coalesce("small", F.lit(True)))
+    # of equally long branches one away from the root is cut
+    n = n.withColumn(LENGTH, F.coalesce("whole", LENGTH)).where("parent_id IS NOT NULL")
+    best = F.max_by("node_id", F.struct(LENGTH, F.col("small").isNull().alias("away"), -F.col("depth"), -F.col("pre"))).alias("node_id")
+    return n.groupBy("tree_id").agg(best)
+
+
+def split_trees(nodes: DataFrame, pieces: int | None = None, by: str = "longest", choose: str = "tips", stop_tips: int = 1, rooted: bool = True, max_tips: int | None = None) -> DataFrame:
+    """Each tree cut again and again, into ``pieces`` parts or until no part has more than ``max_tips`` tips.
+
+    A cut is at the longest branch (``rooted``: a root's two branches count each, else
+    as one) or at the midpoint (``by``).  With ``pieces``, one part of each tree is cut
+    at a time, that with most tips or with the longest branch (``choose``); with
+    ``max_tips`` all parts that are too large are cut at once, as their order doesn't
+    matter.  Parts of ``stop_tips`` tips or fewer, and those that can't be cut, stay.
+    Returns (source, tree_id, part, raw and index columns).
     """
-    part = _checkpoint(nodes.select(F.col("tree_id").alias("source"), F.lit(0).alias("part"), *[c for c in nodes.columns if c != "tree_id"]))
+    if (pieces is None) == (max_tips is None):
+        raise ValueError("either pieces or max_tips")
+    others = [c for c in nodes.columns if c != "tree_id"]
+    part = _checkpoint(nodes.select(F.col("tree_id").alias("source"), F.lit(0).alias("part"), *others))
     key = F.xxhash64("source", "part").alias("tree_id")
-    for step in range(1, pieces):
-        now = part.select("source", "part", key, *[c for c in nodes.columns if c != "tree_id"])
+    for _ in count() if pieces is None else range(1, pieces):
+        now = part.select("source", "part", key, *others)
         names = now.select("tree_id", "source", "part").distinct()
         flat = now.drop("source", "part")
-        many = flat.groupBy("tree_id").agg(F.max("n_tips").alias("n")).where(F.col("n") > stop_tips).select("tree_id")
+        many = flat.groupBy("tree_id").agg(F.max("n_tips").alias("n")).where(F.col("n") > max(stop_tips, max_tips or 0)).select("tree_id")
         flat = flat.join(many, "tree_id", "left_semi")
-        cut = (midpoints(flat) if by == "midpoint" else extreme_branch(flat)).select("tree_id", "node_id")
-        rank = flat.groupBy("tree_id").agg((F.max("n_tips").cast("double") if choose == "tips" else F.max(F.when(F.col("parent_id").isNotNull(), F.col(LENGTH)))).alias("rank"))
-        best = _checkpoint(names.join(rank, "tree_id").join(cut, "tree_id").groupBy("source").agg(F.max_by(F.struct("tree_id", "node_id"), F.struct("rank", -F.col("part"))).alias("b")).select("b.*"))
+        found = names.join(_cuts(flat, by, rooted), "tree_id")
+        if max_tips is None:
+            rank = flat.groupBy("tree_id").agg((F.max("n_tips").cast("double") if choose == "tips" else F.max(F.when(F.col("parent_id").isNotNull(), F.col(LENGTH)))).alias("rank"))
+            found = found.join(rank, "tree_id").groupBy("source").agg(F.max_by(F.struct("tree_id", "node_id", "part"), F.struct("rank", -F.col("part"))).alias("b")).select("source", "b.*")
+        top = part.groupBy("source").agg(F.max("part").alias("top"))
+        number = F.row_number().over(Window.partitionBy("source").orderBy("part"))
+        best = _checkpoint(found.join(top, "source").withColumn("new_part", F.col("top") + number).select("source", "part", "tree_id", "node_id", "new_part"))
+        if best.isEmpty():
+            break
         hit = flat.join(best.select("tree_id"), "tree_id", "left_semi")
         rest, clade = prune_clade(hit, best)
-        one = index_forest(rest).join(names, "tree_id").drop("tree_id")
-        two = index_forest(clade).join(names, "tree_id").drop("tree_id").withColumn("part", F.lit(step))
-        same = part.join(best.join(names, "tree_id").select("source", "part"), ["source", "part"], "left_anti")
-        columns = part.columns
-        part = _checkpoint(same.select(columns).unionByName(one.select(columns)).unionByName(two.select(columns)))
-    return part.select("source", key, "part", *[c for c in nodes.columns if c != "tree_id"])
+        one = index_forest(rest).join(best.select("tree_id", "source", "part"), "tree_id")
+        two = index_forest(clade).join(best.select("tree_id", "source", F.col("new_part").alias("part")), "tree_id")
+        same = part.join(best.select("source", "part"), ["source", "part"], "left_anti")
+        part = _written(same.select(part.columns).unionByName(one.select(part.columns)).unionByName(two.select(part.columns)))
+    return part.select("source", key, "part", *others)
 
 
 def mean_path_ages(nodes: DataFrame, ages: DataFrame, n_char: float = 1.0) -> DataFrame:
-    """Node ages by mean path lengths to the tips, calibrated: (tree_id, node_id, mean_path, age, rate).
-
-    ``ages``: tree_id, node_id, age of some nodes.  A node takes its mean path times
-    age / mean path of the nearest calibrated node above it (or itself); those without
-    take the median rate of their tree's calibrated nodes.  rate: expected changes per
-    character and time on the branch above.
+    """Node ages by mean path lengths, adjusted between calibrations: (tree_id, node_id, mean_path, age, rate).
+
+    ``ages``: tree_id, node_id, age of some nodes.  A calibrated node rules the nodes
+    below it down to the next calibrated ones.  Its rate is the mean path to the ends
+    of its section (tips, and calibrated nodes, counted with their tips; a path that
+    ends at age e of a section of age a is stretched by a / (a - e)) over its age.  A
+    node inside takes its mean path to those ends, with rate * age added at calibrated
+    ones, over the rate.  A section without a calibration above takes the median of its
+    tree's rates; a tree without any has no rows.  A calibration that is not younger
+    than the one above it is ignored, ages of 0 or less as well.  mean_path: to all tips
+    below; rate: expected changes per character and time on the branch above.
     """
-    far = (F.when(F.col("is_tip"), F.col("root_dist")), "sum")
-    below = fold_clades(nodes.where("n_tips > 0"), ["tree_id", "node_id", "parent_id", "pre", "last", "depth", LENGTH, "root_dist", "n_tips"], far=far)
-    below = below.withColumn("mean_path", (F.col("far") - F.col("n_tips") * F.col("root_dist")) / F.col("n_tips")).drop("far", "root_dist", "n_tips")
-    cal = below.join(ages.select("tree_id", "node_id", "age"), ["tree_id", "node_id"]).where("age > 0 AND mean_path > 0").select("tree_id", "pre", "last", "depth", (F.col("mean_path") / F.col("age")).alias("r"))
-    near = cal.alias("a").join(below.alias("x"), inside()).groupBy("x.tree_id", "x.node_id").agg(F.max_by("a.r", "a.depth").alias("r"))
-    middle = cal.groupBy("tree_id").agg(F.median("r").alias("r_mid"))
-    aged = below.join(near, ["tree_id", "node_id"], "left").join(middle, "tree_id").withColumn("age", F.col("mean_path") / F.coalesce("r", "r_mid"))
-    up = aged.select("tree_id", F.col("node_id").alias("parent_id"), F.col("age").alias("parent_age"))
-    aged = aged.join(up, ["tree_id", "parent_id"], "left")
-    rate = F.when(F.col("parent_age") > F.col("age"), F.coalesce(LENGTH, F.lit(0.0)) / (n_char * (F.col("parent_age") - F.col("age"))))
-    return aged.select("tree_id", "node_id", "mean_path", "age", rate.alias("rate"))
+    given = ages.where("age > 0").groupBy("tree_id", "node_id").agg(F.max("age").alias("given"))
+    rows = nodes.select("tree_id", "node_id", "pre", "depth", "n_tips", "is_tip", _length().alias("length"), "root_dist").join(given, ["tree_id", "node_id"], "left")
 
+    def run(part: pd.DataFrame, shape: Shape) -> pd.DataFrame:
+        length, n = part["length"].to_numpy(float), part["n_tips"].to_numpy(float)
+        tip, age, up = part["is_tip"].to_numpy(), part["given"].to_numpy(float).copy(), shape.up
+        age[tip] = np.nan
+        dist = part["root_dist"].to_numpy(float)
+        mean_path = (shape.fold(np.where(tip, dist, 0.0), np.add) - n * dist) / n
+        ruler = np.where(np.isnan(age), -1, np.arange(len(age)))  # the nearest calibrated node, the node itself included
+        above = np.full(len(age), np.nan)  # the age of the section that a node ends or is inside of
+        for here in shape.levels[1:]:
+            over = ruler[up[here]]
+            above[here] = np.where(over >= 0, age[over], np.nan)
+            age[here] = np.where(age[here] >= above[here], np.nan, age[here])
+            ruler[here] = np.where(np.isnan(age[here]), over, here)
+        end = tip | ~np.isnan(age)
+        end_age = np.where(np.isnan(age), 0.0, age)
+        stretch = np.where(np.isnan(above), 1.0, above / (above - end_age))
+        path, aged, stretched, weight = (np.zeros(len(age)) for _ in range(4))
+        for here in reversed(shape.levels[1:]):
+            e = end[here]
+            w = np.where(e, n[here] * stretch[here], weight[here])
+            np.add.at(path, up[here], np.where(e, 0.0, path[here]) + length[here] * n[here])
+            np.add.at(aged, up[here], np.where(e, n[here] * end_age[here], aged[here]))
+            np.add.at(stretched, up[here], np.where(e, 0.0, stretched[here]) + length[here] * w)
+            np.add.at(weight, up[here], w)
+        held = np.flatnonzero(~np.isnan(age))
+        rate = np.full(len(age), np.nan)
+        rate[held] = stretched[held] / n[held] / age[held]
+        rate[held[rate[held] <= 0]] = np.nan
+        middle = pd.Series(rate[held]).groupby(shape.tree[held]).median().reindex(range(len(shape.starts))).to_numpy()
+        r = np.where(ruler >= 0, rate[ruler], middle[shape.tree])
+        r = np.where(np.isnan(r), middle[shape.tree], r)
+        made = np.where(np.isnan(age), (path + r * aged) / n / r, age)
+        made[tip & ~np.isnan(r)] = 0.0
+        over = np.where(up >= 0, made[up], np.nan)
+        on_branch = np.where(over > made, length / (n_char * np.where(over > made, over - made, 1)), np.nan)
+        return part[["tree_id", "node_id"]].assign(mean_path=mean_path, age=made, rate=on_branch)[~np.isnan(r)]
+
+    out = whole_trees(rows, run, "tree_id long, node_id int, mean_path double, age double, rate double")
+    return out.select("tree_id", "node_id", "mean_path", "age", F.when(~F.isnan("rate"), F.col("rate")).alias("rate"))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeframe.plans import sequences, transforms, trees
+from cladeframe.plans import files, sequences, transforms, trees
 
-MODULES = [trees, transforms, sequences]
+MODULES = [trees, transforms, sequences, files]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -283,17 +283,74 @@ def customer_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("tree_id")).agg(F.count("*").cast("int").alias("n"))
 
 
-@query("SELECT o_custkey AS tree_id, count(*) AS n_tips, 2 * count(*) - 1 AS n_nodes FROM orders GROUP BY o_custkey", "")
+DRAWN_SQL = "SELECT o_custkey AS tree_id, 2 * count(*) - 1 AS n_nodes, array_to_string(range(1, count(*) + 1), ',') AS labels, TRUE AS ultrametric, TRUE AS binary FROM orders GROUP BY o_custkey"
+
+
+def drawn(raw: DataFrame) -> DataFrame:
+    """What is certain of drawn trees: nodes, labels, whether all tips are as far from the root, and all nodes have two children or none."""
+    r = index_forest(raw)
+    kids = r.where("parent_id IS NOT NULL").groupBy("tree_id", "parent_id").agg(F.count("*").alias("k")).groupBy("tree_id").agg(F.bool_and(F.col("k") == 2).alias("binary"))
+    tip = F.when(F.col("is_tip"), F.col("root_dist"))
+    labels = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("is_tip"), F.col("label").cast("long")))), lambda x: x.cast("string")), ",")
+    n = r.groupBy("tree_id").agg(F.count("*").alias("n_nodes"), labels.alias("labels"), (F.max(tip) - F.min(tip) < 1e-9).alias("ultrametric"))
+    return n.join(kids, "tree_id", "left").withColumn("binary", F.coalesce("binary", F.lit(True)))
+
+
+@query(DRAWN_SQL, "")
 def random_trees(spark, sf_dir):
     """A coalescent tree with as many tips as a customer has orders."""
-    r = index_forest(generate.random_trees(customer_sizes(spark, sf_dir), "coalescent", seed=3))
-    return r.groupBy("tree_id").agg(F.count_if("is_tip").alias("n_tips"), F.count("*").alias("n_nodes"))
+    return drawn(generate.random_trees(customer_sizes(spark, sf_dir), "coalescent", seed=3))
+
+
+@query(DRAWN_SQL, "")
+def yule_trees(spark, sf_dir):
+    return drawn(generate.random_trees(customer_sizes(spark, sf_dir), "yule", seed=4))
 
 
-@query("SELECT CAST(count(DISTINCT o_custkey) AS BIGINT) AS n_trees FROM orders", "")
+@query("SELECT DISTINCT o_custkey AS tree_id, TRUE AS binary, TRUE AS in_time, TRUE AS named FROM orders", "")
 def birth_death_trees(spark, sf_dir):
-    r = generate.birth_death_trees(customer_sizes(spark, sf_dir), 1.0, 0.3, 2.0, seed=3)
-    return r.agg(F.countDistinct("tree_id").alias("n_trees"))
+    """Trees grown for a time of 2: two children or none, no tip beyond that time, tips named Tip1, Tip2, ..."""
+    r = index_forest(generate.birth_death_trees(customer_sizes(spark, sf_dir), 1.0, 0.3, 2.0, seed=3))
+    kids = r.where("parent_id IS NOT NULL").groupBy("tree_id", "parent_id").agg(F.count("*").alias("k")).groupBy("tree_id").agg(F.bool_and(F.col("k") == 2).alias("two"))
+    number = F.when(F.col("is_tip"), F.regexp_extract("label", "^Tip([0-9]+)$", 1).cast("long"))
+    named = (F.min(number) == 1) & (F.max(number) == F.count_if("is_tip")) & (F.countDistinct(number) == F.count_if("is_tip"))
+    n = r.groupBy("tree_id").agg((F.max("root_dist") < 2 + 1e-9).alias("in_time"), named.alias("named"))
+    return n.join(kids, "tree_id", "left").select("tree_id", F.coalesce("two", F.lit(True)).alias("binary"), "in_time", "named")
+
+
+@query("SELECT n.tree_id, n.label, d AS root_dist FROM nodes n JOIN dist USING (tree_id, k) WHERE tip", NODES_SQL)
+def grafted_trees(spark, sf_dir):
+    """Lineages born on branches leave the old tips where they were."""
+    r = index_forest(generate.add_branches(order_forest(spark, sf_dir), 0.1, 0.05, seed=5))
+    return r.where("is_tip AND NOT startswith(label, 'Tip')").select("tree_id", "label", F.round("root_dist", 6).alias("root_dist"))
+
+
+@query(FITCH_SQL + " SELECT tree_id, CAST(c AS DOUBLE) AS changes, CAST(2 AS BIGINT) AS traits FROM lv0", NODES_SQL)
+def fitch_trees(spark, sf_dir):
+    """The second pass as trees: their lengths are the changes, as many as the first pass counts."""
+    r = build.fitch_trees(_checkpoint(order_forest(spark, sf_dir)), order_characters(spark, sf_dir))
+    return r.groupBy("tree_id").agg(F.sum("branch_length").alias("changes"), F.max(F.size("ann")).cast("long").alias("traits"))
+
+
+@query()
+def optimise_model(spark, sf_dir):
+    """Rates, frequencies and a skyline's rate of largest likelihood for each nation's stepwise tree."""
+    chars = nation_characters(spark, sf_dir)
+    few = chars.groupBy("matrix_id").agg(F.count("*").alias("n")).where("n >= 3").select("matrix_id")
+    chars = _checkpoint(chars.join(few, "matrix_id", "left_semi"))
+    start = transforms.t.set_branch_lengths(index_forest(build.stepwise_addition(chars)), 0.1)
+    by_tree = chars.select(F.col("matrix_id").alias("tree_id"), "label", "states")
+    return build.optimise(start, by_tree, 4, positions=None, free_frequencies=True, cuts=[(0.3, 1.0)], rates=[1.0] * 2, frequencies=[0.25] * 4, classes=[[None, 0, 1, 1], [0, None, 1, 1], [1, 1, None, 0], [1, 1, 0, None]])
+
+
+@query()
+def decisive_random(spark, sf_dir):
+    """Random topologies of each customer's orders: the shares of decisive ones and of distinguished branches."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    genes = lines.select(F.col("l_orderkey").cast("string").alias("taxon"), F.col("p_type").alias("gene")).distinct()
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("set_id"), F.col("o_orderkey").cast("string").alias("label"))
+    r = _checkpoint(generate.random_decisiveness(orders.join(generate.gene_masks(genes), "label", "left"), topologies=10, seed=2))
+    return generate.decisive_share(r)
 
 
 DECISIVE_SQL = """, types AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS b FROM (SELECT DISTINCT p_type FROM part)),
@@ -359,13 +416,13 @@ def cluster_tip_name(spark, sf_dir):
     return r.select("tree_id", F.col("cluster").cast("long").alias("cluster"), "label")
 
 
-@query("""SELECT n.tree_id, count(*) FILTER (tip) AS n_tips FROM nodes n GROUP BY n.tree_id""", NODES_SQL)
+@query("""SELECT n.tree_id, n.label, tip AS is_tip, len AS branch_length, depth FROM nodes n JOIN dist USING (tree_id, k)""", NODES_SQL)
 def newick_roundtrip(spark, sf_dir):
     """Trees written as Newick text and read again."""
     from cladeframe.sources import newick
 
-    text = newick.to_newick(order_forest(spark, sf_dir))
-    return f.tip_count(index_forest(newick.parse(text)))
+    back = index_forest(newick.parse(newick.to_newick(order_forest(spark, sf_dir))))
+    return back.select("tree_id", "label", "is_tip", "branch_length", F.col("depth").cast("long").alias("depth"))
 
 
 @query()
@@ -389,10 +446,13 @@ def alignable_groups(spark, sf_dir):
     return q.alignable_groups(s, d, limit=0.2)
 
 
-@query("SELECT tree_id, count(*) FILTER (tip) AS n_names FROM nodes GROUP BY tree_id", NODES_SQL)
+@query("""SELECT n.tree_id, string_agg(label, ',' ORDER BY substr(bin(n.k), 2)) FILTER (tip) AS names, count(*) - 1 AS n_branches,
+  round(max(CASE WHEN tip THEN (count_tips * 12.0) END), 2) AS height FROM nodes n JOIN (SELECT tree_id, greatest(m, 100 / 12.0) AS count_tips FROM m) USING (tree_id) GROUP BY n.tree_id""", NODES_SQL)
 def svg_trees(spark, sf_dir):
-    """Drawn trees have a name for each tip."""
+    """Drawn trees: the names from top to bottom, the branches drawn, and the height."""
     from cladeframe.sources import newick
 
     svg = newick.to_svg(_checkpoint(order_forest(spark, sf_dir)))
-    return svg.select("tree_id", (F.size(F.split("svg", "<text")) - 1).cast("long").alias("n_names"))
+    names = F.array_join(F.regexp_extract_all("svg", F.lit(">([^<>]+)</text>"), F.lit(1)), ",")
+    height = F.regexp_extract("svg", 'height="([0-9.]+)"', 1).cast("double")
+    return svg.select("tree_id", names.alias("names"), (F.size(F.split("svg", "<path")) - 1).cast("long").alias("n_branches"), height.alias("height"))

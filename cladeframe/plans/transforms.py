@@ -76,11 +76,14 @@ def reroot(nodes, spark, sf_dir):
     return f.patristic_sum(index_forest(t.outgroup_root(nodes, named_tips(spark, sf_dir))))
 
 
-@query(trees.ORACLES["rf_pairs"].split("SELECT a, b, n_shared, CAST(rf")[0].removeprefix(trees.NODES_SQL) + "SELECT tree_id, c AS n_splits FROM num")
+@query(trees.SPLIT_SQL + trees.ORACLES["patristic_sum"].removeprefix(trees.NODES_SQL).replace("SELECT t.tree_id, t.label, t.n * t.d", ", num AS (SELECT tree_id, count(*) AS c FROM split GROUP BY tree_id) SELECT t.tree_id, t.label, coalesce(num.c, 0) AS n_splits, t.n * t.d") + " LEFT JOIN num ON num.tree_id = t.tree_id")
 def relaxed_outgroup_root(nodes, spark, sf_dir):
-    """Rooting keeps the splits: their number as it was."""
-    r = index_forest(t.relaxed_outgroup_root(nodes, named_tips(spark, sf_dir)))
-    return s.splits(r).groupBy("tree_id").agg(F.count("*").alias("n_splits"))
+    """Rooting keeps the splits' number and the distances between tips."""
+    from cladeframe.operators.components import _checkpoint
+
+    r = _checkpoint(index_forest(t.relaxed_outgroup_root(nodes, named_tips(spark, sf_dir))))
+    n = s.splits(r).groupBy("tree_id").agg(F.count("*").alias("n_splits"))
+    return f.patristic_sum(r).join(n, "tree_id", "left").withColumn("n_splits", F.coalesce("n_splits", F.lit(0)).cast("long"))
 
 
 @query(""", far AS (SELECT u.tree_id, u.a AS k, max(d) AS f FROM up u JOIN nodes n USING (tree_id, k) JOIN dist USING (tree_id, k) WHERE n.tip GROUP BY u.tree_id, u.a)
@@ -107,10 +110,13 @@ def drop_short_tips(nodes, spark, sf_dir):
     return f.tip_count(index_forest(t.drop_tips_on_short_branches(nodes, 3.0)))
 
 
-@query("""SELECT tree_id, CAST(2 * (m - 3) AS BIGINT) AS n_alternatives FROM m WHERE m > 3""")
+@query(""", num AS (SELECT tree_id, tip, row_number() OVER (PARTITION BY tree_id ORDER BY substr(bin(k), 2)) AS number FROM nodes WHERE k > 1 AND k <> 3),
+whole AS (SELECT tree_id, count(*) FILTER (tip) AS n_tips, sum(len) AS tree_length FROM nodes GROUP BY tree_id)
+SELECT tree_id, 2 * number - i AS alt, n_tips, tree_length FROM num JOIN m USING (tree_id) JOIN whole USING (tree_id), (SELECT UNNEST([0, 1]) AS i) WHERE NOT tip AND m > 3""")
 def nni(nodes, spark, sf_dir):
-    """A binary tree of m tips has m - 3 inner branches and two interchanges across each."""
-    return t.nearest_neighbours(nodes).groupBy("tree_id").agg(F.countDistinct("alt").alias("n_alternatives"))
+    """A binary tree of m tips has m - 3 inner branches and two interchanges across each; tips and length stay."""
+    near = t.nearest_neighbours(nodes).groupBy("tree_id", "alt").agg(F.count(F.when(F.col("parent_id") != F.col("node_id"), 1)).alias("edges"), F.sum("branch_length").alias("tree_length"))
+    return near.select("tree_id", F.col("alt").cast("long").alias("alt"), (F.col("edges") / 2 + 1).cast("long").alias("n_tips"), "tree_length")
 
 
 @query("SELECT a AS tree_id, CAST(2 AS BIGINT) AS rf FROM (SELECT tree_id AS a FROM m WHERE m > 3)")
@@ -146,6 +152,22 @@ def split_tree(nodes, spark, sf_dir):
     return parts.where("is_tip").groupBy("source", "part").agg(F.count("*").alias("n_tips"))
 
 
+@query("SELECT tree_id AS source, m AS n_tips, TRUE AS small, CAST(2 * m AS BIGINT) AS n_nodes_and_parts FROM m")
+def split_by_size(nodes, spark, sf_dir):
+    """Cut at the longest branches until no part has more than 4 tips; binary parts have 2 n - 1 nodes."""
+    parts = t.split_trees(nodes, max_tips=4, rooted=False)
+    n = parts.groupBy("source", "part").agg(F.count_if("is_tip").alias("tips"), F.count("*").alias("nodes"))
+    return n.groupBy("source").agg(F.sum("tips").alias("n_tips"), (F.max("tips") <= 4).alias("small"), F.sum(F.col("nodes") + 1).cast("long").alias("n_nodes_and_parts"))
+
+
+@query(None)
+def calibrated_ages(nodes, spark, sf_dir):
+    """Ages with every root put at 100 and the common ancestor of the urgent orders at 20."""
+    root = nodes.where("parent_id IS NULL").select("tree_id", "node_id", F.lit(100.0).alias("age"))
+    inner = f.mrca(nodes, named_tips(spark, sf_dir)).where("n_tips > 1 AND depth > 0").select("tree_id", "node_id", F.lit(20.0).alias("age"))
+    return t.mean_path_ages(nodes, root.unionByName(inner))
+
+
 @query(""", mp AS (SELECT u.tree_id, u.a AS k, avg(x.d - y.d) AS mean_path FROM up u JOIN nodes n ON n.tree_id = u.tree_id AND n.k = u.k AND n.tip JOIN dist x ON x.tree_id = u.tree_id AND x.k = u.k JOIN dist y ON y.tree_id = u.tree_id AND y.k = u.a GROUP BY u.tree_id, u.a),
 rr AS (SELECT tree_id, mean_path / 100.0 AS r FROM mp WHERE k = 1 AND mean_path > 0)
 SELECT mp.tree_id, mp.k AS node_id, mean_path, mean_path / r AS age FROM mp JOIN rr USING (tree_id)""")

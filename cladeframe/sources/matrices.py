@@ -13,13 +13,18 @@ from cladeframe.functions.sequences import ALPHABETS, decode, encode
 from cladeframe.sources.newick import nexus_commands, numbered
 
 
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """The text of each record: one begins at a > at the start of a line, other ones belong to the record."""
+    text = spark.read.option("lineSep", "\n>").text(path)
+    return text.select(F.regexp_replace(F.translate("value", "\r", ""), r"^\s*>", "").alias("value")).where(F.trim(F.translate("value", "\r\n\t", "   ")) != "")
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(record, seq_id, taxonomy, sequence, n_unknown, n_known): headers are ``accession | taxonomy``.
 
     Records without a name get their number as one.
     """
-    text = spark.read.option("lineSep", ">").text(path).where(F.trim(F.translate("value", "\r\n\t", "   ")) != "")
-    rows = numbered(text, "record")
+    rows = numbered(_records(spark, path), "record")
     head = F.substring_index("value", "\n", 1)
     name = F.regexp_replace(F.substring_index(head, "|", 1), r"\s", "")
     taxonomy = F.when(F.contains(head, F.lit("|")), F.trim(F.expr("substring(substring_index(value, '\n', 1), instr(substring_index(value, '\n', 1), '|') + 1)")))
@@ -31,7 +36,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fasta_characters(spark: SparkSession, path: str, alphabet: str | dict[str, int] = "dna") -> DataFrame:
     """(label, states) of an aligned file: the whole header is the taxon, unknown characters are empty sets."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim(F.translate("value", "\r\n\t", "   ")) != "")
+    rows = _records(spark, path)
     body = F.when(F.contains(F.col("value"), F.lit("\n")), F.expr("substring(value, instr(value, '\n'))")).otherwise("")
     return rows.select(F.trim(F.translate(F.substring_index("value", "\n", 1), "\r", "")).alias("label"), encode(body, _alphabet(alphabet)).alias("states"))
 
@@ -105,8 +110,8 @@ def read_alphabet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def alphabet_map(rows: DataFrame) -> dict[str, int]:
-    """The table as a map: an alphabet has a few dozen symbols."""
-    return {r["symbol"].upper(): r["mask"] for r in rows.limit(4096).collect()}
+    """The table as a map, on the driver: an alphabet has a few dozen symbols."""
+    return {r["symbol"].upper(): r["mask"] for r in rows.select(F.upper("symbol").alias("symbol"), "mask").distinct().collect()}
 
 
 def read_distances(spark: SparkSession, path: str, labels: bool = True) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cladeframe.schema import RAW, RAW_COLUMNS, per_tree
 
@@ -156,9 +157,11 @@ def _nexus(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 elif command in ("tree", "utree") and "=" in rest:
                     k += 1
                     title, tree = rest.split("=", 1)
-                    for r in read_tree(tree + ";") or []:
-                        if r[3] in names:
-                            r[3] = names[r[3]]
+                    rows = read_tree(tree + ";") or []
+                    inner = {r[1] for r in rows}
+                    for r in rows:
+                        if r[0] not in inner:  # the table is of taxa; inner labels are no keys
+                            r[3] = names.get(r[3], r[3])
                         out.append([path, k, title.strip(" *'"), *r])
         yield pd.DataFrame(out, columns=["path", "ordinal", "title", *RAW_COLUMNS[1:], "ann"]).astype({"node_id": "int32", "parent_id": "Int32", "child_ord": "int32", "branch_length": "float64", "ordinal": "int64"})
 
@@ -236,10 +239,11 @@ def write_newick(nodes: DataFrame, path: str, **options) -> None:
 
 
 def to_nexus(nodes: DataFrame, **options) -> DataFrame:
-    """(tree_id, nexus): a whole NEXUS text per tree, with taxa and translate commands."""
+    """(tree_id, nexus): a whole NEXUS text per tree, with taxa and translate commands; the tree has their numbers."""
     taxa = F.transform(F.sort_array(F.collect_list(F.when(F.col("is_tip"), F.struct("pre", "label")))), lambda x: x["label"])
     names = nodes.groupBy("tree_id").agg(taxa.alias("taxa"))
-    t = to_newick(nodes, **options).join(names, "tree_id")
+    number = F.row_number().over(Window.partitionBy("tree_id", "is_tip").orderBy("pre")).cast("string")
+    t = to_newick(nodes.withColumn("label", F.when(F.col("is_tip"), number).otherwise(F.col("label"))), **options).join(names, "tree_id")
     quote = lambda x: F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("''")), F.lit("'"))
     table = F.array_join(F.transform("taxa", lambda x, i: F.concat((i + 1).cast("string"), F.lit(" "), quote(x))), ",\n")
     text = F.concat(F.lit("#NEXUS\nbegin taxa;\ndimensions ntax="), F.size("taxa").cast("string"), F.lit(";\ntaxlabels "), F.array_join(F.transform("taxa", quote), " "), F.lit(";\nend;\nbegin trees;\ntranslate\n"), table, F.lit(";\ntree tree_"), F.col("tree_id").cast("string"), F.lit(" = "), F.col("newick"), F.lit("\nend;\n"))
