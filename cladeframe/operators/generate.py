@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cladeframe.operators.components import _checkpoint
 from cladeframe.schema import RAW, RAW_COLUMNS, Shape, whole_trees
 from cladeframe.sources.newick import numbered
 
@@ -166,7 +167,8 @@ def random_decisiveness(masks: DataFrame, topologies: int = 100, seed: int = 0)
 
 def gene_masks(genes: DataFrame) -> DataFrame:
     """(label, mask): the genes of each taxon as bits of as many longs as it takes; from (taxon, gene)."""
-    names = genes.select("gene").where("gene IS NOT NULL").distinct()
+    genes = _checkpoint(genes.select("taxon", "gene").where("gene IS NOT NULL").distinct())
+    names = _checkpoint(genes.select("gene").distinct())
     number = numbered(names.orderBy("gene"), "k").select("gene", (F.col("k") - 1).alias("k"))
     words = -(-max(1, names.count()) // 63)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("k") % 63).cast("int"))

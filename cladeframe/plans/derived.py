@@ -19,15 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of three trees per customer over the customer's orders: by price, by date, by key."""
+    """Rows of three trees per customer over the customer's orders: by price, by date, by key.  One shuffle by customer."""
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate", cents.alias("cents"))
-    out = None
-    for t, key in enumerate(("o_totalprice", "o_orderdate", "o_orderkey")):
-        rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(key, "o_orderkey")) - 1
-        part = o.select((F.col("o_custkey") * 3 + t).alias("tree_id"), rank.alias("rank"), F.col("o_orderkey").cast("string").alias("label"), (F.col("cents") % 80 / 8).alias("tip_length"), (F.col("cents") % 56 / 8).alias("inner_length"), (F.col("cents") % 101).cast("string").alias("inner_label"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    own = Window.partitionBy("o_custkey")
+    rank = lambda *order: F.row_number().over(own.orderBy(*order)) - 1
+    ranks = F.array(rank("o_totalprice", "o_orderkey"), rank("o_orderdate", "o_orderkey"), rank("o_orderkey"))
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", cents.alias("cents"), ranks.alias("ranks"), F.count("*").over(own).cast("int").alias("m"))
+    o = o.select("o_custkey", "o_orderkey", "cents", "m", F.posexplode("ranks").alias("t", "rank"))
+    return o.select((F.col("o_custkey") * 3 + F.col("t")).alias("tree_id"), "rank", "m", F.col("o_orderkey").cast("string").alias("label"), (F.col("cents") % 80 / 8).alias("tip_length"), (F.col("cents") % 56 / 8).alias("inner_length"), (F.col("cents") % 101).cast("string").alias("inner_label"))
 
 
 def order_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

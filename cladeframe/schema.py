@@ -203,13 +203,14 @@ def heap_forest(rows: DataFrame) -> DataFrame:
     """Raw nodes of a complete binary tree for each ``tree_id`` of a plain table.
 
     ``rows``: tree_id, rank (0, 1, ... within a tree), label, tip_length, inner_length,
-    inner_label.  Of m rows, row r is tip m + r and, for r >= 1, inner node r; the
+    inner_label, and optionally m, the tree's number of rows.  Of m rows, row r is tip m + r and, for r >= 1, inner node r; the
     parent of node k is k div 2.
     """
-    m = rows.groupBy("tree_id").agg(F.count("*").cast("int").alias("m"))
-    rows = rows.join(m, "tree_id")
-    tips = rows.select("tree_id", (F.col("m") + F.col("rank")).alias("node_id"), "label", F.col("tip_length").alias("branch_length"))
-    inner = rows.where("rank >= 1").select("tree_id", F.col("rank").alias("node_id"), F.col("inner_label").alias("label"), F.col("inner_length").alias("branch_length"))
-    both = tips.unionByName(inner)
+    if "m" not in rows.columns:
+        rows = rows.join(rows.groupBy("tree_id").agg(F.count("*").cast("int").alias("m")), "tree_id")
+    # a row makes its tip and, but for the first, an inner node: one pass
+    tip = F.struct((F.col("m") + F.col("rank")).alias("node_id"), F.col("label").alias("label"), F.col("tip_length").alias("branch_length"))
+    inner = F.struct(F.col("rank").alias("node_id"), F.col("inner_label").alias("label"), F.col("inner_length").alias("branch_length"))
+    both = rows.select("tree_id", F.inline(F.when(F.col("rank") >= 1, F.array(tip, inner)).otherwise(F.array(tip))))
     parent = F.when(F.col("node_id") > 1, F.floor(F.col("node_id") / 2).cast("int"))
     return both.select("tree_id", F.col("node_id").cast("int").alias("node_id"), parent.alias("parent_id"), (F.col("node_id") % 2).cast("int").alias("child_ord"), "label", "branch_length")
