@@ -1,28 +1,34 @@
-"""Language-model scores: an interpolated modified Kneser-Ney bigram model.
+"""Language-model scores: an interpolated modified Kneser-Ney n-gram model of any order from two.
 
-Tokens are A-Z lower-cased words and one end after each text; a text's first token
-has the start as its context.  Words are 64-bit hashes throughout.
+Tokens are A-Z lower-cased words and one end after each text; before a text stand as
+many starts as a context is long.  Words are 64-bit hashes throughout.
 
-Counting, in Spark.  Tasks count the tokens of bounded chunks of training texts with
+Counting, in Spark.  Tasks count the n-grams of bounded chunks of training texts with
 numpy and send sorted arrays, a packed block per shard of the hash space, instead of
 a row per n-gram; the task that owns a shard merges the blocks.  First words, whose
-counts also tell which contexts are frequent: the pairs of such a context are dealt
-over several shards by their second word.  Then pairs, which give the counts of
-counts, the context figures, and the number of distinct contexts of every word.
-
-The model is a set of files in the folder that the cluster shares, per shard the
-sorted hashes and, in the same order, their figures.  Workers map them into memory
-and search only the shards that a batch needs; no worker, and never the driver,
-holds the model.  The driver keeps totals and one row for each frequent context (at
-most 8 for a shard).  A shard without words has empty files, so a file that a worker
-does not find is an error and never counts as unknown words.
-
-  P(w|v) = (c(vw) - D(c(vw))) / c(v) + g(v) P(w)
-  P(w)   = (n(w) - D'(n(w))) / n + g / (V + 1)
-
-n(w): distinct contexts of w; D, D': the modified discounts for counts of 1, 2 and
-more, from the counts of counts; g: the mass they free.  The one word more in V + 1
-is the unknown word, so both distributions sum to one over V words and it.
+counts also tell which are frequent.  Then the longest n-grams, by context; a merged
+shard tells how many distinct words stand before each shorter n-gram, and these
+counts are the blocks of the next level, down to words.  A context is no more
+frequent than any of its words: if all of them are frequent, its n-grams are dealt
+over several shards by their last word, and the figures of its parts are added up in
+one step more.
+
+The model is a set of files in the folder that the cluster shares, per level and
+shard the sorted hashes and, in the same order, their figures.  Workers map them into
+memory and search only the shards that a batch needs; no worker, and never the
+driver, holds the model.  The driver keeps totals and one row for each frequent word
+(at most 4 for a shard).  A shard without n-grams has empty files, so a file that a
+worker does not find is an error and never counts as unknown words.
+
+  P(w|uv) = (c(uvw) - D(c(uvw))) / c(uv) + g(uv) P(w|v)
+  P(w|v)  = (n(vw) - D'(n(vw))) / n(v) + g'(v) P(w)
+  P(w)    = (n(w) - D"(n(w))) / n + g" / (V + 1)
+
+c: counts, at the highest level; n(vw): distinct words before vw, n(v): their sum
+over w; D: the modified discounts for counts of 1, 2 and more, from a level's counts
+of counts; g: the mass they free, one where the context is unknown.  The one word
+more in V + 1 is the unknown word, so each distribution sums to one over V words and
+it.
 
 Defined cases: null counts as empty: a text of one token, its end.  Rows with null
 or repeated doc_ids are rows like others (the remainder of a null id is that of the
@@ -56,44 +62,66 @@ SHARD_CHARS, LEAST_SHARDS = 16_000_000, 16
 CHUNK = 1_500_000
 
 
+class Frequent(NamedTuple):
+    """Frequent words, ascending, their counts, and the count that a shard should not exceed."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    share: float
+
+    def parts(self, before: list[np.ndarray]) -> np.ndarray:
+        """Over how many shards each context is dealt: its rarest word decides."""
+        out = np.full(len(before[0]), np.inf)
+        if not len(self.words):
+            return np.ones(len(out), np.uint64)
+        for v in before:
+            at = np.minimum(np.searchsorted(self.words, v), len(self.words) - 1)
+            out = np.minimum(out, np.where(self.words[at] == v, self.counts[at], 0))
+        return np.maximum(1, np.ceil(out / self.share)).astype(np.uint64)
+
+
 class Model(NamedTuple):
-    """What the driver keeps of a model; the arrays are in ``folder``."""
+    """What the driver keeps of a model; the arrays are in ``folder``.
+
+    ``cuts`` holds the discounts of each level from words up, ``pairs`` the sum of
+    the words' figures, ``left`` the mass that the word level leaves.
+    """
 
     folder: str
     shards: int
+    order: int
     tokens: int
     words: int
     pairs: int
-    cut2: tuple[float, float, float]
-    cut1: tuple[float, float, float]
-    left1: float
-    starts: int
-    hot: dict[int, tuple[int, int]]
-    hot_left: dict[int, float]
+    cuts: tuple[tuple[float, float, float], ...]
+    left: float
+    frequent: Frequent
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _pair_shard(v: np.ndarray, w: np.ndarray, shards: int, hot: dict[int, tuple[int, int]]) -> np.ndarray:
-    """A pair's shard: by its context, those of frequent contexts also by the word."""
-    out = shard_of(v, shards)
-    if hot:
-        keys = np.array(sorted(hot), np.uint64)
-        at = np.minimum(np.searchsorted(keys, v), len(keys) - 1)
-        is_hot = keys[at] == v
-        first = np.array([hot[k][0] for k in keys.tolist()], np.uint64)[at[is_hot]]
-        parts = np.array([hot[k][1] for k in keys.tolist()], np.uint64)[at[is_hot]]
-        out[is_hot] = (first + ((w[is_hot] >> np.uint64(32)) * parts >> np.uint64(32))).astype(np.int64)
-    return out
-
-
 def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix64(v * GOLDEN + w)
 
 
+def context_key(before: list[np.ndarray]) -> np.ndarray:
+    """Hash of a context; its words are given from the nearest to the farthest."""
+    out = before[0]
+    for v in before[1:]:
+        out = pair_key(v, out)
+    return out
+
+
+def _gram_shard(before: list[np.ndarray], context: np.ndarray, w: np.ndarray, shards: int, frequent: Frequent) -> np.ndarray:
+    """An n-gram's shard: by its context, if that is frequent by a part of the last word's hash as well."""
+    parts = frequent.parts(before)
+    part = (w >> np.uint64(32)) * parts >> np.uint64(32)
+    return shard_of(np.where(parts > 1, pair_key(context, part), context), shards)
+
+
 def _texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[np.ndarray]:
     """Hashes of whole texts, each followed by END, in arrays of about ``most`` tokens."""
     hashes, held, n = WordHashes(), [], 0
@@ -109,11 +137,15 @@ def _texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[np.ndarray]
         yield np.concatenate(held)
 
 
-def _contexts(w: np.ndarray) -> np.ndarray:
-    v = np.empty_like(w)
-    v[0], v[1:] = START, w[:-1]
-    v[v == np.uint64(END)] = START
-    return v
+def _contexts(w: np.ndarray, n: int) -> list[np.ndarray]:
+    """For every token the ``n`` words before it, the nearest first."""
+    first = np.append(True, w[:-1] == np.uint64(END))
+    out = [w]
+    for _ in range(n):
+        v = np.roll(out[-1], 1)
+        v[first] = START
+        out.append(v)
+    return out[1:]
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -195,51 +227,79 @@ def _merge_words(batches: Iterator[pa.RecordBatch], folder: str, shards: int) ->
         yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())]), pa.array([len(word)]), pa.array([ends]), pa.array([word[often].view(np.int64)]), pa.array([n[often].astype(np.int64)])], ["tokens", "words", "ends", "often", "times"])
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch], shards: int, hot: dict) -> Iterator[pa.RecordBatch]:
+def _gram_blocks(before: list[np.ndarray], w: np.ndarray, n: np.ndarray, shards: int, frequent: Frequent) -> pa.RecordBatch:
+    """A packed block per shard: the contexts' words, how many n-grams each has, last words, counts."""
+    context = context_key(before)
+    shard = _gram_shard(before, context, w, shards, frequent)
+    order = np.lexsort((context, shard))
+    shard, context = shard[order], context[order]
+    change = np.append(True, shard[1:] != shard[:-1])[: len(w)]
+    edges = np.append(np.flatnonzero(change), len(w))
+    runs = np.flatnonzero(change | np.append(True, context[1:] != context[:-1])[: len(w)])
+    length = np.diff(np.append(runs, len(w)))
+    at = np.searchsorted(runs, edges)
+    before, w, n = [v[order[runs]] for v in before], w[order], n[order]
+    out = [_packed(*[v[p:q] for v in before], _narrow(length[p:q]), w[i:j], _narrow(n[i:j])) for i, j, p, q in zip(edges, edges[1:], at, at[1:])]  # noqa: B905
+    return pa.RecordBatch.from_arrays([pa.array(shard[edges[:-1]], pa.int64()), pa.array(out, pa.binary())], ["shard", "block"])
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch], order: int, shards: int, frequent: Frequent) -> Iterator[pa.RecordBatch]:
     for w in _texts(batches, CHUNK):
-        v = _contexts(w)
-        _, first, n = np.unique(pair_key(v, w), return_index=True, return_counts=True)
-        v, w = v[first], w[first]
-        shard = _pair_shard(v, w, shards, hot)
-        order = np.lexsort((v, shard))
-        v, w, n, shard = v[order], w[order], n[order], shard[order]
-        edges = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-        out = []
-        for i, j in zip(edges, np.append(edges[1:], len(shard)), strict=True):
-            context, length = np.unique(v[i:j], return_counts=True)
-            out.append(_packed(context, _narrow(length), w[i:j], _narrow(n[i:j])))
-        yield pa.RecordBatch.from_arrays([pa.array(shard[edges], pa.int64()), pa.array(out, pa.binary())], ["shard", "block"])
-
-
-def _merge_pairs(batches: Iterator[pa.RecordBatch], folder: str, shards: int) -> Iterator[pa.RecordBatch]:
-    """Files of a pair shard; rows: blocks of (word, contexts) by word shard, and one row of figures."""
-    kind = pa.schema([("shard", pa.int64()), ("block", pa.binary()), ("of", pa.list_(pa.int64())), ("pair_shard", pa.int64()), ("context", pa.int64())])
+        before = _contexts(w, order - 1)
+        _, first, n = np.unique(pair_key(context_key(before), w), return_index=True, return_counts=True)
+        yield _gram_blocks([v[first] for v in before], w[first], n, shards, frequent)
+
+
+def _merge_grams(batches: Iterator[pa.RecordBatch], level: int, folder: str, shards: int, frequent: Frequent) -> Iterator[pa.RecordBatch]:
+    """Files of a shard of n-grams of ``level`` words; rows: blocks of the level below, blocks of split contexts, one row of counts of counts."""
+
+    def rows(kind: str, shard: pa.Array, block: pa.Array, of: list | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(shard), pa.string()), shard, block, pa.array([of] * len(shard), pa.list_(pa.int64()))], ["kind", "shard", "block", "of"])
+
     for run in runs_of(batches, "shard"):
-        context, length, words, counts = _of_blocks(run["block"], 4)
+        *contexts, length, words, counts = _of_blocks(run["block"], level + 2)
         s = run["shard"][0]
-        v = np.concatenate([np.repeat(c, k.astype(np.int64)) for c, k in zip(context, length, strict=True)])
+        length = np.concatenate(length).astype(np.int64)
+        before = [np.repeat(np.concatenate(c), length) for c in contexts]
         w, n = np.concatenate(words), np.concatenate(counts).astype(np.uint64)
-        key = pair_key(v, w)
+        key = pair_key(context_key(before), w)
         order = np.argsort(key, kind="stable")
-        key, v, w, n = key[order], v[order], w[order], n[order]
+        key, n = key[order], n[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
-        key, v, w, n = key[first], v[first], w[first], np.add.reduceat(n, first) if len(n) else n
-        _save(folder, f"pair-{s}", key)
-        _save(folder, f"pair-count-{s}", _narrow(n))
-        order = np.argsort(v, kind="stable")
-        context, at = np.unique(v[order], return_index=True)
-        each = lambda rows: np.add.reduceat(rows.astype(np.uint32), at) if len(at) else np.empty(0, np.uint32)  # noqa: B023, E731
-        few, more = [each(n[order] == k) for k in (1, 2)], each(n[order] > 2)
-        _save(folder, f"context-{s}", context)
-        _save(folder, f"context-few-{s}", np.stack([*few, more]))
-        word, contexts = np.unique(w, return_counts=True)
-        blocks = _blocks(shard_of(word, shards), word, contexts)
-        counts = [int((n == k).sum()) for k in (1, 2, 3, 4)]
-        if s >= shards and len(context):  # a frequent context's part
-            counts += [int(few[0][0]), int(few[1][0]), int(more[0])]
-        m = blocks.num_rows
-        yield pa.RecordBatch.from_arrays([blocks.column(0), blocks.column(1), *[pa.nulls(m, t) for t in kind.types[2:]]], schema=kind)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([counts], pa.list_(pa.int64())), pa.array([s]), pa.array(context[:1].view(np.int64).tolist() or [None], pa.int64())], schema=kind)
+        key, n = key[first], np.add.reduceat(n, first) if len(n) else n
+        before, w = [v[order[first]] for v in before], w[order[first]]
+        _save(folder, f"gram-{level}-{s}", key)
+        _save(folder, f"gram-count-{level}-{s}", _narrow(n))
+        context = context_key(before)
+        order = np.argsort(context, kind="stable")
+        context, at = np.unique(context[order], return_index=True)
+        each = lambda x: np.add.reduceat(x[order].astype(np.uint64), at) if len(at) else np.empty(0, np.uint64)  # noqa: B023, E731
+        figures = np.stack([each(n), each(n == 1), each(n == 2), each(n > 2)])
+        split = frequent.parts([v[order[at]] for v in before]) > 1
+        _save(folder, f"context-{level}-{s}", context[~split])
+        _save(folder, f"context-figures-{level}-{s}", np.stack([_narrow(x) for x in figures[:, ~split]]))
+        if level > 2:
+            _, first, found = np.unique(pair_key(context_key(before[:-1]), w), return_index=True, return_counts=True)
+            below = _gram_blocks([v[first] for v in before[:-1]], w[first], found, shards, frequent)
+        else:
+            word, found = np.unique(w, return_counts=True)
+            below = _blocks(shard_of(word, shards), word, found)
+        yield rows("below", below.column(0), below.column(1))
+        if split.any():
+            parts = _blocks(shard_of(context[split], shards), context[split], *figures[:, split])
+            yield rows("split", parts.column(0), parts.column(1))
+        yield rows("figures", pa.array([s]), pa.array([None], pa.binary()), [int((n == k).sum()) for k in (1, 2, 3, 4)])
+
+
+def _merge_split(batches: Iterator[pa.RecordBatch], level: int, folder: str) -> Iterator[pa.RecordBatch]:
+    """Files of the contexts that were dealt over several shards, with the sums of their parts."""
+    for run in runs_of(batches, "shard"):
+        contexts, *figures = (np.concatenate(x) for x in _of_blocks(run["block"], 5))
+        summed = [_summed(contexts, x) for x in figures]
+        s = run["shard"][0]
+        _save(folder, f"split-{level}-{s}", summed[0][0])
+        _save(folder, f"split-figures-{level}-{s}", np.stack([x for _, x in summed]))
+        yield pa.RecordBatch.from_arrays([pa.array([len(summed[0][0])])], ["contexts"])
 
 
 def _merge_contexts(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
@@ -273,48 +333,45 @@ def local_folder(spark) -> str:
     return path
 
 
-def train(texts: DataFrame, characters: int) -> Model:
+def train(texts: DataFrame, characters: int, order: int = 2) -> Model:
     """Count the ``text`` column into files; ``characters`` decides the number of shards."""
+    if order < 2:
+        raise ValueError("the order has to be two or more")
     spark = texts.sparkSession
     folder = local_folder(spark)
     shards = max(LEAST_SHARDS, -(-characters // SHARD_CHARS))
     block = "shard long, block binary"
 
-    def by_shard(blocks: DataFrame, n: int) -> DataFrame:
-        """All blocks of a shard in one run, one run for each of n shards: those without blocks get a null one."""
-        every = spark.range(n, numPartitions=1).selectExpr("id AS shard", "CAST(NULL AS BINARY) AS block")
+    def by_shard(blocks: DataFrame) -> DataFrame:
+        """All blocks of a shard in one run, one run for each shard: those without blocks get a null one."""
+        every = spark.range(shards, numPartitions=1).selectExpr("id AS shard", "CAST(NULL AS BINARY) AS block")
         return blocks.select("shard", "block").unionByName(every).repartition("shard").sortWithinPartitions("shard")
 
-    words = by_shard(texts.mapInArrow(partial(_count_words, shards=shards), block), shards)
+    words = by_shard(texts.mapInArrow(partial(_count_words, shards=shards), block))
     words = cut(words.mapInArrow(partial(_merge_words, folder=folder, shards=shards), "tokens long, words long, ends long, often array<long>, times array<long>"), "words")
     tokens, n_words, starts = (x or 0 for x in words.agg(F.sum("tokens"), F.sum("words"), F.sum("ends")).first())
     share = max(1.0, tokens / (4 * shards))
-    hot, at = {}, shards
-    frequent = words.select(F.inline(F.arrays_zip("often", "times"))).where(F.col("times") > share).collect()
-    often = {r["often"] % 2**64: r["times"] for r in frequent}
+    rows = words.select(F.inline(F.arrays_zip("often", "times"))).where(F.col("times") > share).collect()
+    often = {r["often"] % 2**64: r["times"] for r in rows}
     often.pop(END, None)
     if starts > share:
         often[START] = starts
-    for w in sorted(often):
-        hot[w] = at, -(-often[w] // int(share))
-        at += hot[w][1]
-    pairs = by_shard(texts.mapInArrow(partial(_count_pairs, shards=shards, hot=hot), block), at)
-    merged = pairs.mapInArrow(partial(_merge_pairs, folder=folder, shards=shards), f"{block}, of array<long>, pair_shard long, context long")
-    merged = cut(merged, "contexts")
-    figures = merged.where("of IS NOT NULL")
-    n = [x or 0 for x in figures.agg(*[F.sum(F.get("of", F.lit(k))) for k in range(4)]).first()]
-    cut2 = discounts(*n)
-    freed = {}
-    if hot:
-        parts = figures.where(F.size("of") > 4).groupBy("context").agg(*[F.sum(F.get("of", F.lit(4 + k))) for k in range(3)])
-        freed = {r[0] % 2**64: list(r[1:]) for r in parts.collect()}
-    total = {w: (starts if w == START else often[w]) for w in hot}
-    hot_left = {w: sum(d * k for d, k in zip(cut2, freed[w], strict=True)) / total[w] for w in freed}
-    low = by_shard(merged.where("block IS NOT NULL"), shards).mapInArrow(partial(_merge_contexts, folder=folder), "pairs long, n1 long, n2 long, n3 long, n4 long, more long")
-    all_pairs, *m, more = (x or 0 for x in low.agg(*[F.sum(c) for c in ("pairs", "n1", "n2", "n3", "n4", "more")]).first())
-    cut1 = discounts(*m)
-    left1 = (cut1[0] * m[0] + cut1[1] * m[1] + cut1[2] * more) / all_pairs if all_pairs else 1.0
-    return Model(folder, shards, tokens, n_words, all_pairs, cut2, cut1, left1, starts, hot, hot_left)
+    frequent = Frequent(np.array(sorted(often), np.uint64), np.array([often[w] for w in sorted(often)], np.float64), share)
+    blocks = texts.mapInArrow(partial(_count_grams, order=order, shards=shards, frequent=frequent), block)
+    cuts = []
+    for level in range(order, 1, -1):
+        merge = partial(_merge_grams, level=level, folder=folder, shards=shards, frequent=frequent)
+        merged = cut(by_shard(blocks).mapInArrow(merge, f"kind string, {block}, of array<long>"), f"grams-{level}")
+        figures = merged.where("kind = 'figures'").agg(*[F.sum(F.get("of", F.lit(k))) for k in range(4)]).first()
+        cuts.append(discounts(*(x or 0 for x in figures)))
+        if often:
+            by_shard(merged.where("kind = 'split'")).mapInArrow(partial(_merge_split, level=level, folder=folder), "contexts long").agg(F.sum("contexts")).first()
+        blocks = merged.where("kind = 'below'")
+    low = by_shard(blocks).mapInArrow(partial(_merge_contexts, folder=folder), "pairs long, n1 long, n2 long, n3 long, n4 long, more long")
+    pairs, *m, more = (x or 0 for x in low.agg(*[F.sum(c) for c in ("pairs", "n1", "n2", "n3", "n4", "more")]).first())
+    cuts.append(discounts(*m))
+    left = (cuts[-1][0] * m[0] + cuts[-1][1] * m[1] + cuts[-1][2] * more) / pairs if pairs else 1.0
+    return Model(folder, shards, order, tokens, n_words, pairs, tuple(reversed(cuts)), left, frequent)
 
 
 def _find(folder: str, name: str, s: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -328,8 +385,8 @@ def _find(folder: str, name: str, s: int, keys: np.ndarray) -> tuple[np.ndarray,
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(shard, kind="stable")
-    edges = np.flatnonzero(np.append(True, shard[order][1:] != shard[order][:-1])) if len(shard) else []
-    for i, j in zip(edges, [*edges[1:], len(order)], strict=True):
+    edges = np.flatnonzero(np.append(True, shard[order][1:] != shard[order][:-1])[: len(shard)])
+    for i, j in zip(edges, np.append(edges[1:], len(order)), strict=False):
         yield int(shard[order[i]]), order[i:j]
 
 
@@ -345,40 +402,50 @@ def word_figures(model: Model, word: np.ndarray) -> tuple[np.ndarray, np.ndarray
         if ok.any():
             count[rows[ok]] = _map(model.folder, f"word-count-{s}")[at[ok]]
             contexts[rows[ok]] = _map(model.folder, f"word-contexts-{s}")[at[ok]]
-    return count, _discounted(contexts, model.cut1) / max(1, model.pairs) + model.left1 / (model.words + 1)
+    return count, _discounted(contexts, model.cuts[0]) / max(1, model.pairs) + model.left / (model.words + 1)
+
+
+def context_figures(model: Model, before: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(count, mass left to the level below) of contexts in ascending order of their keys."""
+    level, context = len(before) + 1, context_key(before)
+    total, left = np.zeros(len(context)), np.ones(len(context))
+    split = model.frequent.parts(before) > 1
+    for name, of in (("context", ~split), ("split", split)):
+        these = np.flatnonzero(of)
+        for s, rows in _by_shard(shard_of(context[these], model.shards)):
+            rows = these[rows]
+            at, ok = _find(model.folder, f"{name}-{level}", s, context[rows])
+            if ok.any():
+                all_, *few = _map(model.folder, f"{name}-figures-{level}-{s}")[:, at[ok]].astype(np.float64)
+                total[rows[ok]], left[rows[ok]] = all_, np.array(model.cuts[level - 1]) @ np.array(few) / all_
+    return total, left
 
 
-def context_figures(model: Model, context: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(c(v), g(v)) of ascending distinct contexts; ``count``: their counts as words."""
-    total = np.where(context == np.uint64(START), float(model.starts), count)
-    left = np.ones(len(context))
-    for s, rows in _by_shard(shard_of(context, model.shards)):
-        at, ok = _find(model.folder, "context", s, context[rows])
+def gram_counts(model: Model, before: list[np.ndarray], w: np.ndarray) -> np.ndarray:
+    """Figures of n-grams in ascending order of their keys."""
+    level, context = len(before) + 1, context_key(before)
+    key, out = pair_key(context, w), np.zeros(len(w))
+    for s, rows in _by_shard(_gram_shard(before, context, w, model.shards, model.frequent)):
+        at, ok = _find(model.folder, f"gram-{level}", s, key[rows])
         if ok.any():
-            few = _map(model.folder, f"context-few-{s}")[:, at[ok]].astype(np.float64)
-            left[rows[ok]] = (np.array(model.cut2) @ few) / total[rows[ok]]
-    for w, g in model.hot_left.items():
-        at = int(np.searchsorted(context, np.uint64(w)))
-        if at < len(context) and context[at] == np.uint64(w):
-            left[at] = g
-    return total, left
+            out[rows[ok]] = _map(model.folder, f"gram-count-{level}-{s}")[at[ok]]
+    return out
 
 
 def log_probabilities(model: Model, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(training count, log10 P(w|v)) of each token of texts that END closes."""
-    v = _contexts(w)
-    word, of_word = np.unique(np.concatenate([w, v]), return_inverse=True)
-    count, low = word_figures(model, word)
-    total, left = context_figures(model, word, count)
-    iw, iv = of_word[: len(w)], of_word[len(w) :]
-    key, first, of_pair = np.unique(pair_key(v, w), return_index=True, return_inverse=True)
-    pairs = np.zeros(len(key))
-    for s, rows in _by_shard(_pair_shard(v[first], w[first], model.shards, model.hot)):
-        at, ok = _find(model.folder, "pair", s, key[rows])
-        if ok.any():
-            pairs[rows[ok]] = _map(model.folder, f"pair-count-{s}")[at[ok]]
-    high = _discounted(pairs, model.cut2)[of_pair] / np.maximum(total[iv], 1)
-    return count[iw], np.log10(high + np.where(total[iv] > 0, left[iv], 1.0) * low[iw])
+    """(training count, log10 of the probability) of each token of texts that END closes."""
+    word, of_word = np.unique(w, return_inverse=True)
+    count, p = (x[of_word] for x in word_figures(model, word))
+    before = _contexts(w, model.order - 1)
+    for level in range(2, model.order + 1):
+        near = before[: level - 1]
+        context = context_key(near)
+        _, first, of_context = np.unique(context, return_index=True, return_inverse=True)
+        total, left = (x[of_context] for x in context_figures(model, [v[first] for v in near]))
+        _, first, of_gram = np.unique(pair_key(context, w), return_index=True, return_inverse=True)
+        n = gram_counts(model, [v[first] for v in near], w[first])[of_gram]
+        p = _discounted(n, model.cuts[level - 1]) / np.maximum(total, 1) + left * p
+    return count, np.log10(p)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -409,10 +476,10 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
         yield flush()
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = 2) -> DataFrame:
     """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("held_out", crc_mod("doc_id", folds) == 0)
     characters = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    model = train(rows.where("NOT held_out").select("text"), characters)
+    model = train(rows.where("NOT held_out").select("text"), characters, order)
     return rows.mapInArrow(partial(_score, model=model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -543,51 +543,67 @@ def test_write_shards(spark, tmp_path):
     assert set(spark.read.parquet(f"{tmp_path}/named").columns) == {"doc_id", "_salt", "shard"}
 
 
-def test_lm_scores(spark, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_scores(spark, monkeypatch, order):
     monkeypatch.setattr(kneser_ney, "SHARD_CHARS", 2000)
     monkeypatch.setattr(kneser_ney, "CHUNK", 500)
     rows = corpus()
-    got = kneser_ney.lm_scores(frame(spark, rows)).collect()
+    got = kneser_ney.lm_scores(frame(spark, rows), order=order).collect()
     assert len(got) == len(rows)
     key = lambda i: b"" if i is None else str(i).encode()
     tok = lambda t: [*words_of(t), b" end"]
-    c1, c2 = Counter(), Counter()
+    grams = lambda x: zip(*[[*[b" start"] * (order - 1), *x][k:] for k in range(order)], strict=False)
+    c1, level = Counter(), {k: Counter() for k in range(1, order + 1)}
     for i, t in rows:
         if zlib.crc32(key(i)) % 10:
             x = tok(t)
             c1.update(x)
-            c2.update(zip([b" start", *x], x, strict=False))
+            level[order].update(grams(x))
+    for k in range(order, 1, -1):
+        level[k - 1].update(g[1:] for g in level[k])
     n, v = sum(c1.values()), len(c1)
-    of, few, cont = Counter(), defaultdict(lambda: [0, 0, 0]), Counter()
-    for (a, b), k in c2.items():
-        of[a] += k
-        few[a][min(k, 3) - 1] += 1
-        cont[b] += 1
-    cs = lambda c: kneser_ney.discounts(*[sum(x == k for x in c.values()) for k in (1, 2, 3, 4)])
-    d2, d1, total = cs(c2), cs(cont), sum(cont.values())
-    free = sum(d1[min(x, 3) - 1] for x in cont.values()) / total
-    p1 = lambda w: (cont[w] - (d1[min(cont[w], 3) - 1] if cont[w] else 0)) / total + free / (v + 1)
-
-    def p2(a, w):
-        k = c2[(a, w)]
-        if not of[a]:
-            return p1(w)
-        return (k - (d2[min(k, 3) - 1] if k else 0)) / of[a] + sum(x * y for x, y in zip(d2, few[a], strict=True)) / of[a] * p1(w)
-
-    assert abs(sum(map(p1, c1)) + free / (v + 1) - 1) < 1e-9
-    assert abs(sum(p2(b"one1", w) for w in c1) + p2(b"one1", b"?") - 1) < 1e-9
+    of, few, cuts = Counter(), defaultdict(lambda: [0, 0, 0]), {}
+    for k, counts in level.items():
+        cuts[k] = kneser_ney.discounts(*[sum(x == j for x in counts.values()) for j in (1, 2, 3, 4)])
+        for g, c in counts.items():
+            of[k, g[:-1]] += c
+            few[k, g[:-1]][min(c, 3) - 1] += 1
+
+    def p(g):
+        if not g:
+            return 1 / (v + 1)
+        k, c = len(g), level[len(g)][g]
+        if not of[k, g[:-1]]:
+            return p(g[1:])
+        free = sum(x * y for x, y in zip(cuts[k], few[k, g[:-1]], strict=True))
+        return (c - (cuts[k][min(c, 3) - 1] if c else 0) + free * p(g[1:])) / of[k, g[:-1]]
+
+    before = next(g[:-1] for g in level[order] if g[-2] == b"one1")
+    assert abs(sum(p((*before, w)) for w in c1) + p((*before, b"?")) - 1) < 1e-9
     text = defaultdict(set)
     for i, t in rows:
         text[i].add(t)
     for r in got:
         (t,) = text[r["doc_id"]]
         x = tok(t)
-        score = sum(math.log10(p2(a, b)) for a, b in zip([b" start", *x], x, strict=False))
+        score = sum(math.log10(p(g)) for g in grams(x))
         base = sum(math.log10((c1[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x)
         assert abs(r["score"] - score) < 1e-6 * (1 + abs(score)) and abs(r["base_score"] - base) < 1e-6 * (1 + abs(base))
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(key(r["doc_id"])) % 10 == 0, len(x), sum(c1[w] > 0 for w in x), n)
 
 
+def test_lm_frequent_contexts_are_split_and_summed(spark):
+    """A pair of words that makes up most of the text goes to several shards; its figures are whole again when read."""
+    texts = [(" ".join(f"the big w{i % 37}" for i in range(k, k + 60)),) for k in range(50)]
+    model = kneser_ney.train(spark.createDataFrame(texts, "text string"), 8, order=3)
+    hashes = WordHashes()
+    the, big = (hashes.of([w]) for w in (b"the", b"big"))
+    assert model.frequent.parts([big, the])[0] > 1
+    total, left = kneser_ney.context_figures(model, [big, the])
+    assert total[0] == 50 * 60
+    assert left[0] == pytest.approx(model.cuts[2][2] * 37 / total[0])
+
+
 def test_lm_scores_without_training_rows(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
     got = kneser_ney.lm_scores(frame(spark, [(held[0], "a b"), (held[1], None)])).collect()
