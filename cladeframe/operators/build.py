@@ -353,11 +353,15 @@ class Model:
         return q
 
     def transition(self, lengths: np.ndarray) -> np.ndarray:
-        """P(t) for many lengths: (I + Qt / 2^20) squared twenty times."""
-        p = np.eye(self.states) + self.rate_matrix()[None] * np.asarray(lengths, float)[:, None, None] / 2**20
+        """P(t) for many lengths: (I + Qt / 2^20) squared twenty times.
+
+        The difference to I is carried along, as (I + E)^2 = I + 2E + E^2: beside the
+        ones of I the small E would lose its last digits, and each squaring doubles that.
+        """
+        e = self.rate_matrix()[None] * np.asarray(lengths, float)[:, None, None] / 2**20
         for _ in range(20):
-            p = p @ p
-        return p
+            e = 2 * e + e @ e
+        return np.eye(self.states) + e
 
     def root(self, partial: np.ndarray, weighted: bool | None = None) -> np.ndarray:
         """Partials at the root combined: by frequencies if reversible (or asked), else summed."""

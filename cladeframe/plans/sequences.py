@@ -235,11 +235,13 @@ def likelihood_sql(lengths: str = "") -> str:
     """Partials of five states that change into each other at one rate, level by level.
 
     ``lengths``: relations that end in one named t (tree_id, k, t), the lengths to use.
+    e is (1 - x)^(2^20) with x = t / 2^20, by the series of ln(1 - x), as 1 - x itself
+    keeps too few digits of a small x.
     """
     message = "list_transform(range(1, 6), lambda i: {c}.e * {c}.l[i] + (1 - {c}.e) * list_sum({c}.l) / 5)"
     both = f"list_transform(range(1, 6), lambda j: ({message.format(c='a')})[j] * ({message.format(c='b')})[j])"
     own = lengths or ", t AS (SELECT tree_id, k, len AS t FROM nodes)"
-    tips = TIP_SQL.replace("n.len, n.tip", "pow(1 - t.t / 1048576, 1048576) AS e, n.tip").replace("FROM nodes n LEFT JOIN orders", "FROM nodes n JOIN t USING (tree_id, k) LEFT JOIN orders")
+    tips = TIP_SQL.replace("n.len, n.tip", "exp(-t.t * (1 + t.t / 1048576 / 2 + pow(t.t / 1048576, 2) / 3 + pow(t.t / 1048576, 3) / 4)) AS e, n.tip").replace("FROM nodes n LEFT JOIN orders", "FROM nodes n JOIN t USING (tree_id, k) LEFT JOIN orders")
     return own + tips + level_sql("n.e, list_transform(range(1, 6), lambda i: CAST((n.s1 >> CAST(i - 1 AS INTEGER)) & 1 AS DOUBLE)) AS l", f"n.e, {both} AS l")
 
 
