@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cladeframe.operators.components import _checkpoint, _written
-from cladeframe.operators.forest import extreme_branch, inside, mrca, relaxed_outgroup, tips, unrooted_branches
-from cladeframe.schema import RAW, RAW_COLUMNS, Shape, index_forest, per_tree, whole_trees
+from cladeframe.operators.components import _checkpoint
+from cladeframe.operators.forest import inside, mrca, relaxed_outgroup, tips, unrooted_branches
+from cladeframe.schema import COLUMNS, NODES, RAW, RAW_COLUMNS, Shape, index_columns, index_forest, per_tree, whole_trees
 
 LENGTH = "branch_length"
 
@@ -222,28 +222,45 @@ def relaxed_outgroup_root(nodes: DataFrame, taxa: DataFrame) -> DataFrame:
     return reroot(nodes, relaxed_outgroup(nodes, taxa).select("tree_id", "node_id"))
 
 
+def _middle(rows: pd.DataFrame, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each tree with two tips or more: the row whose branch holds the middle of its longest path, the part of the branch below it, the path."""
+    dist, at = rows["root_dist"].to_numpy(float), np.arange(len(rows))
+    # the furthest tip below each node, of equally far ones the leftmost: the highest rank
+    order = np.lexsort((-at, dist))
+    rank = np.empty(len(rows), np.int64)
+    rank[order] = at
+    tip = order[shape.fold(np.where(rows["is_tip"].to_numpy(bool), rank, -1), np.maximum)]
+    far = dist[tip]
+    # the two furthest children of each node, side by side
+    kids = np.flatnonzero(shape.up >= 0)
+    kids = kids[np.lexsort((kids, -far[kids], shape.up[kids]))]
+    first = np.flatnonzero(np.append(True, shape.up[kids][1:] != shape.up[kids][:-1])) if len(kids) else kids
+    first = first[first + 1 < len(kids)]
+    one, two = kids[first], kids[first + 1]
+    pair = shape.up[one] == shape.up[two]
+    one, two = one[pair], two[pair]
+    top = shape.up[one]
+    path = far[one] + far[two] - 2 * dist[top]
+    best = np.lexsort((-top, path, shape.tree[top]))
+    best = best[np.append(shape.tree[top[best]][1:] != shape.tree[top[best]][:-1], True)] if len(best) else best
+    one, top, path = one[best], top[best], path[best]
+    middle = far[one] - path / 2
+    here, found = tip[one], np.full(len(one), -1)
+    while (live := here != top).any():
+        found = np.where(live & (dist[here] >= middle), here, found)
+        here = np.where(live, shape.up[here], here)
+    ok = found >= 0
+    return found[ok], dist[found[ok]] - middle[ok], path[ok]
+
+
 def midpoints(nodes: DataFrame) -> DataFrame:
     """(tree_id, node_id, below, path): the branch with the middle of the longest path between two tips."""
 
     def run(rows: pd.DataFrame, shape: Shape) -> pd.DataFrame:
-        """The furthest tip below each node, of equally far ones the leftmost: the highest rank."""
-        order = np.lexsort((-rows["pre"].to_numpy(), rows["root_dist"].to_numpy()))
-        rank = np.empty(len(rows), np.int64)
-        rank[order] = np.arange(len(rows))
-        best = shape.fold(np.where(rows["is_tip"].to_numpy(), rank, -1), np.maximum)
-        have = best >= 0
-        tip = order[best[have]]
-        return rows.loc[have, ["tree_id", "node_id", "parent_id", "pre"]].assign(d=rows["root_dist"].to_numpy()[tip], tip=rows["pre"].to_numpy()[tip])
-
-    rows = nodes.select("tree_id", "node_id", F.col("parent_id").cast("double").alias("parent_id"), "pre", "depth", "root_dist", "is_tip")
-    far = whole_trees(rows, run, "tree_id long, node_id int, parent_id double, pre int, d double, tip int")
-    far = far.select("tree_id", "node_id", F.col("parent_id").cast("int").alias("parent_id"), "pre", F.struct("d", "tip").alias("f"))
-    k = F.row_number().over(Window.partitionBy("tree_id", "parent_id").orderBy(F.desc("f.d"), "pre"))
-    two = far.where("parent_id IS NOT NULL").withColumn("k", k).where("k <= 2").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.max(F.when(F.col("k") == 1, F.col("f"))).alias("f1"), F.max(F.when(F.col("k") == 2, F.col("f"))).alias("f2")).where("f2 IS NOT NULL")
-    path = two.join(nodes.select("tree_id", "node_id", "pre", "root_dist"), ["tree_id", "node_id"]).withColumn("path", F.col("f1.d") + F.col("f2.d") - 2 * F.col("root_dist"))
-    best = path.groupBy("tree_id").agg(F.max_by(F.struct("path", "f1", "pre"), F.struct("path", -F.col("pre"))).alias("b")).select("tree_id", "b.path", F.col("b.f1.tip").alias("tip"), F.col("b.pre").alias("top"), (F.col("b.f1.d") - F.col("b.path") / 2).alias("at"))
-    n = nodes.select("tree_id", "node_id", "pre", "last", "depth", "root_dist").join(best, "tree_id").where("tip BETWEEN pre AND last AND pre > top AND root_dist >= at")
-    return n.groupBy("tree_id").agg(F.min_by(F.struct("node_id", (F.col("root_dist") - F.col("at")).alias("below"), "path"), "depth").alias("m")).select("tree_id", "m.*")
+        at, below, path = _middle(rows, shape)
+        return rows.iloc[at][["tree_id", "node_id"]].assign(below=below, path=path)
+
+    return whole_trees(nodes.select("tree_id", "node_id", "pre", "depth", "root_dist", "is_tip"), run, "tree_id long, node_id int, below double, path double")
 
 
 def midpoint_root(nodes: DataFrame) -> DataFrame:
@@ -254,28 +271,29 @@ def midpoint_root(nodes: DataFrame) -> DataFrame:
 # Removing and adding.
 
 
+def _on_tips(part: pd.DataFrame, shape: Shape, tip: np.ndarray) -> pd.DataFrame:
+    """Raw rows of the trees on some of their tips."""
+    dist, ids = part["root_dist"].to_numpy(), part["node_id"].to_numpy()
+    held = shape.fold(tip.astype(np.int64), np.add) > 0
+    kids = np.bincount(shape.up[held & (shape.up >= 0)], minlength=len(part))
+    stays = tip | (kids >= 2)
+    above = np.full(len(part), -1)  # the nearest node above that stays
+    for here in shape.levels[1:]:
+        p = shape.up[here]
+        above[here] = np.where(stays[p], p, above[p])
+    length = dist - np.where(above >= 0, dist[above], 0.0)
+    parent = pd.array(np.where(above >= 0, ids[above], 0), dtype="Int32")
+    parent[above < 0] = pd.NA
+    made = part[["tree_id", "node_id"]].assign(parent_id=parent, child_ord=part["pre"], label=part["label"], branch_length=length)
+    return made[stays]
+
+
 def keep_tips(nodes: DataFrame, kept: DataFrame) -> DataFrame:
     """Trees on the kept tips (tree_id, node_id): nodes left with one child fall away, lengths add up."""
     flag = kept.select("tree_id", "node_id").distinct().withColumn("kept", F.lit(True))
     rows = nodes.select("tree_id", "node_id", "pre", "depth", "label", "root_dist", "is_tip").join(flag, ["tree_id", "node_id"], "left")
     rows = rows.withColumn("kept", F.col("is_tip") & F.col("kept").isNotNull())
-
-    def run(part: pd.DataFrame, shape: Shape) -> pd.DataFrame:
-        tip, dist, ids = part["kept"].to_numpy(), part["root_dist"].to_numpy(), part["node_id"].to_numpy()
-        held = shape.fold(tip.astype(np.int64), np.add) > 0
-        kids = np.bincount(shape.up[held & (shape.up >= 0)], minlength=len(part))
-        stays = tip | (kids >= 2)
-        above = np.full(len(part), -1)  # the nearest node above that stays
-        for here in shape.levels[1:]:
-            p = shape.up[here]
-            above[here] = np.where(stays[p], p, above[p])
-        length = dist - np.where(above >= 0, dist[above], 0.0)
-        parent = pd.array(np.where(above >= 0, ids[above], 0), dtype="Int32")
-        parent[above < 0] = pd.NA
-        made = part[["tree_id", "node_id"]].assign(parent_id=parent, child_ord=part["pre"], label=part["label"], branch_length=length)
-        return made[stays]
-
-    return whole_trees(rows, run, RAW)
+    return whole_trees(rows, lambda part, shape: _on_tips(part, shape, part["kept"].to_numpy()), RAW)
 
 
 def drop_tips(nodes: DataFrame, taxa: DataFrame) -> DataFrame:
@@ -383,22 +401,33 @@ def random_neighbour(nodes: DataFrame, seed: int = 0) -> DataFrame:
     return near.join(pick, ["tree_id", "alt"], "left_semi").select(RAW_COLUMNS)
 
 
-def _cuts(nodes: DataFrame, by: str, rooted: bool) -> DataFrame:
-    """(tree_id, node_id): where each tree is cut in two."""
+def _cuts(rows: pd.DataFrame, shape: Shape, by: str, rooted: bool) -> np.ndarray:
+    """The rows above which trees are cut in two, one of each tree that can be cut."""
     if by == "midpoint":
-        return midpoints(nodes).select("tree_id", "node_id")
-    if rooted:
-        return extreme_branch(nodes).select("tree_id", "node_id")
-    # the two branches at a root of two children are one, cut on the side of fewer tips
-    side = Window.partitionBy("tree_id")
-    top = nodes.where("depth = 1").withColumn("m", F.count("*").over(side)).where("m = 2")
-    top = top.withColumn("whole", F.sum(_length()).over(side)).withColumn("small", F.row_number().over(side.orderBy("n_tips", "pre")) == 1)
-    marks = top.select("tree_id", "node_id", "whole", "small")
-    n = nodes.join(marks, ["tree_id", "node_id"], "left").where(F.coalesce("small", F.lit(True)))
-    # of equally long branches one away from the root is cut
-    n = n.withColumn(LENGTH, F.coalesce("whole", LENGTH)).where("parent_id IS NOT NULL")
-    best = F.max_by("node_id", F.struct(LENGTH, F.col("small").isNull().alias("away"), -F.col("depth"), -F.col("pre"))).alias("node_id")
-    return n.groupBy("tree_id").agg(best)
+        return _middle(rows, shape)[0]
+    length, depth = rows[LENGTH].to_numpy(float), rows["depth"].to_numpy()
+    rank, can, away = np.where(np.isnan(length), -np.inf, length), shape.up >= 0, np.ones(len(rows), bool)
+    if not rooted:
+        # the two branches at a root of two children are one, cut on the side of fewer tips
+        top = np.flatnonzero(depth == 1)
+        top = top[np.bincount(shape.tree[top], minlength=len(shape.starts))[shape.tree[top]] == 2]
+        left, right = top[::2], top[1::2]
+        tips_below = rows["n_tips"].to_numpy()
+        small = np.where(tips_below[right] < tips_below[left], right, left)
+        can[left + right - small] = False
+        rank[small] = np.nan_to_num(length[left]) + np.nan_to_num(length[right])
+        away[small] = False
+    at = np.flatnonzero(can)
+    # of equally long branches one away from the root is cut, then the shallower, then the leftmost
+    at = at[np.lexsort((-at, -depth[at], away[at], rank[at], shape.tree[at]))]
+    return at[np.append(shape.tree[at][1:] != shape.tree[at][:-1], True)] if len(at) else at
+
+
+def _indexed(raw: pd.DataFrame) -> pd.DataFrame:
+    """Raw rows of whole trees with their index columns, in preorder."""
+    parent = raw["parent_id"].fillna(-1).to_numpy("int64")
+    found = index_columns(raw["tree_id"].to_numpy(), raw["node_id"].to_numpy(), parent, raw["child_ord"].fillna(0).to_numpy(float), raw[LENGTH].to_numpy(float))
+    return raw.assign(**found).sort_values(["tree_id", "pre"], ignore_index=True)
 
 
 def split_trees(nodes: DataFrame, pieces: int | None = None, by: str = "longest", choose: str = "tips", stop_tips: int = 1, rooted: bool = True, max_tips: int | None = None) -> DataFrame:
@@ -409,35 +438,62 @@ def split_trees(nodes: DataFrame, pieces: int | None = None, by: str = "longest"
     at a time, that with most tips or with the longest branch (``choose``); with
     ``max_tips`` all parts that are too large are cut at once, as their order doesn't
     matter.  Parts of ``stop_tips`` tips or fewer, and those that can't be cut, stay.
+    One shuffle by tree: the rounds run over all trees of a batch inside a task.
     Returns (source, tree_id, part, raw and index columns).
     """
     if (pieces is None) == (max_tips is None):
         raise ValueError("either pieces or max_tips")
-    others = [c for c in nodes.columns if c != "tree_id"]
-    part = _checkpoint(nodes.select(F.col("tree_id").alias("source"), F.lit(0).alias("part"), *others))
-    key = F.xxhash64("source", "part").alias("tree_id")
-    for _ in count() if pieces is None else range(1, pieces):
-        now = part.select("source", "part", key, *others)
-        names = now.select("tree_id", "source", "part").distinct()
-        flat = now.drop("source", "part")
-        many = flat.groupBy("tree_id").agg(F.max("n_tips").alias("n")).where(F.col("n") > max(stop_tips, max_tips or 0)).select("tree_id")
-        flat = flat.join(many, "tree_id", "left_semi")
-        found = names.join(_cuts(flat, by, rooted), "tree_id")
-        if max_tips is None:
-            rank = flat.groupBy("tree_id").agg((F.max("n_tips").cast("double") if choose == "tips" else F.max(F.when(F.col("parent_id").isNotNull(), F.col(LENGTH)))).alias("rank"))
-            found = found.join(rank, "tree_id").groupBy("source").agg(F.max_by(F.struct("tree_id", "node_id", "part"), F.struct("rank", -F.col("part"))).alias("b")).select("source", "b.*")
-        top = part.groupBy("source").agg(F.max("part").alias("top"))
-        number = F.row_number().over(Window.partitionBy("source").orderBy("part"))
-        best = _checkpoint(found.join(top, "source").withColumn("new_part", F.col("top") + number).select("source", "part", "tree_id", "node_id", "new_part"))
-        if best.isEmpty():
-            break
-        hit = flat.join(best.select("tree_id"), "tree_id", "left_semi")
-        rest, clade = prune_clade(hit, best)
-        one = index_forest(rest).join(best.select("tree_id", "source", "part"), "tree_id")
-        two = index_forest(clade).join(best.select("tree_id", "source", F.col("new_part").alias("part")), "tree_id")
-        same = part.join(best.select("source", "part"), ["source", "part"], "left_anti")
-        part = _written(same.select(part.columns).unionByName(one.select(part.columns)).unionByName(two.select(part.columns)))
-    return part.select("source", key, "part", *others)
+    columns = [c for c in COLUMNS if c != "tree_id"]
+    limit = max(stop_tips, max_tips or 0)
+
+    def run(rows: pd.DataFrame, shape: Shape) -> pd.DataFrame:
+        sources, top = rows["tree_id"].to_numpy()[shape.starts], np.zeros(len(shape.starts), np.int64)
+        ids = {c: "Int32" for c in ("parent_id", "child_ord")}
+        rows = rows.assign(tree_id=shape.tree.astype(np.int64) << 32).astype(ids)  # in here: place of the source, part
+        whole = []
+        for _ in count() if pieces is None else range(1, pieces):
+            cut = _cuts(rows, shape, by, rooted)
+            cut = cut[rows["n_tips"].to_numpy()[shape.starts[shape.tree[cut]]] > limit]
+            if max_tips is None and len(cut):
+                if choose == "tips":
+                    rank = rows["n_tips"].to_numpy(float)[shape.starts]
+                else:
+                    length = rows[LENGTH].to_numpy(float)
+                    rank = np.maximum.reduceat(np.where((shape.up < 0) | np.isnan(length), -np.inf, length), shape.starts)
+                source = rows["tree_id"].to_numpy()[cut] >> 32
+                order = np.lexsort((-cut, rank[shape.tree[cut]], source))
+                cut = np.sort(cut[order[np.append(source[order][1:] != source[order][:-1], True)]])
+            if not len(cut):
+                break
+            key = rows["tree_id"].to_numpy()
+            hit = np.isin(shape.tree, shape.tree[cut])
+            first = np.full(len(shape.starts), -1)
+            first[shape.tree[cut]] = cut
+            start, own = first[shape.tree], np.arange(len(rows)) - shape.starts[shape.tree]
+            inside_cut = hit & (own >= rows["pre"].to_numpy()[start]) & (own <= rows["last"].to_numpy()[start])
+            rest = _on_tips(rows, shape, rows["is_tip"].to_numpy(bool) & hit & ~inside_cut)
+            # new parts are numbered behind the source's others, in the order of the parts cut
+            source = key[cut] >> 32
+            nth = np.arange(len(cut)) - np.searchsorted(source, source) + 1
+            fresh = np.zeros(len(shape.starts), np.int64)
+            fresh[shape.tree[cut]] = source << 32 | top[source] + nth
+            np.maximum.at(top, source, top[source] + nth)
+            clade = rows.loc[inside_cut, RAW_COLUMNS].assign(tree_id=fresh[shape.tree[inside_cut]])
+            clade["parent_id"] = clade["parent_id"].where(np.flatnonzero(inside_cut) != start[inside_cut])
+            same = rows[~hit]
+            made = _indexed(pd.concat([rest.astype(ids), clade], ignore_index=True))
+            if max_tips is None:
+                rows = pd.concat([same, made], ignore_index=True).sort_values(["tree_id", "pre"], ignore_index=True)
+            else:  # what isn't cut now never is
+                whole.append(same)
+                rows = made
+            shape = Shape(rows["tree_id"].to_numpy(), rows["depth"].to_numpy())
+        out = pd.concat([*whole, rows], ignore_index=True)
+        key = out["tree_id"].to_numpy(np.int64)
+        return out.assign(source=sources[key >> 32], part=key & 0xFFFFFFFF)[["source", "part", *columns]]
+
+    parts = whole_trees(nodes.select(COLUMNS), run, f"source long, part int, {NODES.removeprefix('tree_id long, ')}")
+    return parts.select("source", F.xxhash64("source", "part").alias("tree_id"), "part", *columns)
 
 
 def mean_path_ages(nodes: DataFrame, ages: DataFrame, n_char: float = 1.0) -> DataFrame:

@@ -24,7 +24,7 @@ RAW_COLUMNS = [c.split()[0] for c in RAW.split(", ")]
 COLUMNS = [c.split()[0] for c in NODES.split(", ")]
 
 
-def _ranks(tree: np.ndarray, node: np.ndarray, parent: np.ndarray, order: np.ndarray, length: np.ndarray) -> dict[str, np.ndarray]:
+def index_columns(tree: np.ndarray, node: np.ndarray, parent: np.ndarray, order: np.ndarray, length: np.ndarray) -> dict[str, np.ndarray]:
     """Index columns of whole trees: one pass down and one up over their levels, all trees at once."""
     n = len(node)
     position = pd.Series(np.arange(n), index=pd.MultiIndex.from_arrays([tree, node]))
@@ -61,7 +61,7 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def done(rows: pd.DataFrame) -> pd.DataFrame:
         parent = rows["parent_id"].fillna(-1).astype("int64").to_numpy()
-        found = _ranks(rows["tree_id"].to_numpy(), rows["node_id"].to_numpy(), parent, rows["child_ord"].fillna(0).to_numpy(), rows["branch_length"].to_numpy(float))
+        found = index_columns(rows["tree_id"].to_numpy(), rows["node_id"].to_numpy(), parent, rows["child_ord"].fillna(0).to_numpy(), rows["branch_length"].to_numpy(float))
         out = rows[RAW_COLUMNS].assign(**found)
         return out.astype({"parent_id": "Int32", "child_ord": "Int32", "node_id": "Int32"})
 

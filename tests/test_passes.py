@@ -244,6 +244,32 @@ def test_split_by_size_and_unrooted(spark):
         transform.split_trees(nodes)
 
 
+def cut_by_hand(tips_of, limit):
+    """Tip sets after cutting a tree, {clade's tips: branch length}, at its longest branches; branches that meet add up."""
+    whole = max(tips_of, key=len)
+    if len(whole) <= limit:
+        return [whole]
+    cut = max((c for c in tips_of if c != whole), key=lambda c: tips_of[c])
+    rest = {}
+    for c, length in tips_of.items():
+        if not c <= cut:
+            rest[c - cut] = rest.get(c - cut, 0.0) + length
+    return cut_by_hand({c: x for c, x in tips_of.items() if c <= cut}, limit) + cut_by_hand(rest, limit)
+
+
+def test_split_by_size_against_recursion(spark):
+    rng = random.Random(17)
+    nodes = trees(spark, *[random_newick(rng, n) for n in (2, 9, 17, 30)])
+    own = (F.xxhash64("tree_id", "node_id") % 9973 + 20_000) / 8  # no two branches alike
+    nodes = index_forest(nodes.withColumn("branch_length", own)).cache()
+    found = {}
+    for r in transform.split_trees(nodes, max_tips=5).where("is_tip").collect():
+        found.setdefault(r["source"], {}).setdefault(r["part"], set()).add(r["label"])
+    for tree_id, tree in by_tree(nodes).items():
+        clades = {frozenset(x["label"] for x in below(tree, i) if x["is_tip"]): r["branch_length"] for i, r in tree.items()}
+        assert {frozenset(p) for p in found[tree_id].values()} == set(cut_by_hand(clades, 5))
+
+
 def test_grafted_lineages_end_with_their_clade(spark):
     rng = random.Random(8)
     nodes = trees(spark, *[random_newick(rng, 12) for _ in range(5)]).cache()
