@@ -105,7 +105,15 @@ def drop_tips(nodes, spark, sf_dir):
     return f.patristic_sum(index_forest(t.drop_tips(nodes, named_tips(spark, sf_dir))))
 
 
-@query(None)
+#: A right child takes over its parent's branch once all tips left of it are gone, and so on up; a clade goes if all its chains of right children are short.
+DROP_SHORT_SQL = """, ends AS MATERIALIZED (SELECT u.tree_id, u.k, u.a, t.d - x.d + n.len AS s, u.k + 1 = (u.a + 1) << CAST(t.depth - x.depth AS INTEGER) AS rightmost
+  FROM up u JOIN nodes q ON q.tree_id = u.tree_id AND q.k = u.k AND q.tip JOIN dist t ON t.tree_id = u.tree_id AND t.k = u.k JOIN dist x ON x.tree_id = u.tree_id AND x.k = u.a JOIN nodes n ON n.tree_id = u.tree_id AND n.k = u.a),
+gone AS (SELECT u.tree_id, u.a AS k FROM up u JOIN ends e ON e.tree_id = u.tree_id AND e.a = u.k AND rightmost WHERE u.k = u.a OR u.k % 2 = 0 GROUP BY u.tree_id, u.a HAVING bool_and(s < 3)),
+hung AS (SELECT e.tree_id, e.k, max(e.a) AS a, arg_max(e.s, e.a) AS s FROM ends e LEFT JOIN gone g ON g.tree_id = e.tree_id AND g.k = e.a - 1 WHERE e.a = 1 OR e.a % 2 = 0 OR g.k IS NULL GROUP BY e.tree_id, e.k)
+SELECT tree_id, count(*) AS n_tips FROM hung WHERE a = 1 OR s >= 3 GROUP BY tree_id"""
+
+
+@query(DROP_SHORT_SQL)
 def drop_short_tips(nodes, spark, sf_dir):
     return f.tip_count(index_forest(t.drop_tips_on_short_branches(nodes, 3.0)))
 
@@ -146,7 +154,25 @@ def add_tip(nodes, spark, sf_dir):
     return f.tip_count(r).join(f.tree_length(r), "tree_id")
 
 
-@query(None)
+#: The first cut x leaves n0 tips as part 0 and n1 below it as part 1; z cuts the larger one.  With x gone its parent's branch and its sibling's are one.
+SPLIT_SQL = """, c AS MATERIALIZED (SELECT tree_id, k, len, depth, row_number() OVER (PARTITION BY tree_id ORDER BY substr(bin(k), 2)) AS rank FROM nodes JOIN dist USING (tree_id, k)),
+x AS (SELECT tree_id, arg_max(k, (len, -depth, -rank)) AS x FROM c WHERE k > 1 GROUP BY tree_id),
+two AS MATERIALIZED (SELECT x.tree_id, x, CAST(c.depth AS INTEGER) AS dx, b.n AS n1, m - b.n AS n0 FROM x JOIN m USING (tree_id) JOIN below b ON b.tree_id = x.tree_id AND b.k = x JOIN c ON c.tree_id = x.tree_id AND c.k = x),
+seen AS (SELECT two.*, c.*, n1 > n0 AS low, depth >= dx AND k >> greatest(CAST(depth AS INTEGER) - dx, 0) = x AS below_x, depth >= dx AND k >> greatest(CAST(depth AS INTEGER) - dx, 0) = xor(x, 1) AS beside
+  FROM two JOIN c ON c.tree_id = two.tree_id WHERE greatest(n0, n1) > 1),
+can AS (
+  SELECT tree_id, x, dx, low, n1, k, depth, rank, len FROM seen WHERE low AND below_x AND k <> x
+  UNION ALL SELECT s.tree_id, x, dx, low, n1, s.k, s.depth - CAST(beside AS INTEGER), s.rank, s.len + CASE WHEN s.k = xor(x, 1) THEN p.len ELSE 0 END
+  FROM seen s JOIN c p ON p.tree_id = s.tree_id AND p.k = x // 2 WHERE NOT low AND NOT below_x AND s.k > 1 AND s.k <> x // 2 AND NOT (x < 4 AND s.k = xor(x, 1))),
+z AS (SELECT tree_id, any_value(x) AS x, any_value(dx) AS dx, any_value(low) AS low, any_value(n1) AS n1, arg_max(k, (len, -depth, -rank)) AS z FROM can GROUP BY tree_id),
+nz AS (SELECT z.tree_id, low, b.n - CASE WHEN NOT low AND dx >= length(bin(z)) - 1 AND x >> greatest(dx - CAST(length(bin(z)) AS INTEGER) + 1, 0) = z THEN n1 ELSE 0 END AS n2 FROM z JOIN below b ON b.tree_id = z.tree_id AND b.k = z)
+SELECT tree_id AS source, CAST(0 AS INTEGER) AS part, m AS n_tips FROM m WHERE m = 1
+UNION ALL SELECT tree_id, 0, n0 - CASE WHEN NOT low THEN n2 ELSE 0 END FROM two LEFT JOIN nz USING (tree_id)
+UNION ALL SELECT tree_id, 1, n1 - CASE WHEN low THEN n2 ELSE 0 END FROM two LEFT JOIN nz USING (tree_id)
+UNION ALL SELECT tree_id, 2, n2 FROM nz"""
+
+
+@query(SPLIT_SQL)
 def split_tree(nodes, spark, sf_dir):
     parts = t.split_trees(nodes, 3)
     return parts.where("is_tip").groupBy("source", "part").agg(F.count("*").alias("n_tips"))
