@@ -196,12 +196,12 @@ def calibrated_ages(nodes, spark, sf_dir):
 
 @query(""", mp AS (SELECT u.tree_id, u.a AS k, avg(x.d - y.d) AS mean_path FROM up u JOIN nodes n ON n.tree_id = u.tree_id AND n.k = u.k AND n.tip JOIN dist x ON x.tree_id = u.tree_id AND x.k = u.k JOIN dist y ON y.tree_id = u.tree_id AND y.k = u.a GROUP BY u.tree_id, u.a),
 rr AS (SELECT tree_id, mean_path / 100.0 AS r FROM mp WHERE k = 1 AND mean_path > 0)
-SELECT mp.tree_id, mp.k AS node_id, mean_path, mean_path / r AS age FROM mp JOIN rr USING (tree_id)""")
+SELECT mp.tree_id, mp.k AS node_id, mean_path, round(mean_path / r, 10) AS age FROM mp JOIN rr USING (tree_id)""")
 def mean_path_ages(nodes, spark, sf_dir):
     """Ages with every root put at 100."""
     root = nodes.where("parent_id IS NULL").select("tree_id", "node_id", F.lit(100.0).alias("age"))
     r = t.mean_path_ages(nodes, root)
-    return whole(r.select("tree_id", "node_id", "mean_path", "age"), "node_id")
+    return whole(r.select("tree_id", "node_id", "mean_path", F.round("age", 10).alias("age")), "node_id")
 
 
 @query("""SELECT tree_id, count(*) FILTER (tip) AS n_tips, count(*) AS n_nodes, sum(len) AS tree_length FROM nodes GROUP BY tree_id""")
