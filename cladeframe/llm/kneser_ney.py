@@ -323,12 +323,12 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.01), k - 0.01) for x, k in zip(d, (1, 2, 3), strict=True))  # type: ignore[return-value]
 
 
-def local_folder(spark) -> str:
+def local_folder(spark, kind: str = "ngrams") -> str:
     """A new folder in the shared one, as the path under which every worker sees it."""
     at = urlsplit(shared_folder(spark))
     if at.scheme not in ("", "file"):
-        raise ValueError("the model is mapped into memory: spark.checkpoint.dir has to be a mounted folder (file:)")
-    path = f"{at.path}/ngrams-{uuid.uuid4().hex}"
+        raise ValueError("the files are mapped into memory: spark.checkpoint.dir has to be a mounted folder (file:)")
+    path = f"{at.path}/{kind}-{uuid.uuid4().hex}"
     os.makedirs(path)
     return path
 

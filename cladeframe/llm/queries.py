@@ -11,13 +11,16 @@ from cladeframe.llm.common import table
 from cladeframe.llm.cover_tree import near_vectors
 from cladeframe.llm.exact_dedup import exact_duplicates
 from cladeframe.llm.kneser_ney import lm_scores
+from cladeframe.llm.lexical_search import search
 from cladeframe.llm.packing import pack
 from cladeframe.llm.sharding import place
 from cladeframe.llm.sp_codec import encode_digests
 from cladeframe.llm.superminhash import near_duplicates
 from cladeframe.llm.token_counts import apply_edits, build, sample_edits
+from cladeframe.llm.token_files import read_corpus, write_corpus
 from cladeframe.llm.toxicity import toxicity
 from cladeframe.llm.url_filter import canonical, host_of, judge_urls, path_of
+from cladeframe.llm.whitening import whiten
 
 
 def vocabulary(name: str) -> str:
@@ -85,6 +88,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited.select("doc_id", "n_tokens_before", "n_edits", "n_tokens", "n_pre_tokens", "encoded_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_corpus(spark, write_corpus(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -96,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_token_counts": op10_token_counts,
+    "op11_token_files": op11_token_files,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -157,5 +175,24 @@ degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(l.m, e.vec_id)) AS component_id,
        e.vec_id = least(e.vec_id, coalesce(l.m, e.vec_id)) AS kept
 FROM embeddings e LEFT JOIN degree d ON d.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id
+""",
+    "op13_lexical_search": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, UNNEST(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM b GROUP BY item_id, term),
+total AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d),
+e AS (SELECT doc_id, len(w) AS n, UNNEST(w) AS term FROM d),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM e WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term),
+weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, total GROUP BY term, docs),
+impact AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms))) AS impact
+  FROM tf JOIN weight USING (term), total),
+scores AS (SELECT item_id, doc_id, CAST(sum(times * impact) AS BIGINT) AS score FROM q JOIN impact USING (term) GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM scores WHERE score > 0)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM ranked WHERE k <= 10
 """,
 }
