@@ -15,6 +15,7 @@ from cladeframe.plans import sequences as s
 from cladeframe.plans.derived import NODES_SQL, order_forest, table
 from cladeframe.schema import heap_forest, index_forest
 from cladeframe.sources import matrices, newick
+from cladeframe.sources.newick_scan import read_texts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -117,6 +118,47 @@ def newick_file(spark, sf_dir):
     return back.select("tree_id", "label", "is_tip", "branch_length", "root_dist", F.col("pre").cast("long").alias("pre"))
 
 
+#: A name of every kind that ends no tree.
+NAMES_SQL = "label || CASE WHEN tip THEN ';''s, (' || CAST(k % 7 AS VARCHAR) || ') [no; comment] \"x' ELSE '' END"
+
+
+def odd_names(nodes: DataFrame, k: F.Column) -> DataFrame:
+    """The trees with semicolons, quotes, brackets and commas in their tips' names."""
+    name = F.concat("label", F.lit(";'s, ("), (k % 7).cast("string"), F.lit(') [no; comment] "x'))
+    return nodes.withColumn("label", F.when(F.col("is_tip"), name).otherwise(F.col("label")))
+
+
+@query(f"SELECT tree_id, {NAMES_SQL} AS label, tip AS is_tip, len AS branch_length, row_number() OVER (PARTITION BY tree_id ORDER BY substr(bin(k), 2)) - 1 AS pre FROM nodes", NODES_SQL)
+def newick_names(spark, sf_dir):
+    """Trees whose names and comments hold what ends a tree elsewhere, read in byte ranges; a comment tells each tree's number."""
+    path = place(spark)
+    text = newick.to_newick(odd_names(order_forest(spark, sf_dir), F.col("node_id")))
+    text.select(F.concat(F.lit("[a 'comment; [of comments;]]\n"), F.regexp_replace("newick", ";$", ""), F.lit("[&tree="), F.col("tree_id").cast("string"), F.lit("];"))).write.text(path)
+    raw = newick.read_newick(spark, path)
+    known = raw.where("parent_id IS NULL").select("tree_id", F.col("ann")["tree"].cast("long").alias("written"))
+    return index_forest(raw).join(known, "tree_id").select(F.col("written").alias("tree_id"), "label", "is_tip", "branch_length", F.col("pre").cast("long").alias("pre"))
+
+
+@query("SELECT problem, count(*) AS n FROM (SELECT DISTINCT o_custkey FROM orders), (VALUES (NULL), ('a closing bracket is missing'), ('a closing bracket too many'), ('nothing there'), ('no tree can be made of it')) v(problem) GROUP BY problem", "")
+def newick_problems(spark, sf_dir):
+    """Each customer's file lines hold one tree and four texts that are none: how many of each are reported."""
+    c = table(spark, sf_dir, "orders").select("o_custkey").distinct()
+    name = F.col("o_custkey").cast("string")
+    text = F.concat(F.lit("('"), name, F.lit(";',b);(("), name, F.lit(",'b)');"), name, F.lit(",(a,b));[none;];("), name, F.lit(":long,b);"))
+    path = place(spark)
+    c.select(text).write.text(path)
+    return newick.read_newick(spark, path, problems=True).where("parent_id IS NULL").groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query("SELECT k AS ordinal, label FROM (SELECT dense_rank() OVER (ORDER BY tree_id) AS k, * FROM nodes WHERE tip) WHERE k BETWEEN 20 AND 29", NODES_SQL)
+def newick_interval(spark, sf_dir):
+    """The tips of the twentieth to twenty-ninth tree of files: other ranges aren't opened."""
+    path = place(spark)
+    newick.to_newick(order_forest(spark, sf_dir)).repartitionByRange(4, "tree_id").sortWithinPartitions("tree_id").select("newick").write.text(path)
+    texts = read_texts(spark, path, (20, 29))
+    return index_forest(newick.parse(texts)).where("is_tip").select(F.col("tree_id").alias("ordinal"), "label")
+
+
 @query("SELECT least(CAST(seq_id_a AS VARCHAR), CAST(seq_id_b AS VARCHAR)) AS i, greatest(CAST(seq_id_a AS VARCHAR), CAST(seq_id_b AS VARCHAR)) AS j, round(1 - similarity, 4) AS d FROM d JOIN seqs x ON x.seq_id = seq_id_a JOIN seqs y ON y.seq_id = seq_id_b WHERE x.nation = y.nation")
 def distance_file(spark, sf_dir):
     """A triangular matrix for each nation as a file."""

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cladeframe.operators.components import _checkpoint
 from cladeframe.schema import RAW, RAW_COLUMNS, per_tree
+from cladeframe.sources.newick_scan import commands, read_texts, tokens, without_comments
 
-#: One token: quoted name, comment, punctuation, or a bare name.
-_TOKEN = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|\[(?:[^\[\]]|\[[^\[\]]*\])*\]|[(),:;]|[^\s()\[\],:;'\"]+")
 PARSED = f"{RAW}, ann map<string,string>"
 
 
@@ -40,7 +40,7 @@ def read_tree(text: str) -> list[list] | None:
         kids.append(0)
         return len(rows) - 1
 
-    for token in _TOKEN.findall(text):
+    for token in tokens(text):
         if token == "(":
             path.append(at)
             at = child(at)
@@ -67,7 +67,7 @@ def read_tree(text: str) -> list[list] | None:
             except ValueError:
                 return None
         else:
-            name = token[1:-1].replace("''", "'") if token[0] in "'\"" else token
+            name = token[1:-1].replace("''", "'") if token[0] == "'" else token[1:-1] if token[0] == '"' else token
             rows[at][3] = name if rows[at][3] is None else rows[at][3] + name
         length_next = False
     if path:
@@ -82,22 +82,35 @@ def read_tree(text: str) -> list[list] | None:
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for tree, text in zip(batch["tree_id"], batch["newick"], strict=True):
-            if text and (rows := read_tree(text)) and (len(rows) > 1 or rows[0][3] is not None):
-                out += [[tree, *r] for r in rows]
-        made = pd.DataFrame(out, columns=[*RAW_COLUMNS, "ann"])
-        yield made.astype({"tree_id": "int64", "node_id": "int32", "parent_id": "Int32", "child_ord": "int32", "branch_length": "float64"})
-
-
-def parse(trees: DataFrame) -> DataFrame:
-    """Raw nodes (and ann) of (tree_id, newick); texts with unmatched brackets are left out."""
-    return trees.select(F.col("tree_id").cast("long"), "newick").mapInPandas(_parse, PARSED)
+        known = batch["problem"] if "problem" in batch else [None] * len(batch)
+        for tree, text, problem in zip(batch["tree_id"], batch["newick"], known, strict=True):
+            rows = read_tree(text) if text and problem is None else None
+            if rows and (len(rows) > 1 or rows[0][3] is not None):
+                out += [[tree, *r, None] for r in rows]
+            else:
+                out.append([tree, None, None, None, None, None, None, problem or ("no tree can be made of it" if text and text.strip(" \t\r\n;") else "nothing there")])
+        made = pd.DataFrame(out, columns=[*RAW_COLUMNS, "ann", "problem"])
+        yield made.astype({"tree_id": "int64", "node_id": "Int32", "parent_id": "Int32", "child_ord": "Int32", "branch_length": "float64"})
+
+
+def parse(trees: DataFrame, problems: bool = False) -> DataFrame:
+    """Raw nodes (and ann) of (tree_id, newick).
+
+    Texts that are no tree have no nodes; with ``problems`` they have one row without
+    a node_id, whose ``problem`` says why.
+    """
+    columns = ["newick", *(["problem"] if "problem" in trees.columns else [])]
+    rows = trees.select(F.col("tree_id").cast("long").alias("tree_id"), *columns).mapInPandas(_parse, f"{PARSED}, problem string")
+    return rows if problems else rows.where("node_id IS NOT NULL").drop("problem")
 
 
 def numbered(rows: DataFrame, name: str = "tree_id") -> DataFrame:
-    """Rows numbered 1, 2, ... in the order they were read, without a sort: offsets by partition."""
+    """Rows numbered 1, 2, ... in the order they were read, without a sort: offsets by partition.
+
+    The rows are checkpointed, as counting and numbering have to see the same partitions.
+    """
     spark = rows.sparkSession
-    part = rows.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    part = _checkpoint(rows.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
     counts = sorted((r["_part"], r["count"]) for r in part.groupBy("_part").count().collect())
     starts, n = [], 1
     for p, c in counts:
@@ -108,10 +121,12 @@ def numbered(rows: DataFrame, name: str = "tree_id") -> DataFrame:
     return part.join(F.broadcast(offset), "_part").withColumn(name, k).drop("_part", "_row", "_start")
 
 
-def read_newick(spark: SparkSession, path: str) -> DataFrame:
-    """Raw nodes of the trees in text files, numbered in file order; a tree ends with a semicolon."""
-    text = spark.read.option("lineSep", ";").text(path).where(F.trim(F.translate("value", "\n\r\t", "   ")) != "")
-    return parse(numbered(text).select("tree_id", F.col("value").alias("newick")))
+def read_newick(spark: SparkSession, path: str, problems: bool = False) -> DataFrame:
+    """Raw nodes of the trees in text files, numbered in file order, whatever their names and comments hold.
+
+    Each tree keeps its number where others are no trees; with ``problems`` those have a row that says why.
+    """
+    return parse(read_texts(spark, path), problems)
 
 
 def sniff(spark: SparkSession, path: str) -> str:
@@ -124,25 +139,32 @@ def sniff(spark: SparkSession, path: str) -> str:
 
 
 def nexus_commands(text: str, block: str) -> list[tuple[str, str]]:
-    """(command, rest) of one block of a NEXUS text, without its comments; quotes keep their semicolons."""
-    found = re.search(rf"begin\s+{re.escape(block)}\s*;(.*?)\bend\s*;", text, re.I | re.S)
-    if not found:
-        return []
-    out = []
-    for part in re.findall(r"(?:'(?:[^']|'')*'|\[[^\]]*\]|[^;'\[])+", found[1]):
-        words = part.strip().split(None, 1)
-        if words:
-            out.append((words[0].lower(), words[1] if len(words) > 1 else ""))
+    """(command, rest) of the blocks of that name in a NEXUS text, without comments; quotes keep their semicolons."""
+    out, inside = [], False
+    for part in commands(re.sub(r"\A\s*#nexus", "", text, flags=re.I)):
+        words = without_comments(part).strip().split(None, 1)
+        if not words:
+            continue
+        command, rest = words[0].lower(), words[1] if len(words) > 1 else ""
+        if command == "begin":
+            inside = rest.strip().lower() == block.lower()
+        elif command in ("end", "endblock"):
+            inside = False
+        elif inside:
+            out.append((command, rest))
     return out
 
 
 def translate_table(rest: str) -> dict[str, str]:
     """key -> name of a TRANSLATE command."""
-    out = {}
-    for item in re.findall(r"(?:'(?:[^']|'')*'|[^,'])+", re.sub(r"\[(?!&)[^\]]*\]", "", rest)):
-        words = item.strip().split(None, 1)
-        if len(words) == 2:
-            out[words[0]] = words[1].strip().strip("'").replace("''", "'")
+    out, words = {}, []
+    for token in [*tokens(rest), ","]:
+        if token == ",":
+            if len(words) > 1:
+                out[words[0]] = "".join(words[1:])
+            words = []
+        elif token[0] != "[":
+            words.append(token[1:-1].replace("''", "'") if token[0] == "'" else token[1:-1] if token[0] == '"' else token)
     return out
 
 
