@@ -6,14 +6,11 @@ deals the groups.  Scoring passes over the levels of all trees of a batch at onc
 
 from __future__ import annotations
 
-from itertools import count
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.operators.components import _checkpoint, _written
 from cladeframe.schema import RAW, RAW_COLUMNS, Shape, per_tree, whole_trees
 
 
@@ -25,15 +22,25 @@ def invalid_matrices(dist: DataFrame) -> DataFrame:
     return n.where((F.col("pairs") != F.col("taxa") * (F.col("taxa") - 1) / 2) | (F.col("rows") != F.col("pairs"))).select("matrix_id", "rows", "taxa")
 
 
-def _join_neighbours(rows: pd.DataFrame) -> pd.DataFrame:
-    """One matrix to one tree; ties go to the pair that comes first, new nodes come first."""
-    names = sorted(set(rows["i"]) | set(rows["j"]))
-    at = {n: k for k, n in enumerate(names)}
-    d = np.zeros((len(names), len(names)))
-    a, b = rows["i"].map(at).to_numpy(), rows["j"].map(at).to_numpy()
-    d[a, b] = d[b, a] = rows["d"].to_numpy(float)
-    ids, out, new = list(range(1, len(names) + 1)), [], len(names) + 1
-    made = {k + 1: [k + 1, None, 0, n, 0.0] for k, n in enumerate(names)}
+def _finite(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances with the shortest way over other taxa for infinite ones, and each taxon's part: taxa that some way leads to."""
+    d = np.where(np.isnan(d), np.inf, d)
+    if np.isinf(d).any():
+        # of ways only those that begin with a finite distance: what is finite stays as it is
+        far = np.isinf(d)
+        way = np.where(far, np.inf, np.maximum(d, 0))
+        for k in range(len(d)):
+            np.minimum(way, way[:, k, None] + way[None, k, :], out=way)
+        d = np.where(far, way, d)
+    return d, np.isfinite(d).argmax(axis=1)
+
+
+def _join_part(names: list[str], d: np.ndarray, made: dict[int, list], new: int) -> int:
+    """Join the taxa of one part (node ids from ``new`` on, tips first); the id of what is on top."""
+    ids = list(range(new, new + len(names)))
+    for k, n in zip(ids, names, strict=True):
+        made[k] = [k, None, 0, n, 0.0]
+    new += len(names)
     while len(ids) > 2:
         r = len(ids)
         s = d.sum(axis=1)
@@ -54,13 +61,40 @@ def _join_neighbours(rows: pd.DataFrame) -> pd.DataFrame:
         for child, order, length in ((ids[0], 0, 0.0), (ids[1], 1, d[0, 1])):
             made[child][1:3], made[child][4] = [new, order], length
         made[new] = [new, None, 0, None, 0.0]
+        return new
+    return ids[0]
+
+
+def _join_neighbours(rows: pd.DataFrame) -> pd.DataFrame:
+    """One matrix to one tree; ties go to the pair that comes first, new nodes come first."""
+    names = sorted(set(rows["i"]) | set(rows["j"]))
+    at = {n: k for k, n in enumerate(names)}
+    d = np.full((len(names), len(names)), np.inf)
+    np.fill_diagonal(d, 0)
+    a, b = rows["i"].map(at).to_numpy(), rows["j"].map(at).to_numpy()
+    d[a, b] = d[b, a] = rows["d"].to_numpy(float)
+    d, part = _finite(d)
+    made: dict[int, list] = {}
+    tops = []
+    for p in np.unique(part):
+        own = np.flatnonzero(part == p)
+        tops.append(_join_part([names[k] for k in own], d[np.ix_(own, own)], made, len(made) + 1))
+    if len(tops) > 1:
+        for order, x in enumerate(tops):
+            made[x][1:3], made[x][4] = [len(made) + 1, order], None
+        made[len(made) + 1] = [len(made) + 1, None, 0, None, 0.0]
     out = pd.DataFrame(list(made.values()), columns=RAW_COLUMNS[1:])
     out.insert(0, "tree_id", rows["matrix_id"].iloc[0])
-    return out.astype({"node_id": "int32", "parent_id": "Int32", "child_ord": "int32"})
+    return out.astype({"node_id": "int32", "parent_id": "Int32", "child_ord": "int32", "branch_length": "float64"})
 
 
 def neighbour_joining(dist: DataFrame) -> DataFrame:
-    """A tree per distance matrix: (matrix_id, i, j, d), each pair once; raw columns with tree_id = matrix_id."""
+    """A tree per distance matrix: (matrix_id, i, j, d), each pair once; raw columns with tree_id = matrix_id.
+
+    A pair whose distance is infinite, null or missing is as far apart as the shortest way over
+    other taxa.  Taxa that no way connects are joined apart, and what comes of them hangs at
+    one root by branches without a length.
+    """
     rows = dist.select(F.col("matrix_id").cast("long"), F.col("i").cast("string"), F.col("j").cast("string"), F.col("d").cast("double"))
     return rows.groupBy("matrix_id").applyInPandas(_join_neighbours, RAW)
 
@@ -173,47 +207,35 @@ def fitch_trees(nodes: DataFrame, characters: DataFrame, alphabet: dict[str, int
 # Stepwise addition: each replicate grows its own tree.
 
 
-def _score_arrays(kids: dict[int, list[int]], states: dict[int, np.ndarray], root: int) -> tuple[dict[int, np.ndarray], int]:
-    order, todo = [], [root]
-    while todo:
-        n = todo.pop()
-        order.append(n)
-        todo += kids.get(n, [])
-    sets, score = dict(states), 0
-    for n in reversed(order):
-        if n in kids:
-            a, b = (sets[c] for c in kids[n])
-            both = a & b
-            score += int((both == 0).sum())
-            sets[n] = np.where(both == 0, a | b, both)
-    return sets, score
-
-
 def _stepwise(taxa: list[str], states: list[np.ndarray]) -> tuple[list[list], int]:
-    """Taxa added in order from the last to the first, each on the first branch that costs least."""
+    """Taxa added in order from the last to the first, each on the first branch that costs least.
+
+    A taxon costs what it does not share with the set that its branch has from both its
+    sides, so the sets of one pass down and one up price all branches.
+    """
     n = len(taxa)
-    tip = {i + 1: states[i] for i in range(n)}
+    sets = {i + 1: states[i] for i in range(n)}
+    joint = lambda a, b: np.where(a & b == 0, a | b, a & b)
     kids: dict[int, list[int]] = {}
     parent: dict[int, int] = {}
     root, new = n, n + 1
-    order = list(range(n, 0, -1))
-    for t in order[1:]:
-        best = None
-        edges, todo = [], [root]
+    for t in range(n - 1, 0, -1):
+        branches, todo = [], [root]
         while todo:
             x = todo.pop()
-            edges.append(x)
+            branches.append(x)
             todo += kids.get(x, [])[::-1]
-        for x in edges if len(edges) > 1 else [root]:
-            p = parent.get(x)
-            trial = {k: list(v) for k, v in kids.items()}
-            if p is not None:
-                trial[p][trial[p].index(x)] = new
-            trial[new] = [x, t]
-            _, score = _score_arrays(trial, tip, new if p is None else root)
-            if best is None or score < best[0]:
-                best = score, x
-        x = best[1]
+        for x in reversed(branches):
+            if x in kids:
+                sets[x] = joint(*(sets[c] for c in kids[x]))
+        above: dict[int, np.ndarray] = {}
+        on = {root: sets[root]}
+        for x in branches[1:]:
+            p = parent[x]
+            beside = sets[kids[p][0] if kids[p][1] == x else kids[p][1]]
+            above[x] = beside if p == root else joint(beside, above[p])
+            on[x] = joint(sets[x], above[x])
+        x = min(branches, key=lambda x: int((on[x] & sets[t] == 0).sum()))  # noqa: B023
         p = parent.get(x)
         if p is None:
             root = new
@@ -224,7 +246,15 @@ def _stepwise(taxa: list[str], states: list[np.ndarray]) -> tuple[list[list], in
         parent[x] = parent[t] = new
         new += 1
     rows = [[k, parent.get(k), kids[parent[k]].index(k) if k in parent else 0, taxa[k - 1] if k <= n else None, None] for k in [*range(1, n + 1), *kids]]
-    return rows, _score_arrays(kids, tip, root)[1]
+    score, todo = 0, [root]
+    for x in todo:
+        todo += kids.get(x, [])
+    for x in reversed(todo):
+        if x in kids:
+            a, b = (sets[c] for c in kids[x])
+            score += int((a & b == 0).sum())
+            sets[x] = joint(a, b)
+    return rows, score
 
 
 def stepwise_addition(characters: DataFrame, replicates: int = 1, seed: int = 0) -> DataFrame:
@@ -240,7 +270,7 @@ def stepwise_addition(characters: DataFrame, replicates: int = 1, seed: int = 0)
         rows = rows.sort_values("label").reset_index(drop=True)
         m, rep = int(rows["matrix_id"].iloc[0]), int(rows["rep"].iloc[0])
         if rep:
-            rows = rows.sample(frac=1, random_state=np.random.PCG64([seed, abs(m), rep])).reset_index(drop=True)
+            rows = rows.sample(frac=1, random_state=np.random.PCG64([seed, m % 2**64, rep])).reset_index(drop=True)
         made, _ = _stepwise(rows["label"].tolist(), [np.where(np.array(s) == 0, -1, np.array(s)) for s in rows["states"]])
         out = pd.DataFrame(made, columns=RAW_COLUMNS[1:])
         out.insert(0, "tree_id", rows["tree_id"].iloc[0])
@@ -249,65 +279,6 @@ def stepwise_addition(characters: DataFrame, replicates: int = 1, seed: int = 0)
     return characters.select("matrix_id", "label", "states").join(reps, "matrix_id").groupBy("matrix_id", "rep").applyInPandas(run, RAW)
 
 
-def hill_climb(start: DataFrame, characters: DataFrame, rounds: int | None = None, keep: int = 100) -> DataFrame:
-    """Node tables of the equally best trees that interchanges lead to from ``start``: tree_id and score.
-
-    Each round makes all neighbours of the kept trees, scores them at once, and keeps
-    those of least score (``keep`` at most, one of each topology) until none is better; ``rounds``: stop after
-    so many.
-    """
-    from cladeframe.operators.splits import splits
-    from cladeframe.operators.transform import nearest_neighbours
-    from cladeframe.schema import index_forest
-
-    now = _checkpoint(start)
-    best = fitch_score(now, characters).agg(F.min("score")).first()[0]
-    for _ in count() if rounds is None else range(rounds):
-        near = nearest_neighbours(now).withColumn("source", F.col("tree_id")).withColumn("tree_id", F.xxhash64("tree_id", "alt"))
-        near = _checkpoint(index_forest(near))
-        score = fitch_score(near, characters).where(F.col("score") < best)
-        shape = splits(near).groupBy("tree_id").agg(F.bit_xor(F.xxhash64("key")).alias("shape"))
-        found = _checkpoint(score.join(shape, "tree_id", "left"))
-        least = found.agg(F.min("score")).first()[0]
-        if least is None:
-            break
-        best = least
-        chosen = found.where(F.col("score") == least).groupBy("shape").agg(F.min("tree_id").alias("tree_id")).orderBy("tree_id").limit(keep)
-        now = _written(near.join(F.broadcast(chosen.select("tree_id")), "tree_id", "left_semi"))
-    return now.withColumn("score", F.lit(best))
-
-
-def improve(start: DataFrame, characters: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(tree_id, round, score): many searches side by side, each moving to its best neighbour while that is better.
-
-    ``characters`` has a tree_id: each tree is scored on its own matrix.  Scores are
-    whole numbers that fall each round, so every search ends; ``rounds``: stop after so many.
-    """
-    from cladeframe.operators.transform import nearest_neighbours
-    from cladeframe.schema import index_forest
-
-    now = _checkpoint(start)
-    chars = _checkpoint(characters.select("tree_id", "label", "states"))
-    best = _checkpoint(fitch_score(now, chars).withColumn("round", F.lit(0)))
-    log = best
-    for step in count(1) if rounds is None else range(1, rounds + 1):
-        near = nearest_neighbours(now).withColumn("source", F.col("tree_id")).withColumn("tree_id", F.xxhash64("source", "alt"))
-        owner = _checkpoint(near.select("tree_id", "source").distinct())
-        near = _checkpoint(index_forest(near))
-        own = owner.join(chars.withColumnRenamed("tree_id", "source"), "source").select("tree_id", "label", "states")
-        score = fitch_score(near, own).join(owner, "tree_id")
-        top = score.groupBy("source").agg(F.min_by(F.struct("tree_id", "score"), F.struct("score", "tree_id")).alias("b")).select("source", "b.*")
-        last = best.select(F.col("tree_id").alias("source"), F.col("score").alias("had"))
-        better = _checkpoint(top.join(last, "source").where("score < had"))
-        if better.isEmpty():
-            break
-        moved = near.join(better.select("tree_id", "source"), "tree_id").drop("tree_id").withColumnRenamed("source", "tree_id")
-        now = _written(moved.select(start.columns))
-        best = _written(better.select(F.col("source").alias("tree_id"), "score", F.lit(step).alias("round")))
-        log = log.unionByName(best)
-    return log.select("tree_id", "round", "score")
-
-
 # Likelihood.
 
 
@@ -550,7 +521,7 @@ def simulate_characters(nodes: DataFrame, model: Model, n: int, seed: int = 0) -
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pre").reset_index(drop=True)
         tree = int(rows["tree_id"].iloc[0])
-        rng = np.random.Generator(np.random.PCG64([seed, abs(tree)]))
+        rng = np.random.Generator(np.random.PCG64([seed, tree % 2**64]))
         at = {k: i for i, k in enumerate(rows["node_id"])}
         p = model.transition(rows["branch_length"].fillna(0).to_numpy()).cumsum(axis=2)
         state = np.zeros((len(rows), n), np.int64)

@@ -30,7 +30,7 @@ def _trees(sizes: DataFrame, make: Callable[[np.random.Generator, dict], list[li
         for rows in batches:
             made: list[list] = []
             for r in rows[columns].to_dict("records"):
-                rng = np.random.Generator(np.random.PCG64([seed, abs(int(r["tree_id"]))]))
+                rng = np.random.Generator(np.random.PCG64([seed, int(r["tree_id"]) % 2**64]))
                 made += [[r["tree_id"], *row] for row in make(rng, r)]
                 if len(made) > MOST_ROWS:
                     yield _frame(made)
@@ -125,7 +125,7 @@ def add_branches(nodes: DataFrame, birth: float, death: float = 0.0, seed: int =
         columns = [[None if v != v or v is pd.NA else v for v in rows[c].tolist()] for c in RAW_COLUMNS[1:]]
         ids, stops = rows["tree_id"].tolist(), [*shape.starts[1:].tolist(), len(rows)]
         for start, stop in zip(shape.starts.tolist(), stops, strict=True):
-            rng = np.random.Generator(np.random.PCG64([seed, abs(ids[start])]))
+            rng = np.random.Generator(np.random.PCG64([seed, ids[start] % 2**64]))
             made = [list(r) for r in zip(*[c[start:stop] for c in columns], strict=True)]
             new, tips = max(r[0] for r in made) + 1, 0
             for i, row in zip(range(start, stop), list(made), strict=True):

@@ -194,7 +194,9 @@ def alignable_groups(seqs: DataFrame, pairs: DataFrame, value: str = "jc_minus_p
 
     ``seqs`` and ``pairs`` carry a column grp, the groups to begin with.  Each round
     halves all groups that are too diverse, at once, until none of them has more than
-    two sequences or can be split; ``rounds``: stop after so many.
+    two sequences or can be split; ``rounds``: stop after so many.  Infinite distances are
+    as ``neighbour_joining`` takes them; a group that only they hold together is cut
+    into its parts first.
     """
     from cladeframe.operators.build import neighbour_joining
     from cladeframe.operators.components import _checkpoint, _written
@@ -216,7 +218,10 @@ def alignable_groups(seqs: DataFrame, pairs: DataFrame, value: str = "jc_minus_p
         dist = inner.join(big, "grp", "left_semi").select(F.xxhash64("grp").alias("matrix_id"), F.col("seq_id_a").cast("string").alias("i"), F.col("seq_id_b").cast("string").alias("j"), "d")
         names = big.select("grp", F.xxhash64("grp").alias("tree_id"))
         joined = _checkpoint(index_forest(neighbour_joining(dist)))
-        tree = _checkpoint(index_forest(midpoint_root(joined)))
+        # where no way of finite distances leads from one part to another, the group is cut there
+        parted = joined.where("depth = 1 AND branch_length IS NULL").select("tree_id").distinct()
+        whole = index_forest(midpoint_root(_checkpoint(joined.join(parted, "tree_id", "left_anti"))))
+        tree = _checkpoint(whole.unionByName(joined.join(parted, "tree_id", "left_semi")))
         top = tree.where("depth = 1").select("tree_id", F.col("pre").alias("lo"), F.col("last").alias("hi"), F.row_number().over(Window.partitionBy("tree_id").orderBy("pre")).alias("half"))
         side = tree.where("is_tip").join(top, "tree_id").where("pre BETWEEN lo AND hi").join(names, "tree_id").select(F.col("label").alias("seq"), "grp", "half")
         before = now.select("grp").distinct().count()

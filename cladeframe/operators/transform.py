@@ -365,12 +365,12 @@ def add_node_on_branch(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     return old.unionByName(joint).unionByName(tip)
 
 
-def nearest_neighbours(nodes: DataFrame, branch: int | None = None) -> DataFrame:
+def nearest_neighbours(nodes: DataFrame, branch: int | None = None, only: DataFrame | None = None) -> DataFrame:
     """All trees one interchange away: raw columns and alt (two per inner branch), tree_id staying the source's.
 
     Across the branch above x, a child of x changes places with a sibling of x; over a
     root of two children the sides of the root are the branch's two ends.  ``branch``:
-    only that branch, by its number among the unrooted ones.
+    only that branch, by its number among the unrooted ones.  ``only``: the (tree_id, alt) to make.
     """
     b = unrooted_branches(nodes).withColumn("number", F.row_number().over(Window.partitionBy("tree_id").orderBy("pre")))
     b = b.where(~F.col("is_tip"))
@@ -387,6 +387,8 @@ def nearest_neighbours(nodes: DataFrame, branch: int | None = None) -> DataFrame
     over = near.where("depth = 1 AND m = 2").select("tree_id", "x", F.col("s").alias("q"), "number").join(kids.where("i = 1").select("tree_id", F.col("parent_id").alias("q"), F.col("node_id").alias("s"), F.col("child_ord").alias("s_ord")), ["tree_id", "q"])
     swap = first.unionByName(over.select("tree_id", "x", "q", "number", "s", "s_ord")).join(c, ["tree_id", "x"])
     swap = swap.withColumn("alt", (2 * F.col("number") + F.col("i") - 2).cast("int"))
+    if only is not None:
+        swap = swap.join(only, ["tree_id", "alt"], "left_semi")
     n = nodes.join(swap, "tree_id")
     parent = F.when(F.col("node_id") == F.col("c"), F.col("q")).when(F.col("node_id") == F.col("s"), F.col("x")).otherwise(F.col("parent_id"))
     order = F.when(F.col("node_id") == F.col("c"), F.col("s_ord")).when(F.col("node_id") == F.col("s"), F.col("c_ord")).otherwise(F.col("child_ord"))

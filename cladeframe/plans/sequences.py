@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.functions import sequences as fn
-from cladeframe.operators import build, clusters, generate
+from cladeframe.operators import build, clusters, generate, search
 from cladeframe.operators import forest as f
 from cladeframe.operators import sequences as q
 from cladeframe.operators.components import _checkpoint
@@ -351,7 +351,7 @@ def decisive_random(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     genes = lines.select(F.col("l_orderkey").cast("string").alias("taxon"), F.col("p_type").alias("gene")).distinct()
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("set_id"), F.col("o_orderkey").cast("string").alias("label"))
-    r = _checkpoint(generate.random_decisiveness(orders.join(generate.gene_masks(genes), "label", "left"), topologies=10, seed=2))
+    r = _checkpoint(generate.random_decisiveness(orders.join(generate.gene_masks(genes), "label", "left"), seed=2))
     return generate.decisive_share(r)
 
 
@@ -435,7 +435,19 @@ def parsimony_search(spark, sf_dir):
     chars = _checkpoint(chars.join(few, "matrix_id", "left_semi"))
     start = index_forest(build.stepwise_addition(chars))
     by_tree = chars.select(F.col("matrix_id").alias("tree_id"), "label", "states")
-    return build.improve(start, by_tree)
+    return search.improve(start, by_tree)
+
+
+@query()
+def parsimony_sets(spark, sf_dir):
+    """For each order with four suppliers or more, how many equally best trees of them interchanges find, and their score."""
+    who = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("matrix_id"), F.col("l_suppkey").alias("seq_id")).distinct()
+    s = supplier_sequences(spark, sf_dir).select("seq_id", F.col("seq_id").cast("string").alias("label"), fn.encode(F.col("sequence")).alias("states"))
+    many = who.groupBy("matrix_id").agg(F.count("*").alias("n")).where("n >= 4")
+    chars = _checkpoint(who.join(many, "matrix_id").join(s, "seq_id").select("matrix_id", "label", "states"))
+    start = index_forest(build.stepwise_addition(chars)).withColumn("search", F.col("tree_id"))
+    r = search.best_sets(start, chars.withColumnRenamed("matrix_id", "search"))
+    return r.where("parent_id IS NULL").groupBy("search").agg(F.count("*").alias("n_trees"), F.min("score").alias("score"), F.max("n_tips").alias("n_tips"))
 
 
 @query()
@@ -444,7 +456,6 @@ def alignable_groups(spark, sf_dir):
     s = supplier_sequences(spark, sf_dir).withColumn("states", fn.encode(F.col("sequence"))).select("seq_id", F.col("nation").alias("grp"), "states")
     s = _checkpoint(s)
     d = q.distances(q.sequence_pairs(s, ["grp"]))
-    d = d.withColumn("jc", F.least("jc", F.lit(3.0))).withColumn("jc_minus_p", F.least("jc_minus_p", F.lit(2.0)))
     return q.alignable_groups(s, d, limit=0.2)
 
 

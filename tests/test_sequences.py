@@ -122,12 +122,24 @@ def test_alignable_groups(spark):
         rows.append((f"s{i}", "".join(s), 1))
     seqs = spark.createDataFrame(rows, "seq_id string, sequence string, grp int").withColumn("states", fn.encode(F.col("sequence")))
     d = q.distances(q.sequence_pairs(seqs, ["grp"]))
-    d = d.withColumn("jc", F.least("jc", F.lit(3.0))).withColumn("jc_minus_p", F.least("jc_minus_p", F.lit(2.0)))
     got = dict(q.alignable_groups(seqs, d, limit=0.0, rounds=1).collect())
     assert len({got[f"s{i}"] for i in range(4)}) == len({got[f"s{i}"] for i in range(4, 8)}) == 1 and got["s0"] != got["s7"]
     assert set(dict(q.alignable_groups(seqs, d, limit=9.0).collect()).values()) == {"1"}
 
 
+def test_groups_that_only_infinite_distances_hold_are_cut_there(spark):
+    inf = float("inf")
+    part = {"a": 0, "b": 0, "c": 0, "d": 1, "e": 1, "f": 2}
+    near = {("a", "b"): 0.1, ("b", "c"): 0.9, ("d", "e"): 0.2}
+    rows = [(x, y, near.get((x, y), inf)) for x in part for y in part if x < y]
+    pairs = spark.createDataFrame([(x, y, 1, v, v) for x, y, v in rows], "seq_id_a string, seq_id_b string, grp int, jc_minus_p double, jc double")
+    seqs = spark.createDataFrame([(x, 1) for x in part], "seq_id string, grp int")
+    got = dict(q.alignable_groups(seqs, pairs, limit=0.0, rounds=1).collect())
+    assert all((got[x] == got[y]) == (part[x] == part[y]) for x in part for y in part)
+    got = dict(q.alignable_groups(seqs, pairs, limit=0.0).collect())
+    assert got["d"] == got["e"] and len({got[x] for x in "abc"}) == 2
+
+
 def test_alignable_groups_until_none_can_be_split(spark, monkeypatch):
     """Sequence i agrees with each later one in a share of its sites: every halving takes off one or a few."""
     rng = random.Random(4)

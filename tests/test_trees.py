@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from cladeframe.operators import build, clusters, forest, generate, splits, transform
+from cladeframe.operators import build, clusters, forest, generate, search, splits, transform
 from cladeframe.plans import sequences as plans
 from cladeframe.schema import RAW, index_forest
 from cladeframe.sources import newick
@@ -281,6 +281,17 @@ def test_neighbour_joining_recovers_additive_trees(spark):
         same(got[m], {frozenset(p): b.distance(*p) for p in itertools.combinations(b.tips, 2)})
 
 
+def test_infinite_distances_are_the_shortest_way_or_part_the_tree(spark):
+    inf = float("inf")
+    near = {("a", "b"): 1.0, ("b", "c"): 2.0, ("a", "c"): inf, ("d", "e"): 4.0}
+    rows = [(1, x, y, near.get((x, y), None if y == "f" else inf)) for x, y in itertools.combinations("abcdef", 2)]
+    t = index_forest(build.neighbour_joining(spark.createDataFrame(rows, "matrix_id long, i string, j string, d double")))
+    top = t.where("depth = 1").orderBy("pre").collect()
+    assert [(r.branch_length, r.n_tips) for r in top] == [(None, 3), (None, 2), (None, 1)]
+    got = distances(t)[1]
+    assert [got[frozenset(p)] for p in ("ab", "bc", "ac", "de")] == [1, 2, 3, 4]
+
+
 def brute_parsimony(tree, states):
     """Fewest changes by trying every assignment of inner nodes, position by position."""
     inner = [k for k in tree.rows if k not in tree.tips.values()]
@@ -328,10 +339,10 @@ def test_parsimony(spark):
     step = index_forest(build.stepwise_addition(chars.selectExpr("1L AS matrix_id", "label", "states"), replicates=3, seed=1)).cache()
     assert step.where("is_tip").groupBy("tree_id").count().where("count = 6").count() == 3
     start = {r["tree_id"]: r["score"] for r in build.fitch_score(step, chars).collect()}
-    climbed = build.hill_climb(step, chars, rounds=3)
+    climbed = search.hill_climb(step, chars, rounds=3)
     assert climbed.first()["score"] <= min(start.values())
     own = step.select("tree_id").distinct().join(chars).select("tree_id", "label", "states")
-    log = build.improve(step, own, rounds=3).collect()
+    log = search.improve(step, own, rounds=3).collect()
     best = {t: min(r["score"] for r in log if r["tree_id"] == t) for t in start}
     assert {r["tree_id"]: r["score"] for r in log if r["round"] == 0} == start
     # an exhaustive look at the neighbours of the first tree agrees
