@@ -242,7 +242,7 @@ def likelihood_sql(lengths: str = "") -> str:
     both = f"list_transform(range(1, 6), lambda j: ({message.format(c='a')})[j] * ({message.format(c='b')})[j])"
     own = lengths or ", t AS (SELECT tree_id, k, len AS t FROM nodes)"
     tips = TIP_SQL.replace("n.len, n.tip", "exp(-t.t * (1 + t.t / 1048576 / 2 + pow(t.t / 1048576, 2) / 3 + pow(t.t / 1048576, 3) / 4)) AS e, n.tip").replace("FROM nodes n LEFT JOIN orders", "FROM nodes n JOIN t USING (tree_id, k) LEFT JOIN orders")
-    return own + tips + level_sql("n.e, list_transform(range(1, 6), lambda i: CAST((n.s1 >> CAST(i - 1 AS INTEGER)) & 1 AS DOUBLE)) AS l", f"n.e, {both} AS l")
+    return own + tips + level_sql("n.tip, n.e, list_transform(range(1, 6), lambda i: CAST((n.s1 >> CAST(i - 1 AS INTEGER)) & 1 AS DOUBLE)) AS l", f"n.tip, n.e, {both} AS l")
 
 
 TOTAL_SQL = " SELECT tree_id, CASE WHEN list_sum(l) > 0 THEN round(ln(list_sum(l) / 5), 4) ELSE CAST('-inf' AS DOUBLE) END AS log_likelihood FROM lv0"
@@ -269,11 +269,10 @@ def likelihood_clades(spark, sf_dir):
     return r.withColumn("log_likelihood", F.round("log_likelihood", 4))
 
 
-@query(likelihood_sql() + " SELECT tree_id, k AS node_id, UNNEST(range(0, 5)) AS state, round(UNNEST(list_transform(l, lambda x: x / list_sum(l))), 6) AS likelihood FROM (" + " UNION ALL ".join(f"SELECT lv{d}.* FROM lv{d} JOIN st USING (tree_id, k) WHERE NOT st.tip" for d in range(LEVELS)) + ") WHERE list_sum(l) > 0", NODES_SQL)
+@query(likelihood_sql() + " SELECT tree_id, k AS node_id, " + ", ".join(f"round(l[{i}] / list_sum(l), 6) AS p{i}" for i in range(1, 6)) + " FROM (" + " UNION ALL ".join(f"SELECT * FROM lv{d} WHERE NOT tip" for d in range(LEVELS)) + ") WHERE list_sum(l) > 0", NODES_SQL)
 def ancestral(spark, sf_dir):
     r = build.ancestral_states(order_forest(spark, sf_dir), order_characters(spark, sf_dir), FIVE)
-    r = r.select("tree_id", F.col("node_id").cast("long").alias("node_id"), F.posexplode("likelihoods").alias("state", "likelihood"))
-    return r.select("tree_id", "node_id", F.col("state").cast("long").alias("state"), F.round("likelihood", 6).alias("likelihood"))
+    return r.where("likelihoods IS NOT NULL").select("tree_id", F.col("node_id").cast("long").alias("node_id"), *[F.round(F.col("likelihoods")[i], 6).alias(f"p{i + 1}") for i in range(5)])
 
 
 @query()
@@ -386,8 +385,9 @@ def cluster_long_branch(spark, sf_dir):
     return r.select("tree_id", F.col("cluster").cast("long").alias("cluster"), "label")
 
 
-MAXIMAL_SQL = """, top AS (SELECT g.tree_id, g.k FROM good g WHERE NOT EXISTS (SELECT 1 FROM good h JOIN up u ON u.tree_id = h.tree_id AND u.a = h.k WHERE h.tree_id = g.tree_id AND u.k = g.k AND h.k <> g.k))
-SELECT n.tree_id, t.k AS cluster, n.label FROM nodes n JOIN up u USING (tree_id, k) JOIN top t ON t.tree_id = u.tree_id AND t.k = u.a WHERE n.tip"""
+#: What is below a good node is good, so a tip's cluster is the highest one on its way.
+MAXIMAL_SQL = """, held AS MATERIALIZED (SELECT u.tree_id, u.k, min(u.a) AS cluster FROM up u JOIN good g ON g.tree_id = u.tree_id AND g.k = u.a GROUP BY u.tree_id, u.k)
+SELECT n.tree_id, cluster, n.label FROM nodes n JOIN held USING (tree_id, k) WHERE n.tip"""
 
 
 @query(""", val AS (SELECT n.tree_id, n.k, o_orderstatus AS v FROM nodes n JOIN orders o2 ON n.label = CAST(o2.o_orderkey AS VARCHAR) WHERE n.tip),

@@ -9,7 +9,7 @@ from cladeframe.operators import splits as s
 from cladeframe.operators import transform as t
 from cladeframe.plans import trees
 from cladeframe.plans.derived import named_tips
-from cladeframe.plans.trees import MRCA_SQL, query, whole
+from cladeframe.plans.trees import MRCA_SQL, below_sql, query, whole
 from cladeframe.schema import index_forest
 
 _before = set(trees.QUERIES)
@@ -57,7 +57,7 @@ def skyline_scale(nodes, spark, sf_dir):
     return whole(r.select("tree_id", "node_id", "branch_length"), "node_id")
 
 
-@query(MRCA_SQL + """SELECT n.tree_id, n.k AS node_id, n.len * CASE WHEN m.k IS NOT NULL AND n.k <> m.k AND EXISTS (SELECT 1 FROM up u WHERE u.tree_id = n.tree_id AND u.k = n.k AND u.a = m.k) THEN 3.0 ELSE 1.0 END AS branch_length
+@query(MRCA_SQL + f"""SELECT n.tree_id, n.k AS node_id, n.len * CASE WHEN m.k IS NOT NULL AND n.k <> m.k AND {below_sql('n', 'm')} THEN 3.0 ELSE 1.0 END AS branch_length
 FROM nodes n LEFT JOIN mrca m USING (tree_id)""")
 def clade_scale(nodes, spark, sf_dir):
     sets = named_tips(spark, sf_dir).select("tree_id", "label", F.lit("urgent").alias("set_id"), F.lit(3.0).alias("rate"))
@@ -194,7 +194,9 @@ def calibrated_ages(nodes, spark, sf_dir):
     return t.mean_path_ages(nodes, root.unionByName(inner))
 
 
-@query(""", mp AS (SELECT u.tree_id, u.a AS k, avg(x.d - y.d) AS mean_path FROM up u JOIN nodes n ON n.tree_id = u.tree_id AND n.k = u.k AND n.tip JOIN dist x ON x.tree_id = u.tree_id AND x.k = u.k JOIN dist y ON y.tree_id = u.tree_id AND y.k = u.a GROUP BY u.tree_id, u.a),
+@query(""", far AS MATERIALIZED (SELECT n.tree_id, n.k, d FROM nodes n JOIN dist USING (tree_id, k) WHERE tip),
+paths AS MATERIALIZED (SELECT u.tree_id, u.a AS k, sum(d) AS d, count(*) AS n FROM up u JOIN far f ON f.tree_id = u.tree_id AND f.k = u.k GROUP BY u.tree_id, u.a),
+mp AS MATERIALIZED (SELECT p.tree_id, p.k, (p.d - n * y.d) / n AS mean_path FROM paths p JOIN dist y USING (tree_id, k)),
 rr AS (SELECT tree_id, mean_path / 100.0 AS r FROM mp WHERE k = 1 AND mean_path > 0)
 SELECT mp.tree_id, mp.k AS node_id, mean_path, round(mean_path / r, 10) AS age FROM mp JOIN rr USING (tree_id)""")
 def mean_path_ages(nodes, spark, sf_dir):

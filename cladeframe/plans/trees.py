@@ -105,6 +105,11 @@ def tip_names(nodes, spark, sf_dir):
     return f.tip_names(nodes)
 
 
+def below_sql(x: str, a: str) -> str:
+    """Whether node x.k is a.k or below it."""
+    return f"{x}.k >> CAST(greatest(length(bin({x}.k)) - length(bin({a}.k)), 0) AS INTEGER) = {a}.k"
+
+
 MRCA_SQL = """, hit AS (SELECT n.tree_id, n.k FROM nodes n JOIN named USING (tree_id, label) WHERE n.tip),
 held AS (SELECT tree_id, count(*) AS c FROM hit GROUP BY tree_id),
 cover AS (SELECT u.tree_id, u.a, count(*) AS c FROM hit h JOIN up u USING (tree_id, k) GROUP BY u.tree_id, u.a),
@@ -117,7 +122,7 @@ def mrca(nodes, spark, sf_dir):
     return whole(f.mrca(nodes, named_tips(spark, sf_dir)).select("tree_id", "node_id", "n_tips"), "node_id", "n_tips")
 
 
-@query(MRCA_SQL + "SELECT m.tree_id, n.label FROM mrca m JOIN up u ON u.tree_id = m.tree_id AND u.a = m.k JOIN nodes n ON n.tree_id = u.tree_id AND n.k = u.k AND n.tip")
+@query(MRCA_SQL + f"SELECT n.tree_id, n.label FROM nodes n JOIN mrca m USING (tree_id) WHERE tip AND {below_sql('n', 'm')}")
 def clade_members(nodes, spark, sf_dir):
     return f.clade_members(nodes, named_tips(spark, sf_dir))
 
@@ -270,6 +275,16 @@ def rf_sum(nodes, spark, sf_dir):
     return s.robinson_foulds_sum(s.robinson_foulds(nodes, tree_pairs(spark, sf_dir), same_tips=True)).withColumn("rf_norm_sum", F.round("rf_norm_sum", 6))
 
 
+@query(RF_SQL + """, duo AS (SELECT x.tree_id AS a, y.tree_id AS b FROM m x JOIN m y ON x.tree_id // 3 = y.tree_id // 3 WHERE x.tree_id <> y.tree_id),
+met3 AS (SELECT x.tree_id AS a, y.tree_id AS b, count(*) AS shared FROM split x JOIN split y ON y.tree_id // 3 = x.tree_id // 3 AND y.key = x.key WHERE x.tree_id <> y.tree_id GROUP BY x.tree_id, y.tree_id),
+all3 AS (SELECT a, t.n, coalesce(x.c, 0) + coalesce(y.c, 0) - 2 * coalesce(shared, 0) AS rf
+  FROM duo JOIN tipn t ON t.tree_id = a LEFT JOIN num x ON x.tree_id = a LEFT JOIN num y ON y.tree_id = b LEFT JOIN met3 USING (a, b))
+SELECT a AS tree_id, count(*) AS n_trees, CAST(CASE WHEN n >= 4 THEN sum(rf) END AS BIGINT) AS rf_sum, round(CASE WHEN n >= 4 THEN sum(rf) / (2 * (n - 3)) END, 6) AS rf_norm_sum FROM all3 GROUP BY a, n""")
+def rf_all(nodes, spark, sf_dir):
+    """Each tree against all others with the same tips."""
+    return s.robinson_foulds_total(nodes).withColumn("rf_norm_sum", F.round("rf_norm_sum", 6))
+
+
 @query("""SELECT p.a, p.b, count(*) AS n_shared FROM pairs p JOIN nodes x ON x.tree_id = p.a AND x.tip JOIN nodes y ON y.tree_id = p.b AND y.tip AND y.label = x.label GROUP BY p.a, p.b""")
 def shared_tips(nodes, spark, sf_dir):
     return s.shared_tips(nodes, tree_pairs(spark, sf_dir))
@@ -289,15 +304,18 @@ def split_support(nodes, spark, sf_dir):
     return whole(r.select("tree_id", "node_id", "n", F.round("support", 6).alias("support")), "node_id", "n")
 
 
-@query(SPLIT_SQL + """SELECT n.label, s.tree_id, s.k AS node_id, CASE WHEN list_contains(c.side, n.label) THEN '1' ELSE '0' END AS code
-FROM split s JOIN clade c USING (tree_id, k) JOIN nodes n ON n.tree_id = s.tree_id AND n.tip""")
+@query(SPLIT_SQL + f""", own AS MATERIALIZED (SELECT tree_id, list_sort(list(k)) AS ks FROM split GROUP BY tree_id)
+SELECT label, n.tree_id, coalesce(array_to_string(list_transform(ks, lambda x: CASE WHEN {below_sql('n', 'z').replace('z.k', 'x')} THEN '1' ELSE '0' END), ''), '') AS characters
+FROM nodes n LEFT JOIN own USING (tree_id) WHERE tip""")
 def matrix_representation(nodes, spark, sf_dir):
-    return whole(s.matrix_representation(nodes), "node_id")
+    """A character for each split of a tree, in the order of their nodes."""
+    return s.matrix_rows(nodes)
 
 
 CONFLICT_SQL = SPLIT_SQL + """, good AS (SELECT c.tree_id, c.k, side FROM clade c JOIN nodes n ON n.tree_id = c.tree_id AND n.k = c.k WHERE NOT n.tip AND CAST(n.label AS DOUBLE) > 50),
-clash AS (SELECT p.a, p.b, x.k AS node_id, y.k AS other_id, list_filter(y.side, lambda z: NOT list_contains(x.side, z)) AS added, len(list_intersect(x.side, y.side)) AS k, len(x.side) AS na, len(y.side) AS nb
-  FROM pairs p JOIN good x ON x.tree_id = p.a JOIN good y ON y.tree_id = p.b)
+first AS MATERIALIZED (SELECT a, b, k, side FROM pairs JOIN good ON tree_id = a),
+clash AS MATERIALIZED (SELECT a, b, x.k AS node_id, y.k AS other_id, list_filter(y.side, lambda z: NOT list_contains(x.side, z)) AS added, len(list_intersect(x.side, y.side)) AS k, len(x.side) AS na, len(y.side) AS nb
+  FROM first x JOIN good y ON y.tree_id = x.b)
 """
 
 

@@ -151,8 +151,11 @@ class Shape:
         return first, last
 
 
-def whole_trees(nodes: DataFrame, function: Callable[[pd.DataFrame, Shape], pd.DataFrame], schema: str) -> DataFrame:
-    """``function`` on batches of whole trees in preorder; ``nodes`` has tree_id, pre and depth.  One shuffle by tree."""
+def whole_trees(nodes: DataFrame, function: Callable[[pd.DataFrame, Shape], pd.DataFrame], schema: str, unit: str = "tree_id") -> DataFrame:
+    """``function`` on batches of whole trees in preorder; ``nodes`` has tree_id, pre and depth.  One shuffle by tree.
+
+    ``unit``: a column of trees that have to be in one batch, such as the two of a pair.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -164,14 +167,14 @@ def whole_trees(nodes: DataFrame, function: Callable[[pd.DataFrame, Shape], pd.D
             if not len(rows):
                 continue
             rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            last = rows["tree_id"].to_numpy() == rows["tree_id"].iloc[-1]  # may go on in the next batch
+            last = rows[unit].to_numpy() == rows[unit].iloc[-1]  # may go on in the next batch
             held = rows[last].reset_index(drop=True)
             if not last.all():
                 yield done(rows[~last].reset_index(drop=True))
         if held is not None:
             yield done(held)
 
-    return nodes.repartition("tree_id").sortWithinPartitions("tree_id", "pre").mapInPandas(run, schema)
+    return nodes.repartition(unit).sortWithinPartitions(*dict.fromkeys([unit, "tree_id", "pre"])).mapInPandas(run, schema)
 
 
 #: Folds of ``fold_clades``: the function, and what stands for a null.
