@@ -9,15 +9,15 @@ table has wins.
 
 Where no rule fits, the method decides: block the urls whose canonical form
 (host, path without a closing slash) is on the list, allow the rest.  The list is
-condensed to a blocked Bloom filter: the hash of a url chooses one block of four
-64-bit words and two bits in each.  The filter is a table (block, w0..w3) built by
-bit_or; a url reads its one block.  Only possible hits go on to the exact hash
-join with the list, which removes the false positives.
+condensed to a blocked Bloom filter (see ``bloom``) that the pass which cuts and judges
+the urls reads as well; its rows are written.  Only possible hits go on to the exact
+hash join with the list, which removes the false positives; the other rows are never
+shuffled.
 
-Size bounds: the rules are a list given by the caller.  The filter has
-``BITS_PER_URL`` bits for each listed url; it is broadcast if it has at most
-``BROADCAST_BLOCKS`` blocks (32 bytes each), which is checked on the count, and
-joined by its block number otherwise.  The list itself is never broadcast by us.
+Size bounds: the rules are a list given by the caller.  The filter has 16 bits for each
+listed url; it is broadcast if it has at most ``BROADCAST_BLOCKS`` blocks (32 bytes each),
+which is checked on the count, and joined by its block number otherwise.  The list itself
+is never broadcast by us.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path
 and is allowed.  Two rules of the same length can't both fit one host and path
@@ -31,10 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS_PER_URL = 16
-BROADCAST_BLOCKS = 1 << 18
-_WORDS = ("w0", "w1", "w2", "w3")
-
+from cladeframe.llm.bloom import blocks_for, bloom_filter, marked
+from cladeframe.llm.common import cut
 
 def host_of(url: Column) -> Column:
     """A-Z lower-cased text between the first ``://`` and the next ``/``, ``?``, ``#`` or the end."""
@@ -52,43 +50,6 @@ def canonical(host: Column, path: Column) -> Column:
     return F.when(host != "", F.concat(host, F.regexp_replace(path, "/+$", "")))
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("long")
-
-
-def _masks(key: Column) -> list[Column]:
-    """Two bits in each of four words, from a second hash."""
-    h = F.xxhash64(key, F.lit(1))
-    six = lambda n: F.shiftrightunsigned(h, 6 * n).bitwiseAND(F.lit(63)).cast("int")
-    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), six(n))
-    return [bit(2 * w).bitwiseOR(bit(2 * w + 1)) for w in range(4)]
-
-
-def bloom_filter(keys: DataFrame, key: str, blocks: int) -> DataFrame:
-    """(block, w0..w3): a blocked Bloom filter of the distinct ``key`` values."""
-    masks = keys.select(_block(F.col(key), blocks).alias("block"), *[m.alias(w) for w, m in zip(_WORDS, _masks(F.col(key)), strict=True)])
-    return masks.groupBy("block").agg(*[F.bit_or(w).alias(w) for w in _WORDS])
-
-
-def possible_hits(rows: DataFrame, key: str, bloom: DataFrame, blocks: int) -> DataFrame:
-    """The rows whose key the filter may hold."""
-    bloom = F.broadcast(bloom) if blocks <= BROADCAST_BLOCKS else bloom
-    probed = rows.withColumn("block", _block(F.col(key), blocks)).join(bloom, "block")
-    hit = F.lit(True)
-    for w, m in zip(_WORDS, _masks(F.col(key)), strict=True):
-        hit = hit & (F.col(w).bitwiseAND(m) == m)
-    return probed.where(hit).drop("block", *_WORDS)
-
-
-def listed_urls(rows: DataFrame, key: str, listed: DataFrame) -> DataFrame:
-    """Distinct keys of ``rows`` that ``listed`` (one column, any name) really holds."""
-    name = listed.columns[0]
-    keys = listed.select(F.col(name).alias(key)).where(F.col(key).isNotNull()).distinct()
-    blocks = max(1, -(-keys.count() * BITS_PER_URL // 256))
-    hits = possible_hits(rows.select(key).where(F.col(key).isNotNull()), key, bloom_filter(keys, key, blocks), blocks)
-    return hits.distinct().join(keys, key, "left_semi")
-
-
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict.
 
@@ -114,7 +75,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame
                 fits.append(F.when(F.element_at(known, key).isNotNull(), F.struct(F.length(key).alias("n"), key.alias("rule"))))
         best = fits[0] if len(fits) == 1 else F.greatest(*fits)
         judged = base.withColumn("rule", best["rule"]).withColumn("own", F.element_at(known, F.col("rule")))
-    bad = listed_urls(judged.where("own IS NULL"), "site", listed).withColumn("on_list", F.lit(True))
-    out = judged.join(bad, "site", "left")
+    keys = cut(listed.select(F.col(listed.columns[0]).alias("site")).where("site IS NOT NULL").distinct(), "listed")
+    blocks = blocks_for(keys.count())
+    # rows that a rule judges have no key to look up
+    asked = judged.withColumn("site", F.when(F.col("own").isNull(), F.col("site")))
+    seen = cut(marked(asked, "site", bloom_filter(keys, "site", blocks), blocks, "possible"), "judged")
+    hits = seen.where("possible").join(keys.withColumn("on_list", F.lit(True)), "site", "left")
+    done = seen.where("NOT possible").withColumn("on_list", F.lit(None).cast("boolean"))
     verdict = F.coalesce("own", F.when(F.col("on_list"), F.lit("block")).otherwise(F.lit("allow")))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    return done.unionByName(hits).select("page_id", "host", "path", "rule", verdict.alias("verdict"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Row
 
-from cladeframe.llm import cover_tree, exact_dedup, kneser_ney, packing, sharding, sp_codec, superminhash, token_counts, toxicity, url_filter
+from cladeframe.llm import bloom, cover_tree, exact_dedup, kneser_ney, packing, sharding, sp_codec, superminhash, token_counts, toxicity, url_filter
 from cladeframe.llm.common import WordHashes, shingle_set, words_of
 from cladeframe.llm.queries import SHARDS, URL_RULES, vocabulary
 
@@ -294,10 +294,15 @@ def test_bloom_filter_loses_nothing_and_passes_few(spark):
     keys = spark.range(4000).selectExpr("concat('k', id) AS k")
     others = spark.range(4000).selectExpr("concat('other', id) AS k")
     blocks = 4000 * 16 // 256
-    bloom = url_filter.bloom_filter(keys, "k", blocks)
-    assert url_filter.possible_hits(keys, "k", bloom, blocks).count() == 4000
-    assert url_filter.possible_hits(others, "k", bloom, blocks).count() < 100
-    assert url_filter.listed_urls(others.unionAll(keys.limit(7)), "k", keys).count() == 7
+    made = bloom.bloom_filter(keys, "k", blocks)
+    assert bloom.possible_hits(keys, "k", made, blocks).count() == 4000
+    assert bloom.possible_hits(others, "k", made, blocks).count() < 100
+    rows = others.unionAll(keys.limit(7)).unionAll(spark.createDataFrame([(None,)], "k string"))
+    flagged = bloom.marked(rows, "k", made, blocks, "block")
+    assert flagged.columns == ["k", "block"] and flagged.count() == 4008
+    assert flagged.where("k IS NULL AND NOT block").count() == 1
+    assert 7 <= bloom.narrowed(rows, "k", keys.withColumnRenamed("k", "other")).count() < 107
+    assert bloom.narrowed(rows, "k", keys.where("false")).count() == 0
 
 
 def test_native_plans_have_no_python(spark):
