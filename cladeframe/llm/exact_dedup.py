@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladeframe.llm.bloom import BROADCAST_BLOCKS, blocks_for, bloom_filter, marked
 from cladeframe.llm.common import cut, runs_of
 
 #: Rows that a range's merging task gets on average.
@@ -161,12 +162,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "prints",
     )
     again = cut(repeated_fingerprints(facts.select("fp")), "repeated")
-    routed = facts.join(again.select("fp"), "fp", "left_semi")
+    # rows whose fingerprint surely occurs once are done; the filter lets few of them through
+    blocks = blocks_for(again.count())
+    if blocks <= BROADCAST_BLOCKS:
+        facts = marked(facts, "fp", bloom_filter(again.select("fp"), "fp", blocks), blocks, "possible")
+    else:
+        facts = facts.withColumn("possible", F.lit(True))
+    possible = facts.where("possible")
+    routed = possible.join(again.select("fp"), "fp", "left_semi")
     # Verification on the bytes: their number and a 256-bit digest over all of them must agree.
     order = F.struct((-F.col("points")).alias("short"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", *key)
     groups = cut(routed.groupBy("fp", "text_sha256", "bytes").agg(F.min(order).alias("best"), F.count("*").alias("group_size")), "groups")
     groups = groups.select("fp", "text_sha256", "bytes", F.col("best.doc_id").alias("keep_id"), "group_size", *[F.col("best.row_key").alias("keep_key") for _ in key])
-    out = facts.join(groups, ["fp", "text_sha256", "bytes"], "left")
+    out = possible.join(groups, ["fp", "text_sha256", "bytes"], "left").unionByName(facts.where("NOT possible"), allowMissingColumns=True)
     size = F.coalesce("group_size", F.lit(1)).cast("long")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     kept = F.coalesce(F.col("row_key") == F.col("keep_key"), F.lit(True)) if key else F.col("doc_id").eqNullSafe(keep)
