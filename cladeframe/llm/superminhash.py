@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeframe.llm.bloom import narrowed
 from cladeframe.llm.common import GOLDEN, WordHashes, cut, mix64, runs_of, shingle_set, words_of
 from cladeframe.operators.components import connected_components
 
@@ -293,7 +294,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     sizes = family.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), F.min("rep").alias("centre"))
     large = (F.col("n") > FAMILY_CLASSES) | (F.col("s") > FAMILY_SHINGLES)
     member = family.join(sizes.withColumn("large", large & (F.col("n") > 2)), "family").select("family", "rep", "set_key", "n_shingles", "centre", "large")
-    member = cut(member.join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep"), "members")
+    # most texts are in no family: a filter of the families' ids keeps them out of the join
+    wanted = narrowed(texts.withColumnRenamed("doc_id", "rep"), "rep", family.select("rep"))
+    member = cut(member.join(wanted.hint("merge"), "rep"), "members")
     whole = (
         member.where("NOT large").select("family", "rep", "set_key", "text").repartition("family").sortWithinPartitions("family")
         .mapInArrow(partial(_whole_families, width=width, share=share), "src long, dst long")
