@@ -207,13 +207,16 @@ def _pivots(classes: DataFrame, block: int, most: int) -> dict:
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("size"))
     large = sizes.where(F.col("size") > block).orderBy(F.desc("size"), "label", "dim").limit(most).collect()
     total = sum(r["size"] for r in large)
-    wanted = [(r["label"], r["dim"], min(-(-r["size"] // block), max(1, most * r["size"] // total))) for r in large]
+    wanted = [(r["label"], r["dim"], r["size"], min(-(-r["size"] // block), max(1, most * r["size"] // total))) for r in large]
     if not wanted:
         return {}
     spark = classes.sparkSession
-    want = spark.createDataFrame(wanted, "label long, dim int, k int")
-    rank = F.row_number().over(Window.partitionBy("label", "dim").orderBy(F.xxhash64("cid"), "cid"))
-    rows = classes.join(F.broadcast(want), ["label", "dim"]).withColumn("r", rank).where((F.col("r") <= max(k for *_, k in wanted)) & (F.col("r") <= F.col("k"))).select("label", "dim", "embedding").collect()
+    want = spark.createDataFrame(wanted, "label long, dim int, size long, k int")
+    # the rows of smallest hash: about twice as many as wanted pass the cut, so no window holds a whole label
+    place = F.pmod(F.xxhash64("cid"), F.lit(1 << 40))
+    rank = F.row_number().over(Window.partitionBy("label", "dim").orderBy("place", "cid"))
+    few = classes.join(F.broadcast(want), ["label", "dim"]).withColumn("place", place).where(F.col("place") < (2 * F.col("k") + 64) / F.col("size") * float(1 << 40))
+    rows = few.withColumn("r", rank).where("r <= k").select("label", "dim", "embedding").collect()
     out: dict = {}
     for r in rows:
         x = np.array(r["embedding"], np.float64)
@@ -236,12 +239,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     chosen = _pivots(classes, block, pivots)
     cells = cut(classes.select("cid", "n", "label", "dim", "embedding").mapInArrow(partial(_cells, pivots=chosen), "cid long, n long, label long, dim int, cell int, dist double, x binary"), "cells")
     stats = cells.groupBy("label", "dim", "cell").agg(F.count("*").alias("size"), F.max("dist").alias("r")).withColumn("nb", F.ceil(F.col("size") / block).cast("int"))
-    near = _near_cells(stats, chosen, cosine)
     here = stats.select("label", "dim", "cell", F.col("nb").alias("own"), F.col("cell").alias("other"), F.col("nb").alias("nb"))
-    if near:
-        spark = vectors.sparkSession
-        pair = spark.createDataFrame(near, "label long, dim int, cell int, own int, other int, nb int")
-        here = here.unionByName(pair)
+    if chosen:
+        here = here.unionByName(_near_cells(stats, chosen, cosine))
     rows = cells.join(here, ["label", "dim", "cell"])
     rows = rows.withColumn("i", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("own")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     me, you = F.struct("cell", "i"), F.struct(F.col("other").alias("cell"), F.col("j").alias("i"))
@@ -259,19 +259,26 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.col("vec_id").eqNullSafe(comp_id).alias("kept"))
 
 
-def _near_cells(stats: DataFrame, chosen: dict, cosine: float) -> list[tuple]:
-    """Ordered pairs of different cells that covering radii don't keep apart; only pivots' cells, so bounded."""
-    if not chosen:
-        return []
+def _near_cells(stats: DataFrame, chosen: dict, cosine: float) -> DataFrame:
+    """Ordered pairs of different cells that covering radii don't keep apart.
+
+    Only pivots' cells, at most ``pivots`` in all: each row finds its partners among them.
+    """
     names = stats.sparkSession.createDataFrame([(a, b) for a, b in chosen], "label long, dim int")
-    size = {(r["label"], r["dim"], r["cell"]): r for r in stats.join(F.broadcast(names), ["label", "dim"]).collect()}
+    mine = cut(stats.join(F.broadcast(names), ["label", "dim"]), "cells-of-pivots")
+    held: dict = {}
+    for r in mine.collect():
+        held.setdefault((r["label"], r["dim"]), []).append((r["cell"], r["r"], r["nb"]))
+    held = {k: (np.array([c for c, _, _ in v]), np.array([x for _, x, _ in v]), np.array([n for _, _, n in v])) for k, v in held.items()}
     limit = float(np.sqrt(2 - 2 * cosine)) + 1e-7
-    out = []
-    for (label, dim), p in chosen.items():
-        d = np.sqrt(np.maximum(0.0, 2 - 2 * (p @ p.T)))
-        for a in range(len(p)):
-            for b in range(len(p)):
-                x, y = size.get((label, dim, a)), size.get((label, dim, b))
-                if a != b and x and y and d[a, b] <= x["r"] + y["r"] + limit:
-                    out.append((label, dim, a, x["nb"], b, y["nb"]))
-    return out
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for label, dim, cell, r, nb in zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "cell", "r", "nb")), strict=True):
+                p, (cells, radii, blocks) = chosen[label, dim], held[label, dim]
+                d = np.sqrt(np.maximum(0.0, 2 - 2 * (p[cells] @ p[cell])))
+                at = np.flatnonzero((cells != cell) & (d <= radii + r + limit))
+                columns = [[label] * len(at), [dim] * len(at), [cell] * len(at), [nb] * len(at), cells[at], blocks[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), *[pa.int32()] * 5), strict=True)], ["label", "dim", "cell", "own", "other", "nb"])
+
+    return mine.select("label", "dim", "cell", "r", "nb").mapInArrow(near, "label long, dim int, cell int, own int, other int, nb int")
