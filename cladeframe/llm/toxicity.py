@@ -16,9 +16,9 @@ largest and the mean positive distance of each spelling are calibrated to a
 probability on labelled rows that the dictionaries have not seen.
 
 Bounds: dictionaries and thresholds are fitted on at most ``TOXIC_SAMPLE`` toxic
-and ``ORDINARY_SAMPLE`` ordinary labelled documents of at most ``SAMPLE_LENGTH``
-characters each, chosen by a hash of doc_id.  Every document is scored over its
-whole text.
+and ``ORDINARY_SAMPLE`` ordinary labelled documents, chosen by a hash of doc_id, of
+longer ones on a part of ``SAMPLE_LENGTH`` characters from a place that a hash chooses.
+Every document is scored over its whole text.
 
 Defined cases: null counts as empty; an empty text has no distance and gets the
 score of that.  Without labels of both classes every score is 0.  A doc_id that
@@ -171,12 +171,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0, within the sample bounds; ``labels`` has doc_id and toxic."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(crc_mod("doc_id", 5) != 0)
-    text = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where(F.length("text") <= SAMPLE_LENGTH)
+    text = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
+    # of a longer text a part teaches, from a place that a hash chooses
+    over = F.greatest(F.length("text") - SAMPLE_LENGTH, F.lit(0))
+    part = F.substring(F.col("text"), F.pmod(F.xxhash64("doc_id"), over + 1).cast("int") + 1, F.lit(SAMPLE_LENGTH))
     fair = known.join(text.select("doc_id"), "doc_id", "left_semi")
     pick = lambda k, n: fair.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     picked = pick(1, TOXIC_SAMPLE).unionByName(pick(0, ORDINARY_SAMPLE))
     # Repeated rows of an id count once: the text that comes first.
-    rows = text.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows = text.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", part.alias("text")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["doc_id"]))
     return fit([r["text"] for r in rows], [int(r["toxic"]) for r in rows])
 
