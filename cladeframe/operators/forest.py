@@ -88,6 +88,38 @@ def pair_distance(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return common.groupBy("p.tree_id", "a", "b").agg((F.max("da") + F.max("db") - 2 * F.max_by("n.root_dist", "n.depth")).alias("distance"))
 
 
+def all_pair_distances(nodes: DataFrame) -> DataFrame:
+    """(tree_id, a, b, distance): each pair of a tree's tips once, by a pass over whole trees.
+
+    A node's tips are consecutive in preorder, so the distance of two tips follows from the
+    least depth of what stands between them; rows are made per tip, not per pair of nodes.
+    """
+    rows = nodes.select("tree_id", "pre", "depth", "last", "is_tip", "label", "root_dist")
+
+    def run(part: pd.DataFrame, shape: Shape) -> pd.DataFrame:
+        tip, dist, label = part["is_tip"].to_numpy(), part["root_dist"].to_numpy(float), part["label"].to_numpy()
+        pre, last = part["pre"].to_numpy(), part["last"].to_numpy()
+        edges = [*shape.starts.tolist(), len(part)]
+        first, second, joints = [], [], []
+        for begin, end in zip(edges, edges[1:], strict=False):
+            own = begin + np.flatnonzero(tip[begin:end])
+            for k, x in enumerate(own[:-1]):
+                # later tips by the clades of x's ancestors, going up: those that a clade adds meet x at its node
+                later, at, ways, counts, done = own[k + 1 :], shape.up[x], [], [], 0
+                while done < len(later):
+                    upto = int(np.searchsorted(pre[later], last[at], side="right"))
+                    ways.append(at)
+                    counts.append(upto - done)
+                    done, at = upto, shape.up[at]
+                first.append(np.full(len(later), x))
+                second.append(later)
+                joints.append(np.repeat(ways, counts))
+        a, b, joint = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (first, second, joints))
+        return pd.DataFrame({"tree_id": part["tree_id"].to_numpy()[a], "a": label[a], "b": label[b], "distance": dist[a] + dist[b] - 2 * dist[joint]})
+
+    return whole_trees(rows, run, "tree_id long, a string, b string, distance double")
+
+
 def branch_lengths(nodes: DataFrame, root: bool = False) -> DataFrame:
     """Branch lengths in postorder as one array per tree."""
     rows = nodes if root else nodes.where("parent_id IS NOT NULL")

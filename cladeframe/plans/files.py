@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cladeframe.functions.sequences import decode, encode
+from cladeframe.operators import forest as f
 from cladeframe.operators import sequences as q
-from cladeframe.operators.components import shared_folder
+from cladeframe.operators import transform as t
+from cladeframe.operators.components import _checkpoint, shared_folder
 from cladeframe.plans import sequences as s
 from cladeframe.plans.derived import NODES_SQL, order_forest, table
 from cladeframe.schema import heap_forest, index_forest
@@ -234,3 +236,75 @@ def pairs_of_long(spark, sf_dir):
     rows = s.supplier_sequences(spark, sf_dir).withColumn("states", encode(F.col("sequence"))).withColumn("sequence", F.translate("sequence", "-", ""))
     r = q.distances(q.sequence_pairs(rows.select("seq_id", "region", "sequence", "states"), ["region"], min_length=20))
     return r.select("seq_id_a", "seq_id_b", F.col("compared").cast("long").alias("compared"), F.col("differences").cast("long").alias("differences"))
+
+
+def nation_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node table of a tree of each nation's suppliers."""
+    rank = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1
+    length = F.round(F.abs("s_acctbal") * 100).cast("long") % 80 / 8
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("tree_id"), rank.alias("rank"), F.col("s_suppkey").cast("string").alias("label"), length.alias("tip_length"), length.alias("inner_length"), F.lit(None).cast("string").alias("inner_label"))
+    return index_forest(heap_forest(rows))
+
+
+@query(""", up AS MATERIALIZED (SELECT tree_id, k, k >> CAST(h AS INTEGER) AS a, label IS NOT NULL AS tip FROM (SELECT tree_id, k, label, UNNEST(range(length(bin(CAST(k AS BIGINT))))) AS h FROM every)),
+dist AS MATERIALIZED (SELECT u.tree_id, u.k, sum(n.len) AS d, any_value(u.tip) AS tip FROM up u JOIN every n ON n.tree_id = u.tree_id AND n.k = u.a GROUP BY u.tree_id, u.k),
+paths AS MATERIALIZED (SELECT u.tree_id, u.a AS k, sum(d.d) AS d, count(*) AS n FROM up u JOIN dist d USING (tree_id, k) WHERE d.tip GROUP BY u.tree_id, u.a),
+mp AS MATERIALIZED (SELECT p.tree_id, p.k, (p.d - n * y.d) / n AS mean_path FROM paths p JOIN dist y USING (tree_id, k)),
+top AS (SELECT tree_id, mean_path / 100.0 AS r FROM mp WHERE k = 1 AND mean_path > 0)
+SELECT mp.tree_id, mp.k AS node_id, round(mean_path, 10) AS mean_path, round(mean_path / r, 10) AS age FROM mp JOIN top USING (tree_id)""", NATION_TREE_SQL)
+def nexus_ages(spark, sf_dir):
+    """Trees and their roots' age read from the same NEXUS files, the age as a set of taxa that a private block dates."""
+    nodes = nation_trees(spark, sf_dir)
+    names = nodes.where("is_tip").groupBy("tree_id").agg(F.array_join(F.sort_array(F.collect_list("label")), " ").alias("taxa"))
+    text = newick.to_nexus(nodes).join(names, "tree_id")
+    block = F.concat(F.lit("begin calibration;\nmrca half = "), F.split("taxa", " ")[0], F.lit(";\nmrca every = half "), "taxa", F.lit(";\nfixage taxon=every age=100;\nend;\n"))
+    path = one_file_each(text.select(F.concat("nexus", block)), place(spark))
+    back = newick.read_nexus(spark, path)
+    known = back.select("path", "tree_id", F.regexp_extract("title", "([0-9]+)$", 1).cast("long").alias("nation")).distinct()
+    trees = _checkpoint(index_forest(back))
+    sets, ages = newick.read_node_ages(spark, path)
+    dated = sets.join(ages, ["path", "set_id"]).join(known, "path")
+    top = f.mrca(trees, dated.select("tree_id", "label", F.lit("every").alias("set_id")).distinct()).where("set_id = 'every'")
+    given = top.join(dated.select("tree_id", "age").distinct(), "tree_id").select("tree_id", "node_id", "age")
+    r = t.mean_path_ages(trees, given)
+    k = heap_numbers(trees)
+    return r.join(k, ["tree_id", "node_id"]).join(known, "tree_id").select(F.col("nation").alias("tree_id"), F.col("k").alias("node_id"), F.round("mean_path", 10).alias("mean_path"), F.round("age", 10).alias("age"))
+
+
+def heap_numbers(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node_id, k): nodes of binary trees numbered by their way from the root: 1, then 2 k and 2 k + 1."""
+    up = nodes.alias("a").join(nodes.alias("x"), (F.col("a.tree_id") == F.col("x.tree_id")) & F.col("x.pre").between(F.col("a.pre"), F.col("a.last")))
+    side = F.when(F.col("a.parent_id").isNull(), 1).otherwise(F.col("a.child_ord"))
+    steps = up.groupBy("x.tree_id", "x.node_id").agg(F.sort_array(F.collect_list(F.struct(F.col("a.depth").alias("depth"), side.alias("side")))).alias("way"))
+    return steps.select("tree_id", "node_id", F.aggregate("way", F.lit(0).cast("long"), lambda k, s: 2 * k + s["side"]).alias("k"))
+
+
+@query("SELECT 'fasta' AS format, count(*) AS n FROM (SELECT DISTINCT nation FROM seqs) UNION ALL SELECT 'phylip', count(*) FROM (SELECT DISTINCT nation FROM seqs UNION ALL SELECT CAST(s_nationkey AS VARCHAR) FROM supplier GROUP BY s_nationkey HAVING count(*) = 1) UNION ALL SELECT 'nexus', count(*) FROM (SELECT DISTINCT nation FROM seqs) UNION ALL SELECT 'newick', count(*) FROM (SELECT s_nationkey FROM supplier GROUP BY s_nationkey HAVING count(*) > 1)")
+def file_formats(spark, sf_dir):
+    """Each nation's sequences and tree in files of four formats: how many files are taken for which (a tree of one supplier is a number)."""
+    rows, path = s.supplier_sequences(spark, sf_dir), place(spark)
+    line = F.concat_ws(" ", F.col("seq_id").cast("string"), "sequence")
+    record = F.concat(F.lit(">"), F.col("seq_id").cast("string"), F.lit("\n"), "sequence")
+    kinds = {
+        "fasta": lines_of(rows, "nation", record, F.lit("")),
+        "phylip": lines_of(rows, "nation", line, F.concat_ws(" ", F.col("n").cast("string"), F.col("width").cast("string"))),
+        "nexus": lines_of(rows, "nation", line, F.lit("\n#NEXUS\nbegin data;\nmatrix"), ";\nend;\n"),
+        "newick": newick.to_newick(nation_trees(spark, sf_dir)).select("newick"),
+    }
+    found = None
+    for name, text in kinds.items():
+        one = newick.sniff_files(spark, one_file_each(text, f"{path}/{name}"))
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("format").agg(F.count("*").alias("n"))
+
+
+@query(", n AS (SELECT seq_id AS a, lead(seq_id) OVER w AS b, sequence AS x, lead(sequence) OVER w AS y FROM seqs WINDOW w AS (PARTITION BY nation ORDER BY seq_id)), c AS (SELECT a, b, UNNEST(string_split(x, '')) AS x, UNNEST(string_split(y, '')) AS y FROM n WHERE b IS NOT NULL) SELECT CAST(a AS VARCHAR) AS seq_id_a, CAST(b AS VARCHAR) AS seq_id_b, count(*) FILTER (x <> '-' AND y <> '-') AS compared, count(*) FILTER (x <> '-' AND y <> '-' AND x <> y) AS differences FROM c GROUP BY a, b")
+def pair_file(spark, sf_dir):
+    """Each supplier and the next one of its nation as two records that follow each other in a file of pairs."""
+    own = Window.partitionBy("nation").orderBy("seq_id")
+    both = s.supplier_sequences(spark, sf_dir).select(F.col("seq_id").alias("a"), F.col("sequence").alias("x"), F.lead("seq_id").over(own).alias("b"), F.lead("sequence").over(own).alias("y")).where("b IS NOT NULL")
+    path = place(spark)
+    record = lambda i, text: F.concat(F.lit(">"), F.col(i).cast("string"), F.lit("\n"), F.col(text))
+    both.select(F.concat(record("a", "x"), F.lit("\n"), record("b", "y"))).write.text(path)
+    pairs = matrices.read_pair_file(spark, path).select("seq_id_a", "seq_id_b", encode(F.col("sequence_a")).alias("states_a"), encode(F.col("sequence_b")).alias("states_b"))
+    return q.distances(pairs).select("seq_id_a", "seq_id_b", F.col("compared").cast("long").alias("compared"), F.col("differences").cast("long").alias("differences"))

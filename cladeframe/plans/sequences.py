@@ -192,13 +192,13 @@ TIP_SQL = """, st AS MATERIALIZED (SELECT n.tree_id, n.k, length(bin(n.k)) - 1 A
   1 << (CASE o2.o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END) AS s2 FROM nodes n LEFT JOIN orders o2 ON n.tip AND n.label = CAST(o2.o_orderkey AS VARCHAR))"""
 
 
-def level_sql(tip: str, inner: str) -> str:
+def level_sql(tip: str, inner: str, suffix: str = "") -> str:
     """One relation for each level from the deepest up: the tips' columns, and the inner nodes' from their children a and b."""
     out = ""
     for d in range(LEVELS, -1, -1):
-        out += f", lv{d} AS MATERIALIZED (SELECT n.tree_id, n.k, {tip} FROM st n WHERE n.tip AND n.depth = {d}"
+        out += f", lv{suffix}{d} AS MATERIALIZED (SELECT n.tree_id, n.k, {tip} FROM st{suffix} n WHERE n.tip AND n.depth = {d}"
         if d < LEVELS:
-            out += f" UNION ALL SELECT n.tree_id, n.k, {inner} FROM st n JOIN lv{d + 1} a ON a.tree_id = n.tree_id AND a.k = 2 * n.k JOIN lv{d + 1} b ON b.tree_id = n.tree_id AND b.k = 2 * n.k + 1 WHERE NOT n.tip AND n.depth = {d}"
+            out += f" UNION ALL SELECT n.tree_id, n.k, {inner} FROM st{suffix} n JOIN lv{suffix}{d + 1} a ON a.tree_id = n.tree_id AND a.k = 2 * n.k JOIN lv{suffix}{d + 1} b ON b.tree_id = n.tree_id AND b.k = 2 * n.k + 1 WHERE NOT n.tip AND n.depth = {d}"
         out += ")"
     return out
 
@@ -214,9 +214,14 @@ def fitch_score(spark, sf_dir):
     return build.fitch_score(order_forest(spark, sf_dir), order_characters(spark, sf_dir))
 
 
-@query()
+@query(FITCH_SQL + " SELECT tree_id, CAST(c AS BIGINT) AS changes, CAST(2 * m - 1 AS BIGINT) AS n_nodes, TRUE AS in_first_sets FROM lv0 JOIN m USING (tree_id)", NODES_SQL)
 def fitch_states(spark, sf_dir):
-    return build.fitch_states(_checkpoint(order_forest(spark, sf_dir)), order_characters(spark, sf_dir))
+    """The second pass changes as often as the first one counts, and takes states of the first pass's sets."""
+    nodes, chars = _checkpoint(order_forest(spark, sf_dir)), order_characters(spark, sf_dir)
+    first = build.fitch(nodes, chars).select("tree_id", "node_id", F.col("states").alias("sets"))
+    r = build.fitch_states(nodes, chars).join(first, ["tree_id", "node_id"])
+    fits = F.forall(F.zip_with("states", "sets", lambda a, b: a.bitwiseAND(b) == a), lambda x: x)
+    return r.groupBy("tree_id").agg(F.sum("changes").cast("long").alias("changes"), F.count("*").alias("n_nodes"), F.bool_and(fits).alias("in_first_sets"))
 
 
 def nation_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,18 +236,19 @@ def stepwise(spark, sf_dir):
     return index_forest(build.stepwise_addition(chars.join(few, "matrix_id", "left_semi"), replicates=2))
 
 
-def likelihood_sql(lengths: str = "") -> str:
+def likelihood_sql(lengths: str = "", state: str = "s1", suffix: str = "") -> str:
     """Partials of five states that change into each other at one rate, level by level.
 
-    ``lengths``: relations that end in one named t (tree_id, k, t), the lengths to use.
+    ``lengths``: relations that end in one named t (tree_id, k, t), the lengths to use; ``state``: the
+    character; ``suffix``: for the relations of a second one.
     e is (1 - x)^(2^20) with x = t / 2^20, by the series of ln(1 - x), as 1 - x itself
     keeps too few digits of a small x.
     """
     message = "list_transform(range(1, 6), lambda i: {c}.e * {c}.l[i] + (1 - {c}.e) * list_sum({c}.l) / 5)"
     both = f"list_transform(range(1, 6), lambda j: ({message.format(c='a')})[j] * ({message.format(c='b')})[j])"
-    own = lengths or ", t AS (SELECT tree_id, k, len AS t FROM nodes)"
-    tips = TIP_SQL.replace("n.len, n.tip", "exp(-t.t * (1 + t.t / 1048576 / 2 + pow(t.t / 1048576, 2) / 3 + pow(t.t / 1048576, 3) / 4)) AS e, n.tip").replace("FROM nodes n LEFT JOIN orders", "FROM nodes n JOIN t USING (tree_id, k) LEFT JOIN orders")
-    return own + tips + level_sql("n.tip, n.e, list_transform(range(1, 6), lambda i: CAST((n.s1 >> CAST(i - 1 AS INTEGER)) & 1 AS DOUBLE)) AS l", f"n.tip, n.e, {both} AS l")
+    own = "" if suffix else lengths or ", t AS (SELECT tree_id, k, len AS t FROM nodes)"
+    tips = TIP_SQL.replace(", st AS", f", st{suffix} AS").replace("n.len, n.tip", "exp(-t.t * (1 + t.t / 1048576 / 2 + pow(t.t / 1048576, 2) / 3 + pow(t.t / 1048576, 3) / 4)) AS e, n.tip").replace("FROM nodes n LEFT JOIN orders", "FROM nodes n JOIN t USING (tree_id, k) LEFT JOIN orders")
+    return own + tips + level_sql("n.tip, n.e, list_transform(range(1, 6), lambda i: CAST((n.{state} >> CAST(i - 1 AS INTEGER)) & 1 AS DOUBLE)) AS l".replace("{state}", state), f"n.tip, n.e, {both} AS l", suffix)
 
 
 TOTAL_SQL = " SELECT tree_id, CASE WHEN list_sum(l) > 0 THEN round(ln(list_sum(l) / 5), 4) ELSE CAST('-inf' AS DOUBLE) END AS log_likelihood FROM lv0"
@@ -254,6 +260,20 @@ def likelihood(spark, sf_dir):
     return build.log_likelihood(order_forest(spark, sf_dir), order_characters(spark, sf_dir), FIVE).withColumn("log_likelihood", F.round("log_likelihood", 4))
 
 
+@query(likelihood_sql() + ", one AS MATERIALIZED (SELECT tree_id, list_sum(l) AS l FROM lv0)" + likelihood_sql(state="s2", suffix="z") + " SELECT tree_id, CASE WHEN one.l > 0 AND list_sum(z.l) > 0 THEN round(ln(one.l / 5) + ln(list_sum(z.l) / 5), 4) ELSE CAST('-inf' AS DOUBLE) END AS log_likelihood FROM one JOIN lvz0 z USING (tree_id)", NODES_SQL)
+def likelihood_all(spark, sf_dir):
+    """All characters of the orders: priority and status."""
+    r = build.log_likelihood(order_forest(spark, sf_dir), order_characters(spark, sf_dir), FIVE, positions=None)
+    return r.withColumn("log_likelihood", F.round("log_likelihood", 4))
+
+
+@query(likelihood_sql() + TOTAL_SQL.replace("list_sum(l) / 5", "list_sum(l)"), NODES_SQL)
+def likelihood_one_way(spark, sf_dir):
+    """A model that is not reversible: the root is the plain sum of its states' likelihoods."""
+    one = build.Model(5, rates=[0.2], classes=[[None if i == j else 0 for j in range(5)] for i in range(5)], reversible=False)
+    return build.log_likelihood(order_forest(spark, sf_dir), order_characters(spark, sf_dir), one).withColumn("log_likelihood", F.round("log_likelihood", 4))
+
+
 @query(likelihood_sql(transforms.ORACLES["skyline_scale"].removeprefix(NODES_SQL).replace("SELECT tree_id, k AS node_id, greatest", ", t AS (SELECT tree_id, k, greatest").replace(" AS branch_length FROM e", " AS t FROM e UNION ALL SELECT tree_id, k, len FROM nodes WHERE k = 1)")) + TOTAL_SQL, NODES_SQL)
 def likelihood_skyline(spark, sf_dir):
     """Rates of change that hold by distance from the root."""

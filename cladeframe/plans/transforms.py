@@ -20,25 +20,26 @@ def scale_branches(nodes, spark, sf_dir):
     return whole(t.scale_branches(nodes, 2.5).select("tree_id", "node_id", "branch_length"), "node_id")
 
 
-@query("SELECT tree_id, max(depth + 1) * 1.5 AS tree_depth FROM nodes JOIN dist USING (tree_id, k) WHERE tip GROUP BY tree_id")
+@query("SELECT tree_id, k AS node_id, CAST(1.5 AS DOUBLE) * (depth + 1) AS root_dist FROM nodes JOIN dist USING (tree_id, k)")
 def set_branch_lengths(nodes, spark, sf_dir):
-    return f.tree_depth(t.set_branch_lengths(nodes, 1.5))
+    """How far each node then is from the root."""
+    return whole(index_forest(t.set_branch_lengths(nodes, 1.5)).select("tree_id", "node_id", "root_dist"), "node_id")
 
 
-@query("SELECT tree_id, sum(CASE WHEN len < 2 THEN 0 ELSE len END) AS tree_length FROM nodes GROUP BY tree_id")
+@query("SELECT tree_id, k AS node_id, CASE WHEN len < 2 THEN 0.0 ELSE len END AS branch_length FROM nodes")
 def null_short(nodes, spark, sf_dir):
-    return f.tree_length(t.null_short_branches(nodes, 2))
+    return whole(t.null_short_branches(nodes, 2).select("tree_id", "node_id", "branch_length"), "node_id")
 
 
-@query("SELECT tree_id, count(label) FILTER (tip) AS n_labels FROM nodes GROUP BY tree_id")
+@query("SELECT tree_id, k AS node_id, CASE WHEN tip THEN label END AS label FROM nodes")
 def clear_labels(nodes, spark, sf_dir):
-    return t.clear_internal_labels(nodes).groupBy("tree_id").agg(F.count("label").alias("n_labels"))
+    return whole(t.clear_internal_labels(nodes).select("tree_id", "node_id", "label"), "node_id")
 
 
-@query("SELECT tree_id, round(sum(CASE WHEN NOT tip THEN CAST(label AS DOUBLE) / 100 END), 6) AS total FROM nodes GROUP BY tree_id")
+@query("SELECT tree_id, k AS node_id, CASE WHEN tip THEN CAST(label AS DOUBLE) ELSE round(CAST(label AS DOUBLE) / 100, 6) END AS label FROM nodes")
 def divide_labels(nodes, spark, sf_dir):
-    n = t.divide_labels(nodes, 100)
-    return n.groupBy("tree_id").agg(F.round(F.sum(F.when(~F.col("is_tip"), F.col("label").cast("double"))), 6).alias("total"))
+    """Labels of tips stay; here all labels are numbers."""
+    return whole(t.divide_labels(nodes, 100).select("tree_id", "node_id", F.round(F.col("label").cast("double"), 6).alias("label")), "node_id")
 
 
 @query("""SELECT n.tree_id, CASE WHEN tip THEN o_orderpriority || '/' || n.label ELSE n.label END AS label FROM nodes n LEFT JOIN o ON tip AND n.label = CAST(o_orderkey AS VARCHAR)""")
@@ -86,13 +87,21 @@ def relaxed_outgroup_root(nodes, spark, sf_dir):
     return f.patristic_sum(r).join(n, "tree_id", "left").withColumn("n_splits", F.coalesce("n_splits", F.lit(0)).cast("long"))
 
 
-@query(""", far AS (SELECT u.tree_id, u.a AS k, max(d) AS f FROM up u JOIN nodes n USING (tree_id, k) JOIN dist USING (tree_id, k) WHERE n.tip GROUP BY u.tree_id, u.a)
-SELECT x.tree_id, max(l.f + r.f - 2 * d) / 2 AS depth FROM dist x JOIN far l ON l.tree_id = x.tree_id AND l.k = 2 * x.k JOIN far r ON r.tree_id = x.tree_id AND r.k = 2 * x.k + 1 GROUP BY x.tree_id HAVING max(l.f + r.f - 2 * d) > 0""")
+#: pd(tree_id, x, y, d): the distance of each ordered pair of tips, through the lowest node above both.
+PAIRS_SQL = """, tipd AS MATERIALIZED (SELECT n.tree_id, n.k, n.label, d FROM nodes n JOIN dist USING (tree_id, k) WHERE tip),
+above AS MATERIALIZED (SELECT u.tree_id, u.a, u.k, t.label, t.d FROM up u JOIN tipd t USING (tree_id, k)),
+both2 AS MATERIALIZED (SELECT x.tree_id, x.label AS x, y.label AS y, max(x.a) AS a, any_value(x.d + y.d) AS d FROM above x JOIN above y ON y.tree_id = x.tree_id AND y.a = x.a WHERE x.k <> y.k GROUP BY x.tree_id, x.label, y.label),
+pd AS MATERIALIZED (SELECT b.tree_id, x, y, b.d - 2 * z.d AS d FROM both2 b JOIN dist z ON z.tree_id = b.tree_id AND z.k = b.a)
+"""
+
+
+@query(PAIRS_SQL + """, longest AS (SELECT tree_id, arg_max(x, (d, x, y)) AS x, arg_max(y, (d, x, y)) AS y, max(d) AS path FROM pd GROUP BY tree_id),
+ends AS (SELECT p.tree_id, p.x AS label, l.path, p.d FROM pd p JOIN longest l ON l.tree_id = p.tree_id AND p.y IN (l.x, l.y))
+SELECT tree_id, label, max(d) - any_value(path) / 2 AS root_dist FROM ends WHERE path > 0 GROUP BY tree_id, label""")
 def midpoint_root(nodes, spark, sf_dir):
-    """Below a midpoint root the deepest tip is half the longest path away."""
+    """The root's place: each tip is as far from it as from the middle of the longest path, however that is found."""
     r = index_forest(t.midpoint_root(nodes))
-    deep = f.tip_root_distance(r).groupBy("tree_id").agg(F.max("distance").alias("depth"))
-    return deep.join(t.midpoints(nodes).where("path > 0"), "tree_id", "left_semi")
+    return f.tip_root_distance(r).select("tree_id", "label", F.col("distance").alias("root_dist")).join(t.midpoints(nodes).where("path > 0").select("tree_id"), "tree_id", "left_semi")
 
 
 @query(""", kept AS (SELECT n.tree_id, n.k, n.label FROM nodes n WHERE tip AND NOT EXISTS (SELECT 1 FROM named x WHERE x.tree_id = n.tree_id AND x.label = n.label)),
@@ -186,6 +195,19 @@ def split_by_size(nodes, spark, sf_dir):
     return n.groupBy("source").agg(F.sum("tips").alias("n_tips"), (F.max("tips") <= 4).alias("small"), F.sum(F.col("nodes") + 1).cast("long").alias("n_nodes_and_parts"))
 
 
+@query(PAIRS_SQL + " SELECT tree_id, x, y, d FROM pd WHERE x < y")
+def nj_additive(nodes, spark, sf_dir):
+    """Neighbour joining on the distances within each tree finds these distances again."""
+    from cladeframe.operators.build import neighbour_joining
+    from cladeframe.operators.components import _checkpoint
+
+    base = _checkpoint(nodes)
+    own = f.all_pair_distances(base).withColumnsRenamed({"tree_id": "matrix_id", "a": "i", "b": "j", "distance": "d"})
+    made = _checkpoint(index_forest(neighbour_joining(own)))
+    found = f.all_pair_distances(made)
+    return found.select("tree_id", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.round("distance", 6).alias("d"))
+
+
 @query(None)
 def calibrated_ages(nodes, spark, sf_dir):
     """Ages with every root put at 100 and the common ancestor of the urgent orders at 20."""

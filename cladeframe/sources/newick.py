@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -129,13 +129,22 @@ def read_newick(spark: SparkSession, path: str, problems: bool = False) -> DataF
     return parse(read_texts(spark, path), problems)
 
 
+def format_of(head: Column) -> Column:
+    """newick, nexus, fasta, phylip or unknown by the first characters of a text."""
+    first = F.lower(F.regexp_extract(head, r"^\s*(\S{1,6})", 1))
+    return F.when(first == "#nexus", "nexus").when(F.startswith(first, F.lit(">")), "fasta").when(F.startswith(first, F.lit("(")), "newick").when(F.rlike(first, F.lit("^[0-9]")), "phylip").otherwise("unknown")
+
+
+def sniff_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, format) of each file, by its first line that isn't blank."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value").where(F.trim(F.translate("value", "\t\r", "  ")) != "")
+    return lines.groupBy("path").agg(F.min_by("value", F.struct("block", "row")).alias("head")).select("path", format_of(F.col("head")).alias("format"))
+
+
 def sniff(spark: SparkSession, path: str) -> str:
-    """newick, nexus, fasta or phylip by a file's first characters."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    head = first[0]["value"].strip().lower() if first else ""
-    if head.startswith("#nexus"):
-        return "nexus"
-    return "fasta" if head.startswith(">") else "newick" if head.startswith("(") else "phylip" if head[:1].isdigit() else "unknown"
+    """The format of one file, or of the first one of a folder."""
+    found = sniff_files(spark, path).orderBy("path").first()
+    return found["format"] if found else "unknown"
 
 
 def nexus_commands(text: str, block: str) -> list[tuple[str, str]]:
@@ -196,26 +205,26 @@ def read_nexus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_node_ages(spark: SparkSession, path: str, block: str = "calibration") -> tuple[DataFrame, DataFrame]:
-    """(sets, ages) of a private block: mrca commands name sets of taxa, fixage gives a set's age."""
-    files = spark.read.text(path, wholetext=True)
+    """(sets, ages) of each file's private block: mrca commands name sets of taxa (path, set_id, label), fixage gives a set's age (path, set_id, age)."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text in batch["value"]:
+            for file, text in zip(batch["path"], batch["value"], strict=True):
                 sets: dict[str, list[str]] = {}
                 for command, rest in nexus_commands(text, block):
                     if command in ("mrca", "taxset") and "=" in rest:
                         name, members = rest.split("=", 1)
                         sets[name.strip()] = [t for m in members.split() for t in sets.get(m, [m])]
-                        out += [[name.strip(), t, None] for t in sets[name.strip()]]
+                        out += [[file, name.strip(), t, None] for t in sets[name.strip()]]
                     elif command == "fixage":
                         got = dict(re.findall(r"(\w+)\s*=\s*(\S+)", rest))
-                        out.append([got.get("taxon"), None, float(got["age"])])
-            yield pd.DataFrame(out, columns=["set_id", "label", "age"]).astype({"age": "float64"})
+                        out.append([file, got.get("taxon"), None, float(got["age"])])
+            yield pd.DataFrame(out, columns=["path", "set_id", "label", "age"]).astype({"age": "float64"})
 
-    rows = files.mapInPandas(run, "set_id string, label string, age double")
-    return rows.where("label IS NOT NULL").select("set_id", "label"), rows.where("label IS NULL").select("set_id", "age")
+    rows = files.mapInPandas(run, "path string, set_id string, label string, age double")
+    return rows.where("label IS NOT NULL").select("path", "set_id", "label"), rows.where("label IS NULL").select("path", "set_id", "age")
 
 
 def _quoted(name: str | None) -> str:
