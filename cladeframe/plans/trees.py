@@ -327,3 +327,37 @@ def conflict_clades(nodes, spark, sf_dir):
 @query(CONFLICT_SQL + "SELECT DISTINCT a, b, node_id, UNNEST(added) AS label FROM clash WHERE k > 0 AND k < na AND k < nb")
 def conflict_tips(nodes, spark, sf_dir):
     return whole(s.conflict_tips(nodes, tree_pairs(spark, sf_dir), 50), "node_id")
+
+
+#: One tree over all orders by their keys.
+ALL_SQL = """
+WITH r AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS r, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders),
+m AS (SELECT count(*) AS m FROM orders),
+nodes AS MATERIALIZED (SELECT CAST(m + r AS BIGINT) AS k, (cents % 80) / 8 AS len, TRUE AS tip FROM r, m UNION ALL SELECT CAST(r AS BIGINT), (cents % 56) / 8, FALSE FROM r WHERE r >= 1),
+up AS MATERIALIZED (SELECT k, k >> CAST(h AS INTEGER) AS a FROM (SELECT k, UNNEST(range(length(bin(k)))) AS h FROM nodes)),
+dist AS MATERIALIZED (SELECT u.k, sum(n.len) AS d, count(*) - 1 AS depth FROM up u JOIN nodes n ON n.k = u.a GROUP BY u.k),
+own AS MATERIALIZED (SELECT n.k, n.tip, n.len, d, depth FROM nodes n JOIN dist USING (k)),
+clade AS MATERIALIZED (SELECT u.a AS k, count(*) FILTER (tip) AS n_tips, min(d) FILTER (tip) AS near, max(d) FILTER (tip) AS far, sum(len) AS total FROM up u JOIN own USING (k) GROUP BY u.a)
+SELECT o.k AS node_id, row_number() OVER (ORDER BY substr(bin(o.k), 2)) - 1 AS pre, depth, n_tips, d AS root_dist, near - d + len AS shortest, far - d + len AS furthest, total FROM own o JOIN clade USING (k)
+"""
+
+
+def whole_table_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tree as large as ``orders``: its index, and over each clade its nearest and furthest tip and its length."""
+    from cladeframe.operators.large import fold_large, index_large
+    from cladeframe.schema import heap_forest
+    from cladeframe.sources.newick import numbered
+
+    orders = table(spark, sf_dir, "orders")
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    rank = numbered(orders.select("o_orderkey", cents.alias("cents")).orderBy("o_orderkey"), "k").withColumn("rank", (F.col("k") - 1).cast("int"))
+    rows = rank.select(F.lit(0).cast("long").alias("tree_id"), "rank", F.lit(orders.count()).cast("int").alias("m"), F.col("o_orderkey").cast("string").alias("label"), (F.col("cents") % 80 / 8).alias("tip_length"), (F.col("cents") % 56 / 8).alias("inner_length"), F.lit(None).cast("string").alias("inner_label"))
+    nodes = _checkpoint(index_large(heap_forest(rows)))
+    tip = F.when(F.col("is_tip"), F.col("root_dist"))
+    r = fold_large(nodes, ["tree_id", "node_id", "depth", "n_tips", "root_dist", "branch_length"], block=4096, near=(tip, "min"), far=(tip, "max"), total=(F.col("branch_length"), "sum"))
+    up = F.col("branch_length") - F.col("root_dist")
+    own = nodes.select("node_id", "pre")
+    return whole(r.join(own, "node_id").select("node_id", "pre", "depth", "n_tips", "root_dist", (F.col("near") + up).alias("shortest"), (F.col("far") + up).alias("furthest"), "total"), "node_id", "pre", "depth", "n_tips")
+
+
+QUERIES["whole_table_tree"], ORACLES["whole_table_tree"] = whole_table_tree, ALL_SQL
