@@ -39,11 +39,12 @@ Extra columns are not read.
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache, partial
 from typing import NamedTuple
-from urllib.parse import urlsplit
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +98,10 @@ class Model(NamedTuple):
     left: float
     frequent: Frequent
 
+    def remove(self) -> None:
+        """Delete the model's files; scores that were not computed yet are lost."""
+        shutil.rmtree(self.folder)
+
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -333,6 +338,12 @@ def local_folder(spark, kind: str = "ngrams") -> str:
     return path
 
 
+def _discard(frame: DataFrame) -> None:
+    """Delete what ``cut`` wrote: it is in the folder that has to be mounted."""
+    for folder in {os.path.dirname(urlsplit(f).path) for f in frame.inputFiles()}:
+        shutil.rmtree(unquote(folder))
+
+
 def train(texts: DataFrame, characters: int, order: int = 2) -> Model:
     """Count the ``text`` column into files; ``characters`` decides the number of shards."""
     if order < 2:
@@ -358,7 +369,7 @@ def train(texts: DataFrame, characters: int, order: int = 2) -> Model:
         often[START] = starts
     frequent = Frequent(np.array(sorted(often), np.uint64), np.array([often[w] for w in sorted(often)], np.float64), share)
     blocks = texts.mapInArrow(partial(_count_grams, order=order, shards=shards, frequent=frequent), block)
-    cuts = []
+    cuts, used = [], [words]
     for level in range(order, 1, -1):
         merge = partial(_merge_grams, level=level, folder=folder, shards=shards, frequent=frequent)
         merged = cut(by_shard(blocks).mapInArrow(merge, f"kind string, {block}, of array<long>"), f"grams-{level}")
@@ -367,8 +378,11 @@ def train(texts: DataFrame, characters: int, order: int = 2) -> Model:
         if often:
             by_shard(merged.where("kind = 'split'")).mapInArrow(partial(_merge_split, level=level, folder=folder), "contexts long").agg(F.sum("contexts")).first()
         blocks = merged.where("kind = 'below'")
+        used.append(merged)
     low = by_shard(blocks).mapInArrow(partial(_merge_contexts, folder=folder), "pairs long, n1 long, n2 long, n3 long, n4 long, more long")
     pairs, *m, more = (x or 0 for x in low.agg(*[F.sum(c) for c in ("pairs", "n1", "n2", "n3", "n4", "more")]).first())
+    for frame in used:
+        _discard(frame)
     cuts.append(discounts(*m))
     left = (cuts[-1][0] * m[0] + cuts[-1][1] * m[1] + cuts[-1][2] * more) / pairs if pairs else 1.0
     return Model(folder, shards, order, tokens, n_words, pairs, tuple(reversed(cuts)), left, frequent)

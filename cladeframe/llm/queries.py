@@ -76,6 +76,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", SHARDS)
 
 
+#: A table that SQL can fill turn by turn.
+SMALL_TABLE = 2053
+
+
+def sharding_small_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same placement by a small table."""
+    return place(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", SHARDS, SMALL_TABLE)
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
@@ -109,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_sharding": op8_sharding,
+    "sharding_small_table": sharding_small_table,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_token_counts": op10_token_counts,
     "op11_token_files": op11_token_files,
@@ -175,6 +185,21 @@ degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(l.m, e.vec_id)) AS component_id,
        e.vec_id = least(e.vec_id, coalesce(l.m, e.vec_id)) AS kept
 FROM embeddings e LEFT JOIN degree d ON d.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id
+""",
+    "sharding_small_table": f"""
+WITH RECURSIVE shards AS (SELECT i, printf('shard-%02d', i) AS shard FROM range({len(SHARDS)}) t(i)),
+prefs AS (
+  SELECT i, shard, CAST('0x' || substr(md5(shard || '/offset'), 1, 15) AS BIGINT) % {SMALL_TABLE} AS o,
+         CAST('0x' || substr(md5(shard || '/skip'), 1, 15) AS BIGINT) % {SMALL_TABLE - 1} + 1 AS k FROM shards),
+turn(n, taken, slot, shard) AS (
+  SELECT 0, [o], o, shard FROM prefs WHERE i = 0
+  UNION ALL
+  SELECT n + 1, list_append(taken, s), s, shard FROM (
+    SELECT t.n, t.taken, p.shard,
+           list_filter(list_transform(range({SMALL_TABLE}), lambda j: (p.o + j * p.k) % {SMALL_TABLE}), lambda x: NOT list_contains(t.taken, x))[1] AS s
+    FROM turn t JOIN prefs p ON p.i = (t.n + 1) % {len(SHARDS)} WHERE t.n + 1 < {SMALL_TABLE}))
+SELECT d.doc_id, d.source, t.shard
+FROM documents d JOIN turn t ON t.slot = CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 15) AS BIGINT) % {SMALL_TABLE}
 """,
     "op13_lexical_search": r"""
 WITH d AS (
