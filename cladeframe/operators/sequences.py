@@ -52,58 +52,139 @@ def distances(pairs: DataFrame, gaps: bool = False) -> DataFrame:
     return p.withColumn("jc", q.jukes_cantor(F.col("p"))).withColumn("jc_minus_p", F.col("jc") - F.col("p"))
 
 
-def _align(a: str, b: str) -> tuple[str, str, int]:
-    """Best alignment with affine gaps that cost nothing at the ends (three states, row by row)."""
-    x = np.array([q.DNA.get(c, 0) for c in a.upper()], np.int64)
-    y = np.array([q.DNA.get(c, 0) for c in b.upper()], np.int64)
-    n, m = len(x), len(y)
-    if not n or not m:
-        return a + "-" * m, "-" * n + b, 0
-    low = -(10**9)
-    best = np.zeros((n + 1, m + 1), np.int64)
-    up = np.full((n + 1, m + 1), low, np.int64)
-    left = np.full((n + 1, m + 1), low, np.int64)
-    j = np.arange(m + 1)
-    for i in range(1, n + 1):
-        score = np.where((x[i - 1] & y) != 0, MATCH, MISMATCH)
-        up[i, 1:] = np.maximum(best[i - 1, 1:] + GAP_OPEN, up[i - 1, 1:] + GAP_EXTEND)
-        here = np.zeros(m + 1, np.int64)
-        here[1:] = np.maximum(best[i - 1, :-1] + score, up[i, 1:])
-        # a gap to the left: running maximum of where it could have been opened
-        opened = np.maximum.accumulate(here + GAP_OPEN - GAP_EXTEND * (j + 1))
-        left[i, 1:] = opened[:-1] + GAP_EXTEND * j[1:]
-        best[i] = np.maximum(here, left[i])
-        best[i, 0] = 0
-    ends = [(best[n, k], n, k) for k in range(m, -1, -1)] + [(best[k, m], k, m) for k in range(n, -1, -1)]
-    value, i, k = max(ends, key=lambda e: e[0])
-    top, bottom = [a[i:], "-" * (m - k)], ["-" * (n - i), b[k:]]
-    out_a, out_b, state = [], [], "best"
-    while i and k:
-        if state == "best":
-            s = MATCH if x[i - 1] & y[k - 1] else MISMATCH
-            if best[i, k] == best[i - 1, k - 1] + s:
-                i, k = i - 1, k - 1
-                out_a.append(a[i])
-                out_b.append(b[k])
-            else:
-                state = "up" if best[i, k] == up[i, k] else "left"
-        elif state == "up":
-            state = "best" if up[i, k] == best[i - 1, k] + GAP_OPEN else "up"
-            i -= 1
-            out_a.append(a[i])
-            out_b.append("-")
+def _diagonals(x: np.ndarray, y: np.ndarray, begin: int, end: int, state: tuple, seen=None) -> tuple[tuple, list]:
+    """Cells (i, j) with i + j from ``begin`` to before ``end`` of all pairs at once; (state, ways back of each diagonal).
+
+    ``state``: of the diagonal before, best scores and those that end in a gap of either kind, and the best ones of the diagonal
+    before that, each by i.  Without ``seen`` the ways back are kept: which of the three is best (a match before a gap),
+    and whether each kind of gap was just opened; with it, each diagonal's best scores are handed to it instead.
+    """
+    n, m, low = x.shape[1], y.shape[1], -(10**9)
+    back = y[:, ::-1]
+    before, last, up, left = state
+    ways = []
+    for d in range(begin, end):
+        lo, hi = max(1, d - m), min(n, d - 1) + 1
+        here, over = slice(lo, hi), slice(lo - 1, hi - 1)
+        opened_up, opened_left = last[:, over] + GAP_OPEN, last[:, here] + GAP_OPEN
+        u, v = np.maximum(opened_up, up[:, over] + GAP_EXTEND), np.maximum(opened_left, left[:, here] + GAP_EXTEND)
+        match = before[:, over] + np.where((x[:, over] & back[:, lo + m - d : hi + m - d]) != 0, np.int32(MATCH), np.int32(MISMATCH))
+        b = np.maximum(np.maximum(match, u), v)
+        before, last = last, np.zeros_like(last)
+        up, left = np.full_like(up, low), np.full_like(left, low)
+        last[:, here], up[:, here], left[:, here] = b, u, v
+        if seen is None:
+            ways.append((lo, np.where(match == b, 0, np.where(u == b, 1, 2)).astype(np.uint8) | (u == opened_up).view(np.uint8) << 2 | (v == opened_left).view(np.uint8) << 3))
         else:
-            state = "best" if left[i, k] == best[i, k - 1] + GAP_OPEN else "left"
-            k -= 1
-            out_a.append("-")
-            out_b.append(b[k])
-    head_a, head_b = a[:i] + "-" * k, "-" * i + b[:k]
-    return head_a + "".join(out_a[::-1]) + "".join(top), head_b + "".join(out_b[::-1]) + "".join(bottom), int(value)
+            seen(d, last)
+    return (before, last, up, left), ways
+
+
+def align_many(pairs: list[tuple[str, str]]) -> list[tuple[str, str, int]]:
+    """Best alignments with affine gaps that cost nothing at the ends, of pairs that have about the same lengths.
+
+    All pairs go through the same anti-diagonal at once.  Only every few of them are kept; the
+    ways back are made again from there, so memory grows with length ** 1.5, not with its square.
+    """
+    low, count = np.int32(-(10**9)), len(pairs)
+    n_of, m_of = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    n, m = int(n_of.max(initial=0)), int(m_of.max(initial=0))
+    x, y = np.zeros((count, n), np.int32), np.zeros((count, m), np.int32)
+    for k, (a, b) in enumerate(pairs):
+        x[k, : len(a)], y[k, : len(b)] = [q.DNA.get(c, 0) for c in a.upper()], [q.DNA.get(c, 0) for c in b.upper()]
+    each = np.arange(count)
+    zero, none = np.zeros((count, n + 1), np.int32), np.full((count, n + 1), low)
+    # the last row and column, where an alignment may end: of equals the longer, a row before a column
+    row, col = np.zeros(count, np.int64), np.zeros(count, np.int64)
+    row_at, col_at = np.zeros(count, np.int64), np.zeros(count, np.int64)
+
+    def seen(d: int, best: np.ndarray) -> None:
+        j, i = d - n_of, d - m_of
+        of = np.flatnonzero((j >= 0) & (j <= m_of))
+        v = best[of, n_of[of]]
+        better = v >= row[of]
+        row[of[better]], row_at[of[better]] = v[better], j[of[better]]
+        of = np.flatnonzero((i >= 0) & (i <= n_of))
+        v = best[of, i[of]]
+        better = v >= col[of]
+        col[of[better]], col_at[of[better]] = v[better], i[of[better]]
+
+    for d in (0, 1):
+        seen(d, zero)
+    step = max(16, int(4 * np.sqrt(n + m)))
+    marks, state = [], (zero, zero, none, none)
+    for d in range(2, n + m + 1, step):
+        marks.append((d, state))
+        state, _ = _diagonals(x, y, d, min(d + step, n + m + 1), state, seen)
+    by_row = row >= col
+    i, j = np.where(by_row, n_of, col_at), np.where(by_row, row_at, m_of)
+    score, end_i, end_j = np.where(by_row, row, col), i.copy(), j.copy()
+    mode, moves = np.zeros(count, np.int64), []
+    for begin, state in reversed(marks):
+        if not ((i > 0) & (j > 0) & (i + j >= begin)).any():
+            continue
+        _, ways = _diagonals(x, y, begin, min(begin + step, n + m + 1), state)
+        for d in range(begin + len(ways) - 1, begin - 1, -1):
+            of = np.flatnonzero((i + j == d) & (i > 0) & (j > 0))
+            if not len(of):
+                continue
+            lo, way = ways[d - begin]
+            w = way[of, i[of] - lo].astype(np.int64)
+            move = np.where(mode[of] == 0, w & 3, mode[of])
+            mode[of] = np.where((move == 1) & (w & 4 == 0), 1, np.where((move == 2) & (w & 8 == 0), 2, 0))
+            i[of] -= move != 2
+            j[of] -= move != 1
+            moves.append((of, move))
+    made = [[] for _ in range(count)]
+    for of, move in reversed(moves):
+        for k, v in zip(of.tolist(), move.tolist(), strict=True):
+            made[k].append(v)
+    out = []
+    for k in each.tolist():
+        a, b = pairs[k]
+        at_i, at_j = int(i[k]), int(j[k])
+        top, bottom = [a[:at_i], "-" * at_j], ["-" * at_i, b[:at_j]]
+        for v in made[k]:
+            top.append("-" if v == 2 else a[at_i])
+            bottom.append("-" if v == 1 else b[at_j])
+            at_i, at_j = at_i + (v != 2), at_j + (v != 1)
+        top += [a[end_i[k] :], "-" * (len(b) - end_j[k])]
+        bottom += ["-" * (len(a) - end_i[k]), b[end_j[k] :]]
+        out.append(("".join(top), "".join(bottom), int(score[k])))
+    return out
+
+
+def _align(a: str, b: str) -> tuple[str, str, int]:
+    return align_many([(a, b)])[0]
+
+
+#: Cells of an anti-diagonal that are held at once, over all pairs of a bucket.
+DIAGONAL_CELLS = 1 << 17
+
+
+def _buckets(pairs: list[tuple[str, str]]) -> Iterator[list[int]]:
+    """Places of pairs whose lengths are alike: within a bucket no side is padded by over a quarter and 16."""
+    held: list[int] = []
+    for k in sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1]))):
+        longest = max(len(pairs[k][0]), 1)
+        if held:
+            first = pairs[held[0]]
+            lengths = [len(pairs[h][1]) for h in (held[0], k)]
+            if longest > 1.25 * len(first[0]) + 16 or max(lengths) > 1.25 * min(lengths) + 16 or (len(held) + 1) * longest > DIAGONAL_CELLS:
+                yield held
+                held = []
+        held.append(k)
+    if held:
+        yield held
 
 
 def _align_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
-        got = [_align(a or "", b or "") for a, b in zip(rows["sequence_a"], rows["sequence_b"], strict=True)]
+        pairs = [(a or "", b or "") for a, b in zip(rows["sequence_a"], rows["sequence_b"], strict=True)]
+        got: list = [None] * len(pairs)
+        for bucket in _buckets(pairs):
+            for k, found in zip(bucket, align_many([pairs[k] for k in bucket]), strict=True):
+                got[k] = found
         yield pd.DataFrame({"seq_id_a": rows["seq_id_a"], "seq_id_b": rows["seq_id_b"], "aligned_a": [g[0] for g in got], "aligned_b": [g[1] for g in got], "score": [g[2] for g in got]})
 
 

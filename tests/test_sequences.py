@@ -65,6 +65,40 @@ def test_alignment_is_optimal():
         assert total == score
 
 
+def test_many_alignments_at_once_are_those_of_each_alone():
+    rng = random.Random(5)
+    pairs = [("", ""), ("ACG", ""), ("", "ACG"), ("A", "A"), ("ACGT", "TTTT"), ("NNNN", "ACGT")]
+    for _ in range(80):
+        a = "".join(rng.choice("ACGTRN-") for _ in range(rng.randint(1, 60)))
+        pairs.append((a, "".join(rng.choice("ACGT") if rng.random() < 0.2 else c for c in a[rng.randint(0, 9) :])))
+    alone = [q._align(*p) for p in pairs]
+    assert q.align_many(pairs) == alone
+    buckets = list(q._buckets(pairs))
+    assert sorted(k for b in buckets for k in b) == list(range(len(pairs))) and 1 < len(buckets) < len(pairs)
+    rows = q.pd.DataFrame({"seq_id_a": range(len(pairs)), "seq_id_b": "x", "sequence_a": [a for a, _ in pairs], "sequence_b": [b or None for _, b in pairs]})
+    got = next(q._align_batches(iter([rows])))
+    assert list(zip(got["aligned_a"], got["aligned_b"], got["score"], strict=True)) == alone
+    for (a, b), (x, y, score) in zip(pairs, alone, strict=True):
+        if a and b and not set(a + b) & set("RN-"):
+            assert score == brute_align(a, b)
+        assert len(x) == len(y) and (not set(a + b) & set("-")) <= (x.replace("-", "") == a and y.replace("-", "") == b)
+
+
+def test_memory_of_a_long_alignment_is_bounded():
+    import tracemalloc
+
+    rng = random.Random(6)
+    a = "".join(rng.choice("ACGT") for _ in range(3000))
+    b = a[100:1400] + "".join(rng.choice("ACGT") if rng.random() < 0.1 else c for c in a[1430:])
+    tracemalloc.start()
+    x, y, score = q._align(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12_000_000  # three matrices of 64-bit numbers take 216 MB
+    assert x.replace("-", "") == a and y.replace("-", "") == b and x.startswith(a[:100]) and y.startswith("-" * 100)
+    assert score > 6 * 2500
+
+
 def test_align_pairs_and_clusters(spark):
     seqs = spark.createDataFrame([("a", "ACGTACGTAC", 1), ("b", "CGTACGTACG", 1), ("c", "TTTTTTGGGG", 1), ("d", "ACGTACGTAN", 1)], "seq_id string, sequence string, g int")
     got = q.align_pairs(q.sequence_pairs(seqs, ["g"])).collect()
