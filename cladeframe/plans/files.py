@@ -161,7 +161,7 @@ def newick_interval(spark, sf_dir):
     return index_forest(newick.parse(texts)).where("is_tip").select(F.col("tree_id").alias("ordinal"), "label")
 
 
-@query("SELECT least(CAST(seq_id_a AS VARCHAR), CAST(seq_id_b AS VARCHAR)) AS i, greatest(CAST(seq_id_a AS VARCHAR), CAST(seq_id_b AS VARCHAR)) AS j, round(1 - similarity, 4) AS d FROM d JOIN seqs x ON x.seq_id = seq_id_a JOIN seqs y ON y.seq_id = seq_id_b WHERE x.nation = y.nation")
+@query("SELECT least(CAST(seq_id_a AS VARCHAR), CAST(seq_id_b AS VARCHAR)) AS i, greatest(CAST(seq_id_a AS VARCHAR), CAST(seq_id_b AS VARCHAR)) AS j, round(1 - similarity, 4) AS d FROM d JOIN seqs x ON x.seq_id = seq_id_a JOIN seqs y ON y.seq_id = seq_id_b WHERE x.nation = y.nation AND x.blk = y.blk")
 def distance_file(spark, sf_dir):
     """A triangular matrix for each nation as a file."""
     dist = s.nation_matrices(spark, sf_dir).select("matrix_id", F.col("i").cast("string").alias("i"), F.col("j").cast("string").alias("j"), "d")
@@ -233,8 +233,8 @@ def alignment_group_table(spark, sf_dir):
 @query("SELECT seq_id_a, seq_id_b, compared, differences FROM d JOIN seqs x ON x.seq_id = seq_id_a JOIN seqs y ON y.seq_id = seq_id_b WHERE length(replace(x.sequence, '-', '')) > 20 AND length(replace(y.sequence, '-', '')) > 20")
 def pairs_of_long(spark, sf_dir):
     """Pairs of a region's sequences with more than 20 bases."""
-    rows = s.supplier_sequences(spark, sf_dir).withColumn("states", encode(F.col("sequence"))).withColumn("sequence", F.translate("sequence", "-", ""))
-    r = q.distances(q.sequence_pairs(rows.select("seq_id", "region", "sequence", "states"), ["region"], min_length=20))
+    rows = s.blocked(s.supplier_sequences(spark, sf_dir)).withColumn("states", encode(F.col("sequence"))).withColumn("sequence", F.translate("sequence", "-", ""))
+    r = q.distances(q.sequence_pairs(rows.select("seq_id", "region", "blk", "sequence", "states"), ["region", "blk"], min_length=20))
     return r.select("seq_id_a", "seq_id_b", F.col("compared").cast("long").alias("compared"), F.col("differences").cast("long").alias("differences"))
 
 

@@ -22,11 +22,11 @@ SEQS_SQL = """
 WITH line AS MATERIALIZED (SELECT l_suppkey, p_type || '/' || l_returnflag || '/' || l_linestatus AS cell, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 cells AS MATERIALIZED (SELECT DISTINCT cell FROM line),
 seqs AS MATERIALIZED (
-  SELECT s_suppkey AS seq_id, any_value(r_name || ';' || n_name) AS taxonomy, any_value(r_name) AS region, any_value(n_name) AS nation,
+  SELECT s_suppkey AS seq_id, any_value(r_name || ';' || n_name) AS taxonomy, any_value(r_name) AS region, any_value(n_name) AS nation, any_value(s_suppkey // 500) AS blk,
          string_agg(coalesce(substr('ACGT', CAST(n % 4 AS INTEGER) + 1, 1), '-'), '' ORDER BY c.cell) AS sequence
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey CROSS JOIN cells c LEFT JOIN line l ON l.l_suppkey = s_suppkey AND l.cell = c.cell
   WHERE s_suppkey IN (SELECT l_suppkey FROM line) GROUP BY s_suppkey),
-pairs AS (SELECT a.seq_id AS seq_id_a, b.seq_id AS seq_id_b, a.taxonomy AS taxonomy_a, b.taxonomy AS taxonomy_b, a.region, a.sequence AS sa, b.sequence AS sb FROM seqs a JOIN seqs b ON a.region = b.region AND a.seq_id < b.seq_id),
+pairs AS (SELECT a.seq_id AS seq_id_a, b.seq_id AS seq_id_b, a.taxonomy AS taxonomy_a, b.taxonomy AS taxonomy_b, a.region, a.sequence AS sa, b.sequence AS sb FROM seqs a JOIN seqs b ON a.region = b.region AND a.blk = b.blk AND a.seq_id < b.seq_id),
 site AS (SELECT seq_id_a, seq_id_b, taxonomy_a, taxonomy_b, region, UNNEST(string_split(sa, '')) AS x, UNNEST(string_split(sb, '')) AS y FROM pairs),
 cmp AS (SELECT seq_id_a, seq_id_b, taxonomy_a, taxonomy_b, region, count(*) FILTER (x <> '-' AND y <> '-') AS compared, count(*) FILTER (x <> '-' AND y <> '-' AND x <> y) AS differences FROM site GROUP BY ALL),
 d AS MATERIALIZED (SELECT *, CASE WHEN compared = 0 THEN 1.0 ELSE 1 - differences / compared END AS similarity FROM cmp),
@@ -51,10 +51,18 @@ def supplier_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seqs.join(place, "seq_id").select("seq_id", "taxonomy", "region", "nation", "sequence")
 
 
+#: Suppliers whose keys follow each other are compared: groups of them grow in number with the table, not in size.
+BLOCK = 500
+
+
+def blocked(seqs: DataFrame) -> DataFrame:
+    return seqs.withColumn("blk", F.floor(F.col("seq_id") / BLOCK))
+
+
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of a region's suppliers with their distances."""
-    seqs = supplier_sequences(spark, sf_dir).withColumn("states", fn.encode(F.col("sequence"))).select("seq_id", "taxonomy", "region", "states")
-    return q.distances(q.sequence_pairs(_checkpoint(seqs), ["region"]))
+    """All pairs of a region's suppliers in a block with their distances."""
+    seqs = blocked(supplier_sequences(spark, sf_dir)).withColumn("states", fn.encode(F.col("sequence"))).select("seq_id", "taxonomy", "region", "blk", "states")
+    return q.distances(q.sequence_pairs(_checkpoint(seqs), ["region", "blk"]))
 
 
 def query(sql: str | None = None, prefix: str = SEQS_SQL):
@@ -126,7 +134,7 @@ def gene_clusters(spark, sf_dir):
 
 @query("SELECT seq_id_a, seq_id_b, CASE WHEN taxonomy_a = taxonomy_b THEN taxonomy_a ELSE region END AS taxon FROM pairs")
 def taxon_lca(spark, sf_dir):
-    p = q.sequence_pairs(supplier_sequences(spark, sf_dir).select("seq_id", "taxonomy", "region"), ["region"])
+    p = q.sequence_pairs(blocked(supplier_sequences(spark, sf_dir)).select("seq_id", "taxonomy", "region", "blk"), ["region", "blk"])
     return p.select("seq_id_a", "seq_id_b", F.array_join(q.common_taxon(F.col("taxonomy_a"), F.col("taxonomy_b")), ";").alias("taxon"))
 
 
@@ -151,15 +159,15 @@ def alignment_groups(spark, sf_dir):
 @query()
 def align_pairs(spark, sf_dir):
     """Unaligned: the gaps taken out, suppliers of a nation against each other."""
-    s = supplier_sequences(spark, sf_dir).select("seq_id", "nation", F.translate("sequence", "-", "").alias("sequence"))
-    return q.align_pairs(q.sequence_pairs(s, ["nation"]))
+    s = blocked(supplier_sequences(spark, sf_dir)).select("seq_id", "nation", "blk", F.translate("sequence", "-", "").alias("sequence"))
+    return q.align_pairs(q.sequence_pairs(s, ["nation", "blk"]))
 
 
 def nation_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A distance matrix for each nation with three suppliers or more."""
-    seqs = supplier_sequences(spark, sf_dir).withColumn("states", fn.encode(F.col("sequence"))).select("seq_id", "nation", "states")
-    d = q.distances(q.sequence_pairs(_checkpoint(seqs), ["nation"]))
-    return d.select(F.xxhash64("nation").alias("matrix_id"), F.col("seq_id_a").alias("i"), F.col("seq_id_b").alias("j"), F.col("p").alias("d"))
+    """A distance matrix for each nation's suppliers of a block."""
+    seqs = blocked(supplier_sequences(spark, sf_dir)).withColumn("states", fn.encode(F.col("sequence"))).select("seq_id", "nation", "blk", "states")
+    d = q.distances(q.sequence_pairs(_checkpoint(seqs), ["nation", "blk"]))
+    return d.select(F.xxhash64("nation", "blk").alias("matrix_id"), F.col("seq_id_a").alias("i"), F.col("seq_id_b").alias("j"), F.col("p").alias("d"))
 
 
 @query()
@@ -167,13 +175,13 @@ def nj_tree(spark, sf_dir):
     return index_forest(build.neighbour_joining(nation_matrices(spark, sf_dir)))
 
 
-@query(""", dn AS (SELECT a.nation, d.seq_id_a, d.seq_id_b FROM d JOIN seqs a ON a.seq_id = d.seq_id_a JOIN seqs b ON b.seq_id = d.seq_id_b WHERE a.nation = b.nation AND 1 - similarity < 0.74),
-ends AS (SELECT nation, count(DISTINCT t) AS taxa FROM (SELECT nation, UNNEST([seq_id_a, seq_id_b]) AS t FROM dn) GROUP BY nation),
-held AS (SELECT nation, count(*) AS rows FROM dn GROUP BY nation)
-SELECT nation, rows, taxa FROM held JOIN ends USING (nation) WHERE rows <> taxa * (taxa - 1) / 2""")
+@query(""", dn AS (SELECT a.nation, a.blk, d.seq_id_a, d.seq_id_b FROM d JOIN seqs a ON a.seq_id = d.seq_id_a JOIN seqs b ON b.seq_id = d.seq_id_b WHERE a.nation = b.nation AND 1 - similarity < 0.74),
+ends AS (SELECT nation, blk, count(DISTINCT t) AS taxa FROM (SELECT nation, blk, UNNEST([seq_id_a, seq_id_b]) AS t FROM dn) GROUP BY nation, blk),
+held AS (SELECT nation, blk, count(*) AS rows FROM dn GROUP BY nation, blk)
+SELECT nation, blk, rows, taxa FROM held JOIN ends USING (nation, blk) WHERE rows <> taxa * (taxa - 1) / 2""")
 def invalid_matrices(spark, sf_dir):
     """The nations' matrices without their far pairs: those that so don't hold each pair of their taxa."""
-    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("nation"), F.xxhash64("n_name").alias("matrix_id"))
+    names = blocked(supplier_sequences(spark, sf_dir)).select("nation", "blk").distinct().withColumn("matrix_id", F.xxhash64("nation", "blk"))
     return build.invalid_matrices(nation_matrices(spark, sf_dir).where("d < 0.74")).join(names, "matrix_id").drop("matrix_id")
 
 
@@ -225,8 +233,8 @@ def fitch_states(spark, sf_dir):
 
 
 def nation_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = supplier_sequences(spark, sf_dir)
-    return s.select(F.xxhash64("nation").alias("matrix_id"), F.col("seq_id").cast("string").alias("label"), fn.encode(F.col("sequence")).alias("states"))
+    s = blocked(supplier_sequences(spark, sf_dir))
+    return s.select(F.xxhash64("nation", "blk").alias("matrix_id"), F.col("seq_id").cast("string").alias("label"), fn.encode(F.col("sequence")).alias("states"))
 
 
 @query()
@@ -473,7 +481,7 @@ def parsimony_sets(spark, sf_dir):
 @query()
 def alignable_groups(spark, sf_dir):
     """Each nation's suppliers halved until their distances are alike."""
-    s = supplier_sequences(spark, sf_dir).withColumn("states", fn.encode(F.col("sequence"))).select("seq_id", F.col("nation").alias("grp"), "states")
+    s = blocked(supplier_sequences(spark, sf_dir)).withColumn("states", fn.encode(F.col("sequence"))).select("seq_id", F.concat_ws("/", "nation", "blk").alias("grp"), "states")
     s = _checkpoint(s)
     d = q.distances(q.sequence_pairs(s, ["grp"]))
     return q.alignable_groups(s, d, limit=0.2)
