@@ -363,6 +363,49 @@ def _partials(rows: pd.DataFrame, shape: Shape, model: Model, length: np.ndarray
     return part, scale
 
 
+def _outside(part: np.ndarray, shape: Shape, p: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(above, here, messages): what the rest of the tree says at the top of each branch and at its node, and what each node sends up.
+
+    ``part``: partials of whole trees, ``p``: P(t) of each row's branch, ``root``: the weights of the root's states.  Each vector
+    is scaled by its largest entry: only ratios count.
+    """
+    messages = part @ p.transpose(0, 2, 1)
+    above, here = np.ones_like(part), np.ones_like(part)
+    here[shape.starts] = root
+    first, last = shape.ends()
+    kids = np.bincount(shape.up[shape.up >= 0], minlength=len(part))
+    for level in shape.levels[1:]:
+        up = shape.up[level]
+        beside = np.where(first[up] == level, last[up], first[up])
+        got = here[up] * np.where((kids[up] == 1)[:, None, None], 1.0, messages[beside])
+        for at in np.flatnonzero(kids[up] > 2):
+            rest = np.flatnonzero(shape.up == up[at])
+            got[at] = here[up[at]] * messages[rest[rest != level[at]]].prod(axis=0)
+        top = got.max(axis=2, keepdims=True)
+        above[level] = got / np.where(top == 0, 1, top)
+        down = above[level] @ p[level]
+        top = down.max(axis=2, keepdims=True)
+        here[level] = down / np.where(top == 0, 1, top)
+    return above, here, messages
+
+
+def marginal_states(nodes: DataFrame, characters: DataFrame, model: Model) -> DataFrame:
+    """(tree_id, node_id, likelihoods): each inner node's states of the first character given all tips, from partials inside and outside its clade; null for impossible data."""
+
+    def run(rows: pd.DataFrame, shape: Shape) -> pd.DataFrame:
+        part, _ = _partials(rows, shape, model)
+        p = model.transition(np.nan_to_num(rows["branch_length"].to_numpy(float)))
+        _, here, _ = _outside(part, shape, p, model.frequencies if model.reversible else np.ones(model.states))
+        both = (part * here)[:, 0]
+        total = both.sum(axis=1, keepdims=True)
+        inner = np.bincount(shape.up[shape.up >= 0], minlength=len(part)) > 0
+        own = both / np.where(total == 0, 1, total)
+        made = rows[["tree_id", "node_id"]].assign(likelihoods=[x if t > 0 else None for x, t in zip(own, total[:, 0], strict=True)])
+        return made[inner]
+
+    return whole_trees(_with_states(nodes, characters, 1), run, "tree_id long, node_id int, likelihoods array<double>")
+
+
 def _log_likelihoods(rows: pd.DataFrame, shape: Shape, model: Model, weighted_root: bool | None, length: np.ndarray | None = None) -> np.ndarray:
     part, scale = _partials(rows, shape, model, length)
     with np.errstate(divide="ignore"):
@@ -449,6 +492,49 @@ def minimise(f, start: np.ndarray, low: float = 1e-6, high: float = 100.0, toler
     return pts[k], val[k]
 
 
+def descend(value, gradient, start: np.ndarray, low: float = 1e-6, high: float = 100.0, tolerance: float = 1e-8, most: int = 500) -> tuple[np.ndarray, float]:
+    """Least value within bounds by a quasi-Newton descent over logarithms; a step that leads out ends at the bound.
+
+    ``gradient`` gives the derivatives by the parameters where ``value`` was asked last.
+    """
+    floor, roof = np.log(low), np.log(high)
+    z = np.log(np.clip(start, low, high))
+    f = value(np.exp(z))
+    if f >= 1e300:
+        return np.exp(z), f
+    g, h, begun = gradient() * np.exp(z), np.eye(len(z)), False
+    for _ in range(most):
+        free = ~(((z <= floor) & (g > 0)) | ((z >= roof) & (g < 0)))
+        if not free.any() or np.abs(g[free]).max() < tolerance * (1 + abs(f)):
+            break
+        way = np.zeros(len(z))
+        way[free] = -(h[np.ix_(free, free)] @ g[free])
+        if way @ g >= 0:
+            h, way = np.eye(len(z)), np.where(free, -g, 0.0)
+        way *= min(1.0, (3.0 if begun else 0.5) / np.abs(way).max())
+        size = 1.0
+        while size > 1e-10:
+            y = np.clip(z + size * way, floor, roof)
+            fy = value(np.exp(y))
+            if fy <= f + 1e-4 * (g @ (y - z)):
+                break
+            size /= 4
+        else:
+            break
+        gy = gradient() * np.exp(y)
+        step, change = y - z, gy - g
+        if (curve := step @ change) > 1e-12:
+            if not begun:
+                h, begun = h * curve / (change @ change), True
+            r = np.eye(len(z)) - np.outer(step, change) / curve
+            h = r @ h @ r.T + np.outer(step, step) / curve
+        done = f - fy <= tolerance * (abs(f) + tolerance)
+        z, f, g = y, fy, gy
+        if done:
+            break
+    return np.exp(z), f
+
+
 def optimise(
     nodes: DataFrame, characters: DataFrame, states: int, fixed: list[int] | None = None, positions: int | None = 1, free_frequencies: bool = False,
     cuts: list[tuple[float, float]] | None = None, free_cuts: bool = False, fixed_cut_rates: list[int] | None = None,
@@ -460,6 +546,11 @@ def optimise(
     frequencies, the rates of the skyline (but for ``fixed_cut_rates`` positions), with
     ``free_cuts`` its places, and the rates of the ``clades`` (label, set_id, rate, and
     optionally tree_id; but for ``fixed_clades``).  A tree is one unit of work.
+
+    The descent takes all derivatives from one pass down and one up: what they say on
+    both sides of a branch is how the likelihood changes with its P(t), whatever the
+    parameter.  Places of rates have kinks, so with ``free_cuts`` a simplex search goes on
+    from where the descent ends.
     """
     from cladeframe.operators.transform import clade_sets
 
@@ -495,19 +586,54 @@ def optimise(
         hi = part["root_dist"].to_numpy() - own[0]
         lo = hi - own
 
-        def value(x: np.ndarray) -> float:
+        clade = part["set_id"].tolist()
+
+        def of(x: np.ndarray) -> tuple[Model, np.ndarray]:
             rates, share, places, cut_rates, sets = parameters(x)
             length, last = np.zeros(len(own)), 0.0
             for c, r in zip(places, cut_rates, strict=True):
                 length += np.maximum(0, np.minimum(hi, c) - np.maximum(lo, last)) * r
                 last = c
             length = length + np.maximum(0, hi - np.maximum(lo, last)) if places else own.copy()
-            length *= [sets.get(n, 1.0) for n in part["set_id"]]
-            m = Model(states, rates, begin.classes, list(share), begin.reversible)
-            got = float(_log_likelihoods(part, shape, m, None, length)[0])
+            return Model(states, rates, begin.classes, list(share), begin.reversible), length * [sets.get(n, 1.0) for n in clade]
+
+        asked: dict = {}
+
+        def value(x: np.ndarray) -> float:
+            m, length = of(x)
+            inside, scale = _partials(part, shape, m, length)
+            with np.errstate(divide="ignore"):
+                got = float((np.log(m.root(inside[0])) + scale[0]).sum())
+            asked.update(x=x, model=m, length=length, inside=inside)
             return 1e300 if not np.isfinite(got) else -got
 
-        x, v = minimise(value, np.array(start)) if start else (np.array([]), value(np.array([])))
+        def gradient() -> np.ndarray:
+            x, m, inside = asked["x"], asked["model"], asked["inside"]
+            distinct, which = np.unique(asked["length"], return_inverse=True)
+            weights = m.frequencies if m.reversible else np.ones(states)
+            above, _, messages = _outside(inside, shape, m.transition(distinct)[which], weights)
+            whole = (above * messages).sum(axis=2, keepdims=True)
+            by_p = np.einsum("npi,npj->nij", above[1:] / whole[1:], inside[1:])
+            out = np.zeros(len(x))
+            for k in range(len(x)):
+                step = 1e-5 * x[k]
+                p, root = [], []
+                for sign in (1, -1):
+                    y = x.copy()
+                    y[k] += sign * step
+                    m, length = of(y)
+                    distinct, which = np.unique(length[1:], return_inverse=True)
+                    p.append(m.transition(distinct)[which])
+                    root.append(np.log(m.root(inside[0])).sum())
+                out[k] = -((by_p * (p[0] - p[1])).sum() + root[0] - root[1]) / (2 * step)
+            return out
+
+        if not start:
+            x, v = np.array([]), value(np.array([]))
+        else:
+            x, v = descend(value, gradient, np.array(start))
+            if free_cuts or v >= 1e300:
+                x, v = min((x, v), minimise(value, x), key=lambda r: r[1])
         rates, share, places, cut_rates, sets = parameters(x)
         return pd.DataFrame({"tree_id": [part["tree_id"].iloc[0]], "log_likelihood": [-v if v < 1e300 else -np.inf], "rates": [rates], "frequencies": [list(share)], "cuts": [places], "cut_rates": [cut_rates], "clade_rates": [sets]})
 
