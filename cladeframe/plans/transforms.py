@@ -208,12 +208,27 @@ def nj_additive(nodes, spark, sf_dir):
     return found.select("tree_id", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.round("distance", 6).alias("d"))
 
 
-@query(None)
+#: Two sections: below x, the dated ancestor (20), and the rest below the root (100), where x is an end that counts as often as its tips.
+CALIBRATED_SQL = MRCA_SQL + f""", x AS MATERIALIZED (SELECT m.tree_id, m.k, d FROM mrca m JOIN below b USING (tree_id, k) JOIN dist USING (tree_id, k) WHERE b.n > 1 AND m.k > 1),
+t AS MATERIALIZED (SELECT n.tree_id, n.k, e.d, x.k IS NOT NULL AND {below_sql('n', 'x')} AS low FROM nodes n JOIN dist e USING (tree_id, k) LEFT JOIN x ON x.tree_id = n.tree_id WHERE n.tip),
+sums AS MATERIALIZED (SELECT u.tree_id, u.a AS k, coalesce(sum(d) FILTER (NOT low), 0) AS s0, count(*) FILTER (NOT low) AS n0, coalesce(sum(d) FILTER (low), 0) AS s1, count(*) FILTER (low) AS n1 FROM up u JOIN t USING (tree_id, k) GROUP BY u.tree_id, u.a),
+v AS MATERIALIZED (SELECT h.tree_id, h.k, e.d, s0, n0, s1, n1, x.k AS x, coalesce(x.d, 0) AS dx, x.k IS NOT NULL AND {below_sql('h', 'x')} AS low FROM sums h JOIN dist e USING (tree_id, k) LEFT JOIN x ON x.tree_id = h.tree_id),
+r0 AS (SELECT tree_id, nullif(greatest((s0 - n0 * d + 1.25 * n1 * (dx - d)) / (n0 + n1) / 100, 0), 0) AS r FROM v WHERE k = 1),
+rx AS (SELECT tree_id, nullif(greatest((s1 - n1 * d) / n1 / 20, 0), 0) AS r FROM v WHERE k = x),
+rates AS MATERIALIZED (SELECT r0.tree_id, coalesce(r0.r, rx.r) AS r0, coalesce(rx.r, r0.r) AS rx FROM r0 LEFT JOIN rx USING (tree_id))
+SELECT v.tree_id, v.k AS node_id, round(CASE WHEN n.tip THEN 0 WHEN v.k = 1 THEN 100 WHEN v.k = x THEN 20 WHEN low THEN (s1 - n1 * d) / n1 / rx
+  ELSE (s0 - n0 * d + n1 * (dx - d) + r0 * n1 * 20) / (n0 + n1) / r0 END, 8) AS age
+FROM v JOIN rates USING (tree_id) JOIN nodes n USING (tree_id, k) WHERE r0 IS NOT NULL
+"""
+
+
+@query(CALIBRATED_SQL)
 def calibrated_ages(nodes, spark, sf_dir):
     """Ages with every root put at 100 and the common ancestor of the urgent orders at 20."""
-    root = nodes.where("parent_id IS NULL").select("tree_id", "node_id", F.lit(100.0).alias("age"))
+    root = nodes.where("parent_id IS NULL AND NOT is_tip").select("tree_id", "node_id", F.lit(100.0).alias("age"))
     inner = f.mrca(nodes, named_tips(spark, sf_dir)).where("n_tips > 1 AND depth > 0").select("tree_id", "node_id", F.lit(20.0).alias("age"))
-    return t.mean_path_ages(nodes, root.unionByName(inner))
+    r = t.mean_path_ages(nodes, root.unionByName(inner))
+    return whole(r.select("tree_id", "node_id", F.round("age", 8).alias("age")), "node_id")
 
 
 @query(""", far AS MATERIALIZED (SELECT n.tree_id, n.k, d FROM nodes n JOIN dist USING (tree_id, k) WHERE tip),
