@@ -124,9 +124,23 @@ def clade_sets(nodes: DataFrame, clades: DataFrame) -> DataFrame:
     top = mrca(nodes, clades.select(*keys, "set_id"))
     rates = clades.select("set_id", "rate", *[k for k in keys if k == "tree_id"]).distinct()
     top = top.join(rates, [c for c in ("tree_id", "set_id") if c in rates.columns])
-    hit = top.alias("a").join(nodes.alias("x"), inside() & (F.col("x.pre") > F.col("a.pre")))
-    rate = hit.groupBy("x.tree_id", "x.node_id").agg(F.max_by(F.struct("a.set_id", "a.rate"), F.struct("a.depth", "a.set_id")).alias("r"))
-    return nodes.join(rate, ["tree_id", "node_id"], "left").select(*nodes.columns, "r.set_id", "r.rate")
+    # one set for each ancestor, handed down to all that is below it until another one's begins
+    own = top.groupBy("tree_id", "node_id").agg(F.max_by(F.struct("set_id", "rate"), "set_id").alias("own"))
+    rows = nodes.join(own, ["tree_id", "node_id"], "left").select(*nodes.columns, F.col("own.set_id").alias("set_id"), F.col("own.rate").cast("double").alias("rate"))
+
+    def run(part: pd.DataFrame, shape: Shape) -> pd.DataFrame:
+        has, ruler = part["set_id"].notna().to_numpy(), np.full(len(part), -1)
+        for here in shape.levels[1:]:
+            up = shape.up[here]
+            ruler[here] = np.where(has[up], up, ruler[up])
+        out = part.copy()
+        of = part["set_id"].to_numpy()
+        out["set_id"] = [of[k] if k >= 0 else None for k in ruler]
+        out["rate"] = np.where(ruler >= 0, part["rate"].to_numpy(float)[ruler], np.nan)
+        return out
+
+    made = whole_trees(rows, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
+    return made.withColumn("rate", F.when(~F.isnan("rate"), F.col("rate")))
 
 
 def ladderize(nodes: DataFrame, larger_first: bool = True) -> DataFrame:
