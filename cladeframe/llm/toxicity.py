@@ -63,36 +63,61 @@ def _spell_code(words: list[bytes]) -> bytes:
     return b"".join(map(xxhash.xxh64_digest, words))
 
 
-def contexts(texts: Iterable[str]) -> dict[bytes, int]:
-    """Distinct left neighbours of each word (the begin of a text is one): copies of a passage add none."""
-    number: dict[bytes, int] = {}
-    pairs = [np.empty(0, np.uint64)]
-    for text in texts:
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _distinct(parts: Iterator[np.ndarray]) -> np.ndarray:
+    """Sorted distinct values of many arrays, a million at a time."""
+    found, held, size = np.empty(0, np.uint64), [], 0
+    for x in parts:
+        held.append(x)
+        size += len(x)
+        if size > 1 << 20:
+            found, held, size = np.unique(np.concatenate([found, *held])), [], 0
+    return np.unique(np.concatenate([found, *held]))
+
+
+def contexts(texts: list[str], known: np.ndarray) -> np.ndarray:
+    """Of each word, by its hash's place in ``known``, the distinct left neighbours (the begin of a text is one): copies of a passage add none."""
+
+    def pairs(text: str) -> np.ndarray:
+        at = np.searchsorted(known, _hashes(plain_words(text))).astype(np.uint64)
+        return np.append(np.uint64(len(known)), at[:-1])[: len(at)] << np.uint64(32) | at
+
+    held, times = [np.unique(pairs(x)) for x in texts], np.zeros(len(known), np.int64)
+    # a sixteenth of the words at a time: a sort of all pairs takes several times their memory
+    for part in range(16):
+        found = np.unique(np.concatenate([np.empty(0, np.uint64), *(x[x & np.uint64(15) == part] for x in held)])) & np.uint64(0xFFFFFFFF)
+        word, n = np.unique(found, return_counts=True)
+        times[word.astype(np.int64)] = n
+    return times
+
+
+def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[list[bytes], list[bytes], list[bytes]]:
+    """(toxic words, ordinary words, common words), the most telling last.
+
+    Words are 64-bit hashes until it is known which ones count: a driver's memory then
+    doesn't grow with the vocabulary's text.
+    """
+    known = _distinct(_hashes(plain_words(x)) for x in (*toxic, *ordinary))
+    t, o = contexts(toxic, known), contexts(ordinary, known)
+    nt, no, both = max(1, int(t.sum())), max(1, int(o.sum())), t + o
+    z = np.zeros(len(known))
+    some = np.flatnonzero(both >= CONTEXTS)
+    p = both[some] / (nt + no)
+    z[some] = (t[some] / nt - o[some] / no) / np.sqrt(p * (1 - p) * (1 / nt + 1 / no))
+    mine = (z >= DEVIATION) & (t / nt >= RATIO * (o + 1) / no) & (t >= CONTEXTS)
+    theirs = (z <= -DEVIATION) & (o / no >= RATIO * (t + 1) / nt) & (o >= CONTEXTS)
+    rest = np.sort(both[~mine & ~theirs])
+    common = ~mine & ~theirs & (both >= max(1, int(rest[-COMMON:].min(initial=np.iinfo(np.int64).max))))
+    wanted, name = mine | theirs | common, {}
+    for text in (*toxic, *ordinary):
         words = plain_words(text)
-        # from 1 on; 0 stands before a text
-        ids = np.fromiter((number.setdefault(w, len(number) + 1) for w in words), np.uint64, len(words))
-        pairs.append(np.unique(np.append(np.uint64(0), ids[:-1])[: len(ids)] << np.uint64(32) | ids))
-    found = np.unique(np.concatenate(pairs)) & np.uint64(0xFFFFFFFF)
-    times = np.bincount(found.astype(np.int64), minlength=len(number) + 1)
-    return {w: int(times[i]) for w, i in number.items()}
-
-
-def train_dictionaries(toxic: Iterable[str], ordinary: Iterable[str]) -> tuple[list[bytes], list[bytes], list[bytes]]:
-    """(toxic words, ordinary words, common words), the most telling last."""
-    t, o = contexts(toxic), contexts(ordinary)
-    nt, no = max(1, sum(t.values())), max(1, sum(o.values()))
-    z, both = {}, {}
-    for w in t.keys() | o.keys():
-        a, b = t.get(w, 0), o.get(w, 0)
-        both[w] = a + b
-        if a + b >= CONTEXTS:
-            p = (a + b) / (nt + no)
-            z[w] = (a / nt - b / no) / np.sqrt(p * (1 - p) * (1 / nt + 1 / no))
-    mine = [w for w in z if z[w] >= DEVIATION and t[w] / nt >= RATIO * (o.get(w, 0) + 1) / no and t[w] >= CONTEXTS]
-    theirs = [w for w in z if z[w] <= -DEVIATION and o[w] / no >= RATIO * (t.get(w, 0) + 1) / nt and o[w] >= CONTEXTS]
-    special = {*mine, *theirs}
-    common = sorted((w for w in both if w not in special), key=lambda w: (both[w], w))[-COMMON:]
-    return sorted(mine, key=lambda w: (z[w], w)), sorted(theirs, key=lambda w: (-z[w], w)), common
+        at = np.searchsorted(known, _hashes(words))
+        name.update((int(at[k]), words[k]) for k in np.flatnonzero(wanted[at]))
+    listed = lambda which, value: [w for _, w in sorted((value(k), name[k]) for k in np.flatnonzero(which).tolist())]
+    return listed(mine, lambda k: z[k]), listed(theirs, lambda k: -z[k]), listed(common, lambda k: both[k])[-COMMON:]
 
 
 class Distances:
@@ -148,7 +173,7 @@ def fit(texts: list[str], toxic: list[int]) -> tuple[Distances, np.ndarray] | No
     if not (0 < y.sum() < len(y)):
         return None
     learn = np.arange(len(y)) % 3 != 2
-    of = lambda kind: (t for t, k, v in zip(texts, learn, y, strict=True) if k and v == kind)
+    of = lambda kind: [t for t, k, v in zip(texts, learn, y, strict=True) if k and v == kind]
     model = Distances(*train_dictionaries(of(1), of(0)))
     rest = np.flatnonzero(~learn) if 0 < y[~learn].sum() < (~learn).sum() else np.arange(len(y))
     x = np.array([model.features(plain_words(texts[i])) for i in rest])
