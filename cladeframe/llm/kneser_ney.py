@@ -59,6 +59,8 @@ from cladeframe.operators.components import shared_folder
 START, END = xxhash.xxh64_intdigest(b" start"), xxhash.xxh64_intdigest(b" end")
 #: Characters of text for each shard, and the least number of shards.
 SHARD_CHARS, LEAST_SHARDS = 16_000_000, 16
+#: Tasks that the shards are dealt to at most.
+MOST_TASKS = 50_000
 #: Tokens that a task counts or looks up at once.
 CHUNK = 1_500_000
 
@@ -356,7 +358,9 @@ def train(texts: DataFrame, characters: int, order: int = 2) -> Model:
     def by_shard(blocks: DataFrame) -> DataFrame:
         """All blocks of a shard in one run, one run for each shard: those without blocks get a null one."""
         every = spark.range(shards, numPartitions=1).selectExpr("id AS shard", "CAST(NULL AS BINARY) AS block")
-        return blocks.select("shard", "block").unionByName(every).repartition("shard").sortWithinPartitions("shard")
+        # by number, as hashes of few shards would put several into one task
+        tasks = min(shards, MOST_TASKS)
+        return blocks.select("shard", "block").unionByName(every).repartitionById(tasks, (F.col("shard") % tasks).cast("int")).sortWithinPartitions("shard")
 
     words = by_shard(texts.mapInArrow(partial(_count_words, shards=shards), block))
     words = cut(words.mapInArrow(partial(_merge_words, folder=folder, shards=shards), "tokens long, words long, ends long, often array<long>, times array<long>"), "words")
