@@ -240,7 +240,10 @@ def test_tree_files(spark, tmp_path):
     assert {r["label"] for r in n.where("label IS NOT NULL").collect()} == {"alpha", "be ta", "c"}
     assert [r["ann"] for r in n.where("ann IS NOT NULL AND ann['p'] IS NOT NULL").collect()] == [{"p": "0.9"}]
     sets, ages = newick.read_node_ages(spark, str(tmp_path / "t.nex"))
-    assert {tuple(r) for r in sets.collect()} == {("root", "alpha"), ("root", "c")} and ages.first()["age"] == 12.5
+    assert {(r["set_id"], r["label"]) for r in sets.collect()} == {("root", "alpha"), ("root", "c")} and ages.first()["age"] == 12.5
+    assert {r["path"] for r in sets.collect()} == {r["path"] for r in ages.collect()} == {r["path"] for r in n.collect()}
+    kinds = {r["path"].rsplit("/", 1)[1]: r["format"] for r in newick.sniff_files(spark, str(tmp_path / "t.*")).collect()}
+    assert kinds == {"t.tree": "newick", "t.nex": "nexus"} and newick.sniff(spark, str(tmp_path / "t.nex")) == "nexus"
     text = newick.to_nexus(t.where("tree_id = 1")).first()["nexus"]
     (tmp_path / "back.nex").write_text(text)
     assert newick.read_nexus(spark, str(tmp_path / "back.nex")).where("label IS NOT NULL").count() == 3
