@@ -279,7 +279,7 @@ def heap_numbers(nodes: DataFrame) -> DataFrame:
     return steps.select("tree_id", "node_id", F.aggregate("way", F.lit(0).cast("long"), lambda k, s: 2 * k + s["side"]).alias("k"))
 
 
-@query("SELECT 'fasta' AS format, count(*) AS n FROM (SELECT DISTINCT nation FROM seqs) UNION ALL SELECT 'phylip', count(*) FROM (SELECT DISTINCT nation FROM seqs UNION ALL SELECT CAST(s_nationkey AS VARCHAR) FROM supplier GROUP BY s_nationkey HAVING count(*) = 1) UNION ALL SELECT 'nexus', count(*) FROM (SELECT DISTINCT nation FROM seqs) UNION ALL SELECT 'newick', count(*) FROM (SELECT s_nationkey FROM supplier GROUP BY s_nationkey HAVING count(*) > 1)")
+@query(", found AS (SELECT 'fasta' AS format, count(*) AS n FROM (SELECT DISTINCT nation FROM seqs) UNION ALL SELECT 'phylip', count(*) FROM (SELECT DISTINCT nation FROM seqs UNION ALL SELECT CAST(s_nationkey AS VARCHAR) FROM supplier GROUP BY s_nationkey HAVING count(*) = 1) UNION ALL SELECT 'nexus', count(*) FROM (SELECT DISTINCT nation FROM seqs) UNION ALL SELECT 'newick', count(*) FROM (SELECT s_nationkey FROM supplier GROUP BY s_nationkey HAVING count(*) > 1)) SELECT * FROM found WHERE n > 0")
 def file_formats(spark, sf_dir):
     """Each nation's sequences and tree in files of four formats: how many files are taken for which (a tree of one supplier is a number)."""
     rows, path = s.supplier_sequences(spark, sf_dir), place(spark)
