@@ -32,6 +32,35 @@ def test_distances_by_hand(spark):
     assert seqs.select(F.size(fn.encode(F.col("sequence"), skip_first=True))).first()[0] == 5
 
 
+@pytest.mark.parametrize("tile", [1, 3, 512])
+def test_tiles_give_the_distances_of_all_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(q, "TILE", tile)
+    rng = random.Random(3)
+    text = lambda: "".join(rng.choice("ACGTACGTRNY-?") for _ in range(rng.choice([0, 5, 12, 12])))
+    rows = [(f"s{k}", text() if k else None, rng.choice("xy") if k % 9 else None) for k in range(40)]
+    seqs = spark.createDataFrame([*rows, (None, "ACGT", "x")], "seq_id string, sequence string, g string").withColumn("states", fn.encode(F.col("sequence")))
+    full = {(r["g"], r["seq_id_a"], r["seq_id_b"]): r["p"] for r in q.distances(q.sequence_pairs(seqs, ["g"])).collect()}
+    got = q.tiled_distances(seqs, ["g"]).collect()
+    assert len(got) == len(full) > 200
+    assert {tuple(r)[:3]: r["p"] for r in got} == full
+    near = q.tiled_distances(seqs, ["g"], below=0.5).collect()
+    assert {tuple(r)[:3]: r["p"] for r in near} == {k: d for k, d in full.items() if d < 0.5}
+
+
+def test_matrices_are_of_whole_nations(spark, tmp_path):
+    """Of suppliers in any blocks of keys: ONE lacks its far pair, TWO has all."""
+    letters = {1: "AAAA", 700: "AACC", 1400: "CCCC", 2: "AAAA", 3: "AAAA", 1200: "AAAC"}
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    write("region", [(0, "R")], "r_regionkey int, r_name string")
+    write("nation", [(0, "ONE", 0), (1, "TWO", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    write("supplier", [(k, int(k in (2, 3, 1200))) for k in letters], "s_suppkey long, s_nationkey int")
+    write("part", [(k, f"T{k}") for k in range(4)], "p_partkey long, p_type string")
+    write("lineitem", [(p, k, float("ACGT".index(c)), "R", "F") for k, s in letters.items() for p, c in enumerate(s)], "l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string")
+    got = plans.QUERIES["invalid_matrices"](spark, str(tmp_path))
+    assert [(r["nation"], r["rows"], r["taxa"]) for r in got.collect()] == [("ONE", 2, 3)]
+    assert set(got.columns) == {"nation", "rows", "taxa"}
+
+
 def brute_align(a, b):
     """Best score by plain recursion over the three states."""
     low = -(10**9)

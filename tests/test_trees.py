@@ -281,6 +281,12 @@ def test_neighbour_joining_recovers_additive_trees(spark):
         same(got[m], {frozenset(p): b.distance(*p) for p in itertools.combinations(b.tips, 2)})
 
 
+def test_matrices_with_a_pair_twice_are_invalid(spark):
+    rows = [(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (2, "a", "b"), (2, "b", "a"), (2, "b", "c"), (3, "a", "b"), (3, "b", "a"), (4, "a", "b"), (None, "a", "b"), (None, "b", "c")]
+    got = build.invalid_matrices(spark.createDataFrame(rows, "matrix_id long, i string, j string"))
+    assert sorted(map(tuple, got.collect())) == [(2, 3, 3), (3, 2, 2)]
+
+
 def test_infinite_distances_are_the_shortest_way_or_part_the_tree(spark):
     inf = float("inf")
     near = {("a", "b"): 1.0, ("b", "c"): 2.0, ("a", "c"): inf, ("d", "e"): 4.0}
