@@ -7,7 +7,7 @@ import __spark_entry__
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["clade_members", "likelihood_clades"])
+@pytest.mark.parametrize("name", ["clade_members", "likelihood_clades", "nni"])
 def test_no_forest_goes_through_the_driver(spark, name):
     plan = __spark_entry__.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
