@@ -7,7 +7,24 @@ import __spark_entry__
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["clade_members", "likelihood_clades", "nni"])
+@pytest.mark.parametrize("name", ["clade_members", "likelihood_clades", "nni", "random_nni"])
 def test_no_forest_goes_through_the_driver(spark, name):
     plan = __spark_entry__.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_random_neighbour_makes_one_of_all_neighbours(spark):
+    from pyspark.sql import functions as F
+
+    from cladeframe.operators import transform as t
+    from cladeframe.operators.components import _held
+    from cladeframe.plans.derived import order_forest
+    from cladeframe.schema import RAW_COLUMNS
+
+    nodes = _held(order_forest(spark, SMALL).where("tree_id < 60"))
+    one = t.random_neighbour(nodes, seed=7)
+    assert "Broadcast" not in one._jdf.queryExecution().executedPlan().toString()
+    every = t.nearest_neighbours(nodes)
+    pick = every.select("tree_id", "alt").distinct().groupBy("tree_id").agg(F.min_by("alt", F.xxhash64(F.lit(7), "tree_id", "alt")).alias("alt"))
+    want = every.join(pick, ["tree_id", "alt"]).select(RAW_COLUMNS)
+    assert one.count() == want.count() > 0 and one.exceptAll(want).isEmpty()
