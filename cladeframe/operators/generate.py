@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cladeframe.operators.components import _checkpoint
-from cladeframe.schema import RAW, RAW_COLUMNS, Shape, whole_trees
+from cladeframe.schema import RAW, RAW_COLUMNS, Shape, by_sorting, whole_trees
 from cladeframe.sources.newick import numbered
 
 
@@ -151,18 +151,75 @@ def random_decisiveness(masks: DataFrame, topologies: int = 100, seed: int = 0)
     """(set_id, topology, branches, distinguished) over random topologies of the taxa of each set.
 
     ``masks``: set_id (long), label, mask (see ``gene_masks``).  Feed the result to
-    ``decisive_share`` for the shares.
+    ``decisive_share`` for the shares.  A task draws a set's topologies (those of ``random_trees``) and
+    counts on them as ``decisiveness`` does; no node of them leaves it.
     """
-    from cladeframe.schema import index_forest
-
     number = F.row_number().over(Window.partitionBy("set_id").orderBy("label"))
-    taxa = masks.select("set_id", number.cast("string").alias("label"), "mask")
-    sizes = taxa.groupBy("set_id").agg(F.count("*").cast("int").alias("n"))
-    draws = sizes.select("set_id", "n", F.explode(F.sequence(F.lit(0), F.lit(topologies - 1))).alias("topology")).withColumn("tree_id", F.xxhash64("set_id", "topology"))
-    trees = index_forest(random_trees(draws, seed=seed))
-    of = draws.select("tree_id", "set_id", "topology")
-    own = of.join(taxa, "set_id").select("tree_id", "label", "mask")
-    return decisiveness(trees, own).join(of, "tree_id").select("set_id", "topology", "branches", "distinguished")
+    taxa = masks.select("set_id", number.alias("k"), "mask").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("k", "mask"))).alias("own"))
+    ids = F.transform(F.sequence(F.lit(0), F.lit(topologies - 1)), lambda t: F.xxhash64("set_id", t))
+    sets = taxa.select("set_id", F.transform("own", lambda x: x["mask"]).alias("masks"), ids.alias("tree_ids"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for n, some in rows.groupby(rows["masks"].map(len)):
+                # sets of equally many taxa side by side, as many topologies at a time as MOST_ROWS nodes allow
+                width = max((len(m) for own in some["masks"] for m in own if m is not None), default=1)
+                trees = np.concatenate(some["tree_ids"].to_numpy())
+                of, topology = np.divmod(np.arange(len(trees)), topologies)
+                step = max(1, MOST_ROWS // (2 * n * width))
+                for i in range(0, len(trees), step):
+                    here, back = np.unique(of[i : i + step], return_inverse=True)
+                    own = np.array([[np.zeros(width, np.int64) if m is None else m for m in some["masks"].iloc[k]] for k in here], np.int64)
+                    branches, hit = _drawn_counts(_joins(trees[i : i + step], n, seed), own, back)
+                    made = pd.DataFrame({"set_id": some["set_id"].to_numpy()[of[i : i + step]], "topology": topology[i : i + step], "branches": branches, "distinguished": hit})
+                    yield made[branches > 0]
+
+    # a set is few bytes and much work: its number of tasks is given, or Spark would merge them by size
+    tasks = max(4 * masks.sparkSession.sparkContext.defaultParallelism, int(masks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return sets.repartition(tasks, "set_id").mapInPandas(run, "set_id long, topology int, branches long, distinguished long")
+
+
+def _joins(trees: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """(trees, n - 1, 2): the nodes that join, one after the other, in the topologies that ``random_trees`` draws without lengths; tips are 0 .. n - 1, the k-th join is node n + k."""
+    out = np.zeros((len(trees), n - 1, 2), np.int64)
+    among = np.stack([np.arange(n, 1, -1), np.arange(n - 1, 0, -1)], axis=1).reshape(-1)
+    for t, tree in enumerate(trees.tolist() if n > 1 else []):
+        at, live, new = np.random.Generator(np.random.PCG64([seed, tree % 2**64])).integers(among).tolist(), list(range(n)), n
+        flat = []
+        for k in range(0, len(at), 2):
+            flat += [live.pop(at[k]), live.pop(at[k + 1])]
+            live.append(new)
+            new += 1
+        out[t].reshape(-1)[:] = flat
+    return out
+
+
+def _drawn_counts(joins: np.ndarray, masks: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_distinguished`` counts, for binary trees given by their joins; ``masks``: (sets, n, words), ``of``: each tree's set."""
+    rows, n = np.arange(len(joins)), masks.shape[1]
+    below = np.zeros((len(joins), 2 * n - 1, masks.shape[2]), np.int64)
+    below[:, :n] = masks[of]
+    up, beside = np.zeros((2, len(joins), 2 * n - 1), np.int64)
+    for k, (a, b) in enumerate(joins.transpose(1, 2, 0)):
+        below[:, n + k] = below[rows, a] | below[rows, b]
+        up[rows, a] = up[rows, b] = n + k
+        beside[rows, a], beside[rows, b] = b, a
+    root, outside = 2 * n - 2, np.zeros_like(below)
+    branches, hit = np.zeros((2, len(joins)), np.int64)
+    for k in range(n - 3, -1, -1):
+        x, (a, b) = n + k, joins[:, k].T
+        sibling, above = below[rows, beside[:, n + k]], outside[rows, up[:, n + k]]
+        outside[:, x] = above | sibling
+        inner = up[:, x] != root
+        branches += inner
+        hit += inner & ((below[rows, a] & below[rows, b] & sibling & above) != 0).any(axis=1)
+    if n > 1:
+        # the two sides of the root are one branch, which counts where both have two subtrees
+        both = np.flatnonzero((joins[:, -1] >= n).all(axis=1))
+        four = joins[both[:, None], joins[both, -1] - n].reshape(len(both), 4)
+        branches[both] += 1
+        hit[both] += (np.bitwise_and.reduce(below[both[:, None], four], axis=1) != 0).any(axis=1)
+    return branches, hit
 
 
 def gene_masks(genes: DataFrame) -> DataFrame:
@@ -172,9 +229,10 @@ def gene_masks(genes: DataFrame) -> DataFrame:
     number = numbered(names.orderBy("gene"), "k").select("gene", (F.col("k") - 1).alias("k"))
     words = -(-max(1, names.count()) // 63)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("k") % 63).cast("int"))
-    word = genes.join(number, "gene").groupBy(F.col("taxon").alias("label"), F.floor(F.col("k") / 63).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits"))
+    # a mask holds a bit for each gene, so their names are few, and some of them frequent
+    word = genes.join(F.broadcast(number), "gene").groupBy(F.col("taxon").alias("label"), F.floor(F.col("k") / 63).cast("int").alias("w")).agg(F.bit_or(bit).alias("bits"))
     of = word.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))
-    return of.select("label", F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long"))).alias("mask"))
+    return by_sorting(of.select("label", F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long"))).alias("mask")))
 
 
 def _distinguished(rows: pd.DataFrame, shape: Shape) -> pd.DataFrame:

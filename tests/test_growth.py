@@ -28,3 +28,25 @@ def test_random_neighbour_makes_one_of_all_neighbours(spark):
     pick = every.select("tree_id", "alt").distinct().groupBy("tree_id").agg(F.min_by("alt", F.xxhash64(F.lit(7), "tree_id", "alt")).alias("alt"))
     want = every.join(pick, ["tree_id", "alt"]).select(RAW_COLUMNS)
     assert one.count() == want.count() > 0 and one.exceptAll(want).isEmpty()
+
+
+def test_drawn_topologies_are_counted_as_trees(spark):
+    """Sets of one to nine taxa, some without genes, of 70 genes: as by node tables of the same topologies."""
+    from pyspark.sql import functions as F
+
+    from cladeframe.operators import generate
+    from cladeframe.schema import index_forest
+
+    taxa = spark.range(45).select(F.expr("cast((sqrt(8 * id + 1) - 1) / 2 as int)").cast("long").alias("set_id"), F.col("id").cast("string").alias("label"))
+    genes = taxa.select(F.col("label").alias("taxon"), F.explode(F.sequence(F.lit(0), F.lit(69))).alias("gene")).where("xxhash64(taxon, gene) % 5 = 0 AND taxon % 11 <> 5")
+    masks = taxa.join(generate.gene_masks(genes), "label", "left")
+    got = generate.random_decisiveness(masks, topologies=30, seed=2)
+    assert "BuildLeft" not in got._jdf.queryExecution().executedPlan().toString()  # of genes only the names are broadcast
+    number = F.expr("row_number() OVER (PARTITION BY set_id ORDER BY label)").cast("string")
+    own = masks.select("set_id", number.alias("label"), "mask")
+    draws = own.groupBy("set_id").agg(F.count("*").cast("int").alias("n")).select("set_id", "n", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("topology")).withColumn("tree_id", F.xxhash64("set_id", "topology"))
+    of = draws.select("tree_id", "set_id", "topology")
+    want = generate.decisiveness(index_forest(generate.random_trees(draws, seed=2)), of.join(own, "set_id").select("tree_id", "label", "mask"))
+    want = want.join(of, "tree_id").select("set_id", "topology", "branches", "distinguished")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert 0 < got.where("distinguished > 0").count() and 0 < got.where("distinguished < branches").count()
