@@ -50,3 +50,22 @@ def test_drawn_topologies_are_counted_as_trees(spark):
     want = want.join(of, "tree_id").select("set_id", "topology", "branches", "distinguished")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert 0 < got.where("distinguished > 0").count() and 0 < got.where("distinguished < branches").count()
+
+
+def test_replicates_grow_in_batches(spark):
+    """Stepwise trees of many matrices in one task, as bytes and as integers, each as if it were alone."""
+    from pyspark.sql import functions as F
+
+    from cladeframe.operators import build
+
+    states = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.call_function("shiftleft", F.lit(1), F.pmod(F.xxhash64("id", i), F.lit(5)).cast("int")) % 16)
+    rows = spark.range(120).select((F.col("id") % 17).alias("matrix_id"), F.col("id").cast("string").alias("label"), states.alias("states")).coalesce(1)
+    got = build.stepwise_addition(rows.withColumn("states", F.col("states").cast("array<tinyint>")), replicates=3)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    alone = None
+    for m in (0, 16):
+        one = build.stepwise_addition(rows.where(F.col("matrix_id") == m), replicates=3)
+        alone = one if alone is None else alone.unionByName(one)
+    ids = alone.select("tree_id").distinct()
+    assert got.join(ids, "tree_id", "left_semi").exceptAll(alone).isEmpty() and got.select("tree_id").distinct().count() == 51
+    assert alone.exceptAll(got).isEmpty()
