@@ -69,3 +69,33 @@ def test_replicates_grow_in_batches(spark):
     ids = alone.select("tree_id").distinct()
     assert got.join(ids, "tree_id", "left_semi").exceptAll(alone).isEmpty() and got.select("tree_id").distinct().count() == 51
     assert alone.exceptAll(got).isEmpty()
+
+
+def test_matrices_of_a_batch_join_as_alone(spark):
+    """Full matrices of equal size join side by side, ties and all; those with gaps go one by one."""
+    import numpy as np
+    import pandas as pd
+
+    from cladeframe.operators import build
+
+    rng, rows = np.random.default_rng(1), []
+    for m in range(60):
+        n = 2 + m % 7
+        d = rng.integers(1, 4 if m % 2 else 100, (n, n)) / 4
+        rows += [(m, f"t{i}", f"t{j}", np.inf if m % 10 == 9 and rng.random() < 0.4 else float(d[i, j])) for i in range(n) for j in range(i)]
+    frame = pd.DataFrame(rows, columns=["matrix_id", "i", "j", "d"])
+    key = lambda t: (t[0], t[1])
+    got = sorted(map(tuple, build.neighbour_joining(spark.createDataFrame(frame).coalesce(1)).collect()), key=key)
+    want = pd.concat([build._join_neighbours(g.reset_index(drop=True)) for _, g in frame.groupby("matrix_id")])
+    want = sorted((tuple(None if v is pd.NA or v != v else v for v in r) for r in want.itertuples(index=False)), key=key)
+    assert [tuple(None if v != v else v for v in r) for r in got] == want
+
+
+def test_full_matrices_need_no_call_each(spark, monkeypatch):
+    import pandas as pd
+
+    from cladeframe.operators import build
+
+    monkeypatch.setattr(build, "_join_neighbours", None)
+    frame = pd.DataFrame([(m, a, b, d) for m in (1, 2) for a, b, d in (("x", "y", 3.0), ("x", "z", 4.0), ("y", "z", 5.0))], columns=["matrix_id", "i", "j", "d"])
+    assert build._join_matrices(frame, [0, 3, 6])["branch_length"].sum() == 12.0
