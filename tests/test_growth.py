@@ -99,3 +99,21 @@ def test_full_matrices_need_no_call_each(spark, monkeypatch):
     monkeypatch.setattr(build, "_join_neighbours", None)
     frame = pd.DataFrame([(m, a, b, d) for m in (1, 2) for a, b, d in (("x", "y", 3.0), ("x", "z", 4.0), ("y", "z", 5.0))], columns=["matrix_id", "i", "j", "d"])
     assert build._join_matrices(frame, [0, 3, 6])["branch_length"].sum() == 12.0
+
+
+@pytest.mark.parametrize("column", ["jc", "jc_minus_p"])
+def test_equal_sequences_have_the_zero_of_the_sql(spark, column):
+    """Bit for bit: DuckDB's round keeps the sign of -3/4 ln(1), Spark's loses it."""
+    import struct
+
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from cladeframe.operators import sequences as q
+    from cladeframe.plans import sequences as plans
+
+    pairs = spark.sql("SELECT * FROM VALUES (array(1, 2, 4, 8), array(1, 2, 4, 8)), (array(0, 1), array(1, 0)), (array(1, 2, 4, 8), array(1, 2, 4, 1)) AS t(states_a, states_b)")
+    made = [r[0] for r in q.distances(pairs).orderBy(F.desc("compared"), "differences").select(plans.rounded(column)).collect()]
+    less = "" if column == "jc" else " - (1 - s)"
+    want = [r[0] for r in duckdb.sql(f"SELECT round(-0.75 * ln(1 - (1 - s) * 4 / 3){less}, 6) FROM (VALUES (0, CAST(1 AS DOUBLE)), (1, 0.75::DOUBLE), (2, 1::DOUBLE)) v(k, s) ORDER BY k").fetchall()]
+    assert [struct.pack("d", x) for x in made] == [struct.pack("d", x) for x in want]
